@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, sharding, warc
+from . import media, piece_codec, sharding, token_count, toxicity, warc
 from .common import fresh_path
 
 
@@ -27,13 +27,40 @@ def op3_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_pages(spark, path)
 
 
+def vocabulary(name: str) -> str:
+    """Where the public tokenizer package keeps a vocabulary file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_piece_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = piece_codec.encode(_table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+    sha = lambda text: F.sha2(text.cast("binary"), 256)
+    return rows.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        sha(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids_sha256"),
+        sha(F.col("decoded")).alias("decoded_sha256"),
+        F.xxhash64("begins", "ends").alias("spans_hash"),
+    )
+
+
 def op5_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.shard_documents(_table(spark, sf_dir, "documents"), 24)
     return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op7_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op9_heap_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_count.count_tokens(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_media_fingerprints, op3_warc_chunks, op5_jump_shards)}
+    return {f.__name__: f for f in (op1_media_fingerprints, op3_warc_chunks, op4_piece_offsets, op5_jump_shards, op7_ftrl_toxicity, op9_heap_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
