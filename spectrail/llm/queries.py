@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import media, piece_codec, sharding, token_count, toxicity, warc
+from . import license_scan, media, piece_codec, secret_scan, sharding, token_count, toxicity, warc
 from .common import fresh_path
 
 
@@ -21,6 +21,23 @@ def op1_media_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"), F.size("fp_code").cast("long").alias("n_pairs"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = license_scan.scan(_table(spark, sf_dir, "documents"))
+    base, near = F.col("phrases.label"), F.col("notices.label")
+    joined = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
+    return rows.select(
+        "doc_id",
+        "n_words",
+        F.size("phrases").cast("long").alias("n_base"),
+        F.array_min("phrases.first_word").alias("first_word"),
+        F.array_max("phrases.first_word").alias("last_word"),
+        joined(base).alias("base_labels"),
+        joined(F.concat(base, near)).alias("labels"),
+        "score",
+        F.size("notices").cast("long").alias("n_notices"),
+    )
+
+
 def op3_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "warc")
     warc.write_archives(_table(spark, sf_dir, "pages"), path)
@@ -51,6 +68,18 @@ def op5_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+def op6_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table = secret_scan.train(secret_scan.labelled_samples(spark))
+    rows = secret_scan.find_secrets(_table(spark, sf_dir, "documents"), table)
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
+    return rows.select(
+        "doc_id",
+        *(count(i).alias(f"n_{kind}") for i, kind in enumerate(secret_scan.KINDS[:3])),
+        F.sha2(secret_scan.span_text("base").cast("binary"), 256).alias("base_sha256"),
+        secret_scan.span_text("spans").alias("spans"),
+    )
+
+
 def op7_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -60,7 +89,7 @@ def op9_heap_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_media_fingerprints, op3_warc_chunks, op4_piece_offsets, op5_jump_shards, op7_ftrl_toxicity, op9_heap_token_counts)}
+    return {f.__name__: f for f in (op1_media_fingerprints, op2_license_scan, op3_warc_chunks, op4_piece_offsets, op5_jump_shards, op6_markov_secrets, op7_ftrl_toxicity, op9_heap_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
