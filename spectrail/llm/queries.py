@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_scan, media, piece_codec, secret_scan, sharding, token_count, toxicity, warc
+from . import license_scan, media, near_dup, piece_codec, secret_scan, sharding, token_count, toxicity, warc
 from .common import fresh_path
 
 
@@ -84,12 +84,16 @@ def op7_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op8_minhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op9_heap_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_media_fingerprints, op2_license_scan, op3_warc_chunks, op4_piece_offsets, op5_jump_shards, op6_markov_secrets, op7_ftrl_toxicity, op9_heap_token_counts)}
+    return {f.__name__: f for f in (op1_media_fingerprints, op2_license_scan, op3_warc_chunks, op4_piece_offsets, op5_jump_shards, op6_markov_secrets, op7_ftrl_toxicity, op8_minhash_components, op9_heap_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
