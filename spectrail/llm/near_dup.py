@@ -307,3 +307,16 @@ class NearDuplicates:
 def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, size: int = 2) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable over links) and kept (doc_id = component_id)."""
     return NearDuplicates(documents, key, text, percent, size).result()
+
+
+def first_of_groups(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents, with all their columns, of which one of each component stays: that with the smallest id.
+
+    Rows without an id all stay; of rows that repeat an id one stays.
+    """
+    ids = near_duplicates(documents, key, text).where("kept and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    ids = materialize(ids, "kept")
+    rows = documents.join(ids.select(F.col("doc_id").alias("_kept_id")), F.col(key).cast("long") == F.col("_kept_id"), "left_semi")
+    if not ids.where("n > 1").isEmpty():
+        rows = rows.dropDuplicates([key])
+    return rows.union(documents.where(F.col(key).isNull()))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_scan, media, near_dup, piece_codec, secret_scan, sharding, token_count, toxicity, warc
+from . import decontaminate, license_scan, media, near_dup, piece_codec, secret_scan, sharding, token_count, toxicity, warc
 from .common import fresh_path
 
 
@@ -92,8 +92,14 @@ def op9_heap_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(_table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op10_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = decontaminate.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    covered = F.col("covered_words") / F.col("item_words")
+    return rows.select("doc_id", "item_id", "item_words", "covered_words", covered.alias("coverage"), F.size("tiles").cast("long").alias("n_tiles"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_media_fingerprints, op2_license_scan, op3_warc_chunks, op4_piece_offsets, op5_jump_shards, op6_markov_secrets, op7_ftrl_toxicity, op8_minhash_components, op9_heap_token_counts)}
+    return {f.__name__: f for f in (op1_media_fingerprints, op2_license_scan, op3_warc_chunks, op4_piece_offsets, op5_jump_shards, op6_markov_secrets, op7_ftrl_toxicity, op8_minhash_components, op9_heap_token_counts, op10_string_tiling)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -114,23 +114,30 @@ def fit(documents: DataFrame, labels: DataFrame, settings: Settings = Settings()
     return model["at"].to_numpy(np.int64), model["w"].to_numpy(np.float64)
 
 
+class Model:
+    """Scores texts in a Python worker, from coordinates and weights."""
+
+    def __init__(self, model: tuple[np.ndarray, np.ndarray], settings: Settings) -> None:
+        at, w = model
+        self.bits, self.hashes, self.weights = settings.bits, WordHashes(), np.zeros(1 << settings.bits)
+        self.weights[at] = w
+        self.bias, self.weights[0] = (self.weights[0] if len(at) else -np.inf), 0.0
+
+    def score(self, text: str | None) -> float:
+        idx = features(text or "", self.hashes, self.bits)
+        idx = np.unique(idx[self.weights[idx] != 0.0])
+        with np.errstate(over="ignore"):
+            return float(1 / (1 + np.exp(-(self.bias + self.weights[idx].sum()))))
+
+
 def score(documents: DataFrame, model: tuple[np.ndarray, np.ndarray], settings: Settings = Settings(), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """_id, score (0 to 1) and predicted (0 or 1) of each document."""
+    """doc_id, score (0 to 1) and predicted (0 or 1) of each document."""
     s, shared = settings, documents.sparkSession.sparkContext.broadcast(model)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, w = shared.value
-        weights, hashes = np.zeros(1 << s.bits, np.float64), WordHashes()
-        weights[at] = w
-        bias, weights[0] = (weights[0] if len(at) else -np.inf), 0.0
+        own = Model(shared.value, s)
         for b in batches:
-            total = np.empty(b.num_rows)
-            for i, x in enumerate(b.column(1)):
-                idx = features(x.as_py(), hashes, s.bits)
-                idx = np.unique(idx[weights[idx] != 0.0])
-                total[i] = bias + weights[idx].sum()
-            with np.errstate(over="ignore"):
-                p = 1 / (1 + np.exp(-total))
+            p = np.array([own.score(x.as_py()) for x in b.column(1)], np.float64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(p), pa.array((p >= s.threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
     rows = documents.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -141,3 +148,16 @@ def classify(documents: DataFrame, labels: DataFrame, settings: Settings = Setti
     """doc_id, held_out, score and predicted of each document, by a model of the labels."""
     rows = score(documents, fit(documents, labels, settings), settings)
     return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def without_toxic(documents: DataFrame, model: tuple[np.ndarray, np.ndarray], settings: Settings = Settings(), text: str = "text") -> DataFrame:
+    """The documents, with all their columns, that score below the threshold."""
+    s, at = settings, documents.columns.index(text)
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Model(shared.value, s)
+        for b in batches:
+            yield b.filter(pa.array([own.score(x.as_py()) < s.threshold for x in b.column(at)], pa.bool_()))
+
+    return documents.mapInArrow(kept, documents.schema)
