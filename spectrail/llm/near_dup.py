@@ -7,10 +7,13 @@
    gives CHUNKS * WIDTH keys, of which two such signatures share at least one. So every pair within LIMIT is met. A pair
    of similarity 0.8 is within LIMIT but for a chance of about 5e-6.
 3. No pairs are emitted within a key's group. First, each node is tried against one node only: of the smallest nodes of
-   its groups, the one it meets most often. Confirmed pairs make a forest.
-4. Groups that still hold more than one tree are then searched exhaustively between trees: nodes outside the group's
-   largest tree go to every block of the group, in cells of bounded size, and pairs within LIMIT come out. So no pair of
-   different trees that meets in any group goes untested, however large the group; pairs inside a tree need no test.
+   its groups, the one it meets most often. Confirmed pairs make a forest of trees; all pairs, confirmed or not, make a
+   coarser forest of locales.
+4. Groups that still hold more than one tree are then searched exhaustively between trees: a node outside its group's
+   largest tree asks each locale that the group has nodes of. All nodes of the locale are compared with it on their full
+   sets, in cells of at most BLOCK nodes and SLICE askers, through an index of the block's shingles. A cell gives the
+   links that join trees and no others. So no pair of different trees that meets in any group goes untested, however
+   large the group, and the rows made grow with the nodes, not with the pairs.
 5. Pairs are confirmed on the full sets: 100 * intersection >= PERCENT * union. Trees joined by confirmed pairs form
    components, by alternating large-star and small-star steps (Kiveris et al., 2014).
 
@@ -48,10 +51,10 @@ MASK_SEEDS = _random.integers(0, 2**63, CHUNKS * WIDTH, dtype=np.uint64)
 
 
 class WordHashes(dict):
-    """64-bit hashes of words; emptied when it has a million."""
+    """64-bit hashes of words; emptied when full, so its memory is bounded."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1_000_000:
+        if len(self) >= 200_000:
             self.clear()
         self[word] = value = xxhash.xxh64_intdigest(word)
         return value
@@ -116,30 +119,44 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, PLACES)
 
 
-def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of different trees at most LIMIT apart, from rows sorted by cell: key, block, slice, query, node, tree, n, sig."""
+def _cells(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Links that join trees, from rows sorted by cell: locale, block, slice, query, node, tree, grams."""
 
-    def pairs(rows: list[pa.RecordBatch]) -> Iterator[tuple]:
+    def links(rows: list[pa.RecordBatch]) -> Iterator[tuple[int, int]]:
         t = pa.Table.from_batches(rows)
-        col = {c: t[c].to_numpy() for c in ("query", "node", "tree", "n")}
-        sig = _matrix(t["sig"].combine_chunks())
-        target, query = np.flatnonzero(col["query"] == 0), np.flatnonzero(col["query"] > 0)
-        main = col["query"] == 0
-        minor = set(col["node"][query].tolist())
-        is_minor = np.array([x in minor for x in col["node"][target].tolist()], bool) if main.any() else np.zeros(0, bool)
-        for q in query:
-            near = col["tree"][target] != col["tree"][q]
-            near &= ~is_minor | (col["node"][target] > col["node"][q])
-            a, b = np.minimum(col["n"][target], col["n"][q]), np.maximum(col["n"][target], col["n"][q])
-            near &= 100 * a >= PERCENT * b
-            at = target[near]
-            gap = (sig[at] != sig[q]).sum(axis=1)
-            for i in np.flatnonzero(gap <= LIMIT):
-                yield int(col["node"][q]), int(col["node"][at[i]]), int(gap[i])
+        query, tree = t["query"].to_numpy(), t["tree"].to_numpy()
+        sets = [np.frombuffer(x, np.uint64) for x in t["grams"].to_pylist()]
+        own = np.flatnonzero(query == 0)
+        if not len(own):
+            return
+        size = np.array([len(sets[i]) for i in own])
+        grams, of = np.concatenate([sets[i] for i in own]), np.repeat(np.arange(len(own)), size)
+        order = np.argsort(grams, kind="stable")
+        values, starts = np.unique(grams[order], return_index=True)
+        starts, of = np.append(starts, len(grams)), of[order]
+        joined = {int(x): int(x) for x in tree}
+
+        def root(x: int) -> int:
+            while joined[x] != x:
+                joined[x] = x = joined[joined[x]]
+            return x
+
+        for q in np.flatnonzero(query > 0):
+            mine = sets[q]
+            at = np.minimum(np.searchsorted(values, mine), len(values) - 1)
+            at = at[values[at] == mine]
+            counts = starts[at + 1] - starts[at]
+            hit = np.repeat(starts[at] - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum()) if len(at) else at
+            both = np.bincount(of[hit], minlength=len(own))
+            near = 100 * both >= percent * (size + len(mine) - both)
+            for other in np.unique(tree[own[near & (tree[own] != tree[q])]]).tolist():
+                if (x := root(int(tree[q]))) != (y := root(other)):
+                    joined[x] = y
+                    yield int(tree[q]), other
 
     def out(found: list[tuple]) -> pa.RecordBatch:
-        a, b, gap = zip(*found, strict=True) if found else ((), (), ())
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(gap, pa.int32())], ["a", "b", "gap"])
+        a, b = zip(*found, strict=True) if found else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     now, held, found = None, [], []
     for batch in batches:
@@ -150,7 +167,7 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             this = tuple(c[a] for c in cell)
             if this != now and held:
-                found += pairs(held)
+                found += links(held)
                 held = []
             now = this
             held.append(batch.slice(a, b - a))
@@ -158,7 +175,7 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield out(found)
             found = []
     if held:
-        found += pairs(held)
+        found += links(held)
     yield out(found)
 
 
@@ -231,68 +248,57 @@ class NearDuplicates:
         left = pairs.join(sets.toDF("a", "x"), "a")
         return materialize(left.join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(partial(_confirm, percent=self.percent), "a long, b long"), "links")
 
-    def trees(self) -> tuple[DataFrame, DataFrame]:
-        """The members (key, node) of groups of two or more, and (node, tree) of the nodes linked to a leader."""
-        shared = self.postings().groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("_last")).where("leader < _last").select("key", "leader")
-        members = materialize(self.postings().join(shared, "key").select("key", "node", "leader"), "members")
-        met = members.where("node != leader").groupBy("node", "leader").agg(F.count(F.lit(1)).alias("times"))
-        best = met.groupBy("node").agg(F.max(F.struct("times", (-F.col("leader")).alias("l"))).alias("best"))
-        links = self.confirmed(best.select(F.col("node").alias("a"), (-F.col("best.l")).alias("b")))
-        # every node has one link at most, to a smaller node: jump to the root
+    @staticmethod
+    def _roots(links: DataFrame) -> DataFrame:
+        """(node, root) from links (a, b) of which each node has one at most, to a smaller node: jump to the root."""
         roots = links.toDF("node", "root")
         while True:
             up = roots.toDF("root", "_up")
             joined = roots.join(up, "root", "left").select("node", F.coalesce("_up", "root").alias("root"), F.col("_up").isNotNull().alias("moved"))
             roots = materialize(joined, "roots")
             if roots.where("moved").isEmpty():
-                return members.select("key", "node"), roots.select("node", "root")
+                return roots.select("node", "root")
             roots = roots.select("node", "root")
 
-    def across(self, members: DataFrame, roots: DataFrame) -> DataFrame:
-        """(a, b, gap, ta, tb): pairs of different trees in one group, at most LIMIT apart, with their trees."""
-        placed = members.join(roots.withColumnRenamed("root", "tree"), "node", "left").select("key", "node", F.coalesce("tree", "node").alias("tree"))
+    def trees(self) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Members (key, node) of groups of two or more; (node, locale) of these nodes; (node, root) of linked nodes."""
+        shared = self.postings().groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("_last")).where("leader < _last").select("key", "leader")
+        members = materialize(self.postings().join(shared, "key").select("key", "node", "leader"), "members")
+        met = members.where("node != leader").groupBy("node", "leader").agg(F.count(F.lit(1)).alias("times"))
+        best = met.groupBy("node").agg(F.max(F.struct("times", (-F.col("leader")).alias("l"))).alias("best"))
+        tried = materialize(best.select(F.col("node").alias("a"), (-F.col("best.l")).alias("b")), "tried")
+        return members.select("key", "node"), self._roots(tried), self._roots(self.confirmed(tried))
+
+    def across(self, members: DataFrame, locales: DataFrame, roots: DataFrame) -> DataFrame:
+        """(a, b): trees that a link joins."""
+        own = lambda name: F.coalesce(name, "node").alias(name)
+        placed = members.join(roots.toDF("node", "tree"), "node", "left").select("key", "node", own("tree"))
         counts = placed.groupBy("key", "tree").agg(F.count(F.lit(1)).alias("c"))
-        groups = counts.groupBy("key").agg(F.max(F.struct("c", "tree")).alias("m"), F.sum("c").alias("all")).where("all > m.c")
-        groups = groups.select("key", F.col("m.tree").alias("main"), F.expr(f"cast(ceil(all / {BLOCK}) as int)").alias("blocks"), F.expr(f"cast(ceil((all - m.c) / {SLICE}) as int)").alias("slices"))
-        open_rows = placed.join(groups, "key").join(self.nodes.select("node", "n", "sig"), "node")
+        mixed = counts.groupBy("key").agg(F.max(F.struct("c", "tree")).alias("m"), F.sum("c").alias("all")).where("all > m.c")
+        mixed = materialize(placed.join(mixed.select("key", F.col("m.tree").alias("main")), "key").join(locales.toDF("node", "locale"), "node", "left").select("key", "node", "tree", "main", own("locale")), "mixed")
+        asked = mixed.where("tree != main").select("key", "node", "tree").join(mixed.select("key", "locale").distinct(), "key").select("locale", "node", "tree").distinct()
+        asked = materialize(asked, "asked")
+        # every node of a locale that is asked: those with a locale, and the locale itself
+        touched = asked.groupBy("locale").agg(F.count(F.lit(1)).alias("askers"))
+        there = locales.toDF("node", "locale").union(touched.select(F.col("locale").alias("node"), "locale")).distinct().join(touched, "locale")
+        there = there.join(roots.toDF("node", "tree"), "node", "left").select("locale", "node", own("tree"), "askers")
+        sizes = there.groupBy("locale").agg(F.expr(f"cast(ceil(count(1) / {BLOCK}) as int)").alias("blocks"), F.expr(f"cast(ceil(max(askers) / {SLICE}) as int)").alias("slices"))
+        there = materialize(there.join(sizes, "locale"), "there")
+        sets = self.grams(there.select("node").union(asked.select("node")))
         at = lambda count: F.pmod(F.xxhash64("node"), F.col(count)).cast("int")
         every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
-        rest = ["node", "tree", "n", "sig"]
-        targets = open_rows.withColumn("block", at("blocks")).select("key", "block", every("slices").alias("slice"), F.lit(0).alias("query"), *rest)
-        queries = open_rows.where("tree != main").withColumn("slice", at("slices")).select("key", every("blocks").alias("block"), "slice", F.lit(1).alias("query"), *rest)
-        cells = targets.unionByName(queries).repartition("key", "block", "slice").sortWithinPartitions("key", "block", "slice")
-        found = cells.mapInArrow(_cells, "a long, b long, gap int").groupBy("a", "b").agg(F.first("gap").alias("gap"))
-        for end in "ab":
-            found = found.join(roots.toDF(end, f"t{end}"), end, "left").withColumn(f"t{end}", F.coalesce(f"t{end}", end))
-        return materialize(found, "across")
+        targets = there.join(sets, "node").withColumn("block", at("blocks")).select("locale", "block", every("slices").alias("slice"), F.lit(0).alias("query"), "node", "tree", "grams")
+        queries = asked.join(sizes, "locale").join(sets, "node").withColumn("slice", at("slices")).select("locale", every("blocks").alias("block"), "slice", F.lit(1).alias("query"), "node", "tree", "grams")
+        cells = targets.unionByName(queries).repartition("locale", "block", "slice").sortWithinPartitions("locale", "block", "slice")
+        return materialize(cells.mapInArrow(partial(_cells, percent=self.percent), "a long, b long").distinct(), "across")
 
     def components(self) -> DataFrame:
         """(node, root) of all nodes that are linked with another."""
-        members, roots = self.trees()
-        pairs = self.across(members, roots)
-        if pairs.isEmpty():
-            return roots
-        # the closest pair of each two trees first, then whatever is left between trees that are still apart
-        two = [F.least("ta", "tb").alias("lo"), F.greatest("ta", "tb").alias("hi")]
-        first = pairs.groupBy(*two).agg(F.min(F.struct("gap", "a", "b")).alias("p")).select("p.a", "p.b")
-        links = self._joined(roots, self.confirmed(first))
-        left = pairs.join(first, ["a", "b"], "left_anti").select("a", "b", "ta", "tb")
-        for end in "ab":
-            left = left.join(links.toDF(f"t{end}", f"r{end}"), f"t{end}", "left").withColumn(f"r{end}", F.coalesce(f"r{end}", f"t{end}"))
-        left = materialize(left.where("ra != rb").select("a", "b"), "left")
-        if not left.isEmpty():
-            more = self._joined(roots, self.confirmed(left))
-            links = stars(links.toDF("a", "b").union(more.toDF("a", "b")))
+        members, locales, roots = self.trees()
+        links = stars(self.across(members, locales, roots))
         moved = roots.join(links.toDF("root", "_to"), "root", "left").select("node", F.coalesce("_to", "root").alias("root"))
         return materialize(moved.union(links).groupBy("node").agg(F.min("root").alias("root")), "roots")
 
-    @staticmethod
-    def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
-        """(tree, root) of the trees that the links join."""
-        for end in "ab":
-            links = links.join(roots.toDF(end, f"t{end}"), end, "left").withColumn(f"t{end}", F.coalesce(f"t{end}", end))
-        return stars(links.select(F.col("ta").alias("a"), F.col("tb").alias("b")))
-
     def result(self) -> DataFrame:
         nodes, found = self.nodes.select("node", "digest", "rep"), self.components()
         # a root stands for itself; the component's id is the smallest of its nodes' smallest ids
