@@ -247,17 +247,20 @@ class Codec(dict):
 
 
 @functools.lru_cache(1)
-def codec(path: str) -> Codec:
-    """One for each Python worker."""
-    return Codec(path)
+def codec(path: str, most: int = 600_000) -> Codec:
+    """One for each Python worker, so that what it has learnt serves the worker's later tasks."""
+    return Codec(path, most)
 
 
-def encode(documents: DataFrame, model: str, key: str = "doc_id", text: str = "text", batch_pieces: int = 2_000_000) -> DataFrame:
-    """doc_id, ids, begins and ends (byte spans in the source) and decoded, the text that the ids decode to."""
+def encode(documents: DataFrame, model: str, key: str = "doc_id", text: str = "text", batch_pieces: int = 2_000_000, cached: int = 600_000) -> DataFrame:
+    """doc_id, ids, begins and ends (byte spans in the source) and decoded, the text that the ids decode to.
+
+    cached: segments that each Python worker keeps, of some 300 bytes each.
+    """
     names = ["doc_id", "ids", "begins", "ends", "decoded"]
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(model)
+        own = codec(model, cached)
 
         def batch(keys: list, rows: list) -> pa.RecordBatch:
             offsets = np.concatenate([[0], np.cumsum([len(r[0]) for r in rows])])
