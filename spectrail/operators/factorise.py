@@ -9,7 +9,6 @@ Block by block: a group is a block, and a fit of a block is one kernel call.
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -201,10 +200,10 @@ def refine_in_order(pixels: DataFrame, g: np.ndarray, w: np.ndarray, presences:
             continue
         start = w[:, own]
 
-        def run(rows: pd.DataFrame, start: np.ndarray = start) -> pd.DataFrame:
+        def run(rows: pd.DataFrame) -> pd.DataFrame:
             fitted, _, _ = K.factorise(_block(rows, x)[1], g, fit.change(components=start.shape[1]), w=start)
             return pd.DataFrame({"comp": range(fitted.shape[1]), "w": list(fitted.T)})
 
-        rows = pixels.where(F.col("block_id") == block).select("block_id", "pixel_id", x).groupBy("block_id").applyInPandas(functools.partial(run), "comp int, w array<double>").orderBy("comp").collect()
+        rows = pixels.where(F.col("block_id") == block).select("block_id", "pixel_id", x).groupBy("block_id").applyInPandas(run, "comp int, w array<double>").orderBy("comp").collect()
         w[:, own] = np.array([r["w"] for r in rows]).T
     return w
