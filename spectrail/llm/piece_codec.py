@@ -19,8 +19,10 @@ from __future__ import annotations
 
 import functools
 import heapq
+import math
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +33,7 @@ from pyspark.sql import functions as F
 from .common import flat_list
 
 SPACE = "▁"
+SHORT = 48
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
@@ -68,9 +71,9 @@ class CharacterMap:
 
 
 class Codec(dict):
-    """Segment to the ids and the characters of its pieces, as int32 bytes; and what encodes and decodes with it."""
+    """Segment to the id and the characters of each of its pieces, as int32 bytes; and what encodes and decodes with it."""
 
-    def __init__(self, path: str, most: int = 600_000) -> None:
+    def __init__(self, path: str, most: int = 900_000) -> None:
         from sentencepiece import sentencepiece_model_pb2
 
         super().__init__()
@@ -131,6 +134,18 @@ class Codec(dict):
         scores = self.scores.get
         own = list(segment)
         end = len(own)
+        if end <= SHORT:  # a scan of a few scores beats a heap
+            none = -math.inf
+            best = [scores(own[i] + own[i + 1], none) for i in range(end - 1)]
+            while best and (top := max(best)) > none:
+                i = best.index(top)
+                own[i] += own.pop(i + 1)
+                del best[i]
+                if i < len(best):
+                    best[i] = scores(own[i] + own[i + 1], none)
+                if i:
+                    best[i - 1] = scores(own[i - 1] + own[i], none)
+            return own
         after, before = list(range(1, end + 1)), list(range(-1, end - 1))
         heap = [(-s, i, x) for i in range(end - 1) if (s := scores(x := own[i] + own[i + 1])) is not None]
         heapq.heapify(heap)
@@ -148,23 +163,21 @@ class Codec(dict):
                 heapq.heappush(heap, (-s, h, y))
         return [x for x in own if x]
 
-    def __missing__(self, segment: str) -> tuple[bytes, bytes]:
+    def __missing__(self, segment: str) -> bytes:
         """Byte pieces before the last of their character count as 0 characters."""
         if len(self) >= self.most:
             self.clear()
-        ids, lengths = [], []
+        found = array("i")
         for piece in self.merge(segment):
             if (i := self.ids.get(piece)) is not None:
-                ids.append(i)
-                lengths.append(len(piece))
+                found.extend((i, len(piece)))
             elif self.bytes:
-                raw = piece.encode()
-                ids += [self.bytes[b] for b in raw]
-                lengths += [0] * (len(raw) - 1) + [1]
+                for k in piece.encode():
+                    found.extend((self.bytes[k], 0))
+                found[-1] = 1
             else:
-                ids.append(self.unknown)
-                lengths.append(1)
-        self[segment] = value = (np.array(ids, np.int32).tobytes(), np.array(lengths, np.int32).tobytes())
+                found.extend((self.unknown, 1))
+        self[segment] = value = found.tobytes()
         return value
 
     # -- whole texts ---------------------------------------------------------------------------------------------
@@ -177,9 +190,8 @@ class Codec(dict):
             normal, at = self.normalise(text)
         else:  # every character is its own longest prefix
             normal, at = SPACE * self.dummy + text.replace(" ", SPACE), None
-        found = [self[x] for x in self.cut.findall(normal)]
-        ids = np.frombuffer(b"".join([x[0] for x in found]), np.int32)
-        size = np.frombuffer(b"".join([x[1] for x in found]), np.int32)
+        found = np.frombuffer(b"".join(map(self.__getitem__, self.cut.findall(normal))), np.int32).reshape(-1, 2)
+        ids, size = found[:, 0], found[:, 1]
         if at is None:
             at = self._plain_starts(text)
         ends = np.cumsum(size)
@@ -247,15 +259,15 @@ class Codec(dict):
 
 
 @functools.lru_cache(1)
-def codec(path: str, most: int = 600_000) -> Codec:
+def codec(path: str, most: int = 900_000) -> Codec:
     """One for each Python worker, so that what it has learnt serves the worker's later tasks."""
     return Codec(path, most)
 
 
-def encode(documents: DataFrame, model: str, key: str = "doc_id", text: str = "text", batch_pieces: int = 2_000_000, cached: int = 600_000) -> DataFrame:
+def encode(documents: DataFrame, model: str, key: str = "doc_id", text: str = "text", batch_pieces: int = 2_000_000, cached: int = 900_000) -> DataFrame:
     """doc_id, ids, begins and ends (byte spans in the source) and decoded, the text that the ids decode to.
 
-    cached: segments that each Python worker keeps, of some 300 bytes each.
+    cached: segments that each Python worker keeps, of some 200 bytes each.
     """
     names = ["doc_id", "ids", "begins", "ends", "decoded"]
 
