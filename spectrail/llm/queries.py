@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, license_scan, media, near_dup, piece_codec, secret_scan, sharding, token_count, toxicity, warc
+from . import decontaminate, license_scan, media, near_dup, oracles, piece_codec, secret_scan, sharding, token_count, toxicity, warc
 from .common import fresh_path
 
 
@@ -103,4 +103,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return oracles.ORACLES
