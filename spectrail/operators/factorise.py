@@ -19,8 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Algorithm, Fit
+from ..functions import vectors as V
 from ..sources.shared import written
 from . import kernels as K
+from .measures import normalisation_factor
+from .reshape import dense_sum
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -89,7 +92,10 @@ def fit_pixels(pixels: DataFrame, g: np.ndarray, fit: Fit, w: np.ndarray | None
     """W, (pixel_id, h) and a report of a fit over all pixels, by multiplicative updates. With update_w=False only H moves."""
     if fit.algorithm == Algorithm.PROJECTED_GRADIENT:
         raise ValueError("the distributed fit takes multiplicative algorithms")
-    spark = pixels.sparkSession
+    spark, factor = pixels.sparkSession, 1.0
+    if fit.normalise:
+        factor = normalisation_factor(pixels, fit.components, x).first()["factor"] or 1.0
+        pixels = pixels.withColumn(x, V.scale(F.col(x), factor))
     w = nndsvd_start(pixels, g, fit, x) if w is None else np.maximum(w, fit.floor)
     first = solve_fixed(pixels, g @ w, fit.simplex_h, fit.floor, x)
     state = pixels.select(F.col("pixel_id").cast("long"), F.col(x).alias("x")).join(first, "pixel_id")
@@ -154,7 +160,10 @@ def fit_pixels(pixels: DataFrame, g: np.ndarray, fit: Fit, w: np.ndarray | None
         why, before = "max_iter", now
     result = written(state.select("pixel_id", "h"), "h")
     state.unpersist()
-    return w, result, {"iterations": len(trace), "loss": trace[-1], "trace": trace, "stopped": why}
+    if update_w and not fit.simplex_w and not fit.simplex_h:
+        by = K.rescale(gram(result, "h"), np.array(dense_sum(result, "h").first()["total"]))
+        w, result = w / by, result.withColumn("h", F.zip_with("h", V.literal(by), lambda a, b: a * b))
+    return w / factor, result, {"iterations": len(trace), "loss": trace[-1], "trace": trace, "stopped": why}
 
 
 # -- block by block --------------------------------------------------------------------------------------------------

@@ -12,7 +12,9 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from ..sources.shared import written
 from .stencils import denoise_image, image_cost, weights
 
 
@@ -66,22 +68,18 @@ def refine(q: np.ndarray, image: np.ndarray, y: np.ndarray, x: np.ndarray, numbe
 
 def refine_groups(pixels: DataFrame, numbers: Sequence[float], r: Refinement = Refinement(), key: str = "block_id") -> tuple[DataFrame, DataFrame]:
     """pixels(key, pixel_id, y, x, q, image) gives (key, pixel_id, q, image) and (key, round, image_cost, chemical_cost,
-    variation_cost)."""
+    variation_cost). Both come from one pass, which is written to the shared folder."""
 
-    def run(rows: pd.DataFrame):
+    def run(_: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("pixel_id")
         y, x = (rows[c].to_numpy() - rows[c].min() for c in ("y", "x"))
-        return rows, refine(np.array(rows["q"].tolist()).T, rows["image"].to_numpy(float), y, x, numbers, r)
-
-    def maps(_: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows, (q, image, _costs) = run(rows)
-        return pd.DataFrame({key: rows[key], "pixel_id": rows["pixel_id"], "q": list(q.T), "image": image})
-
-    def traces(_: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows, (_q, _image, c) = run(rows)
-        return pd.DataFrame({key: rows[key].iloc[0], "round": np.arange(len(c)), "image_cost": c[:, 0], "chemical_cost": c[:, 1], "variation_cost": c[:, 2]})
+        q, image, costs = refine(np.array(rows["q"].tolist()).T, rows["image"].to_numpy(float), y, x, numbers, r)
+        first = [costs.ravel().tolist()] + [None] * (len(rows) - 1)  # a group's costs stand in its first row
+        return pd.DataFrame({key: rows[key].to_numpy(), "pixel_id": rows["pixel_id"].to_numpy(), "q": list(q.T), "image": image, "costs": first})
 
     own = pixels.select(key, "pixel_id", "y", "x", "q", "image")
     kind = own.schema[key].dataType.simpleString()
-    groups = own.groupBy(key)
-    return groups.applyInPandas(maps, f"{key} {kind}, pixel_id long, q array<double>, image double"), groups.applyInPandas(traces, f"{key} {kind}, round int, image_cost double, chemical_cost double, variation_cost double")
+    done = written(own.groupBy(key).applyInPandas(run, f"{key} {kind}, pixel_id long, q array<double>, image double, costs array<double>"), "refined")
+    rounds = done.where("costs is not null").select(key, F.explode(F.sequence(F.lit(0), F.lit(r.rounds - 1))).alias("round"), "costs")
+    at = lambda k: F.get("costs", F.col("round") * 3 + k)
+    return done.drop("costs"), rounds.select(key, "round", *(at(k).alias(n) for k, n in enumerate(("image_cost", "chemical_cost", "variation_cost"))))

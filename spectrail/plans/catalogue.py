@@ -479,10 +479,10 @@ def normalised_laplacian(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.normalised_laplacian(clustering.similarity_graph(_points(spark, sf_dir), "manhattan", 0.5)).select("i", "j", r6("l", 9).alias("l"))
 
 
-@query(f"""WITH {SPEC_SQL}, d AS (SELECT spec.vec_id, centre.label, sum((v - c) * (v - c)) AS d FROM spec JOIN centre ON spec.i = centre.i WHERE centre.label < 4 GROUP BY ALL)
+@query(f"""WITH {SPEC_SQL}, d AS (SELECT spec.vec_id, centre.label, sum((v - c) * (v - c)) AS d FROM spec JOIN centre ON spec.i = centre.i GROUP BY ALL)
 SELECT vec_id, CAST(arg_min(label, (d, label)) AS INTEGER) AS cluster, round(sqrt(min(d)), 6) AS distance FROM d GROUP BY vec_id""")
 def nearest_centre(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = centres(spark, sf_dir).where("label < 4").orderBy("label").collect()
+    rows = centres(spark, sf_dir).orderBy("label").collect()
     points = spec(spark, sf_dir).withColumnRenamed("spectrum", "features")
     return clustering.nearest_centre(points, [r["features"] for r in rows]).select("vec_id", "cluster", r6("distance").alias("distance"))
 
@@ -845,7 +845,7 @@ def spectral_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def abundance_nnls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = centres(spark, sf_dir).where("label < 4").orderBy("label").collect()
+    rows = centres(spark, sf_dir).orderBy("label").collect()
     points = spec(spark, sf_dir).select("vec_id", F.col("spectrum").alias("features"))
     found = clustering.abundances_nnls(points, np.array([r["features"] for r in rows]).T)
     return found.select("vec_id", F.posexplode("a").alias("endmember", "share")).withColumn("share", r6("share"))

@@ -129,6 +129,30 @@ def test_distributed_fit_equals_local(spark):
         assert np.allclose(w, local_w, atol=1e-8) and np.allclose(got, local_h, atol=1e-8)
 
 
+@pytest.mark.parametrize("change", [{}, {"ridge": 0.02, "mu": 0.1}, {"l2": True}, {"normalise": True}, {"algorithm": Algorithm.BMD}])
+def test_distributed_variants_equal_local(spark, change):
+    x, *_ = planted(seed=4, pixels=40, noise=True)
+    pixels = spark.createDataFrame([(i, x[:, i].tolist()) for i in range(x.shape[1])], "pixel_id long, spectrum array<double>")
+    fit = Fit(components=2, simplex_w=False, max_iter=3, no_stop=True, **change)
+    start = np.random.default_rng(2).random((32, 2)) + 0.1
+    local_w, local_h, _ = K.factorise(x, np.eye(32), fit, w=start)
+    w, h, _ = factorise.fit_pixels(pixels.repartition(3), np.eye(32), fit, w=start)
+    got = np.array([r["h"] for r in h.orderBy("pixel_id").collect()]).T
+    assert np.allclose(w, local_w, rtol=1e-6) and np.allclose(got, local_h, rtol=1e-6)
+
+
+def test_gram_start_equals_local(spark):
+    x, *_ = planted(seed=6, pixels=60)
+    pixels = spark.createDataFrame([(i, x[:, i].tolist()) for i in range(x.shape[1])], "pixel_id long, spectrum array<double>")
+    assert np.allclose(factorise.gram(pixels.repartition(4)), x @ x.T)
+    w, h, report = factorise.fit_pixels(pixels, np.eye(32), Fit(components=3, simplex_w=False, max_iter=25, no_stop=True))
+    got = np.array([r["h"] for r in h.orderBy("pixel_id").collect()]).T
+    fit = Fit(components=3, simplex_w=False, max_iter=25, no_stop=True)
+    local_w, local_h, _ = K.factorise(x, np.eye(32), fit, w=factorise.nndsvd_start(pixels, np.eye(32), fit))
+    assert np.allclose(w @ got, local_w @ local_h, rtol=1e-6)
+    assert all(b <= a * (1 + 1e-9) for a, b in zip(report["trace"], report["trace"][1:]))
+
+
 def test_elbow_and_blocks(spark):
     rows = [(0, i, float(np.exp(-3 * i) if i < 3 else np.exp(-9 - 0.01 * i))) for i in range(25)]
     df = spark.createDataFrame(rows, "block_id int, comp int, ratio double")
