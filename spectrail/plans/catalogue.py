@@ -866,3 +866,170 @@ def blockwise_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     est = BlockWiseUnmixing(np.eye(T.CHANNELS), BlockFit(fit=Fit(components=2, max_iter=30), clusters=3, classifier="vca"), background_rows=0)
     h = est.fit_transform(T.grid(spark, sf_dir))
     return h.select("pixel_id", F.posexplode("h").alias("comp", "h")).withColumn("h", r6("h", 4))
+
+
+# -- sources, sinks and the rest of the surface ----------------------------------------------------------------------
+
+
+def _path(spark: SparkSession, name: str) -> str:
+    import uuid
+
+    from ..sources.shared import shared_dir
+
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query(f"WITH {CELLS_SQL} SELECT CAST(pixel_id AS BIGINT) AS i, CAST(channel - 1 AS INTEGER) AS j, value FROM cells")
+def text_matrix_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sources import text_matrix
+
+    path, rows = _path(spark, "matrix"), T.table(spark, sf_dir, "supplier").count()
+    cells = T.cells(spark, sf_dir).select(F.col("pixel_id").alias("i"), (F.col("channel") - 1).alias("j"), "value")
+    text_matrix.write_matrix(cells, path, rows, T.CHANNELS)
+    return text_matrix.read_matrix(spark, path)
+
+
+@query(f"WITH {GRID_SQL} SELECT block_id, pixel_id, channel, CASE WHEN channel = 1 THEN 1e-14 ELSE value END AS value FROM grid")
+def block_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks written and read again; NaN in the first channel becomes the small fill."""
+    from ..sources import blocks
+
+    path = _path(spark, "blocks")
+    nan = F.transform("spectrum", lambda v, i: F.when(i == 0, F.lit(float("nan"))).otherwise(v))
+    blocks.write_blocks(T.grid(spark, sf_dir).withColumn("spectrum", nan), path)
+    return reshape.to_cells(blocks.read_blocks(spark, path, "spectrum"), "spectrum", 1, "block_id")
+
+
+@query(f"""WITH {PEAKS_SQL}, b AS (SELECT channel, g_name, value / (1 + channel) AS value FROM background), n AS (SELECT g_name, sqrt(sum(value * value)) AS n FROM b GROUP BY g_name)
+SELECT b.channel, g_name, round(value / n, 9) AS value FROM b JOIN n USING (g_name)""")
+def background_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The background columns again, with absorption factors of a new mean composition."""
+    inst = T.instrument(T.element_names(spark, sf_dir))
+    factors = dictionary.energy_axis(spark, 100, 0.1, 0.05).select("channel", (F.lit(1.0) / (F.col("channel") + 1)).alias("factor"))
+    empty = spark.createDataFrame([], "channel int, g_name string, value double")
+    g = dictionary.refreshed_background(spark, inst, T.efficiency(spark, sf_dir), empty, factors)
+    return g.select("channel", "g_name", r6("value", 9).alias("value"))
+
+
+@query(f"WITH {ELEMENTS_SQL} SELECT CAST(c_custkey AS BIGINT) AS c_custkey, element, number, atomic_mass, density FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN elements ON element = n_name")
+def lookup_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A dimension joined to rows; the query fails on a key that it lacks."""
+    nation = T.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("element"))
+    rows = T.table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey").join(nation, "c_nationkey").select("c_custkey", "element")
+    return lookups.lookup(rows, T.elements(spark, sf_dir)).select("c_custkey", "element", "number", "atomic_mass", "density")
+
+
+@query(f"""WITH {ELEMENTS_SQL}, macs AS (SELECT n_name AS element, r_regionkey * 2e0 + 7e-1 AS energy, (n_nationkey + 10e0) * 3 / (r_regionkey + 1e0) AS mac FROM nation CROSS JOIN region),
+near AS (SELECT element, arg_min(mac, (abs(energy - 32e-1), energy)) AS mac FROM macs GROUP BY element), chi AS (SELECT element, mac, mac * density * 80e0 * 1e-7 / sin(radians(22e0)) AS chi FROM near JOIN elements USING (element))
+SELECT element, round(mac, 6) AS mac, round((1 - exp(-chi)) / chi, 9) AS factor FROM chi""")
+def absorption_single(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Coefficient and factor of each element by itself, with its own density."""
+    names = T.element_names(spark, sf_dir)
+    macs = absorption.coefficients(T.macs(spark, sf_dir), names, [ENERGY])[:, 0]
+    table = spark.createDataFrame([(n, float(m)) for n, m in zip(names, macs, strict=True)], "element string, mac double")
+    rows = lookups.lookup(table, T.elements(spark, sf_dir))
+    return rows.select("element", r6("mac").alias("mac"), r6(P.absorption_factor(F.col("mac"), F.col("density"), 80.0 * P.NM_PER_CM, 22.0), 9).alias("factor"))
+
+
+@query(f"WITH {AXIS_SQL} SELECT channel, round(1e0 / pow(energy, 3), 6) AS mac FROM axis")
+def absorption_cube_law(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dictionary.energy_axis(spark, 100, 0.1, 0.05).select("channel", r6(P.cube_law(F.col("energy"))).alias("mac"))
+
+
+@query(f"""WITH d AS (SELECT s_suppkey, 1e0 + s_suppkey % 17 AS rho, 8e0 + s_suppkey % 60 AS z, {PHYSICS_SQL} AS f FROM supplier), a AS (SELECT *, 55e-1 * pow(rho, 3e-1) / (f * 200) AS te, 76e-1 * pow(z, 36e-2) AS em FROM d),
+b AS (SELECT *, ln(400e0 / (te * te)) AS lr, ln((100e0 + 225 + 125 + 2 * te * te) * 400 / (100e0 + 225 + 125 + 800) / (te * te)) AS lc FROM a)
+SELECT s_suppkey, round(f, 9) AS relativistic, round(te, 9) AS angle, round(1 / (11e0 * pow(rho, 3e-1) / (200 * f * 200) * lr), 6) AS path_by_density,
+  round(106 * f * 200 / (em * ln(2 * 15e0 * 200 / em)), 6) AS path_by_number, round(lr / lc, 9) AS angular FROM b""")
+def inelastic_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rho, z = F.col("s_suppkey") % 17 + 1.0, F.col("s_suppkey") % 60 + 8.0
+    return T.table(spark, sf_dir, "supplier").select(
+        "s_suppkey",
+        r6(P.relativistic(BEAM), 9).alias("relativistic"),
+        r6(P.characteristic_angle(rho, BEAM), 9).alias("angle"),
+        r6(P.free_path_by_density(rho, BEAM)).alias("path_by_density"),
+        r6(P.free_path_by_number(z, BEAM, BETA)).alias("path_by_number"),
+        r6(P.angular_correction(rho, BEAM, ALPHA, BETA), 9).alias("angular"),
+    )
+
+
+@query(f"WITH {SPEC_SQL} SELECT vec_id, round(sqrt(sum((v - c) * (v - c) * (1 + i % 4))), 6) AS distance FROM sc GROUP BY vec_id")
+def dist_mahalanobis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    inverse = V.literal(np.diag([1.0 + i % 4 for i in range(1, 65)]).tolist())
+    both = spec(spark, sf_dir).join(centres(spark, sf_dir), "label")
+    return both.select("vec_id", r6(V.distance("mahalanobis", F.col("spectrum"), F.col("features"), inverse=inverse)).alias("distance"))
+
+
+@query(f"WITH {CELLS_SQL} SELECT pixel_id, channel, round(CASE WHEN max(value) OVER (PARTITION BY channel) > min(value) OVER (PARTITION BY channel) THEN value END, 6) AS value FROM cells")
+def minmax_restored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = measures.min_max_restored(measures.min_max_scaled(T.cells(spark, sf_dir)))
+    return rows.select("pixel_id", "channel", r6("value").alias("value"))
+
+
+@query(f"""WITH {GRID_SQL}, t AS (SELECT block_id, pixel_id, list(value ORDER BY channel) AS s FROM grid GROUP BY ALL)
+SELECT block_id, CAST(pixel_id AS BIGINT) AS comp, array_to_string(list_transform(s[1:48] || s[49:50], lambda v: CAST(CAST(v AS BIGINT) AS VARCHAR)), ',') AS full_text FROM t""")
+def pooled_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both parts of pooled components in one vector."""
+    g = T.grid(spark, sf_dir).withColumnRenamed("pixel_id", "comp")
+    parts = g.select("block_id", "comp", F.slice("spectrum", 1, 48).alias("features")), g.select("block_id", "comp", F.slice("spectrum", 49, 2).alias("background"))
+    return reshape.pooled(*parts).select("block_id", "comp", F.array_join(F.transform("full", lambda v: v.cast("bigint").cast("string")), ",").alias("full_text"))
+
+
+@query(f"""WITH {SPEC_SQL}, r AS (SELECT vec_id, string_agg(CAST(round(v, 1) AS VARCHAR), ',' ORDER BY i) AS t FROM spec GROUP BY vec_id) SELECT min(vec_id) AS point_id FROM r GROUP BY t""")
+def distinct_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points that differ after rounding; of equals the smallest id."""
+    points = spec(spark, sf_dir).select(F.col("vec_id").alias("point_id"), F.transform("spectrum", lambda v: F.round(v, 1)).alias("features"))
+    return reshape.distinct_rounded(points, "features").select("point_id")
+
+
+@query("""WITH n AS (SELECT n_name || CASE n_nationkey % 4 WHEN 0 THEN '_low' WHEN 1 THEN '_high' ELSE '' END AS g_name FROM nation) SELECT g_name, regexp_extract(g_name, '_(low|high)$', 1) AS band FROM n""")
+def line_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.col("n_nationkey")
+    name = F.concat("n_name", F.when(key % 4 == 0, "_low").when(key % 4 == 1, "_high").otherwise(""))
+    return T.table(spark, sf_dir, "nation").select(name.alias("g_name")).withColumn("band", X.band_of(F.col("g_name")))
+
+
+@query()
+def separated_compositions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each block's components after a fit, with pure elements taken apart."""
+    points = factorise.fit_blocks(T.grid(spark, sf_dir), np.eye(T.CHANNELS), Fit(components=2, max_iter=20)).withColumnRenamed("w", "features")
+    rows = filters.separate_blocks(points, 1)
+    return rows.select("block_id", "comp", F.posexplode("features").alias("row", "share")).withColumn("share", r6("share"))
+
+
+@query()
+def haadf_cost_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, numbers = fused(spark, sf_dir)
+    placed = T.grid(spark, sf_dir).select("pixel_id", "y", "x", "block_id").join(rows, "pixel_id")
+    costs = fusion.refine_groups(placed, numbers, fusion.Refinement(rounds=10))[1]
+    return costs.select("block_id", "round", *(r6(c, 4).alias(c) for c in ("image_cost", "chemical_cost", "variation_cost")))
+
+
+@query()
+def tv_denoise_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The kernel form of total-variation denoising, a map in each task."""
+    rows = T.grid(spark, sf_dir).select(F.lit("all").alias("element"), "y", "x", (V.total(F.col("spectrum")) / 100.0).alias("value"))
+    return stencils.denoise_maps(rows, 0.15, 3).select("element", "y", "x", r6("value").alias("value"))
+
+
+@query()
+def signal_components(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which singular components of each block lie before the elbow."""
+    data = partitioning.PartitionedDataset(T.cube(spark, sf_dir), T.WIDTH, 15, (T.BLOCK, T.BLOCK))
+    data.block_svd(normalise=True)
+    return data.signal_table().withColumn("ratio", r6("ratio"))
+
+
+@query()
+def abundance_by_block(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Abundances by iteration with fixed spectra, block by block."""
+    fit = Fit(components=2, simplex_w=False, max_iter=20)
+    rows = factorise.abundances_by_block(T.grid(spark, sf_dir), np.eye(T.CHANNELS), T.factor_matrix(), fit)
+    return rows.select("block_id", "pixel_id", F.posexplode("h").alias("comp", "h")).withColumn("h", r6("h", 4))
+
+
+@query()
+def abundance_distributed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Abundances by iteration with fixed spectra, over all pixels together."""
+    fit = Fit(components=2, simplex_w=False, max_iter=5, no_stop=True)
+    _, h, _ = factorise.fit_pixels(T.cube(spark, sf_dir), np.eye(T.CHANNELS), fit, T.factor_matrix(), update_w=False)
+    return h.select("pixel_id", F.posexplode("h").alias("comp", "h")).withColumn("h", r6("h", 4))
