@@ -24,4 +24,22 @@ roots AS (SELECT node, min(seen) AS root FROM reach GROUP BY node)
 SELECT sets.doc_id, CAST(len(sets.s) AS BIGINT) AS n_shingles, coalesce(root, rep, sets.doc_id) AS component_id, sets.doc_id = coalesce(root, rep, sets.doc_id) AS kept
 FROM sets LEFT JOIN classes ON classes.s = sets.s AND len(sets.s) > 0 LEFT JOIN roots ON roots.node = rep"""
 
-ORACLES = {"op3_warc_chunks": WARC, "op8_minhash_components": COMPONENTS}
+SHARDS = """
+WITH RECURSIVE t AS (SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc,
+  list_transform(range(256), lambda i: printf('%02X', i)) AS hex),
+bytes AS (SELECT map_from_entries(list_zip(t.hex, range(256))) AS of_hex FROM t),
+d AS (SELECT row_number() OVER () AS k, doc_id, strlen(coalesce(text, '')) + 8 AS size,
+  list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: of_hex[h]) AS b FROM documents CROSS JOIN bytes),
+c AS (SELECT k, doc_id, size, xor(list_reduce(list_concat([4294967295], b), lambda c, x: xor(c >> 8, t.crc[1 + (xor(c, x) & 255)])), 4294967295) AS text_crc32 FROM d CROSS JOIN t),
+jump AS (
+  SELECT n, key, (CASE WHEN key < 0 THEN key + 18446744073709551616 ELSE key END)::HUGEINT AS state, -1::BIGINT AS b, 0::BIGINT AS j
+  FROM (SELECT DISTINCT coalesce(doc_id, 0)::HUGEINT AS key FROM documents) CROSS JOIN (SELECT unnest([24, 25]) AS n)
+  UNION ALL
+  SELECT n, key, s, j, floor((j + 1) * (2147483648e0 / ((s // 8589934592) + 1)::DOUBLE))::BIGINT
+  FROM (SELECT *, (state * 2862933555777941757 + 1) % 18446744073709551616 AS s FROM jump WHERE j < n)),
+shards AS (SELECT key, max(CASE WHEN n = 24 THEN b END) AS shard, max(CASE WHEN n = 25 THEN b END) AS grown FROM jump WHERE j >= n GROUP BY key)
+SELECT doc_id, size, CAST(text_crc32 AS BIGINT) AS text_crc32, 'key' AS law, CAST(shard AS INTEGER) AS shard,
+  row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, size, text_crc32) - 1 AS slot, CAST(grown AS INTEGER) AS grown_shard
+FROM c JOIN shards ON coalesce(doc_id, 0) = key"""
+
+ORACLES = {"op3_warc_chunks": WARC, "op5_jump_shards": SHARDS, "op8_minhash_components": COMPONENTS}

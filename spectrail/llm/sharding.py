@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import materialize, text_bytes
+from .common import discard, materialize, text_bytes
 
 #: Multiplier of the published generator.
 STEP = np.uint64(2862933555777941757)
@@ -50,25 +50,26 @@ def shard_of(key: Column, shards: int) -> Column:
     return shard(F.coalesce(key.cast("long"), F.lit(0).cast("long")))
 
 
-def with_slots(rows: DataFrame, shard: str, group_rows: int = 20_000, copies: int = 10_000) -> DataFrame:
-    """Add `slot`, gapless from 0 within each shard, without a sort of a whole shard in one task.
+def with_slots(rows: DataFrame, shard: str, order: list[str], group_rows: int = 20_000, copies: int = 10_000) -> DataFrame:
+    """Add `slot`, gapless from 0 within each shard in the order of the columns `order` (nulls first), which must tell
+    rows apart that aren't equal throughout.
 
-    Equal rows are counted first, so that no key is hot; the rest is dealt by hash into groups of about group_rows rows,
-    each of which is numbered by itself and moved by the count of the groups before it. The numbering depends on the rows
-    alone. Rows with more than `copies` copies are written out by several tasks.
+    No task sorts a whole shard: equal rows are counted first, so that no key is hot; the rest is dealt into ranges of
+    about group_rows rows; each range numbers its rows of a shard and adds the count of the ranges before. Rows with more
+    than `copies` copies are written out by several tasks.
     """
     names = rows.columns
-    counted = materialize(rows.groupBy(*names).agg(F.count(F.lit(1)).alias("_n")), "slots")
-    shards, total = counted.agg(F.countDistinct(shard), F.count(F.lit(1))).first()
-    groups = max(8, total // (max(1, shards) * group_rows))
-    counted = counted.withColumn("_g", F.pmod(F.xxhash64(*names), F.lit(groups)).cast("int"))
-    sizes = counted.groupBy(shard, "_g").agg(F.sum("_n").alias("_size"))
+    counted = materialize(rows.groupBy(*names).agg(F.count(F.lit(1)).alias("_n")), "counted")
+    ranges = max(8, counted.count() // group_rows)
+    dealt = materialize(counted.repartitionByRange(ranges, *order).withColumn("_g", F.spark_partition_id()), "ranges")
+    discard(counted)
+    sizes = dealt.groupBy(shard, "_g").agg(F.sum("_n").alias("_size"))
     before = Window.partitionBy(shard).orderBy("_g").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(shard, "_g", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
-    within = Window.partitionBy(shard, "_g").orderBy(*names).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(F.col(shard).alias("_s"), F.col("_g").alias("_h"), F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
+    within = Window.partitionBy(shard, "_g").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     placed = (
-        counted.withColumn("_at", F.coalesce(F.sum("_n").over(within), F.lit(0)))
-        .join(starts, [shard, "_g"])
+        dealt.withColumn("_at", F.coalesce(F.sum("_n").over(within), F.lit(0)))
+        .join(starts, (F.col(shard) == F.col("_s")) & (F.col("_g") == F.col("_h")))
         .withColumn("_at", F.col("_at") + F.col("_start"))
         .select(*names, "_at", "_n")
     )
@@ -84,8 +85,9 @@ def with_slots(rows: DataFrame, shard: str, group_rows: int = 20_000, copies: in
 
 
 def shard_documents(documents: DataFrame, shards: int = 24, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row for each document: key, size (bytes + 8), text_crc32, shard, grown_shard (one shard more) and slot."""
+    """A row for each document: key, size (bytes + 8), text_crc32, shard, grown_shard (one shard more) and slot, which
+    follows the key, the size and the checksum."""
     data = text_bytes(text)
     rows = documents.select(F.col(key).cast("long").alias("doc_id"), (F.octet_length(data) + F.lit(8)).cast("long").alias("size"), F.crc32(data).alias("text_crc32"))
     rows = rows.withColumn("shard", shard_of(F.col("doc_id"), shards)).withColumn("grown_shard", shard_of(F.col("doc_id"), shards + 1))
-    return with_slots(rows, "shard")
+    return with_slots(rows, "shard", ["doc_id", "size", "text_crc32"])

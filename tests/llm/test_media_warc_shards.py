@@ -116,7 +116,7 @@ def test_jump_hash():
 
 def test_shards(spark, docs_of):
     rows = [*AWKWARD, *((7, "same"),) * 25, *((i, f"t{i}") for i in range(100, 400))]
-    found = sharding.with_slots(sharding.shard_documents(docs_of(rows), 24).drop("slot"), "shard", group_rows=5, copies=10)
+    found = sharding.with_slots(sharding.shard_documents(docs_of(rows), 24).drop("slot"), "shard", ["doc_id", "size", "text_crc32"], group_rows=5, copies=10)
     got = found.collect()
     assert Counter((r.doc_id, r.size, r.text_crc32) for r in got) == Counter((i, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for i, t in rows)
     by = {}
@@ -124,6 +124,9 @@ def test_shards(spark, docs_of):
         assert r.shard == plain_jump(r.doc_id or 0, 24) and r.grown_shard == plain_jump(r.doc_id or 0, 25)
         by.setdefault(r.shard, []).append(r.slot)
     assert all(sorted(v) == list(range(len(v))) for v in by.values())
+    for s in by:
+        own = sorted((r for r in got if r.shard == s), key=lambda r: r.slot)
+        assert own == sorted(own, key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.size, r.text_crc32))
     assert sharding.shard_documents(docs_of(rows).limit(0)).count() == 0
 
 
