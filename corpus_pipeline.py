@@ -40,7 +40,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     # fewer kept segments than in a job of its own, as the workers also hold what earlier stages left
-    rows = piece_codec.encode(docs, vocabulary("piece_bpe_32k.model"), cached=150_000)
+    rows = piece_codec.encode(docs, vocabulary("piece_bpe_32k.model"), cached=100_000)
     return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 PERCENT = 80
 CHUNKS, WIDTH = 18, 5
@@ -194,12 +194,14 @@ def stars(edges: DataFrame) -> DataFrame:
     edges = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "edges")
     before = None
     while True:
+        old = edges
         both = edges.union(edges.select(F.col("b"), F.col("a"))).toDF("u", "v")
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").select(F.col("b").alias("v"), "m").where("v != m").union(down).toDF("a", "b").distinct()
         edges = materialize(small, "edges")
+        discard(old)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             return edges.toDF("node", "root")
@@ -215,6 +217,12 @@ class NearDuplicates:
         self.profiles = materialize(self.docs.mapInArrow(partial(_profile, size=size), "doc_id long, n long, digest binary, sig binary"), "profiles")
         same = self.profiles.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig"))
         self.nodes = materialize(same.withColumn("node", F.monotonically_increasing_id()), "nodes")
+        self.steps: list[DataFrame] = []
+
+    def step(self, df: DataFrame, name: str) -> DataFrame:
+        """A table that only the search for components needs."""
+        self.steps.append(materialize(df, name))
+        return self.steps[-1]
 
     def postings(self) -> DataFrame:
         return self.nodes.select("node", "sig").mapInArrow(_keys, "key long, node long")
@@ -239,23 +247,22 @@ class NearDuplicates:
 
         found = self.docs.select(slot("doc_id").alias("s"), "text").mapInArrow(sets, "digest binary, grams binary")
         found = found.groupBy("digest").agg(F.first("grams").alias("grams"))
-        return materialize(wanted.select("node", "digest").join(found, "digest").select("node", "grams"), "grams")
+        return self.step(wanted.select("node", "digest").join(found, "digest").select("node", "grams"), "grams")
 
     def confirmed(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose full sets are similar enough."""
-        pairs = materialize(pairs.select("a", "b"), "pairs")
+        pairs = self.step(pairs.select("a", "b"), "pairs")
         sets = self.grams(pairs.select(F.col("a").alias("node")).union(pairs.select("b")))
         left = pairs.join(sets.toDF("a", "x"), "a")
-        return materialize(left.join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(partial(_confirm, percent=self.percent), "a long, b long"), "links")
+        return self.step(left.join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y").mapInArrow(partial(_confirm, percent=self.percent), "a long, b long"), "links")
 
-    @staticmethod
-    def _roots(links: DataFrame) -> DataFrame:
+    def _roots(self, links: DataFrame) -> DataFrame:
         """(node, root) from links (a, b) of which each node has one at most, to a smaller node: jump to the root."""
         roots = links.toDF("node", "root")
         while True:
             up = roots.toDF("root", "_up")
             joined = roots.join(up, "root", "left").select("node", F.coalesce("_up", "root").alias("root"), F.col("_up").isNotNull().alias("moved"))
-            roots = materialize(joined, "roots")
+            roots = self.step(joined, "roots")
             if roots.where("moved").isEmpty():
                 return roots.select("node", "root")
             roots = roots.select("node", "root")
@@ -263,10 +270,10 @@ class NearDuplicates:
     def trees(self) -> tuple[DataFrame, DataFrame, DataFrame]:
         """Members (key, node) of groups of two or more; (node, locale) of these nodes; (node, root) of linked nodes."""
         shared = self.postings().groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("_last")).where("leader < _last").select("key", "leader")
-        members = materialize(self.postings().join(shared, "key").select("key", "node", "leader"), "members")
+        members = self.step(self.postings().join(shared, "key").select("key", "node", "leader"), "members")
         met = members.where("node != leader").groupBy("node", "leader").agg(F.count(F.lit(1)).alias("times"))
         best = met.groupBy("node").agg(F.max(F.struct("times", (-F.col("leader")).alias("l"))).alias("best"))
-        tried = materialize(best.select(F.col("node").alias("a"), (-F.col("best.l")).alias("b")), "tried")
+        tried = self.step(best.select(F.col("node").alias("a"), (-F.col("best.l")).alias("b")), "tried")
         return members.select("key", "node"), self._roots(tried), self._roots(self.confirmed(tried))
 
     def across(self, members: DataFrame, locales: DataFrame, roots: DataFrame) -> DataFrame:
@@ -275,29 +282,32 @@ class NearDuplicates:
         placed = members.join(roots.toDF("node", "tree"), "node", "left").select("key", "node", own("tree"))
         counts = placed.groupBy("key", "tree").agg(F.count(F.lit(1)).alias("c"))
         mixed = counts.groupBy("key").agg(F.max(F.struct("c", "tree")).alias("m"), F.sum("c").alias("all")).where("all > m.c")
-        mixed = materialize(placed.join(mixed.select("key", F.col("m.tree").alias("main")), "key").join(locales.toDF("node", "locale"), "node", "left").select("key", "node", "tree", "main", own("locale")), "mixed")
+        mixed = self.step(placed.join(mixed.select("key", F.col("m.tree").alias("main")), "key").join(locales.toDF("node", "locale"), "node", "left").select("key", "node", "tree", "main", own("locale")), "mixed")
         asked = mixed.where("tree != main").select("key", "node", "tree").join(mixed.select("key", "locale").distinct(), "key").select("locale", "node", "tree").distinct()
-        asked = materialize(asked, "asked")
+        asked = self.step(asked, "asked")
         # every node of a locale that is asked: those with a locale, and the locale itself
         touched = asked.groupBy("locale").agg(F.count(F.lit(1)).alias("askers"))
         there = locales.toDF("node", "locale").union(touched.select(F.col("locale").alias("node"), "locale")).distinct().join(touched, "locale")
         there = there.join(roots.toDF("node", "tree"), "node", "left").select("locale", "node", own("tree"), "askers")
         sizes = there.groupBy("locale").agg(F.expr(f"cast(ceil(count(1) / {BLOCK}) as int)").alias("blocks"), F.expr(f"cast(ceil(max(askers) / {SLICE}) as int)").alias("slices"))
-        there = materialize(there.join(sizes, "locale"), "there")
+        there = self.step(there.join(sizes, "locale"), "there")
         sets = self.grams(there.select("node").union(asked.select("node")))
         at = lambda count: F.pmod(F.xxhash64("node"), F.col(count)).cast("int")
         every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
         targets = there.join(sets, "node").withColumn("block", at("blocks")).select("locale", "block", every("slices").alias("slice"), F.lit(0).alias("query"), "node", "tree", "grams")
         queries = asked.join(sizes, "locale").join(sets, "node").withColumn("slice", at("slices")).select("locale", every("blocks").alias("block"), "slice", F.lit(1).alias("query"), "node", "tree", "grams")
         cells = targets.unionByName(queries).repartition("locale", "block", "slice").sortWithinPartitions("locale", "block", "slice")
-        return materialize(cells.mapInArrow(partial(_cells, percent=self.percent), "a long, b long").distinct(), "across")
+        return self.step(cells.mapInArrow(partial(_cells, percent=self.percent), "a long, b long").distinct(), "across")
 
     def components(self) -> DataFrame:
         """(node, root) of all nodes that are linked with another."""
         members, locales, roots = self.trees()
         links = stars(self.across(members, locales, roots))
         moved = roots.join(links.toDF("root", "_to"), "root", "left").select("node", F.coalesce("_to", "root").alias("root"))
-        return materialize(moved.union(links).groupBy("node").agg(F.min("root").alias("root")), "roots")
+        found = materialize(moved.union(links).groupBy("node").agg(F.min("root").alias("root")), "roots")
+        for table in [*self.steps, links]:
+            discard(table)
+        return found
 
     def result(self) -> DataFrame:
         nodes, found = self.nodes.select("node", "digest", "rep"), self.components()

@@ -23,6 +23,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 #: Everything in ASCII but letters and digits parts words.
 SPLIT = bytes(i if i >= 128 or chr(i).isalnum() else 32 for i in range(256))
 MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -110,7 +112,8 @@ def fit(documents: DataFrame, labels: DataFrame, settings: Settings = Settings()
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(w, pa.float64())], ["at", "w"])
 
     one = rows.mapInArrow(coordinates, "_id long, _y int, idx binary").repartition(1).sortWithinPartitions(rank, "_id", "_y", "idx")
-    model = one.mapInArrow(fitted, "at long, w double").toPandas()
+    with small_batches(documents.sparkSession):
+        model = one.mapInArrow(fitted, "at long, w double").toPandas()
     return model["at"].to_numpy(np.int64), model["w"].to_numpy(np.float64)
 
 
