@@ -1,15 +1,17 @@
 """Factorisation of a table of pixels: all pixels together, or block by block.
 
-Together: H stays in the pixels' rows. An iteration is one narrow pass that updates each pixel's h and adds up, in each
-task, the few sums that the step of W needs; W and those sums are the size of the dictionary and are all the driver
-sees. h is kept on the executors between passes and written to the shared folder every few passes.
+Together: spectra are written once, in buckets by pixel, and are only read from then on. An iteration reads them once:
+each task joins them with the pixels' h, which is the small side and all that is shuffled, updates h, and adds up the few
+sums that the step of W needs. h alone is kept on the executors between passes, and is written to the shared folder every
+few passes. W and the sums are the size of the dictionary and are all the driver sees.
 
 Block by block: a group is a block, and a fit of a block is one kernel call.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+import uuid
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -84,82 +86,77 @@ def nndsvd_start(pixels: DataFrame, g: np.ndarray, fit: Fit, x: str = "spectrum"
     return np.maximum(K.start_w(d, g, fit), fit.floor)
 
 
-def _add(rows: Iterator) -> dict[str, np.ndarray]:
-    return {r["name"]: np.array(r["v"]) for r in rows}
+class Spectra:
+    """Spectra in buckets by pixel, so that joins with them by pixel move the other side only. Dropped by close()."""
+
+    def __init__(self, pixels: DataFrame, x: str, factor: float = 1.0) -> None:
+        self.spark = pixels.sparkSession
+        self.name = f"spectra_{uuid.uuid4().hex}"
+        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        own = pixels.select(F.col("pixel_id").cast("long").alias("pixel_id"), (F.col(x) if factor == 1.0 else V.scale(F.col(x), factor)).alias("x"))
+        own.repartition(buckets, "pixel_id").write.bucketBy(buckets, "pixel_id").format("parquet").saveAsTable(self.name)
+
+    def with_h(self, h: DataFrame) -> DataFrame:
+        """(pixel_id, x, h)"""
+        return self.spark.table(self.name).join(h.select("pixel_id", "h").hint("shuffle_hash"), "pixel_id").select("pixel_id", "x", "h")
+
+    def close(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+
+
+def _pass(spectra: Spectra, h: DataFrame, d: np.ndarray, top: np.ndarray | None, fit: Fit) -> DataFrame:
+    """(pixel_id, h, part): h after a step, and in the first row of each batch what its pixels add to the step of W, the
+    loss, the sum of X and its size."""
+    held = spectra.spark.sparkContext.broadcast((d, top))
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        dd, tt = held.value
+        for b in batches:
+            if b.num_rows:
+                x = _matrix(b.column(1))
+                new = K.update_h(x, dd, _matrix(b.column(2)), fit, top=tt)
+                first, second = K.w_sums(x, dd, new, fit)
+                part = np.concatenate([first.ravel(), np.ravel(second), [K.loss(x, dd, new, fit), x.sum(), x.size]])
+                parts = pa.array([part.tolist(), *[None] * (b.num_rows - 1)], pa.list_(pa.float64()))
+                yield pa.RecordBatch.from_arrays([b.column(0), _lists(new), parts], ["pixel_id", "h", "part"])
+
+    return spectra.with_h(h).mapInArrow(step, "pixel_id long, h array<double>, part array<double>")
 
 
 def fit_pixels(pixels: DataFrame, g: np.ndarray, fit: Fit, w: np.ndarray | None = None, fixed_w: np.ndarray | None = None, update_w: bool = True, cut_every: int = 10, x: str = "spectrum") -> tuple[np.ndarray, DataFrame, dict]:
     """W, (pixel_id, h) and a report of a fit over all pixels, by multiplicative updates. With update_w=False only H moves."""
     if fit.algorithm == Algorithm.PROJECTED_GRADIENT:
         raise ValueError("the distributed fit takes multiplicative algorithms")
-    spark, factor = pixels.sparkSession, 1.0
-    if fit.normalise:
-        factor = normalisation_factor(pixels, fit.components, x).first()["factor"] or 1.0
-        pixels = pixels.withColumn(x, V.scale(F.col(x), factor))
-    w = nndsvd_start(pixels, g, fit, x) if w is None else np.maximum(w, fit.floor)
-    first = solve_fixed(pixels, g @ w, fit.simplex_h, fit.floor, x)
-    state = pixels.select(F.col("pixel_id").cast("long"), F.col(x).alias("x")).join(first, "pixel_id")
-    keep: Callable[[DataFrame], DataFrame] = lambda df: df.persist(StorageLevel.MEMORY_AND_DISK)
-    state = written(state, "start")
-    schema = "pixel_id long, x array<double>, h array<double>"
-
-    def sums(df: DataFrame, d: np.ndarray) -> dict[str, np.ndarray]:
-        """What all pixels add to the step of W and the loss."""
-        held = spark.sparkContext.broadcast(d)
-
-        def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            own: dict[str, np.ndarray] = {}
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                xs, hs = _matrix(b.column(1)), _matrix(b.column(2))
-                a, c = K.w_sums(xs, held.value, hs, fit)
-                new = {"first": a.ravel(), "second": np.ravel(c), "misc": np.array([K.loss(xs, held.value, hs, fit), xs.sum(), xs.size])}
-                own = {k: own.get(k, 0.0) + v for k, v in new.items()}
-            yield pa.RecordBatch.from_arrays([pa.array(list(own)), pa.array([v.tolist() for v in own.values()], pa.list_(pa.float64()))], ["name", "v"])
-
-        parts = df.mapInArrow(part, "name string, v array<double>")
-        from pyspark.ml.functions import array_to_vector, vector_to_array
-        from pyspark.ml.stat import Summarizer
-
-        return _add(parts.select("name", array_to_vector("v").alias("v")).groupBy("name").agg(vector_to_array(Summarizer.sum(F.col("v"))).alias("v")).collect())
-
-    def moved(df: DataFrame, d: np.ndarray, top: np.ndarray | None) -> DataFrame:
-        held = spark.sparkContext.broadcast((d, top))
-
-        def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            dd, tt = held.value
-            for b in batches:
-                if b.num_rows:
-                    h = K.update_h(_matrix(b.column(1)), dd, _matrix(b.column(2)), fit, top=tt)
-                    yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _lists(h)], ["pixel_id", "x", "h"])
-
-        return df.mapInArrow(step, schema)
-
-    trace, before, why, initial = [], np.inf, "max_iter", None
-    for k in range(fit.max_iter):
-        d = g @ w
-        top = None
-        if fit.ridge:
-            rows = state.select(F.posexplode("h").alias("c", "v")).groupBy("c").agg(F.max("v").alias("v")).orderBy("c").collect()
-            top = np.array([r["v"] for r in rows])
-        old, state = state, moved(state, d, top)
-        state = written(state, "pass") if (k + 1) % cut_every == 0 else keep(state)
-        s = sums(state, d)
-        now = s["misc"][0] / s["misc"][2]
-        old_w = w
-        if update_w:
-            second = s["second"].reshape(w.shape[1], -1) if fit.l2 else s["second"]
-            w = K.update_w(w, g, (s["first"].reshape(g.shape[0], -1), second), fit, fixed_w, s["misc"][1])
-        old.unpersist()
-        initial = now if initial is None else initial
-        trace.append(float(now))
-        moved_w = K.relative_change(w, old_w, fit.tol) if update_w else np.inf
-        if not fit.no_stop and (why := K.stopped(moved_w, np.inf, before, now, initial, fit.tol)):
-            break
-        why, before = "max_iter", now
-    result = written(state.select("pixel_id", "h"), "h")
-    state.unpersist()
+    factor = (normalisation_factor(pixels, fit.components, x).first()["factor"] or 1.0) if fit.normalise else 1.0
+    spectra = Spectra(pixels, x, factor)
+    try:
+        stored = pixels.sparkSession.table(spectra.name)
+        w = nndsvd_start(stored, g, fit, "x") if w is None else np.maximum(w, fit.floor)
+        h = written(solve_fixed(stored, g @ w, fit.simplex_h, fit.floor, "x"), "start")
+        trace, before, why, initial, cells = [], np.inf, "max_iter", None, g.shape[0] * w.shape[1]
+        for k in range(fit.max_iter):
+            top = None
+            if fit.ridge:
+                rows = h.select(F.posexplode("h").alias("c", "v")).groupBy("c").agg(F.max("v").alias("v")).orderBy("c").collect()
+                top = np.array([r["v"] for r in rows])
+            old, h = h, _pass(spectra, h, g @ w, top, fit)
+            h = written(h, "pass") if (k + 1) % cut_every == 0 else h.persist(StorageLevel.MEMORY_AND_DISK)
+            s = np.array(dense_sum(h.where("part is not null"), "part").first()["total"])
+            first, second, (value, total, size) = s[:cells].reshape(g.shape[0], -1), s[cells:-3], s[-3:]
+            old.unpersist()
+            old_w, now = w, value / size
+            if update_w:
+                w = K.update_w(w, g, (first, second.reshape(w.shape[1], -1) if fit.l2 else second), fit, fixed_w, total)
+            initial = now if initial is None else initial
+            trace.append(float(now))
+            changed = K.relative_change(w, old_w, fit.tol) if update_w else np.inf
+            if not fit.no_stop and (why := K.stopped(changed, np.inf, before, now, initial, fit.tol)):
+                break
+            why, before = "max_iter", now
+        result = written(h.select("pixel_id", "h"), "h")
+        h.unpersist()
+    finally:
+        spectra.close()
     if update_w and not fit.simplex_w and not fit.simplex_h:
         by = K.rescale(gram(result, "h"), np.array(dense_sum(result, "h").first()["total"]))
         w, result = w / by, result.withColumn("h", F.zip_with("h", V.literal(by), lambda a, b: a * b))

@@ -158,3 +158,17 @@ def test_elbow_and_blocks(spark):
     df = spark.createDataFrame(rows, "block_id int, comp int, ratio double")
     assert partitioning.elbow(df).first()["n_relevant"] == 3
     assert partitioning.best_block(spark, 10, 10, 1, 1e12).count() == 0
+
+
+def test_a_pass_moves_abundances_only(spark):
+    pixels = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(50)], "pixel_id long, spectrum array<double>")
+    spectra = factorise.Spectra(pixels, "spectrum")
+    try:
+        h = spark.createDataFrame([(i, [1.0]) for i in range(50)], "pixel_id long, h array<double>")
+        df = factorise._pass(spectra, h, np.ones((2, 1)), None, Fit(components=1, simplex_w=False))
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and "ShuffledHashJoin" in plan and "Bucketed: true" in plan
+        assert df.count() == 50
+    finally:
+        spectra.close()
+    assert not spark.catalog.tableExists(spectra.name)
