@@ -11,7 +11,7 @@
    coarser forest of locales.
 4. Groups that still hold more than one tree are then searched exhaustively between trees: a node outside its group's
    largest tree asks each locale that the group has nodes of. All nodes of the locale are compared with it on their full
-   sets, in cells of at most BLOCK nodes and SLICE askers, through an index of the block's shingles. A cell gives the
+   sets, in cells of about BLOCK nodes and SLICE askers, or fewer long ones, through an index of the block's shingles. A cell gives the
    links that join trees and no others. So no pair of different trees that meets in any group goes untested, however
    large the group, and the rows made grow with the nodes, not with the pairs.
 5. Pairs are confirmed on the full sets: 100 * intersection >= PERCENT * union. Trees joined by confirmed pairs form
@@ -42,7 +42,8 @@ from .common import discard, materialize
 PERCENT = 80
 CHUNKS, WIDTH = 18, 5
 PLACES, LIMIT = CHUNKS * WIDTH, 2 * CHUNKS - 1
-BLOCK, SLICE = 512, 2048
+#: What a cell holds: nodes, askers, and shingles of either, on average.
+BLOCK, SLICE, GRAMS = 512, 2048, 1 << 20
 _random = np.random.default_rng(20240607)
 FACTORS = _random.integers(1, 2**63, PLACES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SEEDS = _random.integers(0, 2**63, PLACES, dtype=np.uint64)
@@ -286,10 +287,12 @@ class NearDuplicates:
         asked = mixed.where("tree != main").select("key", "node", "tree").join(mixed.select("key", "locale").distinct(), "key").select("locale", "node", "tree").distinct()
         asked = self.step(asked, "asked")
         # every node of a locale that is asked: those with a locale, and the locale itself
-        touched = asked.groupBy("locale").agg(F.count(F.lit(1)).alias("askers"))
+        n = self.nodes.select("node", "n")
+        touched = asked.join(n, "node").groupBy("locale").agg(F.count(F.lit(1)).alias("askers"), F.sum("n").alias("asked_n"))
         there = locales.toDF("node", "locale").union(touched.select(F.col("locale").alias("node"), "locale")).distinct().join(touched, "locale")
-        there = there.join(roots.toDF("node", "tree"), "node", "left").select("locale", "node", own("tree"), "askers")
-        sizes = there.groupBy("locale").agg(F.expr(f"cast(ceil(count(1) / {BLOCK}) as int)").alias("blocks"), F.expr(f"cast(ceil(max(askers) / {SLICE}) as int)").alias("slices"))
+        there = there.join(n, "node").join(roots.toDF("node", "tree"), "node", "left").select("locale", "node", own("tree"), "n", "askers", "asked_n")
+        parts = lambda count, most, total: F.expr(f"cast(ceil(greatest({count} / {most}, {total} / {GRAMS})) as int)")
+        sizes = there.groupBy("locale").agg(parts("count(1)", BLOCK, "sum(n)").alias("blocks"), parts("max(askers)", SLICE, "max(asked_n)").alias("slices"))
         there = self.step(there.join(sizes, "locale"), "there")
         sets = self.grams(there.select("node").union(asked.select("node")))
         at = lambda count: F.pmod(F.xxhash64("node"), F.col(count)).cast("int")
