@@ -286,13 +286,16 @@ class NearDuplicates:
         mixed = self.step(placed.join(mixed.select("key", F.col("m.tree").alias("main")), "key").join(locales.toDF("node", "locale"), "node", "left").select("key", "node", "tree", "main", own("locale")), "mixed")
         asked = mixed.where("tree != main").select("key", "node", "tree").join(mixed.select("key", "locale").distinct(), "key").select("locale", "node", "tree").distinct()
         asked = self.step(asked, "asked")
-        # every node of a locale that is asked: those with a locale, and the locale itself
+        # every node of a locale that is asked: those with a locale, and the locale itself, which has no other one. Counts
+        # come before the join by locale, so that a large locale's rows can be split
         n = self.nodes.select("node", "n")
         touched = asked.join(n, "node").groupBy("locale").agg(F.count(F.lit(1)).alias("askers"), F.sum("n").alias("asked_n"))
-        there = locales.toDF("node", "locale").union(touched.select(F.col("locale").alias("node"), "locale")).distinct().join(touched, "locale")
-        there = there.join(n, "node").join(roots.toDF("node", "tree"), "node", "left").select("locale", "node", own("tree"), "n", "askers", "asked_n")
+        there = locales.toDF("node", "locale").union(touched.select(F.col("locale").alias("node"), "locale")).join(n, "node")
+        held = there.groupBy("locale").agg(F.count(F.lit(1)).alias("nodes"), F.sum("n").alias("nodes_n"))
         parts = lambda count, most, total: F.expr(f"cast(ceil(greatest({count} / {most}, {total} / {GRAMS})) as int)")
-        sizes = there.groupBy("locale").agg(parts("count(1)", BLOCK, "sum(n)").alias("blocks"), parts("max(askers)", SLICE, "max(asked_n)").alias("slices"))
+        sizes = held.join(touched, "locale").select("locale", parts("nodes", BLOCK, "nodes_n").alias("blocks"), parts("askers", SLICE, "asked_n").alias("slices"))
+        sizes = self.step(sizes, "sizes")
+        there = there.join(roots.toDF("node", "tree"), "node", "left").select("locale", "node", own("tree"))
         there = self.step(there.join(sizes, "locale"), "there")
         sets = self.grams(there.select("node").union(asked.select("node")))
         at = lambda count: F.pmod(F.xxhash64("node"), F.col(count)).cast("int")
@@ -335,7 +338,7 @@ def first_of_groups(documents: DataFrame, key: str = "doc_id", text: str = "text
     """
     ids = near_duplicates(documents, key, text).where("kept and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     ids = materialize(ids, "kept")
-    rows = documents.join(ids.select(F.col("doc_id").alias("_kept_id")), F.col(key).cast("long") == F.col("_kept_id"), "left_semi")
+    rows = documents.join(ids, documents[key].cast("long") == ids["doc_id"], "left_semi")
     if not ids.where("n > 1").isEmpty():
         rows = rows.dropDuplicates([key])
-    return rows.union(documents.where(F.col(key).isNull()))
+    return rows.union(documents.where(documents[key].isNull()))
