@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -56,18 +59,27 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def released(f: Callable) -> Callable:
+    """A function for mapInArrow that, when a task ends, gives the memory it used back to the machine: workers are used
+    again, and the next task may be another stage's."""
+
+    @functools.wraps(f)
+    def run(batches: Iterator[pa.RecordBatch], *args, **kwargs) -> Iterator[pa.RecordBatch]:
+        yield from f(batches, *args, **kwargs)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+    return run
+
+
 def text_bytes(col: str | Column) -> Column:
     """The UTF-8 bytes of a text column; null counts as empty."""
     col = F.col(col) if isinstance(col, str) else col
     return F.coalesce(col, F.lit("")).cast("binary")
 
 
-def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
-    """The first two columns of each batch as Python lists."""
-    for batch in batches:
-        yield batch.column(0).to_pylist(), batch.column(1).to_pylist()
-
-
 def flat_list(values, offsets, kind: pa.DataType) -> pa.Array:
     """A list array from one flat NumPy array and the offsets of its rows."""
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, kind))

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize
+from .common import discard, materialize, released
 
 PERCENT = 80
 CHUNKS, WIDTH = 18, 5
@@ -88,6 +88,7 @@ def signature(grams: np.ndarray) -> np.ndarray:
     return (mix(least) & np.uint64(0xFFFF)).astype(np.uint16)
 
 
+@released
 def _profile(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
     for b in batches:
@@ -100,6 +101,7 @@ def _profile(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sig, pa.binary())], ["doc_id", "n", "digest", "sig"])
 
 
+@released
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each node and masked chunk."""
     kept = [np.array([c * WIDTH + i for i in range(WIDTH) if i != m]) for c in range(CHUNKS) for m in range(WIDTH)]
@@ -120,6 +122,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, PLACES)
 
 
+@released
 def _cells(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Links that join trees, from rows sorted by cell: locale, block, slice, query, node, tree, grams."""
 
@@ -180,6 +183,7 @@ def _cells(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
     yield out(found)
 
 
+@released
 def _confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     for b in batches:
         keep = []
@@ -238,6 +242,7 @@ class NearDuplicates:
         bitmap[words["w"].to_numpy(np.int64)] = words["v"].to_numpy(np.int64).astype(np.uint32)
         shared, size = self.docs.sparkSession.sparkContext.broadcast(bitmap), self.size
 
+        @released
         def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hashes, held = WordHashes(), shared.value
             for b in batches:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import flat_list
+from .common import flat_list, released
 
 SPACE = "▁"
 SHORT = 48
@@ -271,6 +271,7 @@ def encode(documents: DataFrame, model: str, key: str = "doc_id", text: str = "t
     """
     names = ["doc_id", "ids", "begins", "ends", "decoded"]
 
+    @released
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model, cached)
 

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import released, small_batches
 
 #: Everything in ASCII but letters and digits parts words.
 SPLIT = bytes(i if i >= 128 or chr(i).isalnum() else 32 for i in range(256))
@@ -100,12 +100,14 @@ def fit(documents: DataFrame, labels: DataFrame, settings: Settings = Settings()
     texts = documents.select(F.col(key).cast("long").alias("_doc"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     rows = texts.join(F.broadcast(sample), F.col("_doc") == F.col("_id")).select("_id", "_y", "_text")
 
+    @released
     def coordinates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for b in batches:
             own = [np.unique(features(x.as_py(), hashes, s.bits)).tobytes() for x in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(own, pa.binary())], ["_id", "_y", "idx"])
 
+    @released
     def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = [(np.frombuffer(i.as_py(), np.uint32), y.as_py()) for b in batches for y, i in zip(b.column(1), b.column(2), strict=True)]
         at, w = train(rows, s)
@@ -137,6 +139,7 @@ def score(documents: DataFrame, model: tuple[np.ndarray, np.ndarray], settings:
     """doc_id, score (0 to 1) and predicted (0 or 1) of each document."""
     s, shared = settings, documents.sparkSession.sparkContext.broadcast(model)
 
+    @released
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(shared.value, s)
         for b in batches:
@@ -158,6 +161,7 @@ def without_toxic(documents: DataFrame, model: tuple[np.ndarray, np.ndarray], se
     s, at = settings, documents.columns.index(text)
     shared = documents.sparkSession.sparkContext.broadcast(model)
 
+    @released
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(shared.value, s)
         for b in batches:
