@@ -6,7 +6,8 @@ occurs unchanged, so an automaton over all parts finds every place where the not
 regex library matches the notice with at most k insertions, deletions or substitutions and reports the span.
 
 Errors of a notice: one for each 12 characters, 1 at least. The window around a seed holds the whole notice and k more
-characters on either side; windows of a notice that overlap are joined, and matches in it don't overlap.
+characters on either side; windows of a notice that overlap are joined, and matches in it don't overlap: the one with the
+fewest errors is taken first, then the stretches before and after it are searched.
 
 Defined cases: null and empty texts have no words, no labels and score 0; a text of any length is scanned whole; repeated
 rows are scanned alike; of matches of one notice that tie, the leftmost is kept; a null id stays null; an empty table
@@ -86,7 +87,7 @@ class Scanner:
                 own.append([a, b])
         found = []
         for n, own in windows.items():
-            label, size, _, pattern = self.notices[n]
+            label, size, k, pattern = self.notices[n]
             own.sort()
             joined = own[:1]
             for a, b in own[1:]:
@@ -94,8 +95,12 @@ class Scanner:
                     joined[-1][1] = max(joined[-1][1], b)
                 else:
                     joined.append([a, b])
-            for a, b in joined:
-                found += [(label, a + m.start(), a + m.end(), sum(m.fuzzy_counts), size) for m in pattern.finditer(line[a:b])]
+            # the best match of a stretch first, then what lies before it and after it
+            while joined:
+                a, b = joined.pop()
+                if b - a >= size - k and (m := pattern.search(line[a:b])):
+                    found.append((label, a + m.start(), a + m.end(), sum(m.fuzzy_counts), size))
+                    joined += [[a, a + m.start()], [a + m.end(), b]]
         return found
 
     def scan(self, text: str) -> tuple[int, list[tuple], list[tuple], float]:

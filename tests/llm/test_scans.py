@@ -146,6 +146,16 @@ def test_seeds_miss_no_notice():
             assert label in {m[0] for m in scanner.fuzzy(line)}
 
 
+def test_adjacent_notices_are_all_found():
+    """Also where the first of them has more errors than a later one of the same joined window."""
+    scanner = license_scan.scanner(tuple(license_scan.PHRASES.items()), tuple(license_scan.NOTICES.items()))
+    good, bad = "licensed under the apache license version 2 0", "licensed under the apach license version 2 0"
+    for own in ([bad, good], [good, bad], [bad, bad, good, bad], [good, bad, bad, good, bad]):
+        line = f"x {' y '.join(own)} z"
+        found = sorted(x for x in scanner.fuzzy(line) if x[0] == "notice-apache-2")
+        assert [(line[a:b], errors) for _, a, b, errors, _ in found] == [(n, int(n == bad)) for n in own]
+
+
 def test_op2_query(spark):
     rows = queries.op2_license_scan(spark, DIR)
     assert rows.count() == 200 and rows.where(F.col("n_base") > 0).where("score < 1 or base_labels = ''").count() == 0
