@@ -20,7 +20,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..config import Algorithm, Fit
+from ..config import Algorithm, Fit, Init
 from ..functions import vectors as V
 from ..sources.shared import written
 from . import kernels as K
@@ -73,75 +73,169 @@ def gram(pixels: DataFrame, x: str = "spectrum") -> np.ndarray:
     return np.array([r["row"] for r in found])
 
 
-def nndsvd_start(pixels: DataFrame, g: np.ndarray, fit: Fit, x: str = "spectrum") -> np.ndarray:
-    """W from the leading vectors of the channels' Gram matrix; H follows from W pixel by pixel."""
+def svd_start(pixels: DataFrame, fit: Fit, x: str = "spectrum") -> tuple[np.ndarray, np.ndarray, float]:
+    """D of a start from the leading vectors of the channels' Gram matrix, the matrix that takes spectra to the start's H
+    before values below 0 are cut, and the mean of X. Each component's side is that where |u| |v| is larger; the norms of
+    v's sides are added up over the pixels, in one narrow pass."""
     vals, vecs = np.linalg.eigh(gram(pixels, x))
-    u, s = vecs[:, ::-1][:, : fit.components], np.sqrt(np.maximum(vals[::-1][: fit.components], 0))
-    d = np.zeros_like(u)
-    d[:, 0] = np.sqrt(s[0]) * np.abs(u[:, 0])
-    for i in range(1, fit.components):
-        side = max((np.maximum(sign * u[:, i], 0) for sign in (1, -1)), key=np.linalg.norm)
-        d[:, i] = np.sqrt(s[i]) * side
-    d[d < fit.eps] = 0.0
-    return np.maximum(K.start_w(d, g, fit), fit.floor)
+    vals, u = vals[::-1][: fit.components], vecs[:, ::-1][:, : fit.components]
+    s = np.sqrt(np.where(vals > max(vals[0], 0) * len(vecs) * np.finfo(float).eps, vals, 0))
+    to_v = np.divide(u.T, s[:, None], out=np.zeros_like(u.T), where=s[:, None] > 0)
+    shared = pixels.sparkSession.sparkContext.broadcast(to_v)
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                m = _matrix(b.column(0))
+                v = shared.value @ m
+                sums = [*(np.maximum(v, 0) ** 2).sum(axis=1), *(np.maximum(-v, 0) ** 2).sum(axis=1), m.sum(), m.size]
+                yield pa.RecordBatch.from_arrays([pa.array([sums], pa.list_(pa.float64()))], ["part"])
+
+    *squares, total, size = dense_sum(pixels.select(x).mapInArrow(part, "part array<double>"), "part").first()["total"]
+    v_sides = np.sqrt(np.reshape(squares, (2, -1)))
+    u_sides = np.array([np.linalg.norm(np.maximum(sign * u, 0), axis=0) for sign in (1, -1)])
+    best = np.where(u_sides[0] * v_sides[0] > u_sides[1] * v_sides[1], 0, 1)
+    every = np.arange(len(s))
+    na, nb = u_sides[best, every], v_sides[best, every]
+    by = np.sqrt(np.divide(s * na, nb, out=np.zeros_like(s), where=nb > 0)) * np.array([1, -1])[best]
+    by[0] = np.sqrt(s[0])
+    # a pair of pixels with v's norms stands for all pixels
+    d, _ = K.from_svd(u, s, np.array([v_sides[0], -v_sides[1]]).T, Init(fit.init), fit.eps, total / size, np.random.default_rng(fit.seed))
+    return d, by[:, None] * to_v, total / size
+
+
+def nndsvd_start(pixels: DataFrame, g: np.ndarray, fit: Fit, x: str = "spectrum") -> np.ndarray:
+    """W from svd_start()."""
+    return np.maximum(K.start_w(svd_start(pixels, fit, x)[0], g, fit), fit.floor)
+
+
+def start(pixels: DataFrame, g: np.ndarray, fit: Fit, w: np.ndarray | None, h: DataFrame | None, x: str = "spectrum") -> tuple[np.ndarray, DataFrame]:
+    """W and (pixel_id, h) to begin with; each may be given. H of NNDSVD follows from W by least squares, H of the other
+    starts is theirs. Random values are of the seed and the pixel, however pixels are dealt out."""
+    init = Init(fit.init)
+    if h is not None:
+        h = h.select(F.col("pixel_id").cast("long").alias("pixel_id"), V.clip_below(F.col("h"), fit.floor).alias("h"))
+        if w is None:
+            both = pixels.join(h, "pixel_id").select(x, "h")
+
+            def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for b in batches:
+                    if b.num_rows:
+                        m, hh = _matrix(b.column(0)), _matrix(b.column(1))
+                        yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([(m @ hh.T).ravel(), (hh @ hh.T).ravel()]).tolist()], pa.list_(pa.float64()))], ["part"])
+
+            found = np.array(dense_sum(both.mapInArrow(sums, "part array<double>"), "part").first()["total"])
+            xh, hh = found[: g.shape[0] * fit.components].reshape(g.shape[0], -1), found[g.shape[0] * fit.components :].reshape(fit.components, -1)
+            w = K.start_w(np.abs(xh @ np.linalg.pinv(hh)), g, fit)
+        return np.maximum(w, fit.floor), h
+    if w is not None or init == Init.NNDSVD:
+        w = nndsvd_start(pixels, g, fit, x) if w is None else np.maximum(w, fit.floor)
+        return w, solve_fixed(pixels, g @ w, fit.simplex_h, fit.floor, x)
+    if init == Init.RANDOM:
+        mean = pixels.agg(F.sum(V.total(F.col(x))) / F.sum(F.size(x))).first()[0]
+        d, to_h = np.abs(np.random.default_rng(fit.seed).standard_normal((g.shape[0], fit.components))) * np.sqrt(mean), None
+    else:
+        d, to_h, mean = svd_start(pixels, fit, x)
+    shared = pixels.sparkSession.sparkContext.broadcast(to_h)
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                if init != Init.NNDSVDA:
+                    noise = np.abs([np.random.default_rng((fit.seed, i % 2**64)).standard_normal(d.shape[1]) for i in b.column(0).to_pylist()]).T
+                if init == Init.RANDOM:
+                    values = noise * np.sqrt(mean)
+                else:
+                    values = shared.value @ _matrix(b.column(1))
+                    values[0] = np.abs(values[0])
+                    values = np.where(values < fit.eps, mean if init == Init.NNDSVDA else np.abs(mean) * noise / 100, values)
+                yield pa.RecordBatch.from_arrays([b.column(0), _lists(np.maximum(K.on_simplex(values) if fit.simplex_h else values, fit.floor))], ["pixel_id", "h"])
+
+    return np.maximum(K.start_w(d, g, fit), fit.floor), pixels.select(F.col("pixel_id").cast("long"), x).mapInArrow(first, "pixel_id long, h array<double>")
+
+
+def without_empty(pixels: DataFrame, floor: float, x: str = "spectrum") -> DataFrame:
+    """All values of pixels and of channels whose sum is 0 become the floor."""
+    least = F.lit(float(floor))
+    full = F.zip_with(x, "_c", lambda v, c: F.when(c == 0, least).otherwise(v))
+    filled = F.when(V.total(F.col(x)) == 0, F.transform(x, lambda v: least)).otherwise(full)
+    return pixels.join(F.broadcast(dense_sum(pixels, x).withColumnRenamed("total", "_c"))).withColumn(x, filled).drop("_c")
 
 
 class Spectra:
     """Spectra in buckets by pixel, so that joins with them by pixel move the other side only. Dropped by close()."""
 
-    def __init__(self, pixels: DataFrame, x: str, factor: float = 1.0) -> None:
+    def __init__(self, pixels: DataFrame, x: str, factor: float = 1.0, fixed_h: DataFrame | None = None) -> None:
         self.spark = pixels.sparkSession
         self.name = f"spectra_{uuid.uuid4().hex}"
         buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
         own = pixels.select(F.col("pixel_id").cast("long").alias("pixel_id"), (F.col(x) if factor == 1.0 else V.scale(F.col(x), factor)).alias("x"))
+        self.columns = ["x"] if fixed_h is None else ["x", "fixed"]
+        if fixed_h is not None:
+            fixed = fixed_h.select(F.col("pixel_id").cast("long").alias("pixel_id"), F.transform("h", lambda v: F.coalesce(v, F.lit(float("nan")))).alias("_fixed"))
+            width = fixed.agg(F.max(F.size("_fixed"))).first()[0] or 1
+            own = own.join(fixed, "pixel_id", "left").select("pixel_id", "x", F.coalesce("_fixed", F.array_repeat(F.lit(float("nan")), width)).alias("fixed"))
         own.repartition(buckets, "pixel_id").write.bucketBy(buckets, "pixel_id").format("parquet").saveAsTable(self.name)
 
     def with_h(self, h: DataFrame) -> DataFrame:
-        """(pixel_id, x, h)"""
-        return self.spark.table(self.name).join(h.select("pixel_id", "h").hint("shuffle_hash"), "pixel_id").select("pixel_id", "x", "h")
+        """(pixel_id, x, h), and the fixed values of h if there are any"""
+        return self.spark.table(self.name).join(h.select("pixel_id", "h").hint("shuffle_hash"), "pixel_id").select("pixel_id", "x", "h", *self.columns[1:])
 
     def close(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
 
 
-def _pass(spectra: Spectra, h: DataFrame, d: np.ndarray, top: np.ndarray | None, fit: Fit) -> DataFrame:
-    """(pixel_id, h, part): h after a step, and in the first row of each batch what its pixels add to the step of W, the
-    loss, the sum of X and its size."""
+def _pass(spectra: Spectra, h: DataFrame, d: np.ndarray, top: np.ndarray | None, fit: Fit, sigma: float | None = None) -> DataFrame:
+    """(pixel_id, h, part): h after a step, and in the first row of each batch what its pixels add to the surrogate's gap
+    if sigma is searched, to the step of W, the loss, the sum of X and its size."""
     held = spectra.spark.sparkContext.broadcast((d, top))
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dd, tt = held.value
         for b in batches:
             if b.num_rows:
-                x = _matrix(b.column(1))
-                new = K.update_h(x, dd, _matrix(b.column(2)), fit, top=tt)
+                x, old = _matrix(b.column(1)), _matrix(b.column(2))
+                new = K.update_h(x, dd, old, fit, _matrix(b.column(3)) if b.num_columns > 3 else None, tt, sigma)
                 first, second = K.w_sums(x, dd, new, fit)
-                part = np.concatenate([first.ravel(), np.ravel(second), [K.loss(x, dd, new, fit), x.sum(), x.size]])
+                gap = [*(old * np.log(old / new) - old + new).sum(axis=1), (old * new).sum(), (old * old).sum(), (new * new).sum()] if fit.line_search and fit.ridge else []
+                part = np.concatenate([gap, first.ravel(), np.ravel(second), [K.loss(x, dd, new, fit), x.sum(), x.size]])
                 parts = pa.array([part.tolist(), *[None] * (b.num_rows - 1)], pa.list_(pa.float64()))
                 yield pa.RecordBatch.from_arrays([b.column(0), _lists(new), parts], ["pixel_id", "h", "part"])
 
     return spectra.with_h(h).mapInArrow(step, "pixel_id long, h array<double>, part array<double>")
 
 
-def fit_pixels(pixels: DataFrame, g: np.ndarray, fit: Fit, w: np.ndarray | None = None, fixed_w: np.ndarray | None = None, update_w: bool = True, cut_every: int = 10, x: str = "spectrum") -> tuple[np.ndarray, DataFrame, dict]:
-    """W, (pixel_id, h) and a report of a fit over all pixels, by multiplicative updates. With update_w=False only H moves."""
+def _tops(h: DataFrame) -> np.ndarray:
+    """The largest value of each component."""
+    rows = h.select(F.posexplode("h").alias("c", "v")).groupBy("c").agg(F.max("v").alias("v")).orderBy("c").collect()
+    return np.array([r["v"] for r in rows])
+
+
+def fit_pixels(pixels: DataFrame, g: np.ndarray, fit: Fit, w: np.ndarray | None = None, fixed_w: np.ndarray | None = None, update_w: bool = True, cut_every: int = 10, x: str = "spectrum", h: DataFrame | None = None, fixed_h: DataFrame | None = None) -> tuple[np.ndarray, DataFrame, dict]:
+    """W, (pixel_id, h) and a report of a fit over all pixels, by multiplicative updates. With update_w=False only H moves.
+
+    h: a start (pixel_id, h) for all pixels. fixed_h: (pixel_id, h), where null and NaN are free, as are missing pixels.
+    """
     if fit.algorithm == Algorithm.PROJECTED_GRADIENT:
         raise ValueError("the distributed fit takes multiplicative algorithms")
+    if fit.safe:
+        pixels = without_empty(pixels, fit.floor, x)
     factor = (normalisation_factor(pixels, fit.components, x).first()["factor"] or 1.0) if fit.normalise else 1.0
-    spectra = Spectra(pixels, x, factor)
+    spectra = Spectra(pixels, x, factor, fixed_h)
     try:
-        stored = pixels.sparkSession.table(spectra.name)
-        w = nndsvd_start(stored, g, fit, "x") if w is None else np.maximum(w, fit.floor)
-        h = written(solve_fixed(stored, g @ w, fit.simplex_h, fit.floor, "x"), "start")
+        w, h = start(pixels.sparkSession.table(spectra.name), g, fit, w, h, "x")
+        h = written(h, "start")
+        top, sigma, search = _tops(h) if fit.ridge else None, fit.sigma, fit.line_search and fit.ridge
         trace, before, why, initial, cells = [], np.inf, "max_iter", None, g.shape[0] * w.shape[1]
         for k in range(fit.max_iter):
-            top = None
-            if fit.ridge:
-                rows = h.select(F.posexplode("h").alias("c", "v")).groupBy("c").agg(F.max("v").alias("v")).orderBy("c").collect()
-                top = np.array([r["v"] for r in rows])
-            old, h = h, _pass(spectra, h, g @ w, top, fit)
+            old, h = h, _pass(spectra, h, g @ w, top, fit, sigma)
             h = written(h, "pass") if (k + 1) % cut_every == 0 else h.persist(StorageLevel.MEMORY_AND_DISK)
             s = np.array(dense_sum(h.where("part is not null"), "part").first()["total"])
+            top = _tops(h) if fit.ridge else None
+            if search:
+                (*kl, cross, old_square, new_square), s = s[: w.shape[1] + 3], s[w.shape[1] + 3 :]
+                gap = 2 * cross - old_square + sigma * (top * kl).sum() - new_square
+                sigma *= 1 / 1.05 if gap > 0 else 1.5
             first, second, (value, total, size) = s[:cells].reshape(g.shape[0], -1), s[cells:-3], s[-3:]
             old.unpersist()
             old_w, now = w, value / size

@@ -94,13 +94,16 @@ class Unmixing(_Maps):
         super().__init__(g, names, table, background_rows)
         self.fit, self.report_of_fit = fit, {}
 
-    def fit_transform(self, pixels: DataFrame, factors: DataFrame | None = None, w: np.ndarray | None = None, fixed_w: np.ndarray | None = None) -> DataFrame:
-        """(pixel_id, h) of pixels(pixel_id, spectrum), which are divided by absorption factors (pixel_id, a) if given."""
+    def fit_transform(self, pixels: DataFrame, factors: DataFrame | None = None, w: np.ndarray | None = None, fixed_w: np.ndarray | None = None, h: DataFrame | None = None, fixed_h: DataFrame | None = None) -> DataFrame:
+        """(pixel_id, h) of pixels(pixel_id, spectrum), which are divided by absorption factors (pixel_id, a) if given.
+
+        h, fixed_h: (pixel_id, h) of a start, and of values that stay, where null and NaN are free.
+        """
         data = filters.non_negative(pixels if factors is None else corrected(pixels, factors))
         fit = self.fit
         if fit.simplex_w and fit.simplex_rows is None:
             fit = fit.change(simplex_rows=tuple(i for i, _ in self._rows(None)))
-        self.w, self.h, self.report_of_fit = factorise.fit_pixels(data, self.g, fit, w, fixed_w)
+        self.w, self.h, self.report_of_fit = factorise.fit_pixels(data, self.g, fit, w, fixed_w, h=h, fixed_h=fixed_h)
         return self.h
 
 

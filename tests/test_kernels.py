@@ -153,6 +153,77 @@ def test_gram_start_equals_local(spark):
     assert all(b <= a * (1 + 1e-9) for a, b in zip(report["trace"], report["trace"][1:]))
 
 
+def table_of(spark, m, name="spectrum"):
+    return spark.createDataFrame([(i, m[:, i].tolist()) for i in range(m.shape[1])], f"pixel_id long, {name} array<double>").repartition(3)
+
+
+def collected(h):
+    return np.array([r["h"] for r in h.orderBy("pixel_id").collect()]).T
+
+
+def two_sided(seed=0):
+    """Spectra of which a component's larger side of u isn't the larger side of u and v together."""
+    rng = np.random.default_rng(seed)
+    while True:
+        x = rng.gamma(0.3, 1.0, (12, 40))
+        u, _, v = np.linalg.svd(x, full_matrices=False)
+        up, un = (np.linalg.norm(np.maximum(sign * u[:, 1:3], 0), axis=0) for sign in (1, -1))
+        vp, vn = (np.linalg.norm(np.maximum(sign * v[1:3], 0), axis=1) for sign in (1, -1))
+        if ((up > un) != (up * vp > un * vn)).any():
+            return x
+
+
+@pytest.mark.parametrize("init", [Init.NNDSVD, Init.NNDSVDA])
+def test_distributed_svd_start_equals_local(spark, init):
+    x, fit = two_sided(), Fit(components=3, init=init, simplex_w=False, max_iter=3, no_stop=True)
+    d, h = K.start_factors(x, 3, init, fit.eps, 0)
+    assert np.allclose(factorise.nndsvd_start(table_of(spark, x), np.eye(12), fit), np.maximum(d, fit.floor), atol=1e-8)
+    if init == Init.NNDSVDA:
+        local_w, local_h, _ = K.factorise(x, np.eye(12), fit)
+        w, h, _ = factorise.fit_pixels(table_of(spark, x), np.eye(12), fit)
+        assert np.allclose(w, local_w, rtol=1e-6) and np.allclose(collected(h), local_h, rtol=1e-6)
+
+
+@pytest.mark.parametrize("init", [Init.RANDOM, Init.NNDSVDAR])
+def test_distributed_random_starts(spark, init):
+    x, pixels = two_sided(), 40
+    fit = Fit(components=3, init=init, simplex_w=False, seed=1)
+    w, h = factorise.start(table_of(spark, x), np.eye(12), fit, None, None)
+    again = factorise.start(table_of(spark, x).repartition(7), np.eye(12), fit, None, None)[1]
+    got, (d, local) = collected(h), K.start_factors(x, 3, init, fit.eps, 1)
+    assert np.allclose(got, collected(again), rtol=1e-9) and not np.allclose(got, collected(factorise.start(table_of(spark, x), np.eye(12), fit.change(seed=2), None, None)[1]))
+    assert got.shape == (3, pixels)
+    if init == Init.RANDOM:
+        assert np.allclose(w, np.maximum(d, fit.floor)) and 0.6 < got.mean() / (np.sqrt(2 / np.pi * x.mean())) < 1.4
+    else:
+        base = K.start_factors(x, 3, Init.NNDSVD, fit.eps, 1)[1]
+        assert np.allclose(got[base > 0], base[base > 0], atol=1e-8) and (got[base == 0] < x.mean() / 15).all() and (got > 0).all()
+
+
+@pytest.mark.parametrize("change", [{"ridge": 0.05, "line_search": True}, {"safe": True}, {"safe": True, "normalise": True}])
+def test_distributed_options_equal_local(spark, change):
+    x, *_ = planted(seed=4, pixels=40, noise=True)
+    if "safe" in change:
+        x[:, 3], x[5] = 0, 0
+    fit = Fit(components=2, simplex_w=False, max_iter=5, no_stop=True, **change)
+    begin = np.random.default_rng(2).random((32, 2)) + 0.1
+    local_w, local_h, _ = K.factorise(x, np.eye(32), fit, w=begin)
+    w, h, _ = factorise.fit_pixels(table_of(spark, x), np.eye(32), fit, w=begin)
+    assert np.allclose(w, local_w, rtol=1e-6) and np.allclose(collected(h), local_h, rtol=1e-6)
+
+
+@pytest.mark.parametrize("with_w", [True, False])
+def test_distributed_fit_takes_a_start_and_fixed_values_of_h(spark, with_w):
+    x, *_ = planted(seed=5, pixels=40, noise=True)
+    rng, fit = np.random.default_rng(3), Fit(components=2, simplex_w=False, simplex_h=True, max_iter=3, no_stop=True)
+    begin, fixed = rng.random((2, 40)) + 0.1, np.full((2, 40), np.nan)
+    fixed[0, :5], fixed[1, 7] = 0.25, 0.5
+    w0 = rng.random((32, 2)) + 0.1 if with_w else None
+    local_w, local_h, _ = K.factorise(x, np.eye(32), fit, w=w0, h=begin, fixed_h=fixed)
+    w, h, _ = factorise.fit_pixels(table_of(spark, x), np.eye(32), fit, w=w0, h=table_of(spark, begin, "h"), fixed_h=table_of(spark, fixed, "h").where("pixel_id < 20"))
+    assert np.allclose(w, local_w, rtol=1e-6) and np.allclose(collected(h), local_h, rtol=1e-6)
+
+
 def test_elbow_and_blocks(spark):
     rows = [(0, i, float(np.exp(-3 * i) if i < 3 else np.exp(-9 - 0.01 * i))) for i in range(25)]
     df = spark.createDataFrame(rows, "block_id int, comp int, ratio double")
