@@ -36,6 +36,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from .common import discard, materialize, released
 
@@ -320,12 +321,22 @@ class NearDuplicates:
             discard(table)
         return found
 
-    def result(self) -> DataFrame:
+    def classes(self) -> DataFrame:
+        """(digest, root, component_id) of each class of equal sets."""
         nodes, found = self.nodes.select("node", "digest", "rep"), self.components()
         # a root stands for itself; the component's id is the smallest of its nodes' smallest ids
         whole = found.union(found.select("root", F.col("root"))).distinct()
         ids = whole.join(nodes, "node").groupBy("root").agg(F.min("rep").alias("id"))
-        by_digest = whole.join(ids, "root").join(nodes, "node", "right").select("digest", F.coalesce("id", "rep").alias("component_id"))
+        return whole.join(ids, "root").join(nodes, "node", "right").select("digest", F.coalesce("root", "node").alias("root"), F.coalesce("id", "rep").alias("component_id"))
+
+    def firsts(self) -> DataFrame:
+        """(first_id, first_digest): of each component with words, the smallest id, null after all others, and its set."""
+        rows = self.classes().join(self.nodes.select("digest", "rep"), "digest")
+        first = rows.groupBy("root").agg(F.min(F.struct(F.isnull("rep").alias("none"), "rep", "digest")).alias("f"))
+        return materialize(first.select(F.col("f.rep").alias("first_id"), F.col("f.digest").alias("first_digest")), "firsts")
+
+    def result(self) -> DataFrame:
+        by_digest = self.classes().select("digest", "component_id")
         rows = self.profiles.select("doc_id", "n", "digest").join(by_digest, "digest", "left")
         component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
         return rows.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
@@ -337,13 +348,28 @@ def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text
 
 
 def first_of_groups(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents, with all their columns, of which one of each component stays: that with the smallest id.
+    """The documents, with all their columns, of which one row of each component stays: that with the smallest id.
 
-    Rows without an id all stay; of rows that repeat an id one stays.
+    A row is known by its id; where ids are null or repeat, by its id and its set. Each row without words stays.
     """
-    ids = near_duplicates(documents, key, text).where("kept and doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    ids = materialize(ids, "kept")
-    rows = documents.join(ids, documents[key].cast("long") == ids["doc_id"], "left_semi")
-    if not ids.where("n > 1").isEmpty():
-        rows = rows.dropDuplicates([key])
-    return rows.union(documents.where(documents[key].isNull()))
+    job = NearDuplicates(documents, key, text, PERCENT, 2)
+    firsts, own = job.firsts(), documents[key].cast("long")
+    unclear = materialize(job.profiles.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null").select("doc_id"), "unclear")
+    kept = firsts.select(F.col("first_id").alias("doc_id")).union(job.profiles.where("n = 0").select("doc_id")).where("doc_id is not null")
+    kept = materialize(kept.join(unclear, "doc_id", "left_anti"), "kept")
+    rows = documents.join(kept, own == kept["doc_id"], "left_semi")
+    if unclear.isEmpty():
+        return rows
+    column = documents.columns.index(text)
+
+    @released
+    def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes()
+        for b in batches:
+            sets = [shingles(x.as_py() or "", hashes) for x in b.column(column)]
+            yield b.append_column("_digest", pa.array([xxhash.xxh3_128_digest(g.tobytes()) if len(g) else None for g in sets], pa.binary()))
+
+    schema = StructType([*documents.schema.fields, StructField("_digest", BinaryType())])
+    marked = documents.join(unclear, own.eqNullSafe(unclear["doc_id"]), "left_semi").mapInArrow(digests, schema)
+    first = marked.join(firsts, (marked["_digest"] == firsts["first_digest"]) & marked[key].cast("long").eqNullSafe(firsts["first_id"]), "left_semi")
+    return rows.union(first.dropDuplicates(["_digest"]).drop("_digest")).union(marked.where("_digest is null").drop("_digest"))

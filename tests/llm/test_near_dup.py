@@ -107,6 +107,13 @@ def test_stage_keeps_one_of_each_group(spark, docs_of):
     assert Counter(i for i in got if i is not None) == Counter(want) and got.count(None) == 2
 
 
+def test_stage_decides_by_row_where_ids_repeat_or_are_null(spark, docs_of):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcd")
+    rows = [(1, a), (1, b), (1, f"{a} more"), (2, b), (2, c), (3, c), (None, a), (None, d), (None, d), (None, f"{d} more"), (4, ""), (None, "")]
+    got = Counter((r.doc_id, r.text[:1]) for r in near_dup.first_of_groups(docs_of(rows)).collect())
+    assert got == Counter([(1, "a"), (1, "b"), (2, "c"), (None, "d"), (4, ""), (None, "")])
+
+
 def test_query_equals_its_sql(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{DIR}/documents.parquet'")
