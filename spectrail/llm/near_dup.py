@@ -218,6 +218,8 @@ class NearDuplicates:
     """The job over one table of documents."""
 
     def __init__(self, documents: DataFrame, key: str, text: str, percent: int, size: int) -> None:
+        if percent < PERCENT:
+            raise ValueError(f"the search for candidates meets pairs of {PERCENT} percent or more only")
         self.docs = documents.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
         self.percent, self.size = percent, size
         self.profiles = materialize(self.docs.mapInArrow(partial(_profile, size=size), "doc_id long, n long, digest binary, sig binary"), "profiles")

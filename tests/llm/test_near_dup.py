@@ -2,6 +2,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -114,6 +115,11 @@ def test_stage_decides_by_row_where_ids_repeat_or_are_null(spark, docs_of):
     assert got == Counter([(1, "a"), (1, "b"), (2, "c"), (None, "d"), (4, ""), (None, "")])
 
 
+def test_percents_that_the_search_would_miss_are_refused(docs_of):
+    with pytest.raises(ValueError, match="80 percent"):
+        near_dup.near_duplicates(docs_of([(1, "x y")]), percent=60)
+
+
 def test_query_equals_its_sql(spark):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{DIR}/documents.parquet'")
