@@ -6,19 +6,39 @@ import contextlib
 import ctypes
 import functools
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of a text in lower case, with a space for everything in ASCII but letters and digits.
+NORMAL = bytes(i + 32 if 65 <= i <= 90 else i if i >= 128 or chr(i).isalnum() else 32 for i in range(256))
+
+
+class WordHashes(dict):
+    """64-bit hashes of words; long words aren't kept, and the table is emptied when full, so its memory is bounded."""
+
+    def __missing__(self, word: bytes) -> int:
+        value = xxhash.xxh64_intdigest(word)
+        if len(word) <= 64:
+            if len(self) >= 200_000:
+                self.clear()
+            self[word] = value
+        return value
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines share, from spark.checkpoint.dir; one of our own only where it is unset."""
+    """The folder all machines share, from spark.checkpoint.dir. One of our own only where it is unset and all runs on one
+    machine; ValueError on a cluster, where a local folder would lose rows."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
         path = f"file://{tempfile.mkdtemp(prefix='spectrail-')}"
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -52,11 +72,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 def discard(df: DataFrame) -> None:
     """Delete the files of a table made by materialize() that nothing reads any more."""
-    jvm = df.sparkSession._jvm
-    conf = df.sparkSession._jsc.hadoopConfiguration()
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+        delete(df.sparkSession, folder)
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of any file system that Spark knows."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def released(f: Callable) -> Callable:

@@ -5,8 +5,11 @@ item that has fewer) are the seeds; a document is tried against the items that s
 Tiling then takes, again and again, the longest match of unmarked words and marks it (Wise, 1993), so that passages in
 another order are found as well. An item is leaked by a document if tiles cover at least `coverage` of its words.
 
-The items are broadcast in blocks of at most block_bytes of text, by a count of their bytes; a larger benchmark takes
-more passes over the documents, each with a block that is as small.
+Matches are kept as runs on diagonals, never as pairs of places, so the memory for a document and an item grows with the
+sum of their lengths and their runs, also where both repeat few words.
+
+The items are broadcast in blocks of at most block_bytes of text (or one item), by a count of their bytes; a larger
+benchmark takes more passes over the documents, one block after another, and the driver holds one block at a time.
 
 Defined cases: items or documents without words match nothing; repeated items count once; of matches of equal length the
 first in the document, then in the item, is marked first; texts of any length are compared whole; repeated or null
@@ -16,30 +19,22 @@ an empty result; other columns are neither read nor returned.
 
 from __future__ import annotations
 
+import functools
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import NORMAL, WordHashes, discard, materialize, released
+
 BASE = np.uint64(0x9E3779B97F4A7C15)
-NORMAL = bytes(i + 32 if 65 <= i <= 90 else i if i >= 128 or chr(i).isalnum() else 32 for i in range(256))
 TILES = "array<struct<doc_word:int,item_word:int,words:int>>"
 
 
-class WordHashes(dict):
-    """64-bit hashes of words; emptied when full, so its memory is bounded."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 200_000:
-            self.clear()
-        self[word] = value = xxhash.xxh64_intdigest(word)
-        return value
-
-
 def word_hashes(text: str | None, hashes: WordHashes) -> np.ndarray:
     words = (text or "").encode("utf-8", "surrogatepass").translate(NORMAL).split()
     return np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
@@ -56,22 +51,47 @@ def rolling(words: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def tile(doc: np.ndarray, item: np.ndarray, at: np.ndarray, to: np.ndarray, width: int) -> list[tuple[int, int, int]]:
-    """Tiles (document word, item word, words), from all places at, to where `width` words of both have equal hashes."""
-    same = np.all([doc[at + k] == item[to + k] for k in range(width)], axis=0)
-    order = np.lexsort((at[same], (at - to)[same]))
-    at, to = at[same][order], to[same][order]
-    free_doc, free_item = np.ones(len(doc), bool), np.ones(len(item), bool)
-    tiles = []
-    while len(at):
-        begins = np.flatnonzero(np.concatenate([[True], (np.diff(at) != 1) | (np.diff(to) != 1)]))
-        runs = np.diff(np.append(begins, len(at)))
-        best = min(zip(-runs, at[begins], to[begins], strict=True))
-        n, i, j = int(-best[0]) + width - 1, int(best[1]), int(best[2])
+def runs(at: np.ndarray, seeds: np.ndarray, item: np.ndarray) -> np.ndarray:
+    """Rows (document place, item place, seeds) of the longest runs of equal seeds. at: places of the document in rising
+    order, with seeds there; item: the seed at each place of the item. Holds the runs and one item place's matches."""
+    order = np.argsort(seeds, kind="stable")
+    values, begins = np.unique(seeds[order], return_index=True)
+    begins, places = np.append(begins, len(seeds)), at[order]
+    none = np.zeros(0, np.int64)
+    found, open_at, open_from = [], none, none  # where open runs would go on, and the item place where they began
+    for j in range(len(item) + 1):
+        x = np.searchsorted(values, item[j]) if j < len(item) else len(values)
+        here = places[begins[x] : begins[x + 1]] if x < len(values) and values[x] == item[j] else none
+        on = np.isin(open_at, here, assume_unique=True)
+        if not on.all():
+            since = open_from[~on]
+            found.append(np.column_stack([open_at[~on] - (j - since), since, j - since]))
+        since = np.full(len(here), j)
+        since[np.searchsorted(here, open_at[on])] = open_from[on]
+        open_at, open_from = here + 1, since
+    return np.concatenate(found) if found else np.zeros((0, 3), np.int64)
+
+
+def tile(doc: np.ndarray, item: np.ndarray, found: np.ndarray, width: int) -> list[tuple[int, int, int]]:
+    """Tiles (document word, item word, words) from the runs of seeds of `width` words."""
+    found, tiles = found + [0, 0, width - 1], []
+    while len(found):
+        longest = found[found[:, 2] == found[:, 2].max()]
+        i, j, n = longest[np.lexsort((longest[:, 1], longest[:, 0]))[0]].tolist()
+        same = doc[i : i + n] == item[j : j + n]
+        if not same.all():  # hashes of seeds met by chance: what is equal stays
+            cuts = np.flatnonzero(~np.concatenate([[False], same, [False]]))
+            parts = np.column_stack([i + cuts[:-1], j + cuts[:-1], np.diff(cuts) - 1])
+            found = np.concatenate([found[(found != [i, j, n]).any(axis=1)], parts[parts[:, 2] >= width]])
+            continue
         tiles.append((i, j, n))
-        free_doc[i : i + n] = free_item[j : j + n] = False
-        keep = np.all([free_doc[at + k] & free_item[to + k] for k in range(width)], axis=0)
-        at, to = at[keep], to[keep]
+        # what the marked words leave of each run: before, between and after the two places where they cut it
+        size = found[:, 2]
+        first, second = np.sort(np.stack([i - found[:, 0], j - found[:, 1]]), axis=0)
+        pieces = [(np.zeros_like(size), first), (first + n, second), (second + n, size)]
+        left = [(np.clip(a, 0, size), np.clip(b, 0, size)) for a, b in pieces]
+        left = [np.column_stack([found[:, 0] + a, found[:, 1] + a, b - a]) for a, b in left]
+        found = np.concatenate([x[x[:, 2] >= width] for x in left])
     return tiles
 
 
@@ -113,32 +133,42 @@ class Index:
                 np.add.at(covered, place[mine] + width, -1)
                 if (np.cumsum(covered[:-1]) > 0).sum() < self.need[k]:
                     continue
-                places: dict[int, list[int]] = {}
-                for x, p in zip((np.searchsorted(starts, mine, side="right") - 1).tolist(), place[mine].tolist(), strict=True):
-                    places.setdefault(x, []).append(p)
-                both = [(i, j) for i, x in zip(at.tolist(), u[at].tolist(), strict=True) for j in places.get(x, ())]
-                i, j = (np.array(c, np.int64) for c in zip(*both, strict=True))
-                tiles = tile(doc, item, i, j, width)
+                own = at[np.isin(u[at], np.searchsorted(starts, mine, side="right") - 1)]
+                tiles = tile(doc, item, runs(own, windows[own], rolling(item, width)), width)
                 words = sum(t[2] for t in tiles)
                 if words >= self.need[k]:
                     found.append((k, words, tiles))
         return found
 
 
-def blocks(benchmark: DataFrame, key: str = "item_id", text: str = "text", block_bytes: int = 32 << 20) -> Iterator[list[tuple[int | None, str | None]]]:
-    """The items in blocks that are small enough to broadcast."""
+def blocks(benchmark: DataFrame, key: str = "item_id", text: str = "text", block_bytes: int = 32 << 20) -> Iterator[tuple[bool, list[tuple[int | None, str | None]]]]:
+    """Whether it is the only one, and the items, of each block that is small enough to broadcast."""
     items = benchmark.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).distinct()
-    size = items.agg(F.sum(F.octet_length(F.coalesce("text", F.lit(""))) + 64)).first()[0] or 0
-    count = -(-size // block_bytes)
-    for k in range(count):
-        rows = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(count)) == k).orderBy("id", "text").collect()
-        if rows:
-            yield [(r["id"], r["text"]) for r in rows]
-
-
-def _index(documents: DataFrame, items: list, min_match: int, coverage: float) -> Callable[[], Index]:
-    shared = documents.sparkSession.sparkContext.broadcast(items)
-    return lambda: Index(shared.value, min_match, coverage)
+    size = F.octet_length(F.coalesce("text", F.lit(""))) + 64
+    total = items.agg(F.sum(size)).first()[0] or 0
+    if total <= block_bytes:
+        if total:
+            yield True, [(r["id"], r["text"]) for r in items.orderBy("id", "text").collect()]
+        return
+    # many small parts by hash, packed into blocks by their sizes
+    count = 64 * -(-total // block_bytes)
+    part = F.pmod(F.xxhash64("id", "text"), F.lit(count))
+    sizes = items.groupBy(part.alias("part")).agg(F.sum(size).alias("size")).orderBy("part").collect()
+    packed, room = [], 0
+    for r in sizes:
+        if r["size"] > room:
+            packed.append([])
+            room = block_bytes
+        packed[-1].append(r["part"])
+        room -= r["size"]
+    for own in packed:
+        yield False, [(r["id"], r["text"]) for r in items.where(part.isin(own)).orderBy("id", "text").collect()]
+
+
+@functools.lru_cache(1)
+def _index(shared: Broadcast, min_match: int, coverage: float) -> Index:
+    """One for each Python worker and block."""
+    return Index(shared.value, min_match, coverage)
 
 
 def find_leaks(documents: DataFrame, benchmark: DataFrame, min_match: int = 5, coverage: float = 0.8, key: str = "doc_id", text: str = "text", block_bytes: int = 32 << 20) -> DataFrame:
@@ -147,9 +177,10 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, min_match: int = 5, c
     kind = pa.list_(pa.struct([(x, pa.int32()) for x in ("doc_word", "item_word", "words")]))
     rows = documents.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
-    def finder(make: Callable[[], Index]):
+    def finder(shared: Broadcast):
+        @released
         def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = make()
+            index = _index(shared, min_match, coverage)
             for b in batches:
                 out = [(d.as_py(), index.ids[k], len(index.items[k]), n, [dict(zip(("doc_word", "item_word", "words"), t, strict=True)) for t in tiles]) for d, x in zip(b.column(0), b.column(1), strict=True) for k, n, tiles in index.leaks(x.as_py())]
                 cols = list(zip(*out, strict=True)) or [()] * 5
@@ -158,23 +189,36 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, min_match: int = 5, c
         return found
 
     result = documents.sparkSession.createDataFrame([], schema)
-    for items in blocks(benchmark, text=text, block_bytes=block_bytes):
-        result = result.union(rows.mapInArrow(finder(_index(documents, items, min_match, coverage)), schema))
+    for only, items in blocks(benchmark, text=text, block_bytes=block_bytes):
+        shared = documents.sparkSession.sparkContext.broadcast(items)
+        part = rows.mapInArrow(finder(shared), schema)
+        if not only:
+            part = materialize(part, "leaks")
+            shared.destroy()
+        result = result.union(part)
     return result
 
 
 def without_leaks(documents: DataFrame, benchmark: DataFrame, min_match: int = 5, coverage: float = 0.8, text: str = "text", block_bytes: int = 32 << 20) -> DataFrame:
     """The documents, with all their columns, that leak no item. A null text leaks nothing."""
 
-    def keeper(make: Callable[[], Index], at: int):
+    def keeper(shared: Broadcast, at: int):
+        @released
         def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            index = make()
+            index = _index(shared, min_match, coverage)
             for b in batches:
                 yield b.filter(pa.array([not index.leaks(x.as_py()) for x in b.column(at)], pa.bool_()))
 
         return kept
 
-    schema, at = documents.schema, documents.columns.index(text)
-    for items in blocks(benchmark, text=text, block_bytes=block_bytes):
-        documents = documents.mapInArrow(keeper(_index(documents, items, min_match, coverage), at), schema)
+    schema, at, before = documents.schema, documents.columns.index(text), None
+    for only, items in blocks(benchmark, text=text, block_bytes=block_bytes):
+        shared = documents.sparkSession.sparkContext.broadcast(items)
+        documents = documents.mapInArrow(keeper(shared, at), schema)
+        if not only:
+            documents = materialize(documents, "clean")
+            shared.destroy()
+            if before is not None:
+                discard(before)
+            before = documents
     return documents

@@ -6,8 +6,10 @@ occurs unchanged, so an automaton over all parts finds every place where the not
 regex library matches the notice with at most k insertions, deletions or substitutions and reports the span.
 
 Errors of a notice: one for each 12 characters, 1 at least. The window around a seed holds the whole notice and k more
-characters on either side; windows of a notice that overlap are joined, and matches in it don't overlap: the one with the
-fewest errors is taken first, then the stretches before and after it are searched.
+characters on either side, so every match lies in the window of one of its seeds. Matches of a notice don't overlap: that
+with the fewest errors comes first, of equals the leftmost; a window that a match has taken from is searched again in what
+is left of it. So the matches are those of a search of the whole text for the best match, and then for the best of what
+lies before and after it; but no search is longer than a window, and the time grows with the text.
 
 Defined cases: null and empty texts have no words, no labels and score 0; a text of any length is scanned whole; repeated
 rows are scanned alike; of matches of one notice that tie, the leftmost is kept; a null id stays null; an empty table
@@ -16,7 +18,10 @@ gives an empty result; other columns are neither read nor returned.
 
 from __future__ import annotations
 
+import bisect
 import functools
+import heapq
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -26,6 +31,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import NORMAL
+
 #: Phrases whose words must stand consecutively, and their labels.
 PHRASES = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
@@ -43,7 +50,6 @@ NOTICES = {
     "all rights reserved no part of this": "notice-reserved",
 }
 
-NORMAL = bytes(i + 32 if 65 <= i <= 90 else i if i >= 128 or chr(i).isalnum() else 32 for i in range(256))
 WORD = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
 MATCH = "struct<label:string,first_word:long,last_word:long,start:long,stop:long,errors:int>"
 
@@ -52,6 +58,7 @@ class Scanner:
     def __init__(self, phrases: dict[str, str], notices: dict[str, str]) -> None:
         self.phrases = [(f" {p} ".encode(), label, p.count(" ")) for p, label in phrases.items()]
         self.notices = []
+        self.known: dict[tuple[int, str], tuple[int, int, int] | None] = {}
         self.seeds = ahocorasick.Automaton()
         seeds: dict[str, list[tuple[int, int]]] = {}
         for notice, label in notices.items():
@@ -66,41 +73,54 @@ class Scanner:
 
     def exact(self, words: list[bytes]) -> list[tuple[str, int, int]]:
         """(label, first word, last word) of each place of each phrase."""
-        line, found = b" " + b" ".join(words) + b" ", []
+        line, found, begins = b" " + b" ".join(words) + b" ", [], None
         for phrase, label, more in self.phrases:
             at = line.find(phrase)
             while at >= 0:
-                first = line.count(b" ", 0, at)
+                if begins is None:  # where each word's space is
+                    begins = list(itertools.accumulate((len(w) + 1 for w in words), initial=0))
+                first = bisect.bisect_left(begins, at)
                 found.append((label, first, first + more))
                 at = line.find(phrase, at + 1)
         return found
 
+    def best(self, n: int, part: str) -> tuple[int, int, int] | None:
+        """(errors, start, end) of the best match of a notice in a short part of a text, the leftmost of equals."""
+        if (n, part) not in self.known:
+            if len(self.known) >= 20_000:
+                self.known.clear()
+            m = self.notices[n][3].search(part)
+            self.known[n, part] = m and (sum(m.fuzzy_counts), m.start(), m.end())
+        return self.known[n, part]
+
     def fuzzy(self, line: str) -> list[tuple[str, int, int, int, int]]:
         """(label, start, end, errors, notice length) of the notices in a text in normal form."""
-        windows: dict[int, list[list[int]]] = {}
+        starts: dict[int, set[int]] = {}
         for end, places in self.seeds.iter(line):
             for n, offset in places:
-                _, size, k, _ = self.notices[n]
-                start = end + 1 - offset
-                a, b = max(0, start - k), min(len(line), start + size + k)
-                own = windows.setdefault(n, [])
-                own.append([a, b])
+                starts.setdefault(n, set()).add(end + 1 - offset)
         found = []
-        for n, own in windows.items():
-            label, size, k, pattern = self.notices[n]
-            own.sort()
-            joined = own[:1]
-            for a, b in own[1:]:
-                if a <= joined[-1][1]:
-                    joined[-1][1] = max(joined[-1][1], b)
+        for n, own in starts.items():
+            label, size, k, _ = self.notices[n]
+            queue: list[tuple[int, int, int, int, int]] = []
+
+            def search(a: int, b: int, n: int = n, least: int = size - k, queue: list = queue) -> None:
+                if b - a >= least and (m := self.best(n, line[a:b])):
+                    heapq.heappush(queue, (m[0], a + m[1], a + m[2], a, b))
+
+            for start in own:
+                search(max(0, start - k), min(len(line), start + size + k))
+            taken: list[tuple[int, int]] = []
+            while queue:
+                errors, start, end, a, b = heapq.heappop(queue)
+                near = taken[max(0, bisect.bisect_left(taken, (a, a)) - 1) : bisect.bisect_left(taken, (b, b))]
+                near = [x for x in near if x[1] > a]
+                if all(y <= start or x >= end for x, y in near):
+                    bisect.insort(taken, (start, end))
+                    found.append((label, start, end, errors, size))
                 else:
-                    joined.append([a, b])
-            # the best match of a stretch first, then what lies before it and after it
-            while joined:
-                a, b = joined.pop()
-                if b - a >= size - k and (m := pattern.search(line[a:b])):
-                    found.append((label, a + m.start(), a + m.end(), sum(m.fuzzy_counts), size))
-                    joined += [[a, a + m.start()], [a + m.end(), b]]
+                    for x, y in zip([a, *(y for _, y in near)], [*(x for x, _ in near), b], strict=True):
+                        search(x, y)
         return found
 
     def scan(self, text: str) -> tuple[int, list[tuple], list[tuple], float]:
@@ -114,14 +134,14 @@ class Scanner:
         spans = [m.span() for m in WORD.finditer(text)]
         place = lambda label, a, b, errors: (label, a, b, spans[a][0], spans[b][1], errors)
         score = max([1.0] * bool(base) + [1 - errors / size for *_, errors, size in near])
-        notices = []
+        notices, begins = [], [0, *(m.end() for m in re.finditer(" ", line))] if near else []
         for label, start, stop, errors, _ in near:
             stop = max(start + 1, stop)
             while stop - 1 > start and line[stop - 1] == " ":
                 stop -= 1
             while start < stop - 1 and line[start] == " ":
                 start += 1
-            notices.append(place(label, line.count(" ", 0, start), line.count(" ", 0, stop - 1), errors))
+            notices.append(place(label, bisect.bisect_right(begins, start) - 1, bisect.bisect_right(begins, stop - 1) - 1, errors))
         return len(words), sorted(place(*x, 0) for x in base), sorted(notices), score
 
 

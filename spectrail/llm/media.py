@@ -1,9 +1,9 @@
 """Media columns: lossless 8-bit WAV payloads, short-time Fourier transforms and spectral-peak pair fingerprints.
 
 A text's UTF-8 bytes, zero-padded to a positive multiple of 64, become the samples of a mono 8-bit WAV. Reading goes
-through the wave module. Each frame keeps its strongest local maxima along frequency; each peak is paired with the next
-few peaks, and a pair is coded as (frequency, frequency, time difference) with its start time, as in landmark
-fingerprints (Wang, 2003).
+through the wave module. Each frame keeps its strongest local maxima along frequency; each peak is paired with the
+strongest peak of some later frames, at fixed distances over a target zone, and a pair is coded as (frequency, frequency,
+time difference) with its start time, as in landmark fingerprints (Wang, 2003).
 
 Defined cases: null and empty texts give 64 zero bytes, which have no peak and so empty arrays; equal texts give equal
 rows; frames are transformed in blocks, so memory for a long text stays near its own size; a null id stays null;
@@ -25,7 +25,11 @@ from pyspark.sql import functions as F
 
 from .common import flat_list, text_bytes
 
-PAD, FRAME, HOP, PEAKS, PARTNERS, REACH, BLOCK = 64, 256, 128, 3, 3, 32, 4096
+PAD, FRAME, HOP, PEAKS, BLOCK = 64, 256, 128, 3, 4096
+#: Frames from a peak to its partners, and the sample value that is silence in unsigned 8-bit WAV.
+REACH, SILENCE = (1, 3, 9, 27), 128
+#: Rows that a worker turns into media or features at once.
+ROWS = 500
 
 
 def pad(data: bytes) -> bytes:
@@ -58,39 +62,44 @@ def spectra(samples: bytes) -> Iterator[np.ndarray]:
     for first in range(0, count, BLOCK):
         n = min(BLOCK, count - first)
         part = x[first * HOP : first * HOP + (n - 1) * HOP + FRAME].astype(np.float64)
-        part = np.concatenate([part, np.full((n - 1) * HOP + FRAME - len(part), 0.0)])
+        part = np.concatenate([part, np.full((n - 1) * HOP + FRAME - len(part), float(SILENCE))])
         frames = np.lib.stride_tricks.sliding_window_view(part, FRAME)[::HOP]
         spec = np.fft.rfft((frames - frames.mean(axis=1, keepdims=True)) * window, axis=1)
         yield spec.real**2 + spec.imag**2
 
 
 def fingerprint(samples: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Start times (in hops) and codes of the peak pairs, in order of time."""
-    times, bins, first = [], [], 0
+    """Start times (in hops) and codes of the peak pairs, in order of time, frequency and distance."""
+    times, bins, best, first = [], [], [], 0
     for power in spectra(samples):
         inner = power[:, 1:-1]
         peak = np.where((inner > power[:, :-2]) & (inner >= power[:, 2:]) & (inner > 1e-6), inner, 0.0)
-        top = np.sort(np.argsort(-peak, axis=1, kind="stable")[:, :PEAKS], axis=1)
+        strongest = np.argsort(-peak, axis=1, kind="stable")[:, :PEAKS]
+        top = np.sort(strongest, axis=1)
         keep = np.take_along_axis(peak, top, axis=1) > 0
         t = np.broadcast_to(np.arange(first, first + len(power))[:, None], top.shape)
         times.append(t[keep])
         bins.append(top[keep] + 1)
+        best.append(np.where(peak.max(axis=1) > 0, strongest[:, 0] + 1, 0))
         first += len(power)
-    t, f = np.concatenate(times), np.concatenate(bins)
-    # the partners of a peak are the first peaks of later frames
-    later = np.searchsorted(t, t, side="right")[:, None] + np.arange(PARTNERS)
-    ok = later < len(t)
-    later = np.minimum(later, max(0, len(t) - 1))
-    if not len(t):
-        return np.zeros(0, np.int32), np.zeros(0, np.int32)
-    gap = t[later] - t[:, None]
-    ok &= gap < REACH
-    code = (f[:, None] << 16) | (f[later] << 8) | gap
+    t, f, best = np.concatenate(times), np.concatenate(bins), np.concatenate(best)
+    gap = np.array(REACH)
+    later = t[:, None] + gap
+    partner = np.where(later < len(best), best[np.minimum(later, len(best) - 1)], 0)
+    ok = partner > 0
+    code = (f[:, None] << 16) | (partner << 8) | gap
     return np.broadcast_to(t[:, None], ok.shape)[ok].astype(np.int32), code[ok].astype(np.int32)
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of ROWS rows at most."""
+    for b in batches:
+        for at in range(0, b.num_rows, ROWS):
+            yield b.slice(at, ROWS)
+
+
 def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in _parts(batches):
         data = [x.as_py() for x in batch.column(1)]
         media = pa.array([write_wav(pad(x)) for x in data], pa.binary())
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in data], pa.int64()), media], ["doc_id", "n_bytes", "media"])
@@ -104,7 +113,7 @@ def store_texts(documents: DataFrame, key: str = "doc_id", text: str = "text") -
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "fp_time", "fp_code"]
-    for batch in batches:
+    for batch in _parts(batches):
         rows, times, codes, ends = [], [], [], [0]
         for media in batch.column(2):
             media = media.as_py()

@@ -5,15 +5,16 @@
    distance of two signatures is the number of places that differ. By the pigeonhole principle, of the chunks of two
    signatures at most LIMIT = 2 * CHUNKS - 1 apart, one has at most one error; enumerating that error's place as a mask
    gives CHUNKS * WIDTH keys, of which two such signatures share at least one. So every pair within LIMIT is met. A pair
-   of similarity 0.8 is within LIMIT but for a chance of about 5e-6.
+   of similarity 0.8 is within LIMIT but for a chance of about 1.1e-5, that of more than 35 of 90 places at 0.2 each.
 3. No pairs are emitted within a key's group. First, each node is tried against one node only: of the smallest nodes of
    its groups, the one it meets most often. Confirmed pairs make a forest of trees; all pairs, confirmed or not, make a
    coarser forest of locales.
 4. Groups that still hold more than one tree are then searched exhaustively between trees: a node outside its group's
-   largest tree asks each locale that the group has nodes of. All nodes of the locale are compared with it on their full
-   sets, in cells of about BLOCK nodes and SLICE askers, or fewer long ones, through an index of the block's shingles. A cell gives the
-   links that join trees and no others. So no pair of different trees that meets in any group goes untested, however
-   large the group, and the rows made grow with the nodes, not with the pairs.
+   largest tree asks each locale that the group has nodes of. All nodes of the locale whose sets are of a size that can
+   be similar are compared with it on their full sets, in cells of about BLOCK nodes and SLICE askers, or fewer long
+   ones, through an index of the block's shingles. A cell gives the links that join trees and no others. So no pair of
+   different trees that meets in any group goes untested, however large the group. A locale's N nodes and A askers make
+   about N * A * (1 / SLICE + 1 / BLOCK) rows, a small share of their N * A pairs, in cells of a few hundred rows each.
 5. Pairs are confirmed on the full sets: 100 * intersection >= PERCENT * union. Trees joined by confirmed pairs form
    components, by alternating large-star and small-star steps (Kiveris et al., 2014).
 
@@ -28,6 +29,7 @@ other columns are neither read nor returned.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import partial, reduce
 
@@ -38,13 +40,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from .common import discard, materialize, released
+from .common import WordHashes, discard, materialize, released
 
 PERCENT = 80
 CHUNKS, WIDTH = 18, 5
 PLACES, LIMIT = CHUNKS * WIDTH, 2 * CHUNKS - 1
 #: What a cell holds: nodes, askers, and shingles of either, on average.
-BLOCK, SLICE, GRAMS = 512, 2048, 1 << 20
+BLOCK, SLICE, GRAMS = 256, 384, 1 << 18
 _random = np.random.default_rng(20240607)
 FACTORS = _random.integers(1, 2**63, PLACES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 SEEDS = _random.integers(0, 2**63, PLACES, dtype=np.uint64)
@@ -52,16 +54,6 @@ ODD = np.uint64(0x9E3779B97F4A7C15)
 MASK_SEEDS = _random.integers(0, 2**63, CHUNKS * WIDTH, dtype=np.uint64)
 
 
-class WordHashes(dict):
-    """64-bit hashes of words; emptied when full, so its memory is bounded."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 200_000:
-            self.clear()
-        self[word] = value = xxhash.xxh64_intdigest(word)
-        return value
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
@@ -125,7 +117,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 @released
 def _cells(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Links that join trees, from rows sorted by cell: locale, block, slice, query, node, tree, grams."""
+    """Links that join trees, from rows sorted by cell: locale, part, block, slice, query, node, tree, grams."""
 
     def links(rows: list[pa.RecordBatch]) -> Iterator[tuple[int, int]]:
         t = pa.Table.from_batches(rows)
@@ -165,7 +157,7 @@ def _cells(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
 
     now, held, found = None, [], []
     for batch in batches:
-        cell = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+        cell = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
         cuts = np.flatnonzero(reduce(np.logical_or, [c[1:] != c[:-1] for c in cell])) + 1 if batch.num_rows else []
         for a, b in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
             if a == b:
@@ -294,23 +286,29 @@ class NearDuplicates:
         mixed = self.step(placed.join(mixed.select("key", F.col("m.tree").alias("main")), "key").join(locales.toDF("node", "locale"), "node", "left").select("key", "node", "tree", "main", own("locale")), "mixed")
         asked = mixed.where("tree != main").select("key", "node", "tree").join(mixed.select("key", "locale").distinct(), "key").select("locale", "node", "tree").distinct()
         asked = self.step(asked, "asked")
-        # every node of a locale that is asked: those with a locale, and the locale itself, which has no other one. Counts
-        # come before the join by locale, so that a large locale's rows can be split
+        # every node of a locale that is asked: those with a locale, and the locale itself, which has no other one. Within
+        # a locale, nodes are parted by size: classes of sizes that grow by 1 / (percent / 100), so that a node can only be
+        # similar to those of its own and the two next classes. Counts come before the joins by place, so that a large
+        # place's rows can be split
         n = self.nodes.select("node", "n")
-        touched = asked.join(n, "node").groupBy("locale").agg(F.count(F.lit(1)).alias("askers"), F.sum("n").alias("asked_n"))
-        there = locales.toDF("node", "locale").union(touched.select(F.col("locale").alias("node"), "locale")).join(n, "node")
-        held = there.groupBy("locale").agg(F.count(F.lit(1)).alias("nodes"), F.sum("n").alias("nodes_n"))
+        sized = F.floor(F.ln("n") / max(math.log(100 / self.percent), 1e-6)).cast("int")
+        found = locales.toDF("node", "locale").union(asked.select(F.col("locale").alias("node"), "locale").distinct())
+        there = self.step(found.join(n, "node").join(asked.select("locale").distinct(), "locale", "left_semi").select("locale", "node", sized.alias("part"), "n"), "there")
+        held = there.groupBy("locale", "part").agg(F.count(F.lit(1)).alias("nodes"), F.sum("n").alias("nodes_n"))
+        asks = asked.join(n, "node").select("locale", "node", "tree", "n", F.explode(F.array(*(sized + i for i in (-1, 0, 1)))).alias("part"))
+        touched = asks.groupBy("locale", "part").agg(F.count(F.lit(1)).alias("askers"), F.sum("n").alias("asked_n"))
         parts = lambda count, most, total: F.expr(f"cast(ceil(greatest({count} / {most}, {total} / {GRAMS})) as int)")
-        sizes = held.join(touched, "locale").select("locale", parts("nodes", BLOCK, "nodes_n").alias("blocks"), parts("askers", SLICE, "asked_n").alias("slices"))
+        sizes = held.join(touched, ["locale", "part"]).select("locale", "part", parts("nodes", BLOCK, "nodes_n").alias("blocks"), parts("askers", SLICE, "asked_n").alias("slices"))
         sizes = self.step(sizes, "sizes")
-        there = there.join(roots.toDF("node", "tree"), "node", "left").select("locale", "node", own("tree"))
-        there = self.step(there.join(sizes, "locale"), "there")
-        sets = self.grams(there.select("node").union(asked.select("node")))
+        there = self.step(there.join(sizes, ["locale", "part"]).join(roots.toDF("node", "tree"), "node", "left").select("locale", "part", "node", own("tree"), "blocks", "slices"), "targets")
+        asks = self.step(asks.join(sizes, ["locale", "part"]).select("locale", "part", "node", "tree", "blocks", "slices"), "asks")
+        sets = self.grams(there.select("node").union(asks.select("node")))
         at = lambda count: F.pmod(F.xxhash64("node"), F.col(count)).cast("int")
         every = lambda count: F.explode(F.sequence(F.lit(0), F.col(count) - 1))
-        targets = there.join(sets, "node").withColumn("block", at("blocks")).select("locale", "block", every("slices").alias("slice"), F.lit(0).alias("query"), "node", "tree", "grams")
-        queries = asked.join(sizes, "locale").join(sets, "node").withColumn("slice", at("slices")).select("locale", every("blocks").alias("block"), "slice", F.lit(1).alias("query"), "node", "tree", "grams")
-        cells = targets.unionByName(queries).repartition("locale", "block", "slice").sortWithinPartitions("locale", "block", "slice")
+        place = ["locale", "part", "block", "slice"]
+        targets = there.join(sets, "node").withColumn("block", at("blocks")).select("locale", "part", "block", every("slices").alias("slice"), F.lit(0).alias("query"), "node", "tree", "grams")
+        queries = asks.join(sets, "node").withColumn("slice", at("slices")).select("locale", "part", every("blocks").alias("block"), "slice", F.lit(1).alias("query"), "node", "tree", "grams")
+        cells = targets.unionByName(queries).repartition(*place).sortWithinPartitions(*place)
         return self.step(cells.mapInArrow(partial(_cells, percent=self.percent), "a long, b long").distinct(), "across")
 
     def components(self) -> DataFrame:
@@ -321,8 +319,14 @@ class NearDuplicates:
         found = materialize(moved.union(links).groupBy("node").agg(F.min("root").alias("root")), "roots")
         for table in [*self.steps, links]:
             discard(table)
+        self.steps = [found]
         return found
 
+    def close(self) -> None:
+        """Delete what nothing reads any more once a result is written."""
+        for table in [self.profiles, self.nodes, *self.steps]:
+            discard(table)
+
     def classes(self) -> DataFrame:
         """(digest, root, component_id) of each class of equal sets."""
         nodes, found = self.nodes.select("node", "digest", "rep"), self.components()
@@ -346,32 +350,41 @@ class NearDuplicates:
 
 def near_duplicates(documents: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, size: int = 2) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest id reachable over links) and kept (doc_id = component_id)."""
-    return NearDuplicates(documents, key, text, percent, size).result()
+    job = NearDuplicates(documents, key, text, percent, size)
+    result = materialize(job.result(), "components")
+    job.close()
+    return result
 
 
-def first_of_groups(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def first_of_groups(documents: DataFrame, key: str = "doc_id", text: str = "text", percent: int = PERCENT, size: int = 2) -> DataFrame:
     """The documents, with all their columns, of which one row of each component stays: that with the smallest id.
 
-    A row is known by its id; where ids are null or repeat, by its id and its set. Each row without words stays.
+    A row is known by its id; where ids are null or repeat, by its id and its set. Of rows alike in both stays that with
+    the smallest text, then the smallest JSON form of all columns. Each row without words stays. size: words of a shingle.
     """
-    job = NearDuplicates(documents, key, text, PERCENT, 2)
+    job = NearDuplicates(documents, key, text, percent, size)
     firsts, own = job.firsts(), documents[key].cast("long")
     unclear = materialize(job.profiles.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null").select("doc_id"), "unclear")
     kept = firsts.select(F.col("first_id").alias("doc_id")).union(job.profiles.where("n = 0").select("doc_id")).where("doc_id is not null")
     kept = materialize(kept.join(unclear, "doc_id", "left_anti"), "kept")
+    job.close()
     rows = documents.join(kept, own == kept["doc_id"], "left_semi")
     if unclear.isEmpty():
         return rows
-    column = documents.columns.index(text)
+    column, extra = documents.columns.index(text), "_digest"
+    while extra in documents.columns:
+        extra += "_"
 
     @released
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for b in batches:
-            sets = [shingles(x.as_py() or "", hashes) for x in b.column(column)]
-            yield b.append_column("_digest", pa.array([xxhash.xxh3_128_digest(g.tobytes()) if len(g) else None for g in sets], pa.binary()))
+            sets = [shingles(x.as_py() or "", hashes, size) for x in b.column(column)]
+            yield b.append_column(extra, pa.array([xxhash.xxh3_128_digest(g.tobytes()) if len(g) else None for g in sets], pa.binary()))
 
-    schema = StructType([*documents.schema.fields, StructField("_digest", BinaryType())])
+    schema = StructType([*documents.schema.fields, StructField(extra, BinaryType())])
     marked = documents.join(unclear, own.eqNullSafe(unclear["doc_id"]), "left_semi").mapInArrow(digests, schema)
-    first = marked.join(firsts, (marked["_digest"] == firsts["first_digest"]) & marked[key].cast("long").eqNullSafe(firsts["first_id"]), "left_semi")
-    return rows.union(first.dropDuplicates(["_digest"]).drop("_digest")).union(marked.where("_digest is null").drop("_digest"))
+    same = marked.join(firsts, (marked[extra] == firsts["first_digest"]) & marked[key].cast("long").eqNullSafe(firsts["first_id"]), "left_semi")
+    whole = F.struct(*(F.col(f"`{c}`") for c in documents.columns))
+    first = same.groupBy(extra).agg(F.min_by(whole, F.struct(F.col(text), F.to_json(whole))).alias("_row")).select("_row")
+    return rows.union(first.select("_row.*")).union(marked.where(F.col(extra).isNull()).drop(extra))

@@ -7,8 +7,8 @@ alignment to a span of bytes of the original text. Characters without a piece fa
 span of their character.
 
 The text is merged in segments, cut only where no piece of the vocabulary reaches across: before a run of the space
-mark, and around characters that no longer piece contains. What a segment gives is kept in a bounded table in each
-Python worker.
+mark, and around characters that no longer piece contains. What a segment gives is kept in a table in each Python worker,
+bounded in entries and in bytes; long segments aren't kept.
 
 Defined cases: null and empty texts give no pieces and decode to the empty text; a text of any length is encoded whole,
 segment by segment; repeated rows are encoded alike; a null id stays null; an empty table gives an empty result; other
@@ -34,6 +34,8 @@ from .common import flat_list, released
 
 SPACE = "▁"
 SHORT = 48
+#: Characters of the longest segment that is kept, and bytes that each entry allowed stands for.
+LONG, ENTRY = 64, 250
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
 
@@ -83,7 +85,7 @@ class Codec(dict):
         spec = model.normalizer_spec
         if model.trainer_spec.model_type != 2 or model.trainer_spec.treat_whitespace_as_suffix or any(p.type in (USER_DEFINED, UNUSED) for p in model.pieces):
             raise ValueError("only BPE models without user-defined or unused pieces are supported")
-        self.map, self.most = CharacterMap(spec.precompiled_charsmap), most
+        self.map, self.most, self.held = CharacterMap(spec.precompiled_charsmap), most, 0
         self.dummy, self.squeeze = spec.add_dummy_prefix, spec.remove_extra_whitespaces
         self.pieces = [p.piece for p in model.pieces]
         self.types = [p.type for p in model.pieces]
@@ -165,8 +167,6 @@ class Codec(dict):
 
     def __missing__(self, segment: str) -> bytes:
         """Byte pieces before the last of their character count as 0 characters."""
-        if len(self) >= self.most:
-            self.clear()
         found = array("i")
         for piece in self.merge(segment):
             if (i := self.ids.get(piece)) is not None:
@@ -177,7 +177,14 @@ class Codec(dict):
                 found[-1] = 1
             else:
                 found.extend((self.unknown, 1))
-        self[segment] = value = found.tobytes()
+        value = found.tobytes()
+        if len(segment) <= LONG:
+            size = 150 + 4 * len(segment) + len(value)  # about what the two objects and their entry take
+            if len(self) >= self.most or self.held + size > ENTRY * self.most:
+                self.clear()
+                self.held = 0
+            self.held += size
+            self[segment] = value
         return value
 
     # -- whole texts ---------------------------------------------------------------------------------------------
@@ -267,7 +274,7 @@ def codec(path: str, most: int = 900_000) -> Codec:
 def encode(documents: DataFrame, model: str, key: str = "doc_id", text: str = "text", batch_pieces: int = 2_000_000, cached: int = 900_000) -> DataFrame:
     """doc_id, ids, begins and ends (byte spans in the source) and decoded, the text that the ids decode to.
 
-    cached: segments that each Python worker keeps, of some 200 bytes each.
+    cached: segments that each Python worker keeps, at most; all of them hold ENTRY times as many bytes at most.
     """
     names = ["doc_id", "ids", "begins", "ends", "decoded"]
 

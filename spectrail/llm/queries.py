@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import decontaminate, license_scan, media, near_dup, oracles, piece_codec, secret_scan, sharding, token_count, toxicity, warc
-from .common import fresh_path
+from .common import delete, fresh_path, materialize
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,7 +18,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_media_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = media.fingerprint_media(media.store_texts(_table(spark, sf_dir, "documents")))
     feature = F.concat_ws(":", F.size("fp_code").cast("string"), F.lower(F.hex(F.xxhash64("fp_time", "fp_code"))))
-    return rows.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"), F.size("fp_code").cast("long").alias("n_pairs"))
+    return rows.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", feature.alias("feature"), "fp_time", "fp_code")
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +41,9 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "warc")
     warc.write_archives(_table(spark, sf_dir, "pages"), path)
-    return warc.read_pages(spark, path)
+    found = materialize(warc.read_pages(spark, path), "pages")
+    delete(spark, path)
+    return found
 
 
 def vocabulary(name: str) -> str:
@@ -59,7 +61,8 @@ def op4_piece_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("ids").cast("long").alias("n_tokens"),
         sha(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids_sha256"),
         sha(F.col("decoded")).alias("decoded_sha256"),
-        F.xxhash64("begins", "ends").alias("spans_hash"),
+        "begins",
+        "ends",
     )
 
 

@@ -21,6 +21,8 @@ from .common import discard, materialize, text_bytes
 
 #: Multiplier of the published generator.
 STEP = np.uint64(2862933555777941757)
+#: Ranges of keys for each shuffle partition, at most.
+RANGES = 4
 
 
 def jump_hash(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -55,12 +57,14 @@ def with_slots(rows: DataFrame, shard: str, order: list[str], group_rows: int =
     rows apart that aren't equal throughout.
 
     No task sorts a whole shard: equal rows are counted first, so that no key is hot; the rest is dealt into ranges of
-    about group_rows rows; each range numbers its rows of a shard and adds the count of the ranges before. Rows with more
-    than `copies` copies are written out by several tasks.
+    about group_rows rows, or larger ones where these would be more than some for each shuffle partition; each range
+    numbers its rows of a shard and adds the count of the ranges before. Rows with more than `copies` copies are written
+    out by several tasks.
     """
     names = rows.columns
     counted = materialize(rows.groupBy(*names).agg(F.count(F.lit(1)).alias("_n")), "counted")
-    ranges = max(8, counted.count() // group_rows)
+    most = RANGES * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = min(max(8, counted.count() // group_rows), max(8, most))
     dealt = materialize(counted.repartitionByRange(ranges, *order).withColumn("_g", F.spark_partition_id()), "ranges")
     discard(counted)
     sizes = dealt.groupBy(shard, "_g").agg(F.sum("_n").alias("_size"))

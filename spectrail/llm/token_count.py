@@ -2,8 +2,8 @@
 
 A piece of pre-split text starts as one symbol for each byte, in a doubly linked list; a heap holds the ranks of the
 neighbours that may merge. The lowest-ranked pair, the leftmost of equals, is popped and merged until none is left: the
-count is the number of initial symbols minus the number of merges. Counts of pieces are kept in a bounded table in each
-Python worker, as most pieces recur.
+count is the number of initial symbols minus the number of merges. Counts of pieces are kept in a table in each Python
+worker, as most pieces recur; it is bounded in entries and in bytes, and long pieces aren't kept.
 
 The vocabulary is a tokenizers .json file with a byte-level pre-tokenizer. Added tokens inside a text count as one token
 each, as the library does by default; no begin or end tokens are added, and nothing is cut or padded.
@@ -36,6 +36,10 @@ def byte_symbols() -> list[str]:
     return [chr(b if b in plain else next(moved)) for b in range(256)]
 
 
+#: Characters of the longest piece that is kept, and bytes that each entry allowed stands for.
+LONG, ENTRY = 64, 150
+
+
 class Counter(dict):
     """Piece to number of tokens; emptied when full."""
 
@@ -46,20 +50,27 @@ class Counter(dict):
         pre, model = spec["pre_tokenizer"], spec["model"]
         if model["type"] != "BPE" or pre["type"] != "ByteLevel" or pre["add_prefix_space"] or spec["normalizer"] or model.get("unk_token"):
             raise ValueError("only byte-level BPE without a prefix space or normalizer is supported")
+        if not pre.get("use_regex", True) or any(model.get(x) for x in ("ignore_merges", "dropout", "continuing_subword_prefix", "end_of_word_suffix")):
+            raise ValueError("other ways to split, merge or mark pieces aren't supported")
         added = spec["added_tokens"]
         if any(x["single_word"] or x["lstrip"] or x["rstrip"] or x["normalized"] for x in added):
             raise ValueError("added tokens that strip or need whole words aren't supported")
         names = sorted((x["content"] for x in added), key=len, reverse=True)
         self.added = regex.compile("|".join(map(regex.escape, names))) if names else None
         self.split = regex.compile(PATTERN)
-        self.symbols, self.most = byte_symbols(), most
+        self.symbols, self.most, self.held = byte_symbols(), most, 0
         merges = (x if isinstance(x, list) else x.split(" ") for x in model["merges"])
         self.ranks = {(a, b): i for i, (a, b) in enumerate(merges)}
 
     def __missing__(self, piece: str) -> int:
-        if len(self) >= self.most:
-            self.clear()
-        self[piece] = count = self.merged(piece)
+        count = self.merged(piece)
+        if len(piece) <= LONG:
+            size = 110 + 2 * len(piece) * (1 + (not piece.isascii()))  # about what the piece and its entry take
+            if len(self) >= self.most or self.held + size > ENTRY * self.most:
+                self.clear()
+                self.held = 0
+            self.held += size
+            self[piece] = count
         return count
 
     def merged(self, piece: str) -> int:

@@ -4,12 +4,13 @@ Features are the words, the pairs of neighbours and the pairs with one word betw
 document has a feature or not, however often. Training is FTRL-proximal (McMahan et al., 2013): per-coordinate learning
 rates, and an L1 term that leaves most weights at zero, so the model is a short list that is broadcast for scoring.
 
-Training takes at most max_rows labelled rows, the first by a hash of their id; that is the only bounded sample here.
-It runs in one executor task over those rows. Scoring reads each whole text.
+Training takes at most max_rows labelled ids, the first by a hash of their id, and of these as many as have max_bytes of
+coordinates together; that is the only bounded sample here. It runs runs in one executor task over those rows. Scoring reads each whole text.
 
 Defined cases: a null or empty text has the score of the bias alone; a null id is never held out nor used for training;
-a null label is skipped; repeated rows are scored alike and repeated labels count again; with no labelled row, or labels
-of one class only, every score is that class's share (0 if there is none); other columns are neither read nor returned.
+a null label is skipped; repeated rows are scored alike; repeated labels of an id count once, contrary ones once each; of
+several texts of an id the smallest by hash is learnt from; with no labelled row, or labels of one class only, every score
+is that class's share (0 if there is none); other columns are neither read nor returned.
 """
 
 from __future__ import annotations
@@ -19,11 +20,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import released, small_batches
+from .common import WordHashes, released, small_batches
 
 #: Everything in ASCII but letters and digits parts words.
 SPLIT = bytes(i if i >= 128 or chr(i).isalnum() else 32 for i in range(256))
@@ -39,19 +39,10 @@ class Settings:
     l2: float = 0.1
     epochs: int = 3
     max_rows: int = 20_000
+    max_bytes: int = 256 << 20
     threshold: float = 0.3
 
 
-class WordHashes(dict):
-    """64-bit hashes of words; emptied when full, so its memory is bounded."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 200_000:
-            self.clear()
-        self[word] = value = xxhash.xxh64_intdigest(word)
-        return value
-
-
 def words(text: str) -> list[bytes]:
     return text.lower().encode("utf-8", "surrogatepass").translate(SPLIT).split()
 
@@ -95,10 +86,12 @@ def fit(documents: DataFrame, labels: DataFrame, settings: Settings = Settings()
     """Train on labelled rows that aren't held out. Gives the coordinates and weights, which L1 keeps few."""
     s = settings
     rank = F.xxhash64("_id")
-    sample = labels.select(F.col(key).cast("long").alias("_id"), F.col(label).cast("int").alias("_y")).where(F.col("_id").isNotNull() & F.col("_y").isin(0, 1) & ~held_out(F.col("_id")))
+    sample = labels.select(F.col(key).cast("long").alias("_id"), F.col(label).cast("int").alias("_y")).where(F.col("_id").isNotNull() & F.col("_y").isin(0, 1) & ~held_out(F.col("_id"))).distinct()
     sample = sample.orderBy(rank, "_id", "_y").limit(s.max_rows)  # the bound of what is broadcast next
     texts = documents.select(F.col(key).cast("long").alias("_doc"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    rows = texts.join(F.broadcast(sample), F.col("_doc") == F.col("_id")).select("_id", "_y", "_text")
+    texts = texts.join(F.broadcast(sample.select("_id").distinct()), F.col("_doc") == F.col("_id"), "left_semi")
+    texts = texts.groupBy("_doc").agg(F.min(F.struct(F.xxhash64("_text").alias("_h"), "_text")).alias("_t"))
+    rows = texts.join(F.broadcast(sample), F.col("_doc") == F.col("_id")).select("_id", "_y", "_t._text")
 
     @released
     def coordinates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,7 +102,12 @@ def fit(documents: DataFrame, labels: DataFrame, settings: Settings = Settings()
 
     @released
     def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [(np.frombuffer(i.as_py(), np.uint32), y.as_py()) for b in batches for y, i in zip(b.column(1), b.column(2), strict=True)]
+        rows, held = [], 0
+        for b in batches:
+            for y, i in zip(b.column(1), b.column(2), strict=True):
+                if held <= s.max_bytes:
+                    rows.append((np.frombuffer(i.as_py(), np.uint32), y.as_py()))
+                    held += rows[-1][0].nbytes
         at, w = train(rows, s)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(w, pa.float64())], ["at", "w"])
 

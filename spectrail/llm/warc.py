@@ -3,12 +3,16 @@
 Writing: every page becomes a `response` record, or a `revisit` of the response with the smallest id among equal
 payloads of at least min_revisit bytes. A payload over chunk_bytes is cut into WARC segments (WARC-Segment-Number,
 `continuation` records), so no writer or reader holds more than a chunk beside the cell that Spark hands over. The
-archives are real gzip-compressed WARC 1.1 files, written by Spark's text sink through its commit protocol to any
-file system that Spark knows: each record is a row with the header lines and a row with the block, and the sink's line
-separator, two CRLF pairs, is just what the format puts after both.
+archives are WARC 1.1 in gzip, one gzip member for each file, written by Spark's text sink through its commit protocol to
+any file system that Spark knows: each record is a row with the header lines and a row with the block, and the sink's line
+separator, two CRLF pairs, is just what the format puts after both. Each record has an identifier of its own, made of the
+job, the task and a count; a revisit names its response by target URI and date, which the format offers for that.
 
 Reading: lines stream through a parser that cuts the bytes by Content-Length, and gives a row for each record and chunk
-number with the running length and the running SHA-256, so the last chunk of a record has the payload's digest.
+number with the running length and the running SHA-256, so the last chunk of a record has the payload's digest. It takes
+WARC 1.0 and 1.1, header names in any case, records of any type and target, and files without a stated digest. Files must
+be compressed with gzip, as others would be split between tasks. Blocks are taken as they are: of an `application/http`
+record the HTTP head counts as part of it.
 
 Defined cases: a null payload is empty; a null id is written as an empty id and read as null, and is the smallest id
 among equal payloads, so that such a group's revisits refer to null; of equal ids with equal payloads every row is a
@@ -19,47 +23,54 @@ read nor written.
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import text_bytes
+from .common import discard, materialize, text_bytes
 
-END, VERSION = b"\r\n\r\n", b"WARC/1.1"
-CHUNKS = "record_id string, page_id long, record_type string, chunk_no int, chunk_bytes long, running_bytes long, running_sha256 string, full_bytes long, stated_digest string, refers_to long, last boolean"
+END, VERSIONS = b"\r\n\r\n", (b"WARC/1.1", b"WARC/1.0")
+PAGE = b"urn:page:"
+#: Repeated digests that are sent whole to each task; more are joined by a shuffle.
+BROADCAST_ROWS = 100_000
+CHUNKS = "record_id string, target_uri string, page_id long, record_type string, chunk_no int, chunk_bytes long, running_bytes long, running_sha256 string, full_bytes long, stated_digest string, refers_to long, last boolean"
 
 
-def plan_revisits(pages: DataFrame, key: str = "page_id", payload: str = "html", min_revisit: int = 100) -> DataFrame:
-    """page_id, data, digest, refers_to and is_revisit of each page.
+def plan_revisits(pages: DataFrame, key: str = "page_id", payload: str = "html", min_revisit: int = 100) -> tuple[DataFrame, DataFrame]:
+    """page_id, data, digest, refers_to and is_revisit of each page; and the written table of repeats that this reads.
 
-    Only digests that occur twice are joined back. They are counted before the shuffle, and the join's hot keys can be
-    split at run time.
+    Digests that occur twice are counted before any shuffle and written as a small table. Up to BROADCAST_ROWS of them, by
+    its count, go to each task and payloads stay where they are; more are joined, and the join's hot keys can be split at
+    run time.
     """
     rows = pages.select(F.col(key).cast("long").alias("page_id"), text_bytes(payload).alias("data"))
     rows = rows.withColumn("digest", F.sha2("data", 256))
     long_enough = F.octet_length("data") >= min_revisit
     same = rows.where(long_enough).groupBy("digest").agg(F.min(F.struct("page_id")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    same = same.select(F.col("digest").alias("_digest"), "first")
+    repeats = materialize(same.select(F.col("digest").alias("_digest"), "first"), "repeats")
+    same = F.broadcast(repeats) if repeats.count() <= BROADCAST_ROWS else repeats
     joined = rows.join(same, (rows["digest"] == same["_digest"]) & long_enough, "left")
     again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first.page_id"))
-    return joined.select("page_id", "data", "digest", F.when(again, F.col("first.page_id")).alias("refers_to"), again.alias("is_revisit"))
+    return joined.select("page_id", "data", "digest", F.when(again, F.col("first.page_id")).alias("refers_to"), again.alias("is_revisit")), repeats
 
 
-def _record(kind: bytes, name: bytes, page: bytes, block: bytes, *more: bytes) -> Iterator[bytes]:
-    yield b"\r\n".join([VERSION, b"WARC-Type: " + kind, b"WARC-Record-ID: " + name, b"WARC-Target-URI: urn:page:" + page, b"Content-Type: text/html", b"Content-Length: %d" % len(block), *more])
+def _record(kind: bytes, name: bytes, date: bytes, page: bytes, block: bytes, *more: bytes) -> Iterator[bytes]:
+    yield b"\r\n".join([VERSIONS[0], b"WARC-Type: " + kind, b"WARC-Record-ID: " + name, b"WARC-Date: " + date, b"WARC-Target-URI: " + PAGE + page, b"Content-Type: text/html", b"Content-Length: %d" % len(block), *more])
     yield block
 
 
-def record_rows(page_id: int | None, data: bytes, digest: str, refers_to: int | None, revisit: bool, chunk_bytes: int) -> Iterator[bytes]:
-    """The header and block rows of a page's records."""
-    page = b"" if page_id is None else b"%d" % page_id
-    name = b"<urn:record:" + page + b">"
+def record_rows(names: Iterator[bytes], date: bytes, page_id: int | None, data: bytes, digest: str, refers_to: int | None, revisit: bool, chunk_bytes: int) -> Iterator[bytes]:
+    """The header and block rows of a page's records. names: identifiers that no other record has."""
+    page, name = b"" if page_id is None else b"%d" % page_id, next(names)
     stated = [b"WARC-Payload-Digest: sha256:" + digest.encode(), b"X-Payload-Length: %d" % len(data)]
     if revisit:
         to = b"" if refers_to is None else b"%d" % refers_to
-        yield from _record(b"revisit", name, page, b"", b"WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", b"WARC-Refers-To: <urn:record:" + to + b">", *stated)
+        yield from _record(b"revisit", name, date, page, b"", b"WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", b"WARC-Refers-To-Target-URI: " + PAGE + to, b"WARC-Refers-To-Date: " + date, *stated)
         return
     view = memoryview(data)
     count = max(1, -(-len(data) // chunk_bytes))
@@ -70,17 +81,26 @@ def record_rows(page_id: int | None, data: bytes, digest: str, refers_to: int |
         else:
             more = [*(stated if i == 0 else [b"WARC-Segment-Origin-ID: " + name]), b"WARC-Segment-Number: %d" % (i + 1)]
             more += [b"WARC-Segment-Total-Length: %d" % len(data)] * (i == count - 1)
-        yield from _record(b"continuation" if i else b"response", name if i == 0 else name[:-1] + b":%d>" % (i + 1), page, block, *more)
+        yield from _record(b"continuation" if i else b"response", next(names) if i else name, date, page, block, *more)
 
 
-def write_archives(pages: DataFrame, path: str, key: str = "page_id", payload: str = "html", min_revisit: int = 100, chunk_bytes: int = 1 << 20, batch_bytes: int = 4 << 20) -> None:
-    """Write the archives of all pages to the folder path, a file for each task."""
+def record_names(job: uuid.UUID, task: int) -> Iterator[bytes]:
+    """Record identifiers; a task that runs again gives the same."""
+    count = 0
+    while True:
+        yield b"<urn:uuid:" + str(uuid.uuid5(job, f"{task}/{count}")).encode() + b">"
+        count += 1
+
+
+def write_archives(pages: DataFrame, path: str, key: str = "page_id", payload: str = "html", min_revisit: int = 100, chunk_bytes: int = 1 << 20, batch_bytes: int = 4 << 20, date: datetime | None = None) -> None:
+    """Write the archives of all pages to the folder path, a file for each task. date: of the capture, now if it isn't given."""
+    job, when = uuid.uuid4(), (date or datetime.now(UTC)).strftime("%Y-%m-%dT%H:%M:%SZ").encode()
 
     def lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, size = [], 0
+        out, size, names = [], 0, record_names(job, TaskContext.get().partitionId())
         for batch in batches:
             for row in zip(*batch.columns, strict=True):
-                for line in record_rows(*(x.as_py() for x in row), chunk_bytes):
+                for line in record_rows(names, when, *(x.as_py() for x in row), chunk_bytes):
                     out.append(line)
                     size += len(line)
                     if size >= batch_bytes:
@@ -88,8 +108,10 @@ def write_archives(pages: DataFrame, path: str, key: str = "page_id", payload: s
                         out, size = [], 0
         yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
 
-    rows = plan_revisits(pages, key, payload, min_revisit).mapInArrow(lines, "value binary")
-    rows.select(F.col("value").cast("string").alias("value")).write.option("lineSep", END.decode()).option("compression", "gzip").text(path)
+    planned, repeats = plan_revisits(pages, key, payload, min_revisit)
+    rows = planned.mapInArrow(lines, "value binary").select(F.col("value").cast("string").alias("value"))
+    rows.write.option("lineSep", END.decode()).option("compression", "gzip").text(path)
+    discard(repeats)
 
 
 class ChunkParser:
@@ -125,28 +147,33 @@ class ChunkParser:
                 yield self._end()
 
     def _begin(self) -> None:
-        if self.head[0] != VERSION:
+        if self.head[0] not in VERSIONS:
             raise ValueError(f"not the start of a record: {self.head[0][:80]!r}")
-        h = dict(x.split(b": ", 1) if b": " in x else (x.rstrip(b":"), b"") for x in self.head[1:])
-        self.head, self.chunk, self.left = [], h, int(h[b"Content-Length"])
-        if h[b"WARC-Type"] != b"continuation":
+        h: dict[bytes, bytes] = {}
+        for line in self.head[1:]:
+            name, _, value = line.partition(b":")
+            h.setdefault(name.strip().lower(), value.strip())
+        self.head, self.chunk, self.left = [], h, int(h[b"content-length"])
+        if h[b"warc-type"] != b"continuation":
             self.running = {"sha": hashlib.sha256(), "bytes": 0, "of": h, "no": 0}
-        elif h[b"WARC-Segment-Origin-ID"] != self.running["of"][b"WARC-Record-ID"] or int(h[b"WARC-Segment-Number"]) != self.running["no"] + 1:
+        elif h[b"warc-segment-origin-id"] != self.running["of"][b"warc-record-id"] or int(h[b"warc-segment-number"]) != self.running["no"] + 1:
             raise ValueError("a segment is out of order")
 
     def _end(self) -> tuple:
         run, h = self.running, self.chunk
         of, self.left = run["of"], -1
         run["no"] += 1
-        number = lambda x: int(x) if x else None
-        kind = of[b"WARC-Type"].decode()
-        to = of.get(b"WARC-Refers-To", b"<urn:record:>")[12:-1]
-        last = b"WARC-Segment-Total-Length" in h or b"WARC-Segment-Number" not in h
-        return of[b"WARC-Record-ID"].decode(), number(of[b"WARC-Target-URI"][9:]), kind, run["no"], int(h[b"Content-Length"]), run["bytes"], run["sha"].hexdigest(), int(of[b"X-Payload-Length"]), of[b"WARC-Payload-Digest"].decode().removeprefix("sha256:"), number(to), last
+        number = lambda uri: int(x) if uri.startswith(PAGE) and (x := uri[len(PAGE) :]).removeprefix(b"-").isdigit() else None
+        text = lambda name: of[name].decode("utf-8", "replace") if name in of else None
+        last = b"warc-segment-total-length" in h or b"warc-segment-number" not in h
+        digest = text(b"warc-payload-digest") or ""
+        whole = int(of[b"x-payload-length"]) if b"x-payload-length" in of else None
+        target, to = (of.get(x, b"") for x in (b"warc-target-uri", b"warc-refers-to-target-uri"))
+        return text(b"warc-record-id"), text(b"warc-target-uri"), number(target), text(b"warc-type"), run["no"], int(h[b"content-length"]), run["bytes"], run["sha"].hexdigest(), whole, digest.removeprefix("sha256:") if digest.startswith("sha256:") else None, number(to), last
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = [pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.bool_()]
+    kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.bool_()]
     names = [x.split()[0] for x in CHUNKS.split(", ")]
     parser = ChunkParser()
     for batch in batches:

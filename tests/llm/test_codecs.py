@@ -41,6 +41,39 @@ def test_pieces_equal_the_library(piece):
             at = b
 
 
+def test_plain_way_equals_the_character_map(piece):
+    """The model's map is empty: longest-prefix normalisation gives what the short way for such a map gives."""
+    own = piece[0]
+    assert not own.map.units
+    for text in texts():
+        if text:
+            normal, at = own.normalise(text)
+            assert normal == "▁" + text.replace(" ", "▁") and at.tolist() == own._plain_starts(text).tolist()
+
+
+def test_kept_tables_are_bounded(piece):
+    own, counter = piece_codec.Codec(queries.vocabulary("piece_bpe_32k.model"), most=1000), token_count.Counter(queries.vocabulary("byte_bpe_50k.json"), most=1000)
+    rng = random.Random(3)
+    for _ in range(3000):
+        text = "".join(rng.choice("日本語学校会社人間大小") for _ in range(rng.randint(1, 200)))
+        assert own.encode(text)[0].tolist() == piece[1].encode(text)
+        counter.count(text)
+        for table, module in ((own, piece_codec), (counter, token_count)):
+            assert len(table) <= 1000 and table.held <= module.ENTRY * 1000 and all(len(k) <= module.LONG for k in table)
+
+
+@pytest.mark.parametrize("change", [{"ignore_merges": True}, {"dropout": 0.1}, {"continuing_subword_prefix": "##"}, {"end_of_word_suffix": "</w>"}, {"use_regex": False}])
+def test_other_vocabularies_are_refused(tmp_path, change):
+    import json
+
+    with open(queries.vocabulary("byte_bpe_50k.json"), encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["pre_tokenizer" if "use_regex" in change else "model"] |= change
+    (tmp_path / "v.json").write_text(json.dumps(spec))
+    with pytest.raises(ValueError, match="supported"):
+        token_count.Counter(f"{tmp_path}/v.json")
+
+
 def test_scan_and_heap_merge_alike(piece, monkeypatch):
     own = piece[0]
     words = [t for t in texts() if t]
@@ -124,6 +157,9 @@ def test_op4_query(spark, piece):
         ids = lib.encode(text[r.doc_id])
         assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(lib.decode(ids).encode()).hexdigest()
+        spans = [(p.begin, p.end) for p in lib.encode(text[r.doc_id], return_type="proto").pieces if p.surface]
+        own = list(zip(r.begins, r.ends, strict=True))
+        assert len(own) == len(ids) and set(spans) <= set(own)
 
 
 def test_counts_equal_the_library(spark, docs_of):

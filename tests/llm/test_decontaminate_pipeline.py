@@ -1,3 +1,4 @@
+import tracemalloc
 
 import numpy as np
 
@@ -80,6 +81,29 @@ def test_tiling_by_brute_force(spark, docs_of):
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(i) for i, _ in docs if str(i) not in bad)
 
 
+def test_tiling_of_repetitive_texts():
+    """Few words, so that most places match: the same tiles as word by word, and memory that doesn't grow with the pairs."""
+    rng = np.random.default_rng(5)
+    for _ in range(150):
+        v = [f"w{i}" for i in range(rng.integers(1, 5))]
+        doc, item = (list(map(str, rng.choice(v, rng.integers(1, n)))) for n in (25, 14))
+        least = min(int(rng.integers(1, 5)), len(item))
+        got = decontaminate.Index([(1, " ".join(item))], least, 1e-9).leaks(" ".join(doc))
+        assert ([tuple(t) for t in got[0][2]] if got else []) == slow_tiles(doc, item, least)
+    index = decontaminate.Index([(1, "a " * 200)], 5, 0.8)
+    tracemalloc.start()
+    assert index.leaks("a " * 20_000)[0][1:] == (200, [(0, 0, 200)])
+    assert tracemalloc.get_traced_memory()[1] < 50e6
+    tracemalloc.stop()
+
+
+def test_blocks_hold_no_more_than_they_may(spark):
+    bench = spark.createDataFrame([(i, "w " * (i % 50)) for i in range(300)], "item_id long, text string")
+    found = [items for _, items in decontaminate.blocks(bench, block_bytes=2000)]
+    assert sorted(i for b in found for i, _ in b) == list(range(300)) and len(found) > 5
+    assert all(sum(64 + len(t) for _, t in b) <= 2000 or len(b) < 3 for b in found)
+
+
 def test_empty_tables(spark, docs_of):
     docs, items = case()
     bench = spark.createDataFrame(items, "item_id long, text string")
@@ -89,13 +113,44 @@ def test_empty_tables(spark, docs_of):
 
 
 def test_op10_query(spark):
-    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{DIR}/documents.parquet").collect() if len(r.text or "") < 2500][:60]
-    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{DIR}/benchmark.parquet").collect()]
-    got = {(r.doc_id, r.item_id): r for r in queries.op10_string_tiling(spark, DIR).collect()}
-    seeds = {tuple(w[k : k + 5]) for _, t in items for w in [words(t)] for k in range(len(w) - 4)}
-    near = [(d, t) for d, t in docs if any(tuple(w[k : k + 5]) in seeds for w in [words(t)] for k in range(len(w) - 4))]
-    want = {(int(d), int(i)) for d, i, *_ in slow_leaks(near[:8], items)}
-    assert want == {k for k in got if k[0] in {d for d, _ in near[:8]}}
+    """All documents and items; only those that share no five words are passed over."""
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{DIR}/documents.parquet").collect()]
+    items = [(r.item_id, words(r.text)) for r in spark.read.parquet(f"{DIR}/benchmark.parquet").collect()]
+    got = {(r.doc_id, r.item_id): (r.item_words, r.covered_words, r.n_tiles) for r in queries.op10_string_tiling(spark, DIR).collect()}
+    runs = lambda w: {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+    want = {}
+    for d, t in docs:
+        own = runs(words(t))
+        for i, w in items:
+            if len(w) >= 5 and (shared := runs(w) & own):
+                covered = {k + n for k in range(len(w) - 4) if tuple(w[k : k + 5]) in shared for n in range(5)}
+                tiles = fast_tiles(words(t), w) if len(covered) >= 0.8 * len(w) - 1e-9 else []
+                if (n := sum(x[2] for x in tiles)) >= 0.8 * len(w) - 1e-9:
+                    want[d, i] = (len(w), n, len(tiles))
+    assert want and want == got
+
+
+def fast_tiles(doc, item, least=5):
+    """slow_tiles(), but that places which don't match cost nothing."""
+    places = {}
+    for j, w in enumerate(item):
+        places.setdefault(w, []).append(j)
+    used_d, used_i, tiles = set(), set(), []
+    while True:
+        best = None
+        for i, w in enumerate(doc):
+            for j in places.get(w, ()):
+                n = 0
+                while i + n < len(doc) and j + n < len(item) and doc[i + n] == item[j + n] and i + n not in used_d and j + n not in used_i:
+                    n += 1
+                if n >= least and (best is None or (-n, i, j) < best):
+                    best = (-n, i, j)
+        if best is None:
+            return tiles
+        n, i, j = -best[0], best[1], best[2]
+        tiles.append((i, j, n))
+        used_d |= set(range(i, i + n))
+        used_i |= set(range(j, j + n))
 
 
 def test_pipeline_by_brute_force(spark):

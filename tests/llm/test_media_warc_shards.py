@@ -1,4 +1,7 @@
+import gzip
 import hashlib
+import re
+import uuid
 import zlib
 from collections import Counter
 
@@ -39,24 +42,30 @@ def test_fingerprint_by_brute_force(monkeypatch):
     samples = bytes(rng.integers(0, 256, 3000, dtype=np.uint8))
     t, code = media.fingerprint(samples)
     x = np.frombuffer(samples, np.uint8).astype(float)
-    peaks = []
+    peaks, strongest = [], {}
     for k in range(-(-(len(x) - media.FRAME) // media.HOP) + 1):
         frame = x[k * media.HOP : k * media.HOP + media.FRAME]
-        frame = np.pad(frame, (0, media.FRAME - len(frame)))
+        frame = np.pad(frame, (0, media.FRAME - len(frame)), constant_values=128)
         p = np.abs(np.fft.rfft((frame - frame.mean()) * np.hanning(media.FRAME))) ** 2
         local = [f for f in range(1, len(p) - 1) if p[f] > p[f - 1] and p[f] >= p[f + 1] and p[f] > 1e-6]
         peaks += [(k, f) for f in sorted(sorted(local, key=lambda f: -p[f])[: media.PEAKS])]
-    want = []
-    for k, f in peaks:
-        later = [q for q in peaks if q[0] > k][: media.PARTNERS]
-        want += [(k, (f << 16) | (g << 8) | (j - k)) for j, g in later if j - k < media.REACH]
+        strongest[k] = max(local, key=lambda f: (p[f], -f), default=None)
+    want = [(k, (f << 16) | (strongest[k + d] << 8) | d) for k, f in peaks for d in (1, 3, 9, 27) if strongest.get(k + d)]
+    assert len({c & 255 for _, c in want}) > 1
     assert list(zip(t.tolist(), code.tolist())) == want
     whole = media.fingerprint(samples * 20)
+    assert len(whole[0]) and {1, 3, 9, 27} == set((whole[1] & 255).tolist())
     monkeypatch.setattr(media, "BLOCK", 7)
     again = media.fingerprint(samples * 20)
     assert all((a == b).all() for a, b in zip(whole, again))
 
 
+def test_padding_with_silence_makes_no_peak():
+    """A last frame that is filled up has the spectrum of the samples and silence, without a step to another level."""
+    flat = bytes([128]) * 300
+    assert len(media.fingerprint(flat)[0]) == 0 and all((p < 1e-6).all() for p in media.spectra(flat))
+
+
 def test_warc_round_trip(spark, tmp_path):
     big = "<p>é</p>\r\n\r\nWARC/1.1\r\n" * 400
     rows = [(1, "a" * 100), (2, "a" * 100), (3, "a" * 99), (4, "a" * 99), (5, None), (6, ""), (7, big), (8, big), (9, "\r\n" * 80), (10, "x" * 5000), (None, "z" * 200), (11, "z" * 200), (12, "tail\n"), (12, "tail\n")]
@@ -84,16 +93,48 @@ def test_warc_round_trip(spark, tmp_path):
 
 
 def test_warc_parser_takes_any_cut():
-    data = b"".join(line + warc.END for line in warc.record_rows(3, b"q" * 2500, hashlib.sha256(b"q" * 2500).hexdigest(), None, False, 1000))
+    data = b"".join(line + warc.END for line in warc.record_rows(warc.record_names(uuid.UUID(int=0), 0), b"2024-01-01T00:00:00Z", 3, b"q" * 2500, hashlib.sha256(b"q" * 2500).hexdigest(), None, False, 1000))
     for size in (1, 7, 1000):
         parser, rows = warc.ChunkParser(), []
         for at in range(0, len(data), size):
             rows += list(parser.feed(data[at : at + size]))
-        assert [r[4] for r in rows] == [1000, 1000, 500] and rows[-1][6] == hashlib.sha256(b"q" * 2500).hexdigest()
+        assert [r[5] for r in rows] == [1000, 1000, 500] and rows[-1][7] == hashlib.sha256(b"q" * 2500).hexdigest()
     with pytest.raises(ValueError):
         list(warc.ChunkParser().feed(b"HTTP/1.1 200\r\n\r\n"))
 
 
+def test_records_have_dates_and_their_own_ids(spark, tmp_path):
+    rows = [(1, "a" * 100), (1, "a" * 100), (1, "b"), (2, "a" * 100), (None, "c" * 2500), (None, "c" * 2500)]
+    pages = spark.createDataFrame(rows, "page_id long, html string")
+    warc.write_archives(pages.repartition(3), f"{tmp_path}/w", chunk_bytes=1000)
+    data = b"".join(gzip.decompress(p.read_bytes()) for p in (tmp_path / "w").glob("*.gz"))
+    names, heads = re.findall(rb"WARC-Record-ID: (<urn:uuid:[0-9a-f-]{36}>)\r\n", data), data.count(b"WARC/1.1\r\n")
+    assert len(names) == len(set(names)) == heads == 10 and len(re.findall(rb"WARC-Date: \d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ\r\n", data)) == heads
+    assert re.findall(rb"WARC-Refers-To-Target-URI: (\S+)", data) == [b"urn:page:1"]
+
+
+def test_more_repeats_than_a_broadcast_takes(spark, tmp_path, monkeypatch):
+    pages = spark.createDataFrame([(i, "x" * (100 + i % 7)) for i in range(30)], "page_id long, html string")
+    got = []
+    for most in (100, 3):
+        monkeypatch.setattr(warc, "BROADCAST_ROWS", most)
+        warc.write_archives(pages, f"{tmp_path}/{most}")
+        got.append(sorted((r.page_id, r.record_type, r.refers_to) for r in warc.read_pages(spark, f"{tmp_path}/{most}").collect()))
+    assert got[0] == got[1] == [(i, "revisit" if i > 6 else "response", i % 7 if i > 6 else None) for i in range(30)]
+
+
+def test_reading_other_archives(spark, tmp_path):
+    """Version 1.0, names in other cases, types and targets of any kind, no digest, blocks that aren't text."""
+    block = bytes(range(256)) * 5 + b"\r\n\r\nWARC/1.0\r\n"
+    info, http = b"software: x\r\n", b"HTTP/1.1 200 OK\r\n\r\n" + block
+    data = b"WARC/1.0\r\nwarc-type:warcinfo\r\nWARC-Record-ID: <urn:uuid:1>\r\nWARC-Date: 2020-01-01T00:00:00Z\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (len(info), info)
+    data += b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:2>\r\nWARC-Target-URI: http://example.com/\r\nWARC-Payload-Digest: sha1:ABC\r\nCONTENT-LENGTH: %d\r\n\r\n%s\r\n\r\n" % (len(http), http)
+    (tmp_path / "a.warc.gz").write_bytes(gzip.compress(data[:200]) + gzip.compress(data[200:]))
+    rows = sorted(warc.read_chunks(spark, f"{tmp_path}/a.warc.gz").collect(), key=lambda r: r.record_id)
+    assert [(r.record_type, r.target_uri, r.page_id, r.running_bytes, r.stated_digest, r.last) for r in rows] == [("warcinfo", None, None, len(info), None, True), ("response", "http://example.com/", None, len(http), None, True)]
+    assert rows[1].running_sha256 == hashlib.sha256(http).hexdigest()
+
+
 def plain_jump(key, n):
     key &= 2**64 - 1
     b, j = -1, 0

@@ -13,12 +13,12 @@ from .conftest import AWKWARD
 DIR = "/root/testdata/sf0.001"
 
 
-def brute(rows, percent=80):
+def brute(rows, percent=80, size=2):
     """(doc_id, n_shingles, component_id, kept) of each row, from all pairs."""
     sets = []
     for _, t in rows:
         w = (t or "").encode().lower().split()
-        sets.append(frozenset(zip(w, w[1:])) if len(w) > 1 else frozenset(w))
+        sets.append(frozenset(tuple(w[k : k + size]) for k in range(max(1, len(w) - size + 1))) if w else frozenset())
     up = list(range(len(rows)))
 
     def root(a):
@@ -115,6 +115,83 @@ def test_stage_decides_by_row_where_ids_repeat_or_are_null(spark, docs_of):
     assert got == Counter([(1, "a"), (1, "b"), (2, "c"), (None, "d"), (4, ""), (None, "")])
 
 
+def brute_rows(rows, size):
+    """(doc_id, text) of the rows that stay: the first row by id of each component, rows without words, null ids last."""
+    sets = [frozenset(tuple(w[k : k + size]) for k in range(max(1, len(w) - size + 1))) if (w := (t or "").lower().split()) else None for _, t in rows]
+    left, out = {k for k, v in enumerate(sets) if v}, [x for x, v in zip(rows, sets) if not v]
+    while left:
+        todo, seen = [left.pop()], []
+        while todo:
+            k = todo.pop()
+            seen.append(k)
+            near = {m for m in left if 100 * len(sets[k] & sets[m]) >= 80 * len(sets[k] | sets[m])}
+            left -= near
+            todo += near
+        ids = [rows[k][0] for k in seen if rows[k][0] is not None]
+        out.append((min(ids, default=None), sorted(seen)))
+    return out
+
+
+@pytest.mark.parametrize("size", [2, 5])
+def test_stage_by_brute_force_with_repeated_ids(spark, docs_of, size):
+    """Random tables whose ids repeat over like and unlike texts: of each component one row with the smallest id stays."""
+    rng = np.random.default_rng(size)
+    texts = [t for _, t in copies(11, 6, 5)] + ["", None]
+    rows = [(None if rng.random() < 0.1 else int(rng.integers(25)), texts[rng.integers(len(texts))]) for _ in range(90)]
+    got = Counter((r.doc_id, r.text) for r in near_dup.first_of_groups(docs_of(rows), size=size).collect())
+    want, empty = [x for x in brute_rows(rows, size) if isinstance(x[1], list)], Counter(x for x in rows if not x[1])
+    assert Counter({x: n for x, n in got.items() if not x[1]}) == empty
+    kept = [x for x, n in got.items() if x[1] for _ in range(n)]
+    assert len(kept) == len(want)
+    for first, members in want:
+        own = {rows[k] for k in members}
+        assert len([x for x in kept if x in own and x[0] == first]) == 1
+
+
+def test_of_equal_sets_the_smallest_row_stays(spark, docs_of):
+    rows = [(1, "A b c d e f"), (1, "a b c d e f"), (1, "a  b c d e f"), (None, "x y z u v w"), (None, "X y z u v w")]
+    for own in (rows, rows[::-1]):
+        got = {(r.doc_id, r.text) for r in near_dup.first_of_groups(docs_of(own).repartition(3), size=5).collect()}
+        assert got == {(1, "A b c d e f"), (None, "X y z u v w")}
+
+
+@pytest.mark.parametrize("percent", [80, 100])
+def test_parts_by_size_lose_no_link(spark, docs_of, percent):
+    """Sets of growing size, each near the next: links between neighbouring parts of a locale are found."""
+    words, rows = [f"w{i}" for i in range(400)], []
+    for k in range(60):
+        rows.append((k, " ".join(words[: 20 + 6 * k])))
+        rows.append((100 + k, " ".join([*words[: 20 + 6 * k], f"z{k}"])))
+    assert as_counter(near_dup.near_duplicates(docs_of(rows), percent=percent)) == brute(rows, percent)
+
+
+def test_rows_made_are_few(spark, docs_of, monkeypatch):
+    """A family of N near texts, all under the threshold: cells hold some hundred rows each, and together a small share
+    of the pairs."""
+    rng, made = np.random.default_rng(9), []
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for k in range(600):
+        own = list(base)
+        for at in rng.choice(120, 9, replace=False):
+            own[at] = f"x{rng.integers(10**6)}"
+        rows.append((k, " ".join(own)))
+    job = near_dup.NearDuplicates(docs_of(rows), "doc_id", "text", 80, 2)
+    step = job.step
+
+    def noted(df, name):
+        out = step(df, name)
+        if name in ("targets", "asks"):
+            made.append(out.select("node", "blocks", "slices").collect())
+        return out
+
+    monkeypatch.setattr(job, "step", noted)
+    assert as_counter(job.result()) == brute(rows)
+    targets, asks = made
+    total = sum(r.slices for r in targets) + sum(r.blocks for r in asks)
+    assert total <= 3 * (len(targets) + len(asks)) * (1 + max(r.blocks for r in targets))
+
+
 def test_percents_that_the_search_would_miss_are_refused(docs_of):
     with pytest.raises(ValueError, match="80 percent"):
         near_dup.near_duplicates(docs_of([(1, "x y")]), percent=60)

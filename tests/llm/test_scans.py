@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 import numpy as np
 import pytest
@@ -156,6 +157,49 @@ def test_adjacent_notices_are_all_found():
         assert [(line[a:b], errors) for _, a, b, errors, _ in found] == [(n, int(n == bad)) for n in own]
 
 
+def plain_notices(scanner, line):
+    """The best match of the whole text, then of what lies before and after it."""
+    found = []
+    for label, size, _, pattern in scanner.notices:
+        todo = [(0, len(line))]
+        while todo:
+            a, b = todo.pop()
+            if m := pattern.search(line[a:b]):
+                found.append((label, a + m.start(), a + m.end(), sum(m.fuzzy_counts), size))
+                todo += [(a, a + m.start()), (a + m.end(), b)]
+    return sorted(found)
+
+
+def test_notices_equal_a_plain_search():
+    scanner = license_scan.scanner(tuple(license_scan.PHRASES.items()), tuple(license_scan.NOTICES.items()))
+    rng, some = np.random.default_rng(7), list(license_scan.NOTICES)[:5]
+    for _ in range(60):
+        parts = []
+        for _ in range(rng.integers(1, 6)):
+            chars = list(some[rng.integers(5)])
+            for _ in range(rng.integers(5)):
+                at, what = int(rng.integers(len(chars))), rng.integers(3)
+                chars[at : at + (what != 0)] = [str(rng.choice(list("qe ")))] if what < 2 else []
+            parts.append("".join(chars))
+        line = " ".join(str(rng.choice([" ", " y z ", ""])).join(parts).split())
+        assert sorted(scanner.fuzzy(line)) == plain_notices(scanner, line)
+    lost = "releesed under the mot license released under the mit license"
+    assert [x[1:4] for x in sorted(scanner.fuzzy(lost))] == [(0, 30, 2), (31, 61, 0)]
+
+
+def test_long_repeats_take_time_in_proportion():
+    scanner = license_scan.scanner(tuple(license_scan.PHRASES.items()), tuple(license_scan.NOTICES.items()))
+    began = time.perf_counter()
+    _, base, notices, _ = scanner.scan("Released undr the MIT license; under the MIT license. " * 20_000)
+    assert len(base) == len(notices) == 20_000 and notices[-1][1] == 19_999 * 9 and time.perf_counter() - began < 30
+
+
 def test_op2_query(spark):
     rows = queries.op2_license_scan(spark, DIR)
     assert rows.count() == 200 and rows.where(F.col("n_base") > 0).where("score < 1 or base_labels = ''").count() == 0
+    scanner = license_scan.scanner(tuple(license_scan.PHRASES.items()), tuple(license_scan.NOTICES.items()))
+    text = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{DIR}/documents.parquet").collect()}
+    for r in rows.collect():
+        near = plain_notices(scanner, " ".join(words(text[r.doc_id]))) if len(text[r.doc_id]) < 500 else []
+        if len(text[r.doc_id]) < 500:
+            assert r.n_notices == len(near) and {x[0] for x in near} <= set(r.labels.split(","))

@@ -1,4 +1,5 @@
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -48,6 +49,20 @@ def test_held_out_labels_are_never_read(spark, docs_of):
     assert (a[0] == b[0]).all() and (a[1] == b[1]).all()
 
 
+def test_repeats_and_long_texts_are_bounded(spark, docs_of, monkeypatch):
+    """Copies of labels and rows change nothing; of an id's texts one is learnt from; bytes are bounded."""
+    rows, labels = corpus(300)
+    kind = "doc_id long, quality int, toxic int"
+    a = toxicity.fit(docs_of(rows), spark.createDataFrame(labels, kind))
+    b = toxicity.fit(docs_of(rows * 3), spark.createDataFrame(labels * 2, kind))
+    assert (a[0] == b[0]).all() and (a[1] == b[1]).all()
+    two = [(i, t + " more") for i, t in rows]
+    c, d = (toxicity.fit(docs_of(x), spark.createDataFrame(labels, kind)) for x in ([*rows, *two], [*two, *rows]))
+    assert (c[0] == d[0]).all() and (c[1] == d[1]).all()
+    few = toxicity.fit(docs_of(rows), spark.createDataFrame(labels, kind), toxicity.Settings(max_bytes=1000))
+    assert len(few[0]) < len(a[0])
+
+
 def test_weights_are_few(spark, docs_of):
     rows, labels = corpus()
     at, w = toxicity.fit(docs_of(rows), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
@@ -98,3 +113,19 @@ def test_held_out_accuracy(spark):
     labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{DIR}/labels.parquet").collect()}
     held = [r for r in queries.op7_ftrl_toxicity(spark, DIR).collect() if r.held_out and r.doc_id in labels]
     assert len(held) > 50 and np.mean([r.predicted == labels[r.doc_id] for r in held]) > 0.85
+
+
+def test_held_out_recall(spark):
+    """Of held-out toxic documents that have a word which marks toxic ones, at least 0.9 are found; others have no sign to
+    be found by. Clean ones stay."""
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{DIR}/labels.parquet").collect()}
+    text = {r.doc_id: set(toxicity.words(r.text or "")) for r in spark.read.parquet(f"{DIR}/documents.parquet").collect()}
+    counts = {0: Counter(), 1: Counter()}
+    for i, y in labels.items():
+        if y in counts:
+            counts[y].update(text[i])
+    marks = {w for w, n in counts[1].items() if n >= 8 and not counts[0][w]}
+    held = [r for r in queries.op7_ftrl_toxicity(spark, DIR).collect() if r.held_out and r.doc_id in labels]
+    marked = [r.predicted for r in held if labels[r.doc_id] == 1 and text[r.doc_id] & marks]
+    assert len(marked) >= 8 and np.mean(marked) >= 0.9
+    assert np.mean([r.predicted for r in held if labels[r.doc_id] == 0]) <= 0.03
