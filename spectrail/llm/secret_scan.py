@@ -3,7 +3,12 @@
 Fixed patterns: assignments to names like password or token, access keys and long hexadecimal runs. The rest by two
 character Markov models, of random strings and of ordinary identifiers, trained from labelled samples by counting pairs
 of neighbouring characters (add-one smoothed): a run of 20 characters or more with a letter is a secret if the log
-likelihood ratio of the models is at least `total` in sum and `mean` for each pair.
+likelihood ratio of the models is at least `total` in sum and `mean` for each pair. total = 15 holds where ordinary runs
+are up to e^15, some 3 million, times as frequent as secrets; mean = 0.5 keeps long ordinary runs from adding up small
+sums. By these, of random strings over letters and digits 0.90 are found at 20 characters, 0.97 at 24 and all at 32.
+
+The labelled samples are a table: identifiers and words of the session's own catalogue (names of settings and functions,
+and the words that describe the settings) as ordinary, digests in several alphabets as random.
 
 Positions come from the texts before and of the matches: each match of \\G(.*?)(pattern) begins where the last one
 ended, so the lengths add up to code-point positions in one pass. Texts without a cheap sign of a pattern are not
@@ -31,32 +36,23 @@ HEX, HEX_LEAST = "[0-9a-f]{32,}", 32
 RUN_CHARS, RUN_LEAST = "A-Za-z0-9+/_=-", 20
 RUN = f"[{RUN_CHARS}]{{{RUN_LEAST},}}"
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
-#: Ordinary words that identifiers are made of.
-WORDS = (
-    "get set is has make read write open close file name path user order item list map index count total value data time date start end first last next size width height "
-    "color text string number object array table row column query result error message handler manager service client server request response config default option "
-    "build test check load save update delete insert create find search filter sort group join merge split parse format print log event state store cache buffer stream "
-    "thread process task queue stack node tree graph edge model view control page form field button link image style script module package class method function variable "
-    "the and for with that this from have will would there their which about other into more some than over only could these after most being where through between under "
-    "nation station relation mention ering tional other another thing ness ment able tion ent ing ion ther here with and ere hat was sion over ally ough ight ould "
-    "und der die das nicht ein eine einer werden haben wurde kann sich auch nach ung keit heit lich schaft gegen zwischen ver ber ent ach sch stein tig isch "
-    "les des une dans pour que qui sur avec plus par tout faire leur elle nous vous ment eux aire ette ique ement tion quel cette entre sans comme "
-    "los las una para con por como pero sus del esta este cuando donde todos entre sobre desde mente cion ado idad ando iendo ero osa"
-).split()
 SPANS = "array<struct<start:int,kind:int,stop:int>>"
 
 
 def labelled_samples(spark: SparkSession, rows: int = 2000) -> DataFrame:
-    """(text, random): digests in hexadecimal, base 64 and letters as random strings; joined words as identifiers."""
-    words = F.array(*map(F.lit, WORDS))
-    word = lambda i: F.element_at(words, (F.pmod(F.xxhash64(F.col("id"), F.lit(i)), F.lit(len(WORDS))) + 1).cast("int"))
+    """(text, random): digests in hexadecimal, base 64 and letters as random strings; names of settings, whole and in
+    parts, of functions, and words of descriptions as ordinary ones."""
     ids = spark.range(0, rows, 1, 4)
     digest = F.sha2(F.col("id").cast("string").cast("binary"), 256)
     encoded = F.base64(F.unhex(digest))
     chance = F.array(F.substring(digest, 1, 40), encoded, F.regexp_replace(encoded, "[^A-Za-z0-9]", ""), F.upper(F.regexp_replace(encoded, "[^A-Za-z0-9]", "")), F.lower(F.regexp_replace(encoded, "[^A-Za-z0-9]", "")))
-    parts = [word(i) for i in range(4)]
-    plain = F.array(F.concat_ws("_", *parts), F.concat(*parts), F.concat(parts[0], *(F.initcap(p) for p in parts[1:])), F.concat_ws("-", *parts), F.concat_ws("/", *parts), F.upper(F.concat_ws("_", *parts)), F.concat_ws("_", *parts[:3], F.pmod(F.col("id"), F.lit(100)).cast("string")))
-    return ids.select(F.explode(chance).alias("text"), F.lit(1).alias("random")).union(ids.select(F.explode(plain), F.lit(0)))
+    settings = spark.sql("SET -v").select("key", "meaning")
+    parts = F.filter(F.split("key", "[.]"), lambda x: ~x.isin("spark", "sql"))
+    whole = settings.select(F.explode(F.array(*(F.array_join(parts, by) for by in ("_", "-", "/", "")))).alias("text"))
+    names = settings.select(F.explode(parts).alias("text")).union(spark.sql("SHOW SYSTEM FUNCTIONS").select("function")).distinct()
+    words = settings.select(F.explode(F.split("meaning", "[^A-Za-z]+")).alias("text"))
+    plain = whole.union(names).union(names.select(F.upper("text"))).union(words)
+    return ids.select(F.explode(chance).alias("text"), F.lit(1).alias("random")).union(plain.select("text", F.lit(0)))
 
 
 def train(samples: DataFrame) -> list[float]:
@@ -111,15 +107,23 @@ def base_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*found))
 
 
-def random_spans(text: Column, table: list[float], total: float = 15.0, mean: float = 0.5) -> Column:
-    """Spans of long runs that the model of random strings fits clearly better."""
-    ratios = F.from_json(F.lit(json.dumps([round(x, 3) for x in table])), "array<double>")
+def is_random(run: Column, table: list[float], total: float = 15.0, mean: float = 0.5) -> Column:
+    """Whether the model of random strings fits a run of characters of ALPHABET clearly better."""
+    ratio = likelihood_ratio(run, F.from_json(F.lit(json.dumps([round(x, 3) for x in table])), "array<double>"))
+    return run.rlike("[A-Za-z]") & (ratio >= total) & (ratio >= mean * (F.char_length(run) - 1))
+
 
-    def keep(x: Column) -> Column:
-        ratio = likelihood_ratio(x, ratios)
-        return x.rlike("[A-Za-z]") & (ratio >= total) & (ratio >= mean * (F.char_length(x) - 1))
+def evaluate(samples: DataFrame, table: list[float], total: float = 15.0, mean: float = 0.5) -> DataFrame:
+    """(recall, precision, n_random, n_ordinary) over labelled samples that are runs as a text's are."""
+    runs = samples.where(F.col("text").rlike(f"^{RUN}$") & F.col("random").isNotNull())
+    said = F.when(is_random(F.col("text"), table, total, mean), 1).otherwise(0)
+    sums = runs.select("random", said.alias("said")).agg(F.sum(F.col("random") * F.col("said")).alias("hit"), F.sum("said").alias("said"), F.sum("random").alias("n_random"), F.sum(1 - F.col("random")).alias("n_ordinary"))
+    return sums.select(F.try_divide("hit", "n_random").alias("recall"), F.try_divide("hit", "said").alias("precision"), "n_random", "n_ordinary")
 
-    return _matches(text, RUN, 3, text.rlike(RUN), keep)
+
+def random_spans(text: Column, table: list[float], total: float = 15.0, mean: float = 0.5) -> Column:
+    """Spans of long runs that the model of random strings fits clearly better."""
+    return _matches(text, RUN, 3, text.rlike(RUN), lambda x: is_random(x, table, total, mean))
 
 
 def find_secrets(documents: DataFrame, table: list[float], key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -70,6 +70,32 @@ def test_model_parts_random_strings_from_names(table):
     assert not any(ratio(s, table) >= 15 for s in plain)
 
 
+def test_recall_and_precision_on_held_out_samples(spark):
+    samples = secret_scan.labelled_samples(spark, 500)
+    held = F.pmod(F.xxhash64("text"), F.lit(4)) == 0
+    r = secret_scan.evaluate(samples.where(held), secret_scan.train(samples.where(~held))).first()
+    assert r.n_random > 300 and r.n_ordinary > 150 and r.recall >= 0.97 and r.precision >= 0.99
+
+
+def test_planted_secrets_without_a_key_word(spark, docs_of):
+    """Random strings that the fixed patterns can't see, put into clean documents, are found; nothing else is."""
+    table, rng = secret_scan.train(secret_scan.labelled_samples(spark)), np.random.default_rng(8)
+    chars, rows, planted = list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"), [], set()
+    for r in spark.read.parquet(f"{DIR}/documents.parquet").collect():
+        text = (r.text or "")[:4000]
+        if base_spans(text):
+            continue
+        parts = text.split(" ")
+        if r.doc_id % 2:
+            at, own = int(rng.integers(len(parts) + 1)), "".join(rng.choice(chars, rng.integers(24, 49)))
+            start = len(" ".join(parts[:at])) + (at > 0)
+            parts.insert(at, own)
+            planted.add((r.doc_id, start, start + len(own)))
+        rows.append((r.doc_id, " ".join(parts)))
+    got = {(r.doc_id, x.start, x.stop) for r in secret_scan.find_secrets(docs_of(rows), table).collect() for x in r.spans}
+    assert len(planted) > 60 and len(got & planted) >= 0.95 * len(planted) and len(got - planted) <= 1
+
+
 def test_training_counts_pairs(spark):
     samples = spark.createDataFrame([("ab", 1), ("ab", 1), ("ba", 0), (None, 1), ("x", 1), ("a", None), ("é!", 0)], "text string, random int")
     t, size, at = secret_scan.train(samples), len(secret_scan.ALPHABET), secret_scan.ALPHABET.index
