@@ -293,7 +293,7 @@ class NearDuplicates:
         n = self.nodes.select("node", "n")
         sized = F.floor(F.ln("n") / max(math.log(100 / self.percent), 1e-6)).cast("int")
         found = locales.toDF("node", "locale").union(asked.select(F.col("locale").alias("node"), "locale").distinct())
-        there = self.step(found.join(n, "node").join(asked.select("locale").distinct(), "locale", "left_semi").select("locale", "node", sized.alias("part"), "n"), "there")
+        there = self.step(found.join(n, "node").select("locale", "node", sized.alias("part"), "n"), "there")
         held = there.groupBy("locale", "part").agg(F.count(F.lit(1)).alias("nodes"), F.sum("n").alias("nodes_n"))
         asks = asked.join(n, "node").select("locale", "node", "tree", "n", F.explode(F.array(*(sized + i for i in (-1, 0, 1)))).alias("part"))
         touched = asks.groupBy("locale", "part").agg(F.count(F.lit(1)).alias("askers"), F.sum("n").alias("asked_n"))
