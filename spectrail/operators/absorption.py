@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from ..functions import physics as P
 from ..functions import vectors as V
-from .composition import mixture_density, weight_percent
+from .composition import element_values, mixture_density, weight_percent
+from .kernels import matrix
+from .lookups import lookup
 
 
 def coefficients(macs: DataFrame, elements: Sequence[str], energies: Sequence[float]) -> np.ndarray:
@@ -41,10 +43,33 @@ def correction(q: Column, macs: Sequence[float], masses: Sequence[float], densit
     return F.when(t == 0, F.lit(1.0)).otherwise(P.absorption_factor(mixture_coefficient(weight, macs), rho, t, take_off))
 
 
-def correction_spectra(pixels: DataFrame, q: str, thickness: str, macs: np.ndarray, masses: Sequence[float], densities: Sequence[float], take_off: float) -> DataFrame:
+def line_factors(lines: DataFrame, macs: DataFrame, table: DataFrame, thickness_nm: float, take_off: float) -> DataFrame:
+    """(element, line, factor): absorption of each line in its own element, at the closest tabulated energy, with the
+    element's density. Fails on an element without coefficients or density."""
+    by = macs.groupBy("element").agg(F.array_sort(F.collect_list(F.struct(F.col("energy").alias("k"), F.col("mac").alias("v")))).alias("_t"))
+    rows = lookup(lookup(lines.select("element", "line", "energy"), table.select("element", "density")), by)
+    mac = F.get(F.col("_t.v"), V.nearest(F.col("_t.k"), F.col("energy")))
+    factor = F.lit(1.0) if thickness_nm == 0 else P.absorption_factor(mac, F.col("density"), thickness_nm * P.NM_PER_CM, take_off)
+    return rows.select("element", "line", factor.alias("factor"))
+
+
+def axis_factors(macs: DataFrame, table: DataFrame, elements: Sequence[str], concentrations: Sequence[float], energies: Sequence[float], thickness_nm: float, take_off: float, density: float = 0.0) -> DataFrame:
+    """(channel, factor): absorption of each channel in a mixture of atomic concentrations, of which only the ratios count.
+    The mixture's density unless one is given; without elements the cube law, which needs a density."""
+    spark = macs.sparkSession
+    if not elements:
+        axis = spark.createDataFrame([(i, float(e)) for i, e in enumerate(energies)], "channel int, energy double")
+        return axis.select("channel", P.absorption_factor(P.cube_law(F.col("energy")), density, thickness_nm * P.NM_PER_CM, take_off).alias("factor"))
+    v = element_values(table, elements)
+    one = spark.createDataFrame([(0, [float(c) for c in concentrations], float(thickness_nm))], "pixel_id long, q array<double>, t double")
+    a = correction_spectra(one, "q", "t", coefficients(macs, elements, energies), v["atomic_mass"], v["density"], take_off, density or None)
+    return a.select(F.posexplode("a").alias("channel", "factor"))
+
+
+def correction_spectra(pixels: DataFrame, q: str, thickness: str, macs: np.ndarray, masses: Sequence[float], densities: Sequence[float], take_off: float, density: float | None = None) -> DataFrame:
     """(pixel_id, a): factors of all channels, from compositions q in atomic percent and thickness in nm. Narrow; the
-    table of elements x channels goes to each task once."""
-    if any(d == 0 for d in densities):
+    table of elements x channels goes to each task once. density: in place of the mixture's."""
+    if density is None and any(d == 0 for d in densities):
         raise ValueError("the density of an element is unknown")
     spark = pixels.sparkSession
     shared = spark.sparkContext.broadcast((np.asarray(macs), np.asarray(masses), np.asarray(densities)))
@@ -53,13 +78,16 @@ def correction_spectra(pixels: DataFrame, q: str, thickness: str, macs: np.ndarr
     def factors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mu, m, d = shared.value
         for b in batches:
-            q = np.array([x.as_py() for x in b.column(1)], dtype=np.float64).reshape(b.num_rows, len(m))
+            q = matrix(b.column(1), len(m)).T
             t = np.nan_to_num(b.column(2).to_numpy(zero_copy_only=False).astype(np.float64)) * P.NM_PER_CM
             w = np.nan_to_num(q) * m
             s = w.sum(axis=1, keepdims=True)
             w = np.divide(w, s, out=np.zeros_like(w), where=s != 0)
-            volume = (w / d).sum(axis=1)
-            rho = np.divide(w.sum(axis=1), volume, out=np.zeros(len(w)), where=volume != 0)
+            if density is None:
+                volume = (w / d).sum(axis=1)
+                rho = np.divide(w.sum(axis=1), volume, out=np.zeros(len(w)), where=volume != 0)
+            else:
+                rho = np.full(len(w), density)
             chi = (w @ mu) * (rho * t / sine)[:, None]
             a = np.where(chi > 0, -np.expm1(-chi) / np.where(chi > 0, chi, 1.0), 1.0)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(a) + 1) * a.shape[1], pa.int32()), pa.array(a.ravel()))

@@ -28,10 +28,7 @@ from .measures import normalisation_factor
 from .reshape import dense_sum
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    """channels x pixels of an array column without nulls."""
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(column), -1).T if len(column) else np.zeros((0, 0))
+_matrix = K.matrix
 
 
 def _lists(m: np.ndarray) -> pa.Array:
@@ -262,7 +259,7 @@ def fit_pixels(pixels: DataFrame, g: np.ndarray, fit: Fit, w: np.ndarray | None
 
 def _block(rows: pd.DataFrame, x: str) -> tuple[pd.DataFrame, np.ndarray]:
     rows = rows.sort_values("pixel_id")
-    return rows, np.array(rows[x].tolist(), float).T
+    return rows, K.matrix(pa.array(rows[x], pa.list_(pa.float64())))
 
 
 def fit_blocks(pixels: DataFrame, g: np.ndarray, fit: Fit, components: dict[int, int] | None = None, x: str = "spectrum") -> DataFrame:

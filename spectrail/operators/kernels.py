@@ -3,10 +3,24 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 
 from ..config import Algorithm, Fit, Init
 
 
+def matrix(column: pa.Array, size: int | None = None) -> np.ndarray:
+    """channels x pixels of an array column. Nulls within a row are NaN; ValueError for a null row and for rows that differ
+    in size, or aren't of the given one."""
+    if not len(column):
+        return np.zeros((size or 0, 0))
+    if column.null_count:
+        raise ValueError("a row without values")
+    sizes = np.diff(column.offsets.to_numpy())
+    if (sizes != (size or sizes[0])).any():
+        raise ValueError(f"rows of {sizes.min()} to {sizes.max()} values where all must have {size or 'as many'}")
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1).T
+
+
 def nnls(a: np.ndarray, b: np.ndarray, tol: float = 1e-10) -> np.ndarray:
     """The non-negative x with the least |a x - b|, by active sets (Lawson and Hanson, 1974)."""
     n = a.shape[1]

@@ -15,7 +15,7 @@ from ..functions import vectors as V
 from ..operators import absorption, clustering, composition, dictionary, factorise, filters, fusion, lookups, measures, partitioning, reshape, stencils, thickness
 from ..operators import kernels as K
 from . import fixtures as T
-from .fixtures import AXIS_SQL, CELLS_SQL, DH_SQL, ELEMENTS_SQL, GRID_SQL, IMAGE_SQL, LINES_SQL, LOWLOSS_SQL, Q_SQL
+from .fixtures import AXIS_SQL, CELLS_SQL, DH_SQL, ELEMENTS_SQL, G_SQL, GRID_SQL, IMAGE_SQL, LINES_SQL, LOWLOSS_SQL, MACS_SQL, Q_SQL
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -84,6 +84,83 @@ def g_column_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dictionary.count_columns(nation.select("element"), nation.where("n_regionkey = 1"))
 
 
+def absorbed_sql(size: int, factor: str = "") -> str:
+    """g(channel, g_name, row, value): the dictionary of `size` channels behind 80 nm, absorbed by lines' own elements and,
+    in the background, by all elements alike; row: its place among the names."""
+    chi = "80e0 * 1e-7 / sin(radians(22e0))"
+    return f"""{LINES_SQL}, {ELEMENTS_SQL}, {MACS_SQL}, axis AS (SELECT CAST(i AS INTEGER) AS channel, i * ({size} * (10e0 / {size}) / {size - 1}) + 5e-2 AS energy FROM (SELECT unnest(generate_series(0, {size - 1})) AS i)),
+own AS (SELECT l.element, line, arg_min(mac, (abs(m.energy - l.energy), m.energy)) AS mac FROM lines l JOIN macs m USING (element) GROUP BY l.element, line),
+a AS (SELECT element, line, (1 - exp(-mac * density * {chi})) / (mac * density * {chi}) AS a FROM own JOIN elements USING (element)),
+seen AS (
+  SELECT l.*, a.a, (energy * 1e-2 + 65e-3) / 23548e-4 AS s, (SELECT arg_min(e.efficiency, (abs(e.energy - l.energy), e.energy)) FROM efficiency e) AS eff,
+    CASE WHEN n_nationkey <> 3 THEN '' WHEN l.energy < 2 THEN '_low' ELSE '_high' END AS band
+  FROM lines l JOIN a USING (element, line) WHERE l.energy > 5e-2 AND l.energy < 1005e-2),
+peaks AS (
+  SELECT channel, element || band AS g_name, min(n_nationkey + CASE WHEN n_nationkey > 3 OR band = '_high' THEN 1 ELSE 0 END) AS row,
+    sum(cs * eff * a * exp(-pow(axis.energy - seen.energy, 2) / (2 * s * s)) / (s * sqrt(2 * pi()))) AS value
+  FROM seen CROSS JOIN axis GROUP BY channel, g_name),
+of_channel AS (SELECT channel, element, any_value(atomic_mass) AS mass, any_value(density) AS density, any_value(number) AS number, arg_min(mac, (abs(m.energy - axis.energy), m.energy)) AS mac FROM axis CROSS JOIN elements JOIN macs m USING (element) GROUP BY channel, element),
+weighed AS (SELECT *, 1e0 AS alike, number - CASE WHEN number < 4 THEN 1 ELSE 0 END AS place, ((1e0 + place % 3) + (5e-1 + place % 7)) / 2 AS share FROM of_channel),
+mixed AS (SELECT channel, unnest(['alike', 'share']) AS kind, unnest([sum(mass * mac * alike) / sum(mass / density * alike), sum(mass * mac * share) / sum(mass / density * share)]) * {chi} AS chi FROM weighed GROUP BY channel),
+background AS (
+  SELECT channel, kind, unnest(['background_0', 'background_1']) AS g_name, unnest([26, 27]) AS row,
+    unnest([k * (200e0 - energy) / (energy * 200) * (1 - (200e0 - energy) / 200), k * (200e0 - energy) * (200e0 - energy) / (energy * 40000)]) AS value
+  FROM (SELECT channel, kind, energy, (1 - exp(-chi)) / chi * (SELECT arg_min(e.efficiency, (abs(e.energy - a.energy), e.energy)) FROM efficiency e) AS k FROM axis a JOIN mixed USING (channel))),
+raw AS (SELECT channel, g_name, row, value FROM peaks UNION ALL SELECT channel, g_name, row, value FROM background WHERE kind = 'alike'),
+norms AS (SELECT g_name, sqrt(sum(value * value)) AS n FROM raw GROUP BY g_name),
+g AS (SELECT channel, raw.g_name, row, value / CASE WHEN raw.g_name LIKE 'background%' THEN n ELSE (SELECT avg(n) FROM norms WHERE g_name NOT LIKE 'background%') END AS value FROM raw JOIN norms USING (g_name))"""
+
+
+def absorbed(spark: SparkSession, sf_dir: str, size: int) -> dictionary.Dictionary:
+    names = T.element_names(spark, sf_dir)
+    return dictionary.build(spark, T.instrument(names, size, 80.0), T.lines(spark, sf_dir), T.efficiency(spark, sf_dir), T.macs(spark, sf_dir), T.elements(spark, sf_dir))
+
+
+@query(f"WITH {absorbed_sql(100)} SELECT channel, g_name, round(value, 9) AS value FROM g")
+def dictionary_absorbed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The dictionary with internal absorption of the instrument's thickness."""
+    inst = T.instrument(T.element_names(spark, sf_dir), 100, 80.0)
+    g = dictionary.dictionary(spark, inst, T.lines(spark, sf_dir), T.efficiency(spark, sf_dir), T.macs(spark, sf_dir), T.elements(spark, sf_dir))
+    return g.select("channel", "g_name", r6("value", 9).alias("value"))
+
+
+@query(f"WITH {absorbed_sql(100)} SELECT channel, g_name, round(b.value / n, 9) AS value FROM background b JOIN norms USING (g_name) WHERE kind = 'share'")
+def background_of_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The background anew, absorbed by the mean composition of W."""
+    first = absorbed(spark, sf_dir, 100)
+    new = first.refreshed(T.row_factors(len(first.names)))
+    rows = [(c, n, float(new.g[c, new.names.index(n)])) for n in dictionary.BACKGROUND for c in range(100)]
+    return spark.createDataFrame(rows, "channel int, g_name string, value double").withColumn("value", r6("value", 9))
+
+
+@query(f"""WITH {absorbed_sql(50)}, {CELLS_SQL}, w AS (SELECT DISTINCT row, g_name, 1e0 + row % 3 AS w1, 5e-1 + row % 7 AS w2 FROM g),
+d AS (SELECT channel + 1 AS channel, sum(value * w1) AS d1, sum(value * w2) AS d2 FROM g JOIN w USING (g_name) GROUP BY channel),
+n AS (SELECT sum(d1 * d1) AS a11, sum(d1 * d2) AS a12, sum(d2 * d2) AS a22 FROM d), p AS (SELECT pixel_id, sum(d1 * value) AS b1, sum(d2 * value) AS b2 FROM cells JOIN d USING (channel) GROUP BY pixel_id),
+h AS (SELECT pixel_id, greatest(abs((a22 * b1 - a12 * b2) / (a11 * a22 - a12 * a12)), 1e-14) AS h1, greatest(abs((a11 * b2 - a12 * b1) / (a11 * a22 - a12 * a12)), 1e-14) AS h2 FROM p CROSS JOIN n),
+e AS (SELECT pixel_id, regexp_replace(g_name, '_high$', '') AS element, w1 * h1 + w2 * h2 AS v FROM h CROSS JOIN w WHERE g_name NOT LIKE 'background%' AND NOT regexp_matches(g_name, '_low$'))
+SELECT pixel_id, element, round(100e0 * v / sum(v) OVER (PARTITION BY pixel_id), 5) AS at_percent FROM e""")
+def lines_to_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From lines and an instrument to compositions: the absorbed dictionary, abundances of known components, shares."""
+    from .estimators import BlockWiseUnmixing
+
+    own = absorbed(spark, sf_dir, T.CHANNELS)
+    est = BlockWiseUnmixing(own.g, names=list(own.names), background_rows=own.background_rows)
+    est.w = T.row_factors(len(own.names))
+    est.h = factorise.solve_fixed(T.cube(spark, sf_dir), own.g @ est.w)
+    elements = [e for _, e in est._rows(None)]
+    return by_element(est.quantification(), "q", elements, "at_percent", 5)
+
+
+@query()
+def unmixing_of_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fit with the absorbed dictionary, whose background follows the mean composition once."""
+    from .estimators import Unmixing
+
+    est = Unmixing.of(absorbed(spark, sf_dir, T.CHANNELS), Fit(components=2, max_iter=5, no_stop=True))
+    est.fit_transform(T.cube(spark, sf_dir), refresh=1)
+    return by_element(est.quantification(), "q", [e for _, e in est._rows(None)], "at_percent", 3)
+
+
 # -- cube, blocks, sums ----------------------------------------------------------------------------------------------
 
 
@@ -409,13 +486,13 @@ def tv_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stencils.tv_cost(p, height, T.WIDTH).select(r6("cost", 5).alias("cost"))
 
 
-def _denoise_sql(rounds: int, lam: str) -> str:
+def _denoise_sql(rounds: int, lam: str, columns: str = "pixel_id, round(greatest(out, 0), 6) AS out") -> str:
     steps = [f"WITH {PIX_SQL}, s0 AS (SELECT *, 0e0 AS px, 0e0 AS py, 0e0 AS out FROM pix)"]
     for k in range(1, rounds + 1):
         steps.append(f"o{k} AS (SELECT pixel_id, y, x, value, px, py, value - {lam} * (px + py - lag(px, 1, 0e0) OVER wy - lag(py, 1, 0e0) OVER wx) AS out FROM s{k - 1} {ALONG_SQL})")
         steps.append(f"g{k} AS (SELECT pixel_id, y, x, value, out, px + coalesce(out - lead(out) OVER wy, 0) / (8 * {lam}) AS px, py + coalesce(out - lead(out) OVER wx, 0) / (8 * {lam}) AS py FROM o{k} {ALONG_SQL})")
         steps.append(f"s{k} AS (SELECT pixel_id, y, x, value, out, px / greatest(1, sqrt(px * px + py * py)) AS px, py / greatest(1, sqrt(px * px + py * py)) AS py FROM g{k})")
-    return ", ".join(steps) + f" SELECT pixel_id, round(greatest(out, 0), 6) AS out FROM s{rounds}"
+    return ", ".join(steps) + f" SELECT {columns} FROM s{rounds}"
 
 
 @query(_denoise_sql(3, "15e-2"))
@@ -593,7 +670,7 @@ def quadratic_surrogate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _old(spark, sf_dir).agg((F.sum(linear) + F.sum(square) + 12.0).alias("s")).select(r6("s").alias("surrogate"))
 
 
-def _step(spark: SparkSession, sf_dir: str, fit: Fit, kind: str = "update") -> DataFrame:
+def _step(spark: SparkSession, sf_dir: str, fit: Fit, kind: str = "update", digits: int = 6) -> DataFrame:
     """(pixel_id, comp, value): one step or the gradient of h."""
     import pyarrow as pa
 
@@ -604,10 +681,12 @@ def _step(spark: SparkSession, sf_dir: str, fit: Fit, kind: str = "update") -> D
             if b.num_rows:
                 x, h = factorise._matrix(b.column(1)), factorise._matrix(b.column(2))
                 new = K.update_h(x, d, h, fit) if kind == "update" else K.grad_h(x, d, h, fit)
+                if kind == "step":
+                    new = K.step_h(h, new, 1e3, fit)
                 yield pa.RecordBatch.from_arrays([b.column(0), factorise._lists(new)], ["pixel_id", "v"])
 
     rows = pixels.select("pixel_id", "spectrum", "h").mapInArrow(run, "pixel_id long, v array<double>")
-    return rows.select("pixel_id", F.posexplode("v").alias("comp", "value")).withColumn("value", r6("value"))
+    return rows.select("pixel_id", F.posexplode("v").alias("comp", "value")).withColumn("value", r6("value", digits))
 
 
 FREE = Fit(simplex_w=False)
@@ -632,18 +711,29 @@ def grad_h(spark: SparkSession, sf_dir: str) -> DataFrame:
 WS_SQL = f"{DH_SQL}, s AS (SELECT channel, comp, sum(x / fit * v) AS first, sum(v) AS second, sum(x * v) AS xh, sum(fit * v) AS fh FROM xf JOIN h USING (pixel_id) GROUP BY channel, comp)"
 
 
-def _w_step(spark: SparkSession, sf_dir: str, fit: Fit, kind: str = "update") -> DataFrame:
-    """(channel, comp, value): one step or the gradient of W for an identity dictionary, from sums over pixels."""
-    pixels, d = factors(spark, sf_dir)[0], T.factor_matrix()
-    model = measures.model(d.tolist(), F.col("h"))
-    part = F.col("spectrum") if fit.l2 else V.quotient(F.col("spectrum"), model)
-    two = F.zip_with(part, model, lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    rows = pixels.select("h", F.posexplode(two).alias("channel", "r")).select("channel", "r.a", "r.b", F.posexplode("h").alias("comp", "v"))
-    sums = rows.groupBy("channel", "comp").agg(F.sum(F.col("a") * F.col("v")).alias("first"), F.sum(F.col("b") * F.col("v")).alias("fh"), F.sum("v").alias("second"))
-    w = F.get(F.get(F.array(*(V.literal(r) for r in d.tolist())), F.col("channel")), F.col("comp"))
-    step = F.greatest(w * F.col("first") / (F.col("fh") if fit.l2 else F.col("second")), F.lit(fit.floor))
-    value = step if kind == "update" else F.col("second") - F.col("first")
-    return sums.select((F.col("channel") + 1).alias("channel"), "comp", r6(value).alias("value"))
+def w_sums(pixels: DataFrame, d: np.ndarray, fit: Fit) -> tuple[np.ndarray, np.ndarray]:
+    """What all pixels add to the step of W, by the kernel in each task."""
+    import pyarrow as pa
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                first, second = K.w_sums(K.matrix(b.column(0)), d, K.matrix(b.column(1)), fit)
+                yield pa.RecordBatch.from_arrays([pa.array([[*first.ravel(), *second.ravel()]], pa.list_(pa.float64()))], ["part"])
+
+    found = np.array(reshape.dense_sum(pixels.select("spectrum", "h").mapInArrow(run, "part array<double>"), "part").first()["total"])
+    first, second = found[: d.size].reshape(d.shape), found[d.size :]
+    return first, second.reshape(d.shape[1], -1) if fit.l2 else second
+
+
+def _w_step(spark: SparkSession, sf_dir: str, fit: Fit, kind: str = "update", own: bool = False) -> DataFrame:
+    """(channel or row, comp, value): a step, or the gradient, of W, with an identity dictionary or a small one."""
+    g, w = T.small_dictionary() if own else (np.eye(T.CHANNELS), T.factor_matrix())
+    sums = w_sums(factors(spark, sf_dir)[0], g @ w, fit)
+    grad = K.grad_w(g, sums, g @ w, fit)
+    value = {"update": lambda: K.update_w(w, g, sums, fit), "grad": lambda: grad, "step": lambda: K.step_w(w, grad, 1e6, fit)}[kind]()
+    rows = [(i + (not own), k, float(v)) for i, row in enumerate(value) for k, v in enumerate(row)]
+    return spark.createDataFrame(rows, f"{'row' if own else 'channel'} int, comp int, value double").withColumn("value", r6("value"))
 
 
 @query(f"WITH {WS_SQL} SELECT channel, comp, round(w * first / second, 6) AS value FROM s JOIN d USING (channel, comp)")
@@ -665,11 +755,94 @@ def grad_w(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT round(max(c.s) * 2 * 1e-1 * 1e-1 / pow(1e-1 * 1e-1 * 2, 2), 4) AS w_bound, round((SELECT max(s) FROM p) * 2 * 1e-1 * 1e-1 / pow(1e-1 * 1e-1 * 2, 2), 4) AS h_bound FROM c""")
 def lipschitz_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With an identity dictionary, two components and a floor of 0.1: bounds from the largest channel and pixel sums."""
-    pixels, floor, k = T.cube(spark, sf_dir), 0.1, 2
-    scale = k * floor * floor / (floor * floor * k) ** 2
-    top = pixels.agg(F.max(V.total(F.col("spectrum"))).alias("p"))
-    channels = reshape.summed_spectrum(pixels).agg(F.max("total").alias("c"))
-    return channels.join(F.broadcast(top)).select(r6(F.col("c") * scale, 4).alias("w_bound"), r6(F.col("p") * scale, 4).alias("h_bound"))
+    return _bounds(spark, sf_dir, np.eye(T.CHANNELS), Fit(simplex_w=False, floor=0.1))
+
+
+def _bounds(spark: SparkSession, sf_dir: str, g: np.ndarray, fit: Fit) -> DataFrame:
+    """Both bounds by the kernels: W's from the sum of all spectra, H's as the largest of each task's."""
+    import pyarrow as pa
+
+    pixels = T.cube(spark, sf_dir)
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array([K.lipschitz_h(K.matrix(b.column(0)), g, 2, fit)])], ["h"])
+
+    total = np.array(reshape.dense_sum(pixels).first()["total"])[:, None]
+    top = pixels.select("spectrum").mapInArrow(run, "h double").agg(F.max("h").alias("h"))
+    return top.select(F.lit(round(K.lipschitz_w(total, g, 2, fit.floor), 4)).alias("w_bound"), r6("h", 4).alias("h_bound"))
+
+
+# -- the same kernels with a dictionary of their own -----------------------------------------------------------------
+
+GS_SQL = f"{G_SQL}, s AS (SELECT channel, comp, sum(x / fit * v) AS first, sum(v) AS second, sum(x * v) AS xh, sum(fit * v) AS fh FROM xf JOIN h USING (pixel_id) GROUP BY channel, comp), gs AS (SELECT k, comp, sum(g * first) AS num, sum(g * second) AS den, sum(g * xh) AS xn, sum(g * fh) AS fn FROM g JOIN s USING (channel) GROUP BY k, comp)"
+
+
+def _g_query(name: str, value: str, run: Callable[[SparkSession, str], DataFrame]) -> None:
+    def found(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return run(spark, sf_dir)
+
+    found.__name__ = name
+    query(f"WITH {GS_SQL} SELECT CAST(k AS INTEGER) AS row, CAST(comp AS INTEGER) AS comp, round({value}, 6) AS value FROM gs JOIN w USING (k, comp)")(found)
+
+
+_g_query("kl_update_w_dictionary", "w * num / den", lambda spark, sf_dir: _w_step(spark, sf_dir, FREE, own=True))
+_g_query("l2_update_w_dictionary", "w * xn / fn", lambda spark, sf_dir: _w_step(spark, sf_dir, FREE.change(l2=True), own=True))
+_g_query("grad_w_dictionary", "den - num", lambda spark, sf_dir: _w_step(spark, sf_dir, FREE, "grad", own=True))
+_g_query("grad_w_l2_dictionary", "2 * (fn - xn)", lambda spark, sf_dir: _w_step(spark, sf_dir, FREE.change(l2=True), "grad", own=True))
+_g_query("projected_step_w", "greatest(w - (den - num) / 1e6, 1e-14)", lambda spark, sf_dir: _w_step(spark, sf_dir, FREE, "step", own=True))
+
+
+@query(f"""WITH {G_SQL}, r AS (SELECT channel, sum(g) AS g FROM g GROUP BY channel), c AS (SELECT channel, sum(value) AS s FROM cells GROUP BY channel),
+p AS (SELECT pixel_id, sum(g * 1e-1 * value / pow(g * 1e-2 * 2, 2) * 2 * g * 1e-1) AS s FROM cells JOIN r USING (channel) GROUP BY pixel_id)
+SELECT round(max(2 * 1e-1 * s / pow(g * 1e-2 * 2, 2) * 1e-1), 4) AS w_bound, round((SELECT max(s) FROM p) + 2 * 5e-1 + 3e-1, 4) AS h_bound FROM c JOIN r USING (channel)""")
+def lipschitz_bounds_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _bounds(spark, sf_dir, T.small_dictionary()[0], Fit(simplex_w=False, floor=0.1, ridge=0.5, mu=0.3))
+
+
+@query(f"""WITH {DH_SQL} SELECT round((SELECT sum(fit - greatest(x, 1e-14) * ln(fit) + greatest(x, 1e-14) * ln(greatest(x, 1e-14)) - greatest(x, 1e-14)) FROM xf) + (SELECT 3e-1 * sum(ln(v + 1)) + 25e-2 * sum(v * v) FROM h), 4) AS kl,
+  round((SELECT sum((fit - x) * (fit - x)) / 2 FROM xf), 4) AS l2""")
+def kernel_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The objectives that the fits report, with both penalties and in squares."""
+    import pyarrow as pa
+
+    d, fits = T.factor_matrix(), (FREE.change(mu=0.3, ridge=0.5), FREE.change(l2=True))
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                x, h = K.matrix(b.column(0)), K.matrix(b.column(1))
+                yield pa.RecordBatch.from_arrays([pa.array([K.loss(x, d, h, fit)]) for fit in fits], ["kl", "l2"])
+
+    rows = factors(spark, sf_dir)[0].select("spectrum", "h").mapInArrow(run, "kl double, l2 double")
+    return rows.agg(r6(F.sum("kl"), 4).alias("kl"), r6(F.sum("l2"), 4).alias("l2"))
+
+
+@query(f"""WITH {OLD_SQL}, b AS (SELECT DISTINCT pixel_id, block_id FROM grid), c AS (SELECT block_id, comp, sum(o * v) AS ov, sum(o * o) AS oo, sum(v * v) AS vv, max(v) AS top, sum(ln(o / v) * o - o + v) AS kl FROM o JOIN b USING (pixel_id) GROUP BY block_id, comp)
+SELECT block_id, round(1e-1 * (2 * sum(ov) - sum(oo) + 8 * sum(top * kl) - sum(vv)), 6) AS gap FROM c GROUP BY block_id""")
+def kernel_surrogate_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gap that a line search of a block looks at."""
+    import pandas as pd
+
+    def run(key, rows):
+        old, new = (np.array(rows[c].tolist()).T for c in ("h_old", "h"))
+        return pd.DataFrame({"block_id": [int(key[0])], "gap": [K.surrogate_gap(old, new, 8.0, 0.2)]})
+
+    rows = _old(spark, sf_dir).select("block_id", "h_old", "h").groupBy("block_id").applyInPandas(run, "block_id int, gap double")
+    return rows.withColumn("gap", r6("gap"))
+
+
+@query(f"WITH {H_SQL} SELECT pixel_id, comp, round(df - dx, 4) AS value FROM r")
+def grad_h_l2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _step(spark, sf_dir, FREE.change(l2=True), "grad", 4)
+
+
+@query(f"""WITH {H_SQL}, a AS (SELECT pixel_id, comp, v - (den - num) / 1e3 AS a FROM r JOIN h USING (pixel_id, comp)), t AS (SELECT pixel_id, max(CASE comp WHEN 0 THEN a END) AS a0, max(CASE comp WHEN 1 THEN a END) AS a1 FROM a GROUP BY pixel_id)
+SELECT pixel_id, unnest([0, 1]) AS comp, round(least(greatest((1 + unnest([1, -1]) * (a0 - a1)) / 2, 1e-14), 1), 6) AS value FROM t""")
+def projected_step_h(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A gradient step of H, put back on the simplex."""
+    return _step(spark, sf_dir, FREE.change(simplex_h=True, simplex_tol=1e-10), "step")
 
 
 # -- guards, thresholds, scaling, residuals --------------------------------------------------------------------------
@@ -806,7 +979,9 @@ def abundance_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by_element(q, "q", T.element_names(spark, sf_dir), "at_percent")
 
 
-@query()
+@query(f"""WITH {H_SQL}, t AS (SELECT pixel_id, max(CASE comp WHEN 0 THEN v * num END) AS n0, max(CASE comp WHEN 1 THEN v * num END) AS n1, max(CASE comp WHEN 0 THEN den END) AS d0, max(CASE comp WHEN 1 THEN den END) AS d1 FROM r JOIN h USING (pixel_id, comp) GROUP BY pixel_id),
+q AS (SELECT *, d0 + d1 - n0 - n1 AS b, d0 * d1 - n0 * d1 - n1 * d0 AS c FROM t), u AS (SELECT *, (-b + sqrt(b * b - 4 * c)) / 2 AS nu FROM q)
+SELECT pixel_id, unnest([0, 1]) AS comp, round(greatest(unnest([n0 / (d0 + nu), n1 / (d1 + nu)]), 1e-14), 6) AS value FROM u""")
 def bisection_simplex(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One step of H on the simplex: the values of each pixel add up to 1."""
     return _step(spark, sf_dir, Fit(simplex_w=False, simplex_h=True, simplex_tol=1e-9))
@@ -1004,7 +1179,7 @@ def haadf_cost_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return costs.select("block_id", "round", *(r6(c, 4).alias(c) for c in ("image_cost", "chemical_cost", "variation_cost")))
 
 
-@query()
+@query(_denoise_sql(3, "15e-2", "'all' AS element, y, x, round(greatest(out, 0), 6) AS value"))
 def tv_denoise_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The kernel form of total-variation denoising, a map in each task."""
     rows = T.grid(spark, sf_dir).select(F.lit("all").alias("element"), "y", "x", (V.total(F.col("spectrum")) / 100.0).alias("value"))
@@ -1027,9 +1202,47 @@ def abundance_by_block(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("block_id", "pixel_id", F.posexplode("h").alias("comp", "h")).withColumn("h", r6("h", 4))
 
 
-@query()
+def _abundance_sql(rounds: int) -> str:
+    steps = [f"{SOLVE_SQL}, dw AS (SELECT channel, sum(CASE comp WHEN 0 THEN w END) AS w1, sum(CASE comp WHEN 1 THEN w END) AS w2 FROM d GROUP BY channel), a0 AS (SELECT pixel_id, h1, h2 FROM s)"]
+    for k in range(rounds):
+        steps.append(f"a{k + 1} AS (SELECT pixel_id, greatest(h1 * sum(w1 * value / (w1 * h1 + w2 * h2)) / sum(w1), 1e-14) AS h1, greatest(h2 * sum(w2 * value / (w1 * h1 + w2 * h2)) / sum(w2), 1e-14) AS h2 FROM cells JOIN dw USING (channel) JOIN a{k} USING (pixel_id) GROUP BY pixel_id, h1, h2)")
+    return ", ".join(steps)
+
+
+@query(f"{_abundance_sql(5)} SELECT pixel_id, unnest([0, 1]) AS comp, round(unnest([h1, h2]), 4) AS h FROM a5")
 def abundance_distributed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Abundances by iteration with fixed spectra, over all pixels together."""
     fit = Fit(components=2, simplex_w=False, max_iter=5, no_stop=True)
     _, h, _ = factorise.fit_pixels(T.cube(spark, sf_dir), np.eye(T.CHANNELS), fit, T.factor_matrix(), update_w=False)
     return h.select("pixel_id", F.posexplode("h").alias("comp", "h")).withColumn("h", r6("h", 4))
+
+
+def _nmf_sql(rounds: int) -> str:
+    """Updates of H and W in turn from the least-squares start, then the factors that bring H's columns nearest to 1."""
+    steps = [f"{SOLVE_SQL}, dw0 AS (SELECT channel, sum(CASE comp WHEN 0 THEN w END) AS w1, sum(CASE comp WHEN 1 THEN w END) AS w2 FROM d GROUP BY channel), a0 AS (SELECT pixel_id, h1, h2 FROM s)"]
+    for k in range(rounds):
+        steps.append(f"a{k + 1} AS (SELECT pixel_id, greatest(h1 * sum(w1 * value / (w1 * h1 + w2 * h2)) / sum(w1), 1e-14) AS h1, greatest(h2 * sum(w2 * value / (w1 * h1 + w2 * h2)) / sum(w2), 1e-14) AS h2 FROM cells JOIN dw{k} USING (channel) JOIN a{k} USING (pixel_id) GROUP BY pixel_id, h1, h2)")
+        steps.append(f"dw{k + 1} AS (SELECT channel, greatest(w1 * sum(h1 * value / (w1 * h1 + w2 * h2)) / sum(h1), 1e-14) AS w1, greatest(w2 * sum(h2 * value / (w1 * h1 + w2 * h2)) / sum(h2), 1e-14) AS w2 FROM cells JOIN dw{k} USING (channel) JOIN a{k + 1} USING (pixel_id) GROUP BY channel, w1, w2)")
+    steps.append(f"m AS (SELECT sum(h1 * h1) AS m11, sum(h1 * h2) AS m12, sum(h2 * h2) AS m22, sum(h1) AS s1, sum(h2) AS s2 FROM a{rounds})")
+    steps.append("f AS (SELECT (m22 * s1 - m12 * s2) / (m11 * m22 - m12 * m12) AS f1, (m11 * s2 - m12 * s1) / (m11 * m22 - m12 * m12) AS f2 FROM m)")
+    return ", ".join(steps)
+
+
+def _given_start(spark: SparkSession, sf_dir: str) -> tuple[np.ndarray, DataFrame]:
+    fit = Fit(components=2, simplex_w=False, max_iter=2, no_stop=True)
+    w, h, _ = factorise.fit_pixels(T.cube(spark, sf_dir), np.eye(T.CHANNELS), fit, T.factor_matrix())
+    return w, h
+
+
+@query(f"{_nmf_sql(2)} SELECT pixel_id, unnest([0, 1]) AS comp, round(unnest([h1 * f1, h2 * f2]), 6) AS h FROM a2 CROSS JOIN f")
+def distributed_nmf_given_start(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two rounds of the whole-image fit from a given W: its abundances."""
+    return _given_start(spark, sf_dir)[1].select("pixel_id", F.posexplode("h").alias("comp", "h")).withColumn("h", r6("h"))
+
+
+@query(f"{_nmf_sql(2)} SELECT channel, unnest([0, 1]) AS comp, round(unnest([w1 / f1, w2 / f2]), 4) AS w FROM dw2 CROSS JOIN f")
+def distributed_nmf_spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two rounds of the whole-image fit from a given W: its spectra."""
+    w = _given_start(spark, sf_dir)[0]
+    rows = spark.createDataFrame([(c + 1, k, float(v)) for c, row in enumerate(w) for k, v in enumerate(row)], "channel int, comp int, w double")
+    return rows.withColumn("w", r6("w", 4))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..config import BlockFit, Classifier, Fit, Fusion
 from ..operators import absorption, clustering, composition, factorise, filters, fusion, measures, thickness
+from ..operators.dictionary import Dictionary
 from ..sources.blocks import corrected
 
 
@@ -93,17 +94,32 @@ class Unmixing(_Maps):
     def __init__(self, g: np.ndarray, fit: Fit = Fit(), names: Sequence[str] | None = None, table: DataFrame | None = None, background_rows: int = 2) -> None:
         super().__init__(g, names, table, background_rows)
         self.fit, self.report_of_fit = fit, {}
+        self.dictionary: Dictionary | None = None
 
-    def fit_transform(self, pixels: DataFrame, factors: DataFrame | None = None, w: np.ndarray | None = None, fixed_w: np.ndarray | None = None, h: DataFrame | None = None, fixed_h: DataFrame | None = None) -> DataFrame:
+    @classmethod
+    def of(cls, dictionary: Dictionary, fit: Fit = Fit(), table: DataFrame | None = None) -> Unmixing:
+        """An estimator of a dictionary from build()."""
+        own = cls(dictionary.g, fit, list(dictionary.names), table, dictionary.background_rows)
+        own.dictionary = dictionary
+        return own
+
+    def fit_transform(self, pixels: DataFrame, factors: DataFrame | None = None, w: np.ndarray | None = None, fixed_w: np.ndarray | None = None, h: DataFrame | None = None, fixed_h: DataFrame | None = None, refresh: int = 0) -> DataFrame:
         """(pixel_id, h) of pixels(pixel_id, spectrum), which are divided by absorption factors (pixel_id, a) if given.
 
-        h, fixed_h: (pixel_id, h) of a start, and of values that stay, where null and NaN are free.
+        h, fixed_h: (pixel_id, h) of a start, and of values that stay, where null and NaN are free. refresh: how often the
+        background is made anew from the fit's mean composition, and the fit taken up again from there; 0 leaves G alone.
         """
         data = filters.non_negative(pixels if factors is None else corrected(pixels, factors))
         fit = self.fit
         if fit.simplex_w and fit.simplex_rows is None:
             fit = fit.change(simplex_rows=tuple(i for i, _ in self._rows(None)))
         self.w, self.h, self.report_of_fit = factorise.fit_pixels(data, self.g, fit, w, fixed_w, h=h, fixed_h=fixed_h)
+        for _ in range(refresh):
+            if self.dictionary is None or self.dictionary.refreshed is None:
+                raise ValueError("only the background of a dictionary with internal absorption can be refreshed")
+            self.dictionary = self.dictionary.refreshed(self.w)
+            self.g = self.dictionary.g
+            self.w, self.h, self.report_of_fit = factorise.fit_pixels(data, self.g, fit, self.w, fixed_w, h=self.h, fixed_h=fixed_h)
         return self.h
 
 

@@ -85,8 +85,8 @@ def macs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").join(regions).select(F.col("n_name").alias("element"), (r * 2.0 + 0.7).alias("energy"), ((k + 10.0) * 3.0 / (r + 1.0)).alias("mac"))
 
 
-def instrument(names: list[str]) -> Instrument:
-    return Instrument(beam_energy=200.0, axis_size=100, axis_scale=0.1, axis_offset=0.05, elements=tuple(names), split_elements=(names[3],), split_energies=(2.0,))
+def instrument(names: list[str], size: int = 100, thickness: float = 0.0) -> Instrument:
+    return Instrument(beam_energy=200.0, axis_size=size, axis_scale=10.0 / size, axis_offset=0.05, elements=tuple(names), split_elements=(names[3],), split_energies=(2.0,), thickness=thickness)
 
 
 def factor_matrix() -> np.ndarray:
@@ -95,6 +95,18 @@ def factor_matrix() -> np.ndarray:
     return np.column_stack([1.0 + c % 3, 0.5 + c % 7])
 
 
+def small_dictionary() -> tuple[np.ndarray, np.ndarray]:
+    """A fixed G of 50 channels and three columns, and W of two components."""
+    c, k, m = np.arange(1, CHANNELS + 1)[:, None], np.arange(3), np.arange(2)
+    return 1.0 + (c * (k + 2)) % 4, 1.0 + (k[:, None] + 2 * m) % 3
+
+
+def row_factors(rows: int) -> np.ndarray:
+    """A fixed W of two components."""
+    i = np.arange(rows)
+    return np.column_stack([1.0 + i % 3, 0.5 + i % 7])
+
+
 def factor_h(pixel: str = "pixel_id"):
     """A fixed h of two components."""
     return F.array((F.col(pixel) % 3 + 1.0).cast("double"), (F.col(pixel) % 4 + 0.5).cast("double"))
@@ -119,12 +131,18 @@ LINES_SQL = """lines AS (
   UNION ALL SELECT n_name, n_nationkey, 'Kb1', n_nationkey * 31e-2 + 16e-1, ((n_nationkey % 5) + 1e0) * 3e-1 FROM nation),
 efficiency AS (SELECT r_regionkey * 2e0 + 7e-1 AS energy, 9e-1 - r_regionkey * 1e-1 AS efficiency FROM region)"""
 AXIS_SQL = """axis AS (SELECT CAST(i AS INTEGER) AS channel, i * (100 * 1e-1 / 99) + 5e-2 AS energy FROM (SELECT unnest(generate_series(0, 99)) AS i))"""
+FIT_SQL = """h AS (SELECT s_suppkey AS pixel_id, 0 AS comp, s_suppkey % 3 + 1e0 AS v FROM supplier UNION ALL SELECT s_suppkey, 1, s_suppkey % 4 + 5e-1 FROM supplier),
+dh AS (SELECT pixel_id, channel, sum(w * v) AS fit FROM d JOIN h USING (comp) GROUP BY pixel_id, channel),
+xf AS (SELECT cells.pixel_id, cells.channel, value AS x, fit FROM cells JOIN dh USING (pixel_id, channel))"""
 DH_SQL = f"""{GRID_SQL}, d AS (
   SELECT CAST(c AS INTEGER) AS channel, 0 AS comp, 1e0 + c % 3 AS w FROM (SELECT unnest(generate_series(1, {CHANNELS})) AS c)
   UNION ALL SELECT CAST(c AS INTEGER), 1, 5e-1 + c % 7 FROM (SELECT unnest(generate_series(1, {CHANNELS})) AS c)),
-h AS (SELECT s_suppkey AS pixel_id, 0 AS comp, s_suppkey % 3 + 1e0 AS v FROM supplier UNION ALL SELECT s_suppkey, 1, s_suppkey % 4 + 5e-1 FROM supplier),
-dh AS (SELECT pixel_id, channel, sum(w * v) AS fit FROM d JOIN h USING (comp) GROUP BY pixel_id, channel),
-xf AS (SELECT cells.pixel_id, cells.channel, value AS x, fit FROM cells JOIN dh USING (pixel_id, channel))"""
+{FIT_SQL}"""
+G_SQL = f"""{GRID_SQL}, g AS (SELECT CAST(c AS INTEGER) AS channel, k, 1e0 + (c * (k + 2)) % 4 AS g FROM (SELECT unnest(generate_series(1, {CHANNELS})) AS c) CROSS JOIN (SELECT unnest([0, 1, 2]) AS k)),
+w AS (SELECT k, comp, 1e0 + (k + 2 * comp) % 3 AS w FROM (SELECT unnest([0, 1, 2]) AS k) CROSS JOIN (SELECT unnest([0, 1]) AS comp)),
+d AS (SELECT channel, comp, sum(g * w) AS w FROM g JOIN w USING (k) GROUP BY channel, comp),
+{FIT_SQL}"""
+MACS_SQL = "macs AS (SELECT n_name AS element, r_regionkey * 2e0 + 7e-1 AS energy, (n_nationkey + 10e0) * 3 / (r_regionkey + 1e0) AS mac FROM nation CROSS JOIN region)"
 LOWLOSS_SQL = f"""lowcells AS (
   SELECT u.user_id AS pixel_id, CAST(c.channel AS INTEGER) AS channel, coalesce(v.value, 0e0) AS value
   FROM (SELECT DISTINCT user_id FROM events) u CROSS JOIN (SELECT unnest(generate_series(0, {HOURS - 1})) AS channel) c
