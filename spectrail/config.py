@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass, field, replace
 from enum import StrEnum
 
@@ -86,6 +87,35 @@ class Instrument:
         if set(self.split_elements) - set(self.elements):
             raise ValueError("split elements must be among the elements")
 
+    @classmethod
+    def from_metadata(cls, metadata: Mapping, axis: Mapping, **given) -> Instrument:
+        """From a dataset's nested metadata and its energy axis (size, scale, offset); what is given and isn't None wins.
+
+        Beam energy, detector angles, stage tilt and the sample's elements stand where electron microscopy files have them.
+        """
+
+        def at(*path: str):
+            here = metadata
+            for step in path:
+                if step not in here:
+                    raise ValueError(f"not in the metadata: {'.'.join(path)}")
+                here = here[step]
+            return here
+
+        tem = ("Acquisition_instrument", "TEM")
+        sources = {
+            "beam_energy": lambda: float(at(*tem, "beam_energy")),
+            "azimuth": lambda: float(at(*tem, "Detector", "EDS", "azimuth_angle")),
+            "elevation": lambda: float(at(*tem, "Detector", "EDS", "elevation_angle")),
+            "tilt": lambda: float(at(*tem, "Stage", "tilt_alpha")),
+            "axis_size": lambda: int(axis["size"]),
+            "axis_scale": lambda: float(axis["scale"]),
+            "axis_offset": lambda: float(axis["offset"]),
+            "elements": lambda: tuple(at("Sample", "elements")),
+        }
+        own = {k: v for k, v in given.items() if v is not None}
+        return cls(**{k: f() for k, f in sources.items() if k not in own}, **own)
+
     @property
     def dictionary_columns(self) -> int:
         if self.problem == ProblemType.IDENTITY:
@@ -96,7 +126,8 @@ class Instrument:
 
 @dataclass(frozen=True)
 class Fit:
-    """Of a factorisation. Simplex constraints exclude each other; l2 excludes both penalties."""
+    """Of a factorisation. Simplex constraints exclude each other; l2 excludes both penalties. verbose: the whole-image fit
+    prints its loss every ten rounds, and its time."""
 
     components: int = 2
     init: Init = Init.NNDSVD
@@ -119,6 +150,7 @@ class Fit:
     no_stop: bool = False
     line_search: bool = False
     simplex_rows: tuple[int, ...] | None = None
+    verbose: bool = False
 
     def __post_init__(self) -> None:
         if self.simplex_w and self.simplex_h:
@@ -137,7 +169,7 @@ class Fit:
 
 @dataclass(frozen=True)
 class BlockFit:
-    """Of the block-wise pipeline."""
+    """Of the block-wise pipeline. poisson: blocks are normalised for counting noise before all else."""
 
     fit: Fit = field(default_factory=Fit)
     clusters: int = 2
@@ -150,3 +182,4 @@ class BlockFit:
     separation: int = 0
     seed: int = 0
     solve_by_svd: bool = True
+    poisson: bool = False

@@ -77,6 +77,28 @@ def nearest(keys: Column, value: Column) -> Column:
     return argmin(F.transform(keys, lambda k: F.abs(k - value)))
 
 
+def below(keys: Column, value: Column) -> Column:
+    """How many keys of a sorted array are below value, by halves."""
+    n = F.size(keys)
+    first = F.struct(F.lit(0).alias("low"), n.alias("high"))
+
+    def half(acc: Column, _: Column) -> Column:
+        mid = F.floor((acc["low"] + acc["high"]) / 2).cast("int")
+        up = F.get(keys, mid) < value
+        open_ = acc["low"] < acc["high"]
+        return F.struct(F.when(open_ & up, mid + 1).otherwise(acc["low"]).alias("low"), F.when(open_ & ~up, mid).otherwise(acc["high"]).alias("high"))
+
+    return F.aggregate(F.sequence(F.lit(0), F.ceil(F.log2(n + 1.0)).cast("int")), first, half, lambda acc: acc["low"])
+
+
+def nearest_sorted(keys: Column, value: Column) -> Column:
+    """Index from 0 of the key closest to value in a sorted array, the first of equals; null without keys or value."""
+    i = below(keys, value)
+    left, right = F.get(keys, i - 1), F.get(keys, i)
+    down = F.coalesce(value - left <= right - value, left.isNotNull())
+    return F.when(value.isNotNull() & (F.size(keys) > 0), F.when(down, below(keys, left)).otherwise(i))
+
+
 # -- distances ---------------------------------------------------------------------------------------------------
 
 

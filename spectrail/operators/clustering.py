@@ -58,12 +58,9 @@ def kmeans(data: np.ndarray, k: int, rounds: int, tol: float, seed: int) -> tupl
 def spectral_clusters(points: DataFrame, k: int, sigma: float, metric: str = "manhattan", p: int = 3, rounds: int = 100, tol: float = 1e-10, seed: int = 0) -> DataFrame:
     """(point_id, cluster, distance): k-means of the Laplacian's first k eigenvectors. The points are a few for each block."""
     spark = points.sparkSession
-    rows = normalised_laplacian(similarity_graph(points, metric, sigma, p)).collect()
-    ids = sorted({r["i"] for r in rows})
-    place = {v: i for i, v in enumerate(ids)}
-    m = np.zeros((len(ids), len(ids)))
-    for r in rows:
-        m[place[r["i"]], place[r["j"]]] = r["l"]
+    graph = normalised_laplacian(similarity_graph(points, metric, sigma, p))
+    rows = graph.groupBy("i").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "l"))), lambda x: x["l"]).alias("l")).orderBy("i").toPandas()
+    ids, m = rows["i"].tolist(), np.array(rows["l"].tolist())
     vectors = np.linalg.eigh(m)[1][:, :k]
     vectors = vectors * np.where(vectors[np.abs(vectors).argmax(axis=0), np.arange(k)] < 0, -1, 1)
     labels, _, distance = kmeans(vectors, k, rounds, tol, seed)
@@ -142,7 +139,12 @@ def abundances_nnls(points: DataFrame, endmembers: np.ndarray, features: str = "
     shared = points.sparkSession.sparkContext.broadcast(np.asarray(endmembers))
 
     def solve(column: pd.Series) -> pd.Series:
-        return column.map(lambda v: np.maximum(nnls(shared.value, np.asarray(v, float)), 1e-10))
+        """What least squares give without a bound where that is positive, for all rows at once; else by active sets."""
+        ends, v = shared.value, np.array(column.tolist(), float).reshape(len(column), -1).T
+        free = np.linalg.lstsq(ends, v, rcond=None)[0] if len(column) else np.zeros((ends.shape[1], 0))
+        for k in np.flatnonzero((free < 0).any(axis=0)):
+            free[:, k] = nnls(ends, v[:, k])
+        return pd.Series(list(np.maximum(free, 1e-10).T))
 
     return points.withColumn("a", F.pandas_udf(solve, "array<double>")(F.col(features)))
 

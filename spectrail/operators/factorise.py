@@ -10,6 +10,7 @@ Block by block: a group is a block, and a fit of a block is one kernel call.
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Iterator, Sequence
 
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ..config import Algorithm, Fit, Init
 from ..functions import vectors as V
-from ..sources.shared import written
+from ..sources.shared import delete, discard, shared_dir, written
 from . import kernels as K
 from .measures import normalisation_factor
 from .reshape import dense_sum
@@ -160,7 +161,8 @@ def without_empty(pixels: DataFrame, floor: float, x: str = "spectrum") -> DataF
 
 
 class Spectra:
-    """Spectra in buckets by pixel, so that joins with them by pixel move the other side only. Dropped by close()."""
+    """Spectra in buckets by pixel, in the shared folder, so that joins with them by pixel move the other side only. Deleted
+    by close()."""
 
     def __init__(self, pixels: DataFrame, x: str, factor: float = 1.0, fixed_h: DataFrame | None = None) -> None:
         self.spark = pixels.sparkSession
@@ -172,7 +174,8 @@ class Spectra:
             fixed = fixed_h.select(F.col("pixel_id").cast("long").alias("pixel_id"), F.transform("h", lambda v: F.coalesce(v, F.lit(float("nan")))).alias("_fixed"))
             width = fixed.agg(F.max(F.size("_fixed"))).first()[0] or 1
             own = own.join(fixed, "pixel_id", "left").select("pixel_id", "x", F.coalesce("_fixed", F.array_repeat(F.lit(float("nan")), width)).alias("fixed"))
-        own.repartition(buckets, "pixel_id").write.bucketBy(buckets, "pixel_id").format("parquet").saveAsTable(self.name)
+        self.path = f"{shared_dir(self.spark)}/{self.name}"
+        own.repartition(buckets, "pixel_id").write.bucketBy(buckets, "pixel_id").format("parquet").option("path", self.path).saveAsTable(self.name)
 
     def with_h(self, h: DataFrame) -> DataFrame:
         """(pixel_id, x, h), and the fixed values of h if there are any"""
@@ -180,6 +183,7 @@ class Spectra:
 
     def close(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        delete(self.spark, self.path)
 
 
 def _pass(spectra: Spectra, h: DataFrame, d: np.ndarray, top: np.ndarray | None, fit: Fit, sigma: float | None = None) -> DataFrame:
@@ -217,11 +221,12 @@ def fit_pixels(pixels: DataFrame, g: np.ndarray, fit: Fit, w: np.ndarray | None
         raise ValueError("the distributed fit takes multiplicative algorithms")
     if fit.safe:
         pixels = without_empty(pixels, fit.floor, x)
+    began = time.perf_counter()
     factor = (normalisation_factor(pixels, fit.components, x).first()["factor"] or 1.0) if fit.normalise else 1.0
     spectra = Spectra(pixels, x, factor, fixed_h)
     try:
         w, h = start(pixels.sparkSession.table(spectra.name), g, fit, w, h, "x")
-        h = written(h, "start")
+        h = cut = written(h, "start")
         top, sigma, search = _tops(h) if fit.ridge else None, fit.sigma, fit.line_search and fit.ridge
         trace, before, why, initial, cells = [], np.inf, "max_iter", None, g.shape[0] * w.shape[1]
         for k in range(fit.max_iter):
@@ -234,24 +239,33 @@ def fit_pixels(pixels: DataFrame, g: np.ndarray, fit: Fit, w: np.ndarray | None
                 gap = 2 * cross - old_square + sigma * (top * kl).sum() - new_square
                 sigma *= 1 / 1.05 if gap > 0 else 1.5
             first, second, (value, total, size) = s[:cells].reshape(g.shape[0], -1), s[cells:-3], s[-3:]
+            if (k + 1) % cut_every == 0:  # nothing reads what was written before
+                discard(cut)
+                cut = h
             old.unpersist()
             old_w, now = w, value / size
             if update_w:
                 w = K.update_w(w, g, (first, second.reshape(w.shape[1], -1) if fit.l2 else second), fit, fixed_w, total)
             initial = now if initial is None else initial
             trace.append(float(now))
+            if fit.verbose and k % 10 == 0:
+                print(f"round {k + 1}: loss {now:.6g}")
             changed = K.relative_change(w, old_w, fit.tol) if update_w else np.inf
             if not fit.no_stop and (why := K.stopped(changed, np.inf, before, now, initial, fit.tol)):
                 break
             why, before = "max_iter", now
         result = written(h.select("pixel_id", "h"), "h")
+        discard(cut)
         h.unpersist()
     finally:
         spectra.close()
     if update_w and not fit.simplex_w and not fit.simplex_h:
         by = K.rescale(gram(result, "h"), np.array(dense_sum(result, "h").first()["total"]))
         w, result = w / by, result.withColumn("h", F.zip_with("h", V.literal(by), lambda a, b: a * b))
-    return w / factor, result, {"iterations": len(trace), "loss": trace[-1], "trace": trace, "stopped": why}
+    seconds = time.perf_counter() - began
+    if fit.verbose:
+        print(f"{len(trace)} rounds in {seconds:.1f} s: {why}")
+    return w / factor, result, {"iterations": len(trace), "loss": trace[-1], "trace": trace, "stopped": why, "seconds": seconds}
 
 
 # -- block by block --------------------------------------------------------------------------------------------------

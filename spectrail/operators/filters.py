@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions import vectors as V
+from .lookups import small
 
 
 def non_negative(pixels: DataFrame, spectrum: str = "spectrum") -> DataFrame:
@@ -26,7 +26,7 @@ def without_zero_lines(cells: DataFrame, eps: float) -> DataFrame:
     """(pixel_id, channel, value): channels and pixels that are 0 throughout become eps; fails on negative values."""
     v = F.when(F.col("value") < 0, F.raise_error(F.lit("negative values")).cast("double")).otherwise(F.col("value"))
     sums = lambda key: cells.groupBy(key).agg(F.sum("value").alias(f"_{key}"))
-    joined = cells.withColumn("value", v).join(sums("channel"), "channel").join(sums("pixel_id"), "pixel_id")
+    joined = cells.withColumn("value", v).join(small(sums("channel")), "channel").join(sums("pixel_id"), "pixel_id")
     empty = (F.col("_channel") == 0) | (F.col("_pixel_id") == 0)
     return joined.select("pixel_id", "channel", F.when(empty, F.lit(eps)).otherwise(F.col("value")).alias("value"))
 
@@ -40,10 +40,6 @@ def masked(fixed: Column, value: Column) -> Column:
     return F.coalesce(fixed, value)
 
 
-def residual_floor(value: Column, least: float = 1e-14) -> Column:
-    return F.when(value <= 0, F.lit(least)).otherwise(value)
-
-
 def snapped(value: Column, low: float = 1e-3, high: float = 0.98) -> Column:
     """Small values become 0, large ones 1."""
     return F.when(value <= low, F.lit(0.0)).when(value >= high, F.lit(1.0)).otherwise(value)
@@ -98,7 +94,3 @@ def separate_blocks(points: DataFrame, order: int) -> DataFrame:
         return rows.assign(features=list(m.T))
 
     return points.groupBy("block_id").applyInPandas(block, points.schema)
-
-
-def fill(column: Column, value: float = 1e-14) -> Column:
-    return V.fill_nan(column, value)

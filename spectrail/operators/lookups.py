@@ -6,11 +6,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..sources.shared import written
 
-#: Rows that a lookup table may have to be sent whole to each task.
+#: Rows that a lookup table may have to be sent whole to each task; larger ones are joined or sent in parts.
 LOOKUP_ROWS = 100_000
 
 
+def small(table: DataFrame) -> DataFrame:
+    """The table, written, and sent whole to each task where a count shows that it may be: for joins whose other side has
+    few keys with many rows each."""
+    own = written(table, "small")
+    return F.broadcast(own) if own.count() <= LOOKUP_ROWS else own
+
+
 def lookup(rows: DataFrame, table: DataFrame, key: str = "element") -> DataFrame:
     """Inner join with a dimension; the query fails on a key that the dimension lacks."""
     joined = rows.join(table.withColumn("_found", F.lit(True)), key, "left")
@@ -21,19 +29,26 @@ def lookup(rows: DataFrame, table: DataFrame, key: str = "element") -> DataFrame
 def nearest(rows: DataFrame, key: Column, table: DataFrame, table_key: str, value: str, out: str) -> DataFrame:
     """Add the value of the table's row whose key is closest; of equals the first in order of the key.
 
-    The table goes to each task as one row of two arrays, after a count of its rows.
+    The table goes to each task as a row of two sorted arrays, searched by halves; a table of more than LOOKUP_ROWS rows
+    as several such rows, of which each gives its best.
     """
-    if table.count() > LOOKUP_ROWS:
-        raise ValueError(f"a nearest-key table may have {LOOKUP_ROWS} rows")
-    sorted_rows = F.array_sort(F.collect_list(F.struct(F.col(table_key).alias("k"), F.col(value).alias("v"))))
-    one = table.agg(sorted_rows.alias("_t"))
-    found = F.get(F.col("_t.v"), V.nearest(F.col("_t.k"), key))
-    return rows.join(F.broadcast(one)).withColumn(out, found).drop("_t")
+    parts = max(1, -(-table.count() // LOOKUP_ROWS))
+    dealt = table.select(F.struct(F.col(table_key).alias("k"), F.col(value).alias("v")).alias("_p"), F.pmod(F.xxhash64(table_key, value), F.lit(parts)).alias("_part")).where("_p.k is not null")
+    best, names = None, []
+    for i in range(parts):
+        one = dealt.where(F.col("_part") == i).agg(F.array_sort(F.collect_list("_p")).alias(f"_t{i}"))
+        rows = rows.join(F.broadcast(one))
+        names.append(f"_t{i}")
+        found = F.get(F.col(f"_t{i}"), V.nearest_sorted(F.col(f"_t{i}.k"), key))
+        mine = F.when(found.isNotNull(), F.struct(F.abs(found["k"] - key).alias("d"), found["k"].alias("k"), found["v"].alias("v")))
+        best = mine if best is None else F.least(best, mine)
+    return rows.withColumn(out, best["v"]).drop(*names)
 
 
 def matrix_product(a: DataFrame, b: DataFrame, inner: str, left: str, right: str) -> DataFrame:
-    """(left, right, value): sum over the inner index of products of two long matrices with columns `value`."""
-    joined = a.select(left, inner, F.col("value").alias("_a")).join(b.select(inner, right, F.col("value").alias("_b")), inner)
+    """(left, right, value): sum over the inner index of products of two long matrices with columns `value`. The inner
+    index has few values, so a side that is small goes to each task; give it as a."""
+    joined = b.select(inner, right, F.col("value").alias("_b")).join(small(a.select(left, inner, F.col("value").alias("_a"))), inner)
     return joined.groupBy(left, right).agg(F.sum(F.col("_a") * F.col("_b")).alias("value"))
 
 

@@ -6,9 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import vectors as V
+from .lookups import small
 
 Matrix = Sequence[Sequence[float]]
 
@@ -62,14 +62,16 @@ def normalisation_factor(pixels: DataFrame, f: float, x: str = "spectrum") -> Da
     return pixels.agg(F.try_divide(F.lit(float(f)), F.try_divide(F.sum(V.total(F.col(x))), F.sum(F.size(x))) * F.max(F.size(x))).alias("factor"))
 
 
-def poisson_normalised(pixels: DataFrame, x: str = "spectrum") -> DataFrame:
-    """Values over the square root of their pixel's sum times their channel's sum; 0 where a sum is 0."""
+def poisson_normalised(pixels: DataFrame, x: str = "spectrum", by: str | None = None) -> DataFrame:
+    """Values over the square root of their pixel's sum times their channel's sum, over all pixels or those of each group
+    `by`, as of blocks; 0 where a sum is 0."""
     from .reshape import dense_sum
 
-    sums = dense_sum(pixels, x).withColumnRenamed("total", "_c")
+    sums = dense_sum(pixels, x, *([by] if by else [])).withColumnRenamed("total", "_c")
     row = V.total(F.col(x))
     scaled = F.zip_with(x, F.col("_c"), lambda v, c: F.coalesce(F.try_divide(v, F.sqrt(row) * F.sqrt(c)), F.lit(0.0)))
-    return pixels.join(F.broadcast(sums)).withColumn(x, scaled).drop("_c")
+    joined = pixels.join(small(sums), by) if by else pixels.join(F.broadcast(sums))
+    return joined.withColumn(x, scaled).select(*pixels.columns)
 
 
 def residuals(pixels: DataFrame, d: Matrix, count: int | None = None, by: str | None = None, floor: float = 1e-14, x: str = "spectrum", h: str = "h") -> DataFrame:
@@ -83,7 +85,7 @@ def residuals(pixels: DataFrame, d: Matrix, count: int | None = None, by: str |
     sq = lambda c: F.sum(V.dot(F.col(c), F.col(c)))
     keys = [by] if by else []
     norms = fitted.groupBy(*keys).agg(F.sqrt(sq(x)).alias("_nx"), F.sqrt(sq("_m")).alias("_nm"))
-    joined = fitted.join(F.broadcast(norms) if not by else norms, keys) if by else fitted.join(F.broadcast(norms))
+    joined = fitted.join(small(norms), keys) if by else fitted.join(F.broadcast(norms))
     diff = F.zip_with(x, "_m", lambda a, b: F.coalesce(F.try_divide(a, F.col("_nx")), F.lit(0.0)) - F.coalesce(F.try_divide(b, F.col("_nm")), F.lit(0.0)))
     return joined.withColumn("residual", F.transform(diff, lambda v: F.when(v <= 0, F.lit(floor)).otherwise(v))).drop("_m", "_nx", "_nm")
 
@@ -94,7 +96,7 @@ def min_max_scaled(cells: DataFrame, group: str = "channel", value: str = "value
     The bounds are found by an aggregation, which is joined back.
     """
     bounds = cells.groupBy(group).agg(F.min(value).alias("low"), F.max(value).alias("high"))
-    joined = cells.join(bounds, group)
+    joined = cells.join(small(bounds), group)
     return joined.withColumn(value, F.try_divide(F.col(value) - F.col("low"), F.col("high") - F.col("low")))
 
 
@@ -134,9 +136,3 @@ def kl_surrogate(pixels: DataFrame, sigma: float, weight: float, old: str = "h_o
 def surrogate_gap(surrogate: DataFrame, pixels: DataFrame, weight: float, h: str = "h") -> DataFrame:
     """The surrogate less the penalty that it majorises."""
     return surrogate.join(F.broadcast(ridge(pixels, weight / 2, h=h))).select((F.col("surrogate") - F.col("penalty")).alias("gap"))
-
-
-def share_in_group(cells: DataFrame, group: list[str], value: str = "value", out: str = "share") -> DataFrame:
-    """Percent of the sum of the group; null where that is 0."""
-    whole = F.sum(value).over(Window.partitionBy(*group))
-    return cells.withColumn(out, F.try_divide(F.col(value) * 100.0, whole))

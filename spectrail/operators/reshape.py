@@ -25,10 +25,11 @@ def summed_spectrum(pixels: DataFrame, spectrum: str = "spectrum", *keys: str) -
     return cells.groupBy(*keys, "channel").agg(F.sum("_v").alias("total"))
 
 
-def dense_sum(pixels: DataFrame, spectrum: str = "spectrum") -> DataFrame:
-    """One row with the sum of all spectra, by vector sums in each task; the spectra stay in their rows."""
+def dense_sum(pixels: DataFrame, spectrum: str = "spectrum", *keys: str) -> DataFrame:
+    """One row, or one for each group, with the sum of all spectra, by vector sums in each task; the spectra stay in their
+    rows."""
     v = array_to_vector(F.col(spectrum))
-    return pixels.select(v.alias("_v")).agg(vector_to_array(Summarizer.sum(F.col("_v"))).alias("total"))
+    return pixels.select(*keys, v.alias("_v")).groupBy(*keys).agg(vector_to_array(Summarizer.sum(F.col("_v"))).alias("total"))
 
 
 def in_rectangle(pixels: DataFrame, y0: int, y1: int, x0: int, x1: int) -> DataFrame:

@@ -6,13 +6,15 @@ from collections.abc import Sequence
 from dataclasses import replace
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import BlockFit, Classifier, Fit, Fusion
 from ..operators import absorption, clustering, composition, factorise, filters, fusion, measures, thickness
 from ..operators.dictionary import Dictionary
 from ..sources.blocks import corrected
+from ..sources.results import read_results, write_results
+from ..sources.shared import written
 
 
 class _Maps:
@@ -40,6 +42,17 @@ class _Maps:
         """Spectra (components x channels), loadings (pixel_id, h) and compositions (pixel_id, q)."""
         return (self.g @ self.w).T, self.h, self.quantification()
 
+    def save(self, path: str, a: DataFrame | None = None) -> None:
+        """Write G, W, H, the compositions and, if given, absorption factors (pixel_id, a) to a folder."""
+        names = self.names or [str(i) for i in range(self.g.shape[1])]
+        write_results(path, self.g, names, self.w, self.h, self.quantification(), a)
+
+    def load(self, spark: SparkSession, path: str) -> DataFrame:
+        """Take over G, W, H and the compositions of a folder."""
+        found = read_results(spark, path)
+        self.g, self.names, self.w, self.h, self.q = found.g, found.names, found.w, found.h, found.q
+        return self.h
+
     def maps(self, q: DataFrame | None = None, elements: Sequence[str] | None = None) -> DataFrame:
         """(pixel_id, q, density, mean_z)"""
         own = elements or [e for _, e in self._rows(None)]
@@ -68,7 +81,9 @@ class _Maps:
 
         places: (pixel_id, y, x and the key).
         """
-        rows = (self.q if self.q is not None else self.quantification()).join(places, "pixel_id").join(image, "pixel_id")
+        q = self.q if self.q is not None else self.quantification()
+        fits = F.when(F.size("q") == len(elements), F.col("q")).otherwise(F.raise_error(F.lit("compositions and elements differ in number")))
+        rows = q.withColumn("q", fits).join(places, "pixel_id").join(image, "pixel_id")
         if key is None:
             key, rows = "block_id", rows.withColumn("block_id", F.lit(0))
         numbers = composition.element_values(self.table, elements)["number"]
@@ -134,18 +149,16 @@ class BlockWiseUnmixing(_Maps):
 
     def pool(self, pixels: DataFrame) -> DataFrame:
         """(point_id, block_id, comp, features, background, w): the components of all blocks, post-processed."""
-        s, own = self.settings, self.g.shape[1] - self.background_rows
+        s, own, n = self.settings, self.g.shape[1] - self.background_rows, self.g.shape[1]
         fit = s.fit if s.fit.simplex_rows is not None or not s.fit.simplex_w else s.fit.change(simplex_rows=tuple(i for i, _ in self._rows(None)))
-        rows = factorise.fit_blocks(pixels, self.g, fit, self.components).collect()
-        spark, found = pixels.sparkSession, []
-        by: dict[int, list] = {}
-        for r in rows:  # a few components for each block
-            by.setdefault(r["block_id"], []).append((r["comp"], r["w"]))
-        for block in sorted(by):
-            w = np.array([v for _, v in sorted(by[block])]).T
-            w[:own] = filters.separate(w[:own], s.separation)
-            found += [(len(found) + k, block, k, w[:own, k].tolist(), w[own:, k].tolist(), w[:, k].tolist()) for k in range(w.shape[1])]
-        self.points = spark.createDataFrame(found, "point_id long, block_id int, comp int, features array<double>, background array<double>, w array<double>")
+        most = max([fit.components, *(self.components or {}).values()])
+        rows = factorise.fit_blocks(pixels, self.g, fit, self.components)
+        part = lambda first, count: F.slice("w", first, count) if count else F.array().cast("array<double>")
+        parts = rows.select("block_id", "comp", part(1, own).alias("features"), part(own + 1, n - own).alias("background"))
+        clean = filters.separate_blocks(parts, s.separation)
+        point = F.col("block_id").cast("long") * most + F.col("comp")
+        found = clean.select(point.alias("point_id"), "block_id", "comp", "features", "background", F.concat("features", "background").alias("w"))
+        self.points = written(found, "points")  # an independent fit of each block stands behind it
         return self.points
 
     def classify(self) -> tuple[np.ndarray, dict[int, list[int]]]:
@@ -171,6 +184,8 @@ class BlockWiseUnmixing(_Maps):
         """(pixel_id, h) of pixels(block_id, pixel_id, spectrum). pooled: components of an earlier run, as of pool()."""
         data = filters.non_negative(pixels if factors is None else corrected(pixels, factors))
         s = self.settings
+        if s.poisson:
+            data = measures.poisson_normalised(data, by="block_id")
         self.points = pooled if pooled is not None else self.pool(data)
         self.w, present = self.classify()
         if Classifier(s.classifier) in (Classifier.REFINED_SPECTRAL, Classifier.REFINED_VCA):

@@ -30,6 +30,14 @@ def read_blocks(spark: SparkSession, path: str, *fill: str) -> DataFrame:
     return rows.withColumns({c: V.fill_nan(F.col(c)) for c in fill})
 
 
+def checked(pixels: DataFrame, height: int, width: int) -> DataFrame:
+    """The pixels of a whole image. ValueError unless each of its places is there just once."""
+    seen = pixels.agg(F.count("pixel_id").alias("n"), F.count_distinct("pixel_id").alias("places"), F.min("pixel_id").alias("low"), F.max("pixel_id").alias("high")).first()
+    if (seen["n"], seen["places"], seen["low"], seen["high"]) != (height * width, height * width, 0, height * width - 1):
+        raise ValueError(f"{seen['n']} pixels at {seen['places']} places, where the image has {height * width}")
+    return pixels
+
+
 def corrected(pixels: DataFrame, factors: DataFrame, spectrum: str = "spectrum", factor: str = "a") -> DataFrame:
     """Spectra divided by their pixel's absorption factors."""
     joined = pixels.join(factors.select("pixel_id", F.col(factor).alias("_a")), "pixel_id")

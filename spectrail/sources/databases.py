@@ -20,9 +20,9 @@ def periodic_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def periodic_table_by_number(spark: SparkSession, path: str) -> DataFrame:
-    """(number, element, atomic_mass, density)"""
+    """(element, number, atomic_mass, density) of a table keyed by atomic number."""
     rows = _json(spark, path, "table map<string,struct<atomic_mass:double,density:double,symbol:string>>")
-    return rows.select(F.explode("table").alias("n", "v")).select(F.col("n").cast("int").alias("number"), F.col("v.symbol").alias("element"), "v.atomic_mass", "v.density")
+    return rows.select(F.explode("table").alias("n", "v")).select(F.col("v.symbol").alias("element"), F.col("n").cast("int").alias("number"), "v.atomic_mass", "v.density")
 
 
 def xray_lines(spark: SparkSession, path: str, elements: list[str] | None = None) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 import tempfile
 import uuid
@@ -9,6 +10,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+@functools.cache
+def _own_dir(application: str) -> str:
+    return f"file://{tempfile.mkdtemp(prefix='spectrail-')}"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """From spark.checkpoint.dir of the session. A folder of our own only where it is unset and all runs on one machine;
     ValueError on a cluster, where a local folder would lose rows."""
@@ -16,8 +22,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not path:
         if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-        path = f"file://{tempfile.mkdtemp(prefix='spectrail-')}"
-        spark.conf.set("spark.checkpoint.dir", path)
+        path = _own_dir(spark.sparkContext.applicationId)
     return path.rstrip("/")
 
 
@@ -29,7 +34,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def discard(df: DataFrame) -> None:
     """Delete the files of a table made by written() that nothing reads any more."""
-    spark = df.sparkSession
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        delete(df.sparkSession, folder)
+
+
+def delete(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of any file system that Spark knows."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -6,8 +6,6 @@ A matrix larger than two dimensions is refused.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -49,10 +47,6 @@ def read_matrix(spark: SparkSession, path: str) -> DataFrame:
     return rows.select("i", F.posexplode(checked).alias("j", "v")).select("i", "j", F.col("v").cast("double").alias("value"))
 
 
-def vector_frame(spark: SparkSession, values: Sequence[float], name: str = "value") -> DataFrame:
-    return spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)], f"i long, {name} double")
-
-
 def pixel_vector(spark: SparkSession, path: str, name: str = "thickness") -> DataFrame:
     """A text vector as one value for each pixel_id."""
     return read_matrix(spark, path).select(F.col("i").alias("pixel_id"), F.col("value").alias(name))

@@ -243,3 +243,36 @@ def test_a_pass_moves_abundances_only(spark):
     finally:
         spectra.close()
     assert not spark.catalog.tableExists(spectra.name)
+
+
+def test_ragged_and_null_spectra_are_refused(spark):
+    import pyarrow as pa
+
+    kind = pa.list_(pa.float64())
+    assert K.matrix(pa.array([[1.0, 2.0], [3.0, None]], kind))[0].tolist() == [1.0, 3.0]
+    for rows in ([[1.0, 2.0], None], [[1.0, 2.0, 3.0], [4.0]]):
+        with pytest.raises(ValueError):
+            K.matrix(pa.array(rows, kind))
+        pixels = spark.createDataFrame(list(enumerate(rows)), "pixel_id long, spectrum array<double>").repartition(1)
+        with pytest.raises(Exception, match="values"):
+            factorise.solve_fixed(pixels, np.ones((2, 1))).collect()
+
+
+def test_shares_by_rows_equal_active_sets(spark):
+    rng = np.random.default_rng(2)
+    ends, v = rng.random((12, 3)), rng.random((40, 12)) - 0.2
+    points = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(v)], "point_id long, features array<double>")
+    got = {r.point_id: r.a for r in clustering.abundances_nnls(points, ends).collect()}
+    assert all(np.allclose(got[i], np.maximum(K.nnls(ends, r), 1e-10), atol=1e-8) for i, r in enumerate(v))
+
+
+def test_files_of_a_fit_are_deleted(spark, tmp_path, monkeypatch):
+    import os
+
+    from spectrail.sources import shared
+
+    for module in (shared, factorise):
+        monkeypatch.setattr(module, "shared_dir", lambda _: f"file://{tmp_path}")
+    x, *_ = planted(pixels=30)
+    factorise.fit_pixels(table_of(spark, x), np.eye(32), Fit(components=2, max_iter=7, no_stop=True), cut_every=2)
+    assert [n.split("-")[0] for n in os.listdir(tmp_path)] == ["h"]

@@ -8,7 +8,7 @@ from spectrail.config import Absorption, Fusion, Instrument, ProblemType
 from spectrail.functions import physics as P
 from spectrail.functions import text as X
 from spectrail.functions import vectors as V
-from spectrail.operators import absorption, composition, dictionary, filters, lookups, reshape
+from spectrail.operators import absorption, composition, dictionary, filters, lookups, measures, reshape
 from spectrail.plans.estimators import BlockWiseUnmixing, Unmixing
 from spectrail.config import BlockFit, Fit
 from spectrail.sources import blocks, databases, text_matrix
@@ -156,3 +156,102 @@ def test_streaming_sum(spark, tmp_path):
     run.processAllAvailable()
     run.stop()
     assert {r.channel: r.total for r in spark.table("summed").collect()} == {0: 4.0, 1: 6.0}
+
+
+def test_nearest_in_any_number_of_parts(spark, monkeypatch):
+    rng = np.random.default_rng(0)
+    keys = [float(k) for k in rng.integers(0, 40, 60)] + [None]
+    table = spark.createDataFrame([(k, float(i)) for i, k in enumerate(keys)], "k double, v double")
+    rows = spark.createDataFrame([(float(x),) for x in np.arange(-2, 44, 0.25)] + [(None,)], "x double")
+    known = sorted((k, float(i)) for i, k in enumerate(keys) if k is not None)
+    want = {x: min(known, key=lambda p: (abs(p[0] - x), p))[1] for x in np.arange(-2, 44, 0.25)}
+    for most in (100_000, 7):
+        monkeypatch.setattr(lookups, "LOOKUP_ROWS", most)
+        got = {r.x: r.out for r in lookups.nearest(rows, F.col("x"), table, "k", "v", "out").collect()}
+        assert got.pop(None) is None and got == want
+    empty = lookups.nearest(rows, F.col("x"), table.limit(0), "k", "v", "out")
+    assert empty.where("out is not null").count() == 0 and empty.count() == rows.count()
+
+
+def test_joins_of_few_keys_move_the_small_side(spark):
+    cells = spark.range(1000).select((F.col("id") % 100).alias("pixel_id"), (F.col("id") % 4).alias("channel"), (F.col("id") % 13).cast("double").alias("value"))
+    for df in (measures.min_max_scaled(cells), filters.without_zero_lines(cells, 1e-3).select("channel")):
+        assert "BroadcastHashJoin" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_results_in_a_folder(spark, tmp_path):
+    from spectrail.sources import results
+
+    table = spark.createDataFrame([("Fe", 26, 55.8, 7.9), ("O", 8, 16.0, 0.0014)], "element string, number int, atomic_mass double, density double")
+    pixels = spark.createDataFrame([(i, [float(i + 1), 2.0, 3.0]) for i in range(6)], "pixel_id long, spectrum array<double>")
+    est = Unmixing(np.array([[1.0, 0.0], [0.0, 1.0], [0.5, 0.5]]), Fit(components=2, max_iter=5), ["Fe", "O"], table, background_rows=0)
+    est.fit_transform(pixels)
+    a = pixels.select("pixel_id", F.col("spectrum").alias("a"))
+    est.save(f"{tmp_path}/r", a)
+    other = Unmixing(np.eye(3), background_rows=0)
+    h = {r.pixel_id: r.h for r in other.load(spark, f"{tmp_path}/r").collect()}
+    assert h == {r.pixel_id: r.h for r in est.h.collect()} and np.allclose(other.w, est.w) and np.allclose(other.g, est.g) and other.names == ["Fe", "O"]
+    assert other.q.count() == 6 and results.read_results(spark, f"{tmp_path}/r").a.count() == 6 and results.read_h(spark, f"{tmp_path}/r").count() == 6
+    with pytest.raises(Exception):
+        est.save(f"{tmp_path}/r")
+
+
+def test_instrument_of_metadata():
+    tem = {"beam_energy": 200, "Detector": {"EDS": {"azimuth_angle": 1.0, "elevation_angle": 18.0}}, "Stage": {"tilt_alpha": 2.0}}
+    meta, axis = {"Acquisition_instrument": {"TEM": tem}, "Sample": {"elements": ["Fe", "O"]}}, {"size": 2048, "scale": 0.01, "offset": -0.2}
+    inst = Instrument.from_metadata(meta, axis, elevation=None, thickness=50.0)
+    assert (inst.beam_energy, inst.elevation, inst.tilt, inst.axis_size, inst.elements, inst.thickness) == (200.0, 18.0, 2.0, 2048, ("Fe", "O"), 50.0)
+    assert Instrument.from_metadata({}, axis, beam_energy=100.0, azimuth=0.0, elevation=22.0, tilt=0.0, elements=("Al",)).beam_energy == 100.0
+    with pytest.raises(ValueError, match="elements"):
+        Instrument.from_metadata({"Acquisition_instrument": {"TEM": tem}}, axis)
+
+
+def test_images_are_checked(spark):
+    pixels = spark.range(12).withColumnRenamed("id", "pixel_id")
+    assert blocks.checked(pixels, 3, 4).count() == 12
+    for bad in (pixels.where("pixel_id <> 5"), pixels.union(pixels.limit(1)), pixels.selectExpr("pixel_id + 1 AS pixel_id")):
+        with pytest.raises(ValueError):
+            blocks.checked(bad, 3, 4)
+
+
+def test_noise_is_normalised_by_block(spark):
+    rng = np.random.default_rng(1)
+    x = rng.integers(1, 9, (20, 5)).astype(float)
+    pixels = spark.createDataFrame([(i, i // 10, r.tolist()) for i, r in enumerate(x)], "pixel_id long, block_id int, spectrum array<double>")
+    got = {r.pixel_id: r.spectrum for r in measures.poisson_normalised(pixels, by="block_id").collect()}
+    for b in range(2):
+        own = x[10 * b : 10 * b + 10]
+        assert np.allclose([got[10 * b + k] for k in range(10)], own / (np.sqrt(own.sum(axis=1))[:, None] * np.sqrt(own.sum(axis=0))))
+    est = BlockWiseUnmixing(np.eye(5), BlockFit(fit=Fit(components=2, max_iter=5), clusters=2, poisson=True), background_rows=0)
+    assert est.fit_transform(pixels).count() == 20
+
+
+def test_verbose_fits_report(spark, capsys):
+    pixels = spark.createDataFrame([(i, [float(i + 1), 2.0]) for i in range(6)], "pixel_id long, spectrum array<double>")
+    est = Unmixing(np.eye(2), Fit(components=1, max_iter=3, no_stop=True, verbose=True), background_rows=0)
+    est.fit_transform(pixels)
+    assert "round 1: loss" in capsys.readouterr().out and est.report_of_fit["seconds"] > 0
+
+
+def test_values_below_the_floor_are_refused(spark):
+    rows = spark.createDataFrame([(1.0,), (-1e-16,)], "v double").select(filters.above_floor(F.col("v"), 1e-14).alias("v"))
+    assert rows.count() == 2
+    with pytest.raises(Exception, match="below the floor"):
+        spark.createDataFrame([(-1.0,)], "v double").select(filters.above_floor(F.col("v"), 1e-14).alias("v")).collect()
+
+
+def test_a_local_folder_is_refused_on_a_cluster():
+    from types import SimpleNamespace
+
+    from spectrail.sources import shared
+
+    conf = SimpleNamespace(get=lambda *_: None, set=lambda *_: None)
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared.shared_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host:7077")))
+    own = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="local[4]", applicationId="a"))
+    assert shared.shared_dir(own) == shared.shared_dir(own) and shared.shared_dir(own).startswith("file://")
+
+
+def test_the_periodic_table_by_number(spark, tmp_path):
+    (tmp_path / "n.json").write_text('{"table": {"26": {"symbol": "Fe", "atomic_mass": 55.8, "density": 7.9}}}')
+    assert databases.periodic_table_by_number(spark, f"{tmp_path}/n.json").collect()[0].asDict() == {"element": "Fe", "number": 26, "atomic_mass": 55.8, "density": 7.9}
