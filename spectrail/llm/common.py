@@ -32,6 +32,11 @@ class WordHashes(dict):
         return value
 
 
+@functools.cache
+def _own_dir(application: str) -> str:
+    return f"file://{tempfile.mkdtemp(prefix='spectrail-')}"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all machines share, from spark.checkpoint.dir. One of our own only where it is unset and all runs on one
     machine; ValueError on a cluster, where a local folder would lose rows."""
@@ -39,8 +44,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not path:
         if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
-        path = f"file://{tempfile.mkdtemp(prefix='spectrail-')}"
-        spark.conf.set("spark.checkpoint.dir", path)
+        path = _own_dir(spark.sparkContext.applicationId)
     return path.rstrip("/")
 
 
