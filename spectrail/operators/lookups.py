@@ -65,5 +65,5 @@ def renamed_lines(lines: DataFrame, names: DataFrame, elements: DataFrame) -> Da
     are replaced, others stay."""
     single = names.where(F.size("aliases") == 1).select(F.element_at("aliases", 1).alias("line"), F.col("name").alias("_name"))
     symbols = elements.select("number", "element")
-    joined = lookup(lines, symbols, "number").join(F.broadcast(single), "line", "left")
+    joined = lookup(lines, symbols, "number").join(small(single), "line", "left")
     return joined.select("element", F.coalesce("_name", "line").alias("line"), "energy", "cs")
