@@ -158,6 +158,17 @@ def test_streaming_sum(spark, tmp_path):
     assert {r.channel: r.total for r in spark.table("summed").collect()} == {0: 4.0, 1: 6.0}
 
 
+def test_renamed_lines_with_names_of_any_number(spark, monkeypatch):
+    """Names that are sent whole and names that are joined give the same rows."""
+    lines = spark.createDataFrame([(26, "KL3", 6.4, 1.0), (26, "KM3", 7.1, 0.1), (29, "KL3", 8.0, 1.0), (29, None, 0.9, 0.5)], "number int, line string, energy double, cs double")
+    names = spark.createDataFrame([("Ka1", ["KL3"]), ("Kb", ["KM3", "KM2"])], "name string, aliases array<string>")
+    elements = spark.createDataFrame([(26, "Fe"), (29, "Cu")], "number int, element string")
+    for most in (100_000, 0):
+        monkeypatch.setattr(lookups, "LOOKUP_ROWS", most)
+        found = {tuple(r) for r in lookups.renamed_lines(lines, names, elements).collect()}
+        assert found == {("Fe", "Ka1", 6.4, 1.0), ("Fe", "KM3", 7.1, 0.1), ("Cu", "Ka1", 8.0, 1.0), ("Cu", None, 0.9, 0.5)}
+
+
 def test_nearest_in_any_number_of_parts(spark, monkeypatch):
     rng = np.random.default_rng(0)
     keys = [float(k) for k in rng.integers(0, 40, 60)] + [None]
