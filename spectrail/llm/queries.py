@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, license_scan, media, near_dup, oracles, piece_codec, secret_scan, sharding, token_count, toxicity, warc
+from . import centroids, decontaminate, importance, lattice_lm, license_scan, media, near_dup, oracles, piece_codec, secret_scan, sharding, token_count, toxicity, warc
 from .common import delete, fresh_path, materialize
 
 
@@ -101,8 +101,20 @@ def op10_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "item_id", "item_words", "covered_words", covered.alias("coverage"), F.size("tiles").cast("long").alias("n_tiles"))
 
 
+def op11_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_lm.score(_table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op13_annulus_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(_table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_media_fingerprints, op2_license_scan, op3_warc_chunks, op4_piece_offsets, op5_jump_shards, op6_markov_secrets, op7_ftrl_toxicity, op8_minhash_components, op9_heap_token_counts, op10_string_tiling)}
+    return {f.__name__: f for f in (op1_media_fingerprints, op2_license_scan, op3_warc_chunks, op4_piece_offsets, op5_jump_shards, op6_markov_secrets, op7_ftrl_toxicity, op8_minhash_components, op9_heap_token_counts, op10_string_tiling, op11_lattice_likelihood, op12_importance_resampling, op13_annulus_clusters)}
 
 
 def oracle_sql() -> dict[str, str]:
