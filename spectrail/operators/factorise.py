@@ -160,6 +160,16 @@ def without_empty(pixels: DataFrame, floor: float, x: str = "spectrum") -> DataF
     return pixels.join(F.broadcast(dense_sum(pixels, x).withColumnRenamed("total", "_c"))).withColumn(x, filled).drop("_c")
 
 
+#: Bytes of spectra in a bucket, at most; and at least, where more buckets would only give more tasks.
+BUCKET_BYTES, LEAST_BYTES = 128 << 20, 1 << 20
+
+
+def bucket_count(size: int, tasks: int) -> int:
+    """Buckets for so many bytes: as many as the tasks that run at once while buckets stay over LEAST_BYTES, and more when
+    they would go over BUCKET_BYTES, whatever the size of the table."""
+    return max(1, -(-size // BUCKET_BYTES), min(tasks, size // LEAST_BYTES))
+
+
 class Spectra:
     """Spectra in buckets by pixel, in the shared folder, so that joins with them by pixel move the other side only. Deleted
     by close()."""
@@ -167,7 +177,10 @@ class Spectra:
     def __init__(self, pixels: DataFrame, x: str, factor: float = 1.0, fixed_h: DataFrame | None = None) -> None:
         self.spark = pixels.sparkSession
         self.name = f"spectra_{uuid.uuid4().hex}"
-        buckets = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        size = pixels.agg(F.coalesce(F.sum(F.size(x).cast("long")), F.lit(0))).first()[0] * 8
+        self.buckets = bucket_count(size, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        if self.buckets > int(self.spark.conf.get("spark.sql.sources.bucketing.maxBuckets")):
+            self.spark.conf.set("spark.sql.sources.bucketing.maxBuckets", str(self.buckets))
         own = pixels.select(F.col("pixel_id").cast("long").alias("pixel_id"), (F.col(x) if factor == 1.0 else V.scale(F.col(x), factor)).alias("x"))
         self.columns = ["x"] if fixed_h is None else ["x", "fixed"]
         if fixed_h is not None:
@@ -175,7 +188,7 @@ class Spectra:
             width = fixed.agg(F.max(F.size("_fixed"))).first()[0] or 1
             own = own.join(fixed, "pixel_id", "left").select("pixel_id", "x", F.coalesce("_fixed", F.array_repeat(F.lit(float("nan")), width)).alias("fixed"))
         self.path = f"{shared_dir(self.spark)}/{self.name}"
-        own.repartition(buckets, "pixel_id").write.bucketBy(buckets, "pixel_id").format("parquet").option("path", self.path).saveAsTable(self.name)
+        own.repartition(self.buckets, "pixel_id").write.bucketBy(self.buckets, "pixel_id").format("parquet").option("path", self.path).saveAsTable(self.name)
 
     def with_h(self, h: DataFrame) -> DataFrame:
         """(pixel_id, x, h), and the fixed values of h if there are any"""
@@ -186,24 +199,39 @@ class Spectra:
         delete(self.spark, self.path)
 
 
-def _pass(spectra: Spectra, h: DataFrame, d: np.ndarray, top: np.ndarray | None, fit: Fit, sigma: float | None = None) -> DataFrame:
-    """(pixel_id, h, part): h after a step, and in the first row of each batch what its pixels add to the surrogate's gap
-    if sigma is searched, to the step of W, the loss, the sum of X and its size."""
+def _pass(spectra: Spectra, h: DataFrame, d: np.ndarray, top: np.ndarray | None, fit: Fit, sigma: float | None = None, gamma: float | None = None, move: bool = True) -> DataFrame:
+    """(pixel_id, h, was, part): h after a step and before it, and in the first row of each batch what its pixels add: to the
+    loss before the step, the sum of X, its size and the change of h; to the search for the next step's length, if there is
+    one; and to the step of W. gamma: the step's inverse length, for projected gradients. Without move only the first three."""
     held = spectra.spark.sparkContext.broadcast((d, top))
+    gradient = fit.algorithm == Algorithm.PROJECTED_GRADIENT
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         dd, tt = held.value
         for b in batches:
-            if b.num_rows:
-                x, old = _matrix(b.column(1)), _matrix(b.column(2))
-                new = K.update_h(x, dd, old, fit, _matrix(b.column(3)) if b.num_columns > 3 else None, tt, sigma)
-                first, second = K.w_sums(x, dd, new, fit)
-                gap = [*(old * np.log(old / new) - old + new).sum(axis=1), (old * new).sum(), (old * old).sum(), (new * new).sum()] if fit.line_search and fit.ridge else []
-                part = np.concatenate([gap, first.ravel(), np.ravel(second), [K.loss(x, dd, new, fit), x.sum(), x.size]])
-                parts = pa.array([part.tolist(), *[None] * (b.num_rows - 1)], pa.list_(pa.float64()))
-                yield pa.RecordBatch.from_arrays([b.column(0), _lists(new), parts], ["pixel_id", "h", "part"])
+            if not b.num_rows:
+                continue
+            x, old = _matrix(b.column(1)), _matrix(b.column(2))
+            fixed = _matrix(b.column(3)) if b.num_columns > 3 else None
+            parts, new, search = [[K.loss(x, dd, old, fit), x.sum(), x.size]], old, []
+            if move:
+                if gradient:
+                    grad = K.grad_h(x, dd, old, fit)
+                    new = K.step_h(old, grad, gamma, fit, fixed)
+                    gap = new - old
+                    search = [K.loss(x, dd, new, fit), (gap * grad).sum(), (gap * gap).sum()] if fit.line_search else []
+                else:
+                    new = K.update_h(x, dd, old, fit, fixed, tt, sigma)
+                    search = [*(old * np.log(old / new) - old + new).sum(axis=1), (old * new).sum(), (old * old).sum(), (new * new).sum()] if fit.line_search and fit.ridge else []
+                parts += [[np.abs(new - old).sum()], search, *map(np.ravel, K.w_sums(x, dd, new, fit))]
+            part = pa.array([np.concatenate(parts).tolist(), *[None] * (b.num_rows - 1)], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([b.column(0), _lists(new), _lists(old), part], ["pixel_id", "h", "was", "part"])
 
-    return spectra.with_h(h).mapInArrow(step, "pixel_id long, h array<double>, part array<double>")
+    return spectra.with_h(h).mapInArrow(step, "pixel_id long, h array<double>, was array<double>, part array<double>")
+
+
+def _added(done: DataFrame) -> np.ndarray:
+    return np.array(dense_sum(done.where("part is not null"), "part").first()["total"])
 
 
 def _tops(h: DataFrame) -> np.ndarray:
@@ -212,60 +240,130 @@ def _tops(h: DataFrame) -> np.ndarray:
     return np.array([r["v"] for r in rows])
 
 
+def change_of_h(done: DataFrame, mean: float, tol: float) -> float:
+    """The largest |dh| / (h + tol mean |dh|): one narrow aggregate over rows that hold h before and after."""
+    each = F.zip_with("h", "was", lambda new, old: F.abs(new - old) / (new + F.lit(tol * mean)))
+    return float(done.agg(F.max(F.array_max(each))).first()[0])
+
+
+def first_steps(spectra: Spectra, g: np.ndarray, k: int, fit: Fit) -> tuple[float, float]:
+    """The inverse lengths of the first steps of H and W by projected gradients: kernels.lipschitz_h() and lipschitz_w() over
+    all pixels, from one narrow pass with the sum of each channel and the largest weighted sum of a pixel."""
+    row = g.sum(axis=1) * fit.floor
+    weight = k * row * row / np.maximum((row * fit.floor * k) ** 2, 1e-300)
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x = _matrix(b.column(0))
+                yield pa.RecordBatch.from_arrays([pa.array([float((weight @ x).max())]), pa.array([x.sum(axis=1).tolist()], pa.list_(pa.float64()))], ["most", "part"])
+
+    found = spectra.spark.table(spectra.name).select("x").mapInArrow(part, "most double, part array<double>").persist(StorageLevel.MEMORY_AND_DISK)
+    most, sums = found.agg(F.max("most")).first()[0], np.array(dense_sum(found, "part").first()["total"])
+    found.unpersist()
+    return float(most + 2 * fit.ridge + fit.mu * fit.mu_eps), K.lipschitz_w(sums[:, None], g, k, fit.floor)
+
+
+def penalties(h: DataFrame, fit: Fit) -> float:
+    """What the penalties add to the loss of all pixels."""
+    each = F.aggregate("h", F.lit(0.0), lambda s, v: s + fit.mu * F.ln(v + fit.mu_eps) + 0.5 * fit.ridge * v * v)
+    return float(h.agg(F.coalesce(F.sum(each), F.lit(0.0))).first()[0]) if fit.mu or fit.ridge else 0.0
+
+
 def fit_pixels(pixels: DataFrame, g: np.ndarray, fit: Fit, w: np.ndarray | None = None, fixed_w: np.ndarray | None = None, update_w: bool = True, cut_every: int = 10, x: str = "spectrum", h: DataFrame | None = None, fixed_h: DataFrame | None = None) -> tuple[np.ndarray, DataFrame, dict]:
-    """W, (pixel_id, h) and a report of a fit over all pixels, by multiplicative updates. With update_w=False only H moves.
+    """W, (pixel_id, h) and a report of a fit over all pixels. With update_w=False only H moves.
 
     h: a start (pixel_id, h) for all pixels. fixed_h: (pixel_id, h), where null and NaN are free, as are missing pixels.
+
+    The loss after both steps of a round is known when the next round reads the spectra, so a round that proves to be one too
+    many is left away, and the rounds, the reason for the stop and the loss are those of kernels.factorise().
     """
-    if fit.algorithm == Algorithm.PROJECTED_GRADIENT:
-        raise ValueError("the distributed fit takes multiplicative algorithms")
     if fit.safe:
         pixels = without_empty(pixels, fit.floor, x)
     began = time.perf_counter()
     factor = (normalisation_factor(pixels, fit.components, x).first()["factor"] or 1.0) if fit.normalise else 1.0
     spectra = Spectra(pixels, x, factor, fixed_h)
+    gradient = fit.algorithm == Algorithm.PROJECTED_GRADIENT
     try:
         w, h = start(pixels.sparkSession.table(spectra.name), g, fit, w, h, "x")
         h = cut = written(h, "start")
-        top, sigma, search = _tops(h) if fit.ridge else None, fit.sigma, fit.line_search and fit.ridge
-        trace, before, why, initial, cells = [], np.inf, "max_iter", None, g.shape[0] * w.shape[1]
-        for k in range(fit.max_iter):
-            old, h = h, _pass(spectra, h, g @ w, top, fit, sigma)
-            h = written(h, "pass") if (k + 1) % cut_every == 0 else h.persist(StorageLevel.MEMORY_AND_DISK)
-            s = np.array(dense_sum(h.where("part is not null"), "part").first()["total"])
-            top = _tops(h) if fit.ridge else None
-            if search:
+        steps = list(first_steps(spectra, g, w.shape[1], fit)) if gradient else [fit.sigma, 0.0]
+        ridge = bool(fit.ridge) and not gradient
+        top = _tops(h) if ridge else None
+        trace, before, why, initial, bound = [], np.inf, "max_iter", None, None
+        change_w = change_h = np.inf
+        for k in range(fit.max_iter + 1):
+            settled = not fit.no_stop and max(change_w, change_h) < fit.tol
+            move = k < fit.max_iter and not settled
+            done = _pass(spectra, h, g @ w, top, fit, None if gradient else steps[0], steps[0] if gradient else None, move)
+            cuts = move and (k + 1) % cut_every == 0
+            done = written(done, "pass") if cuts else done.persist(StorageLevel.MEMORY_AND_DISK) if move else done
+            s = _added(done)
+            (value, total, size), s = s[:3], s[3:]
+            now = value / size
+            if k == 0:
+                initial = now
+            else:
+                trace.append(float(now))
+                if fit.verbose and k % 10 == 1:
+                    print(f"round {k}: loss {now:.6g}")
+                reason = "" if fit.no_stop else K.stopped(change_w, change_h, before, now, initial, fit.tol)
+                if reason or not move:
+                    why = reason or "max_iter"
+                    if cuts:
+                        discard(done)
+                    done.unpersist()
+                    break
+                before = now
+            if bound is not None:  # of the last step of W, whose loss is known now
+                steps[1] *= 1 / 1.05 if bound - value > 0 else 1.5
+                bound = None
+            old, h, old_w = h, done, w
+            moved, s = s[0], s[1:]
+            if fit.line_search and gradient:
+                (value_h, slope, square), s = s[:3], s[3:]
+                gamma, gap = steps[0], value + slope + steps[0] * square - value_h
+                steps[0] = gamma / 1.05 if gap > 0 else gamma * 1.5
+            elif fit.line_search and ridge:
                 (*kl, cross, old_square, new_square), s = s[: w.shape[1] + 3], s[w.shape[1] + 3 :]
-                gap = 2 * cross - old_square + sigma * (top * kl).sum() - new_square
-                sigma *= 1 / 1.05 if gap > 0 else 1.5
-            first, second, (value, total, size) = s[:cells].reshape(g.shape[0], -1), s[cells:-3], s[-3:]
-            if (k + 1) % cut_every == 0:  # nothing reads what was written before
+                top = _tops(h)
+                gap = 2 * cross - old_square + steps[0] * (top * kl).sum() - new_square
+                steps[0] *= 1 / 1.05 if gap > 0 else 1.5
+            elif ridge:
+                top = _tops(h)
+            if cuts:  # nothing reads what was written before
                 discard(cut)
                 cut = h
             old.unpersist()
-            old_w, now = w, value / size
             if update_w:
-                w = K.update_w(w, g, (first, second.reshape(w.shape[1], -1) if fit.l2 else second), fit, fixed_w, total)
-            initial = now if initial is None else initial
-            trace.append(float(now))
-            if fit.verbose and k % 10 == 0:
-                print(f"round {k + 1}: loss {now:.6g}")
-            changed = K.relative_change(w, old_w, fit.tol) if update_w else np.inf
-            if not fit.no_stop and (why := K.stopped(changed, np.inf, before, now, initial, fit.tol)):
-                break
-            why, before = "max_iter", now
+                cells = g.shape[0] * w.shape[1]
+                first, second = s[:cells].reshape(g.shape[0], -1), s[cells:]
+                sums = (first, second.reshape(w.shape[1], -1) if fit.l2 else second)
+                if gradient:
+                    grad = K.grad_w(g, sums, g @ w, fit)
+                    w = K.step_w(w, grad, steps[1], fit, fixed_w)
+                    gap = w - old_w
+                    bound = value_h + (gap * grad).sum() + steps[1] * (gap * gap).sum() if fit.line_search else None
+                else:
+                    w = K.update_w(w, g, sums, fit, fixed_w, total)
+            change_w = K.relative_change(w, old_w, fit.tol) if update_w else 0.0
+            # H's change is of use only where W's doesn't rule out that both have settled
+            change_h = change_of_h(h, moved / (size / g.shape[0] * w.shape[1]), fit.tol) if change_w < fit.tol and not fit.no_stop else np.inf
         result = written(h.select("pixel_id", "h"), "h")
         discard(cut)
         h.unpersist()
     finally:
         spectra.close()
+    loss = trace[-1]
     if update_w and not fit.simplex_w and not fit.simplex_h:
         by = K.rescale(gram(result, "h"), np.array(dense_sum(result, "h").first()["total"]))
+        plain = penalties(result, fit)
         w, result = w / by, result.withColumn("h", F.zip_with("h", V.literal(by), lambda a, b: a * b))
+        loss += (penalties(result, fit) - plain) / size
     seconds = time.perf_counter() - began
     if fit.verbose:
         print(f"{len(trace)} rounds in {seconds:.1f} s: {why}")
-    return w / factor, result, {"iterations": len(trace), "loss": trace[-1], "trace": trace, "stopped": why, "seconds": seconds}
+    return w / factor, result, {"iterations": len(trace), "loss": float(loss), "trace": trace, "stopped": why, "seconds": seconds}
 
 
 # -- block by block --------------------------------------------------------------------------------------------------

@@ -8,12 +8,12 @@ from __future__ import annotations
 from collections.abc import Iterable, Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import vectors as V
+from .tiles import denoise_steps
 
 
 def weights(numbers: Sequence[float]) -> list[float]:
@@ -90,31 +90,9 @@ def tv_cost(grid: DataFrame, height: int, width: int, value: str = "value", eps:
 
 
 def denoise_image(image: np.ndarray, lam: float, rounds: int) -> np.ndarray:
-    px, py, out = np.zeros_like(image), np.zeros_like(image), np.zeros_like(image)
-    for _ in range(rounds):
-        out = image - lam * (px + py)
-        out[1:] += lam * px[:-1]
-        out[:, 1:] += lam * py[:, :-1]
-        px[:-1] += (out[:-1] - out[1:]) / (8 * lam)
-        py[:, :-1] += (out[:, :-1] - out[:, 1:]) / (8 * lam)
-        length = np.maximum(1.0, np.hypot(px, py))
-        px /= length
-        py /= length
-    return np.maximum(out, 0.0)
+    return np.maximum(denoise_steps(image, np.zeros_like(image), np.zeros_like(image), lam, rounds), 0.0)
 
 
 def image_cost(image: np.ndarray, eps: float = 1e-8) -> float:
     d0, d1 = image - np.roll(image, -1, 0), image - np.roll(image, -1, 1)
     return float(np.sqrt(eps + d0 * d0 + d1 * d1).sum())
-
-
-def denoise_maps(cells: DataFrame, lam: float, rounds: int, keys: Sequence[str] = ("element",)) -> DataFrame:
-    """(keys, y, x, value) with each map denoised in a task of its own."""
-
-    def one(_: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        y, x = rows["y"].to_numpy() - rows["y"].min(), rows["x"].to_numpy() - rows["x"].min()
-        image = np.zeros((y.max() + 1, x.max() + 1))
-        image[y, x] = rows["value"]
-        return rows.assign(value=denoise_image(image, lam, rounds)[y, x])
-
-    return cells.groupBy(*keys).applyInPandas(one, cells.schema)

@@ -12,7 +12,7 @@ from ..config import BlockFit, Fit, FreePath, MeanType
 from ..functions import physics as P
 from ..functions import text as X
 from ..functions import vectors as V
-from ..operators import absorption, clustering, composition, dictionary, factorise, filters, fusion, lookups, measures, partitioning, reshape, stencils, thickness
+from ..operators import absorption, clustering, composition, dictionary, factorise, filters, fusion, lookups, measures, partitioning, reshape, stencils, thickness, tiles
 from ..operators import kernels as K
 from . import fixtures as T
 from .fixtures import AXIS_SQL, CELLS_SQL, DH_SQL, ELEMENTS_SQL, G_SQL, GRID_SQL, IMAGE_SQL, LINES_SQL, LOWLOSS_SQL, MACS_SQL, Q_SQL
@@ -1181,9 +1181,9 @@ def haadf_cost_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_denoise_sql(3, "15e-2", "'all' AS element, y, x, round(greatest(out, 0), 6) AS value"))
 def tv_denoise_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The kernel form of total-variation denoising, a map in each task."""
+    """The kernel form of total-variation denoising, in tiles."""
     rows = T.grid(spark, sf_dir).select(F.lit("all").alias("element"), "y", "x", (V.total(F.col("spectrum")) / 100.0).alias("value"))
-    return stencils.denoise_maps(rows, 0.15, 3).select("element", "y", "x", r6("value").alias("value"))
+    return tiles.denoise_maps(rows, 0.15, 3, tile=8).select("element", "y", "x", r6("value").alias("value"))
 
 
 @query()

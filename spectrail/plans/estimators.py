@@ -77,17 +77,19 @@ class _Maps:
         return absorption.correction_spectra(rows, "q", "thickness", absorption.coefficients(macs, elements, energies), v["atomic_mass"], v["density"], take_off)
 
     def refine(self, places: DataFrame, image: DataFrame, elements: Sequence[str], settings: fusion.Refinement = fusion.Refinement(), key: str | None = "block_id") -> DataFrame:
-        """(key, pixel_id, q, image) refined by a dark-field image (pixel_id, image); key None takes one whole image.
+        """(key, pixel_id, q, image) refined by a dark-field image (pixel_id, image); key None takes one whole image, in tiles.
 
         places: (pixel_id, y, x and the key).
         """
         q = self.q if self.q is not None else self.quantification()
         fits = F.when(F.size("q") == len(elements), F.col("q")).otherwise(F.raise_error(F.lit("compositions and elements differ in number")))
         rows = q.withColumn("q", fits).join(places, "pixel_id").join(image, "pixel_id")
-        if key is None:
-            key, rows = "block_id", rows.withColumn("block_id", F.lit(0))
         numbers = composition.element_values(self.table, elements)["number"]
-        self.refined, self.costs = fusion.refine_groups(rows, numbers, settings, key)
+        if key is None:
+            whole = [df.withColumn("block_id", F.lit(0)) for df in fusion.refine_image(rows, numbers, settings)]
+            self.refined, self.costs = (df.select("block_id", *df.columns[:-1]) for df in whole)
+        else:
+            self.refined, self.costs = fusion.refine_groups(rows, numbers, settings, key)
         return self.refined
 
     def residual(self, pixels: DataFrame, count: int | None = None, by: str | None = None) -> DataFrame:
