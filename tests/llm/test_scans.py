@@ -229,3 +229,61 @@ def test_op2_query(spark):
         near = plain_notices(scanner, " ".join(words(text[r.doc_id]))) if len(text[r.doc_id]) < 500 else []
         if len(text[r.doc_id]) < 500:
             assert r.n_notices == len(near) and {x[0] for x in near} <= set(r.labels.split(","))
+
+
+def test_ordinary_strings_are_no_secrets(spark, docs_of, table):
+    plain = ["A" * 28, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "qwertyuiopasdfghjklzxcvbnm", "szczebrzeszynchrzaszczbrzmi", "donaudampfschifffahrtsgesellschaft", "anticonstitutionnellement", "-" * 30, "xyz" * 12]
+    got = {r.doc_id: r.spans for r in secret_scan.find_secrets(docs_of(list(enumerate(plain))), table).collect()}
+    assert not [plain[i] for i, spans in got.items() if spans]
+
+
+def test_the_model_is_the_same_in_every_session(spark):
+    before = secret_scan.train(secret_scan.labelled_samples(spark, 50))
+    other = spark.newSession()
+    other.conf.set("spark.example.quixotic.zyzzyva.setting", "1")
+    assert secret_scan.train(secret_scan.labelled_samples(other, 50)) == before
+
+
+def test_recall_and_false_alarms_in_texts_of_four_languages(spark, docs_of):
+    """Random strings of three alphabets planted in the given texts, and identifiers and repeated characters beside them."""
+    table, rng = secret_scan.train(secret_scan.labelled_samples(spark)), np.random.default_rng(3)
+    alphabets = ["ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"]
+    words = secret_scan.CODE.split()
+    rows, planted, ordinary = [], {}, {}
+    for r in spark.read.parquet(f"{DIR}/documents.parquet").where("lang is not null").collect():
+        if base_spans(r.text or ""):
+            continue
+        kind = int(rng.integers(6))
+        if kind < 3:
+            own = "".join(rng.choice(list(alphabets[kind]), 32))
+        elif kind < 5:
+            own = "_-"[kind - 3].join(rng.choice(words, 5))
+        else:
+            own = str(rng.choice(list("aZ9x="))) * 30
+        (planted if kind < 3 else ordinary)[r.doc_id] = (0, len(own), kind)
+        rows.append((r.doc_id, f"{own} {r.text}"))
+    found = {r.doc_id: {(s.start, s.stop) for s in r.spans} for r in secret_scan.find_secrets(docs_of(rows), table).collect()}
+    hit = sum((a, b) in found[i] for i, (a, b, _) in planted.items())
+    false = sum(bool(spans - ({planted[i][:2]} if i in planted else set())) for i, spans in found.items())
+    assert len(planted) > 50 and len(ordinary) > 50
+    assert hit >= 0.95 * len(planted) and false <= 0.01 * len(rows)
+
+
+def test_many_spans_take_time_in_proportion(spark, docs_of, table):
+    """A fold that copies what it has took 58 s for the second."""
+    took = []
+    for n in (2_000, 20_000):
+        docs = docs_of([(1, "AKIA1234567890ABCD é" * n)])
+        began = time.perf_counter()
+        spans = secret_scan.find_secrets(docs, table).first().spans
+        text = secret_scan.redact(docs, table).first().text
+        took.append(time.perf_counter() - began)
+        assert [(s.start, s.stop) for s in spans] == [(20 * i, 20 * i + 18) for i in range(n)] and text == "[SECRET] é" * n
+    assert took[1] < 20
+
+
+@pytest.mark.parametrize("n", [0, 1, 127, 128, 129, 1000])
+def test_running_sums(spark, n):
+    df = spark.createDataFrame([(list(range(n)),)], "v array<int>")
+    sums, most = df.select(secret_scan._running(F.col("v"), F.lit(0), lambda a, b: a + b), secret_scan._running(F.reverse("v"), F.lit(0), lambda a, b: F.greatest(a, b))).first()
+    assert sums == np.cumsum(np.arange(n)).tolist() and most == [n - 1] * n
