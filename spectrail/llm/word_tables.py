@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -62,14 +63,14 @@ def _row(chunk: int, places: Places, ids: list, kinds: list, sizes: list, parts:
             features.append(back.ravel().astype(np.int32) + np.int32(known))
             known += len(own)
         counts, features = [np.concatenate(c) for c in counts], np.concatenate(features)
-    columns = [[chunk], [ids], [sizes.tobytes()], [features.tobytes()], [[w.decode() for w in places]], [grams], *([c.tolist()] for c in counts)]
+    columns = [[chunk], [ids], [sizes.tobytes()], [zstandard.ZstdCompressor(level=1).compress(features.tobytes())], [[w.decode() for w in places]], [grams], *([c.tolist()] for c in counts)]
     kinds_of = [pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(), pa.list_(pa.string()), pa.list_(pa.list_(pa.int32())), pa.list_(pa.int64()), pa.list_(pa.int64())]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds_of, strict=True)], NAMES)
 
 
 def chunks(rows: DataFrame, table: bytes, n: int = 1, size: int = CHUNK) -> DataFrame:
     """Chunks of rows (id, kind, text), kind 0 or 1: ids, words of each text (int32), places of all runs of 1 to n words,
-    shorter ones first and each in the order of the texts (int32), the distinct words, the distinct runs as places of
+    shorter ones first and each in the order of the texts (int32, packed with Zstandard), the distinct words, the distinct runs as places of
     words (null for n = 1, where they are the words), and how often texts of either kind hold each run."""
 
     @released
@@ -108,7 +109,7 @@ def by_text(chunked: DataFrame, values: DataFrame, schema: str, f: Callable[[np.
         (ids,), (sizes,), (at,) = (left.column(c).to_pylist() for c in ("ids", "sizes", "at"))
         order = np.argsort(right.column("at").to_numpy())
         arrays = [right.column(c).to_numpy()[order] for c in kinds]
-        found = f(np.frombuffer(sizes, np.int32), np.frombuffer(at, np.int32), arrays)
+        found = f(np.frombuffer(sizes, np.int32), np.frombuffer(zstandard.ZstdDecompressor().decompress(at), np.int32), arrays)
         return pa.Table.from_arrays([pa.array(ids, pa.int64()), *map(pa.array, found)], names)
 
     plain = {"long": pa.int64(), "double": pa.float64(), "int": pa.int32()}
