@@ -572,6 +572,15 @@ def cluster_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.members_by_distance(rows).select("cluster", F.array_join(F.col("members").cast("array<string>"), ",").alias("members"))
 
 
+@query(f"""WITH {SPEC_SQL}, d AS (SELECT vec_id, label, sqrt(sum((v - c) * (v - c))) AS d FROM sc GROUP BY vec_id, label)
+SELECT CAST(label AS INTEGER) AS cluster, CAST(row_number() OVER (PARTITION BY label ORDER BY round(d, 9), vec_id) - 1 AS INTEGER) AS rank, vec_id AS point_id FROM d""")
+def cluster_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each member of a cluster, with its rank by distance."""
+    both = spec(spark, sf_dir).join(centres(spark, sf_dir), "label")
+    rows = both.select(F.col("vec_id").alias("point_id"), F.col("label").cast("int").alias("cluster"), r6(V.euclidean(F.col("spectrum"), F.col("features")), 9).alias("distance"))
+    return clustering.ranked_members(rows)
+
+
 @query(f"WITH {SPEC_SQL} SELECT CAST(label AS INTEGER) AS cluster, CAST(i - 1 AS INTEGER) AS row, round(c, 9) AS w FROM centre")
 def cluster_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = spec(spark, sf_dir).select(F.col("vec_id").alias("point_id"), F.col("label").cast("int").alias("cluster"), F.col("spectrum").alias("features"))
@@ -1008,9 +1017,8 @@ def distributed_nmf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def vca_endmembers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _points(spark, sf_dir).orderBy("point_id").collect()
-    found, ends = clustering.vca(np.array([r["features"] for r in rows]).T, 3)
-    return spark.createDataFrame([(i, int(rows[p]["point_id"]), [round(float(v), 6) for v in ends[:, i]]) for i, p in enumerate(found)], "endmember int, point_id long, spectrum array<double>")
+    found, ends = clustering.vca_points(_points(spark, sf_dir), 3)
+    return spark.createDataFrame([(i, int(p), [round(float(v), 6) for v in ends[:, i]]) for i, p in enumerate(found)], "endmember int, point_id long, spectrum array<double>")
 
 
 @query()

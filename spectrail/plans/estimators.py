@@ -164,23 +164,20 @@ class BlockWiseUnmixing(_Maps):
         return self.points
 
     def classify(self) -> tuple[np.ndarray, dict[int, list[int]]]:
-        """W of the common components, and which of them each block has."""
-        s, rows = self.settings, self.points.orderBy("point_id").collect()
-        f = np.array([r["features"] for r in rows])
+        """W of the common components, and which of them each block has: a list of small numbers for each block, which is all
+        that comes here beside W."""
+        s, floor = self.settings, self.settings.fit.floor
         if Classifier(s.classifier) in (Classifier.VCA, Classifier.REFINED_VCA):
-            picked, ends = clustering.vca(f.T, s.clusters, s.seed)
-            w = np.vstack([ends, np.array([rows[p]["background"] for p in picked]).T]) if self.background_rows else ends
-            from ..operators.kernels import nnls
-
-            a = np.array([np.maximum(nnls(ends, v), 1e-10) for v in f])
-            return np.maximum(w, s.fit.floor), clustering.dominant(a, [r["block_id"] for r in rows])
-        self.clusters = clustering.spectral_clusters(self.points, s.clusters, s.sigma, s.metric, s.power, s.cluster_iter, s.cluster_tol, s.seed)
+            picked, ends = clustering.vca_points(self.points, s.clusters, s.seed)
+            own = {r["point_id"]: r["background"] for r in self.points.where(F.col("point_id").isin(picked)).select("point_id", "background").collect()}
+            w = np.vstack([ends, np.array([own[i] for i in picked]).T]) if self.background_rows else ends
+            present = clustering.dominant_by_block(self.points, ends)
+            return np.maximum(w, floor), {r["block_id"]: list(r["present"]) for r in present.collect()}
+        self.clusters = written(clustering.spectral_clusters(self.points, s.clusters, s.sigma, s.metric, s.power, s.cluster_iter, s.cluster_tol, s.seed), "clusters")
         means = clustering.clustered_w(self.points, self.clusters, "w").orderBy("cluster").collect()
         order = {r["cluster"]: i for i, r in enumerate(means)}
-        has: dict[int, list[int]] = {}
-        for r in clustering.presences(self.points, self.clusters).collect():
-            has.setdefault(r["block_id"], []).append(order[r["cluster"]])
-        return np.maximum(np.array([r["w"] for r in means]).T, s.fit.floor), {b: sorted(v) for b, v in has.items()}
+        has = clustering.presences(self.points, self.clusters).groupBy("block_id").agg(F.array_sort(F.collect_list("cluster")).alias("present")).collect()
+        return np.maximum(np.array([r["w"] for r in means]).T, floor), {r["block_id"]: [order[c] for c in r["present"]] for r in has}
 
     def fit_transform(self, pixels: DataFrame, factors: DataFrame | None = None, pooled: DataFrame | None = None) -> DataFrame:
         """(pixel_id, h) of pixels(block_id, pixel_id, spectrum). pooled: components of an earlier run, as of pool()."""
