@@ -91,6 +91,22 @@ def below(keys: Column, value: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.ceil(F.log2(n + 1.0)).cast("int")), first, half, lambda acc: acc["low"])
 
 
+def filled(entries: Column, at: str, value: str, size: int, first: int = 0) -> Column:
+    """An array of size values from an array of structs, by their places from `first` on; gaps are 0. Places outside are left
+    away, and a place that occurs twice is an error. One walk over the entries, however many gaps there are."""
+    last = first + size - 1
+    own = F.array_sort(F.transform(F.filter(entries, lambda e: e[at].between(first, last)), lambda e: F.struct(e[at].cast("int").alias("at"), e[value].cast("double").alias("value"))))
+    zeros = lambda n: F.array_repeat(F.lit(ZERO), n)
+    twice = F.raise_error(F.lit("a place occurs twice")).cast("array<double>")
+
+    def laid(found: Column) -> Column:
+        before = lambda i: F.when(i > 0, F.get(found, i - 1)["at"]).otherwise(F.lit(first - 1))
+        parts = F.transform(found, lambda e, i: F.when(e["at"] == before(i), twice).otherwise(F.concat(zeros(e["at"] - before(i) - 1), F.array(F.coalesce(e["value"], F.lit(ZERO))))))
+        return F.concat(F.flatten(parts), zeros(F.lit(last) - before(F.size(found))))
+
+    return F.get(F.transform(F.array(own), laid), 0)
+
+
 def nearest_sorted(keys: Column, value: Column) -> Column:
     """Index from 0 of the key closest to value in a sorted array, the first of equals; null without keys or value."""
     i = below(keys, value)

@@ -140,7 +140,7 @@ def start(pixels: DataFrame, g: np.ndarray, fit: Fit, w: np.ndarray | None, h: D
         for b in batches:
             if b.num_rows:
                 if init != Init.NNDSVDA:
-                    noise = np.abs([np.random.default_rng((fit.seed, i % 2**64)).standard_normal(d.shape[1]) for i in b.column(0).to_pylist()]).T
+                    noise = np.abs(K.normal_by_id(b.column(0).to_numpy(), d.shape[1], fit.seed)).T
                 if init == Init.RANDOM:
                     values = noise * np.sqrt(mean)
                 else:
@@ -399,20 +399,46 @@ def abundances_by_block(pixels: DataFrame, g: np.ndarray, w: np.ndarray, fit: Fi
     return pixels.select("block_id", "pixel_id", x).groupBy("block_id").applyInPandas(run, "block_id int, pixel_id long, h array<double>")
 
 
-def refine_in_order(pixels: DataFrame, g: np.ndarray, w: np.ndarray, presences: dict[int, Sequence[int]], fit: Fit, x: str = "spectrum") -> np.ndarray:
-    """Refit each block's present components and write them back before the next block: each starts from the last, so the
-    blocks run one after another, each as one kernel call on an executor."""
-    w = w.copy()
+def levels_of(presences: dict[int, Sequence[int]]) -> list[list[int]]:
+    """Blocks in levels: a block comes after all earlier blocks that share a component with it, so that blocks of a level have
+    none in common, and each component meets its blocks in their order."""
+    free: dict[int, int] = {}
+    levels: list[list[int]] = []
     for block in sorted(presences):
-        own = sorted(presences[block])
-        if not own:
-            continue
-        start = w[:, own]
+        if presences[block]:
+            level = max(free.get(c, 0) for c in presences[block])
+            free |= {c: level + 1 for c in presences[block]}
+            levels += [[]] * (level == len(levels))
+            levels[level] = [*levels[level], block]
+    return levels
+
 
-        def run(rows: pd.DataFrame) -> pd.DataFrame:
-            fitted, _, _ = K.factorise(_block(rows, x)[1], g, fit.change(components=start.shape[1]), w=start)
-            return pd.DataFrame({"comp": range(fitted.shape[1]), "w": list(fitted.T)})
+def refine_in_order(pixels: DataFrame, g: np.ndarray, w: np.ndarray, presences: dict[int, Sequence[int]], fit: Fit, x: str = "spectrum") -> np.ndarray:
+    """Refit each block's present components and write them back before the next block that has one of them: a block starts
+    from the last fit of each of its components. Blocks without a common component run together, a job for each level, which
+    reads its own pixels only; each fit is one kernel call on an executor."""
+    levels = levels_of(presences)
+    if not levels:
+        return w.copy()
+    w, spark = w.copy(), pixels.sparkSession
+    of_block = spark.createDataFrame([(b, i) for i, level in enumerate(levels) for b in level], "block_id int, _level int")
+    path = f"{shared_dir(spark)}/levels-{uuid.uuid4().hex}"
+    placed = pixels.select(F.col("block_id").cast("int").alias("block_id"), "pixel_id", x).join(of_block, "block_id").repartition("_level", "block_id")
+    placed.write.partitionBy("_level").parquet(path)
+
+    def fitter(now: np.ndarray):
+        def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+            own = sorted(presences[int(key[0])])
+            fitted, _, _ = K.factorise(_block(rows, x)[1], g, fit.change(components=len(own)), w=now[:, own])
+            return pd.DataFrame({"comp": own, "w": list(fitted.T)})
+
+        return run
 
-        rows = pixels.where(F.col("block_id") == block).select("block_id", "pixel_id", x).groupBy("block_id").applyInPandas(run, "comp int, w array<double>").orderBy("comp").collect()
-        w[:, own] = np.array([r["w"] for r in rows]).T
+    try:
+        for i in range(len(levels)):
+            own = spark.read.schema(placed.schema).parquet(path).where(F.col("_level") == i).drop("_level")
+            for r in own.groupBy("block_id").applyInPandas(fitter(w.copy()), "comp int, w array<double>").collect():  # a level has a component once
+                w[:, r["comp"]] = r["w"]
+    finally:
+        delete(spark, path)
     return w

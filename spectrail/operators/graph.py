@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import delete, discard, shared_dir, written
-from .kernels import matrix
+from .kernels import matrix, uniform_by_id
 from .reshape import dense_sum
 
 #: Points of a block, about.
@@ -144,14 +144,6 @@ class Graph:
         discard(self.blocks)
 
 
-def _noise(ids: np.ndarray, columns: int, seed: int) -> np.ndarray:
-    """Numbers from -1 to 1 of id, column and seed alone (a 64-bit mixing function)."""
-    z = ids.astype(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + (np.arange(columns, dtype=np.uint64) + np.uint64(seed * columns + 1)) * np.uint64(0xD1342543DE82EF95)
-    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-        z = (z ^ (z >> np.uint64(shift))) * np.uint64(factor)
-    return (z ^ (z >> np.uint64(31))).astype(np.float64) / 2.0**63 - 1.0
-
-
 STATE = "block long, ids array<long>, root array<double>, q array<double>"
 
 
@@ -180,7 +172,7 @@ def eigenvectors(graph: Graph, k: int, tol: float = 1e-10, steps: int = 60, seed
     k = min(k, total)
     degrees = graph.times(start.select("block", F.col("q").alias("v"), F.size("ids").alias("n_v")))
     state = start.drop("root").join(degrees, "block").select("block", "ids", F.col("y").alias("root"), "q")
-    state = _over(state, lambda ids, d, q, w: (None, ids, 1 / np.sqrt(d), _noise(ids, k, seed)), STATE)
+    state = _over(state, lambda ids, d, q, w: (None, ids, 1 / np.sqrt(d), 2 * uniform_by_id(ids, k, seed) - 1), STATE)
     state, basis = written(state, "basis"), 0
     widths: list[int] = []
 

@@ -21,6 +21,22 @@ def matrix(column: pa.Array, size: int | None = None) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1).T
 
 
+def uniform_by_id(ids: np.ndarray, columns: int, seed: int) -> np.ndarray:
+    """Numbers between 0 and 1, ids x columns, of id, column and seed alone (a 64-bit mixing function as counter-based
+    generators have), so that they don't depend on how ids are dealt out."""
+    z = ids.astype(np.int64).view(np.uint64)[:, None] * np.uint64(0x9E3779B97F4A7C15) + (np.arange(columns, dtype=np.uint64) + np.uint64((seed * columns + 1) % 2**64)) * np.uint64(0xD1342543DE82EF95)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        z = (z ^ (z >> np.uint64(shift))) * np.uint64(factor)
+    z = z ^ (z >> np.uint64(31))
+    return ((z >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53
+
+
+def normal_by_id(ids: np.ndarray, columns: int, seed: int) -> np.ndarray:
+    """Standard normal numbers, ids x columns, from uniform_by_id()."""
+    u = uniform_by_id(ids, 2 * columns, seed)
+    return np.sqrt(-2 * np.log(u[:, :columns])) * np.cos(2 * np.pi * u[:, columns:])
+
+
 def nnls(a: np.ndarray, b: np.ndarray, tol: float = 1e-10) -> np.ndarray:
     """The non-negative x with the least |a x - b|, by active sets (Lawson and Hanson, 1974)."""
     n = a.shape[1]

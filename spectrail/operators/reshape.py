@@ -7,12 +7,13 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.vectors import filled
+
 
 def to_pixels(cells: DataFrame, channels: int, first: int = 0, spectrum: str = "spectrum") -> DataFrame:
     """A row for each pixel with the values of channels first .. first + channels - 1; gaps are 0."""
-    packed = cells.groupBy("pixel_id").agg(F.map_from_entries(F.collect_list(F.struct(F.col("channel").cast("int"), F.col("value").cast("double")))).alias("_m"))
-    values = F.transform(F.sequence(F.lit(first), F.lit(first + channels - 1)), lambda c: F.coalesce(F.col("_m")[c], F.lit(0.0)))
-    return packed.select("pixel_id", values.alias(spectrum))
+    packed = cells.groupBy("pixel_id").agg(F.collect_list(F.struct(F.col("channel").cast("int").alias("channel"), F.col("value").cast("double").alias("value"))).alias("_m"))
+    return packed.select("pixel_id", filled(F.col("_m"), "channel", "value", channels, first).alias(spectrum))
 
 
 def to_cells(pixels: DataFrame, spectrum: str = "spectrum", first: int = 0, *keys: str) -> DataFrame:

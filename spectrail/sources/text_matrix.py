@@ -1,6 +1,6 @@
 """Matrices and vectors as text: a line of sizes, then a line of numbers for each row (a vector is one column).
 
-Reading is spread over lines, and values keep full precision, as doubles are written in their shortest exact form.
+Reading is spread over the splits of files, and values keep full precision, as doubles are written in their shortest exact form.
 A matrix larger than two dimensions is refused.
 """
 
@@ -8,6 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..functions.vectors import filled
 
 
 def write_matrix(cells: DataFrame, path: str, rows: int, cols: int | None = None) -> None:
@@ -15,33 +18,32 @@ def write_matrix(cells: DataFrame, path: str, rows: int, cols: int | None = None
     width = cols or 1
     j = F.col("j") if cols else F.lit(0)
     packed = cells.select(F.col("i").cast("long").alias("i"), F.struct(j.cast("int").alias("j"), F.col("value").cast("double").alias("value")).alias("c"))
-    full = cells.sparkSession.range(rows).withColumnRenamed("id", "i").join(packed.groupBy("i").agg(F.map_from_entries(F.collect_list("c")).alias("m")), "i", "left")
-    line = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda k: F.coalesce(F.col("m")[k], F.lit(0.0)).cast("string")), " ")
+    full = cells.sparkSession.range(rows).withColumnRenamed("id", "i").join(packed.groupBy("i").agg(F.collect_list("c").alias("m")), "i", "left")
+    line = F.array_join(filled(F.coalesce("m", F.array().cast("array<struct<j:int,value:double>>")), "j", "value", width), " ")
     head = cells.sparkSession.range(1).select(F.lit(-1).cast("long").alias("i"), F.lit(f"{rows} {cols}" if cols else f"{rows}").alias("value"))
     full.select("i", line.alias("value")).union(head).orderBy("i").select("value").write.text(path)
 
 
 def read_matrix(spark: SparkSession, path: str) -> DataFrame:
-    """(i, j, value) of a text matrix or vector. Fails if the file is missing or a row's length differs from the head's."""
-    lines = spark.read.text(path).select("value", "_metadata.file_name", F.monotonically_increasing_id().alias("at"))
-    first = lines.orderBy("file_name", "at").first()
+    """(i, j, value) of a text matrix or vector, in as many tasks as its files have splits. Fails if the file is missing or a row's length differs from the head's."""
+    text = spark.read.text(path)
+    files = sorted(text.inputFiles(), key=lambda f: f.rpartition("/")[2])
+    first = next((r for r in (spark.read.text(f).first() for f in files) if r is not None), None)
     if first is None:
         raise ValueError(f"{path} is empty")
     sizes = [int(x) for x in first["value"].split()]
     if len(sizes) not in (1, 2):
         raise ValueError("only vectors and matrices can be read")
     width = sizes[1] if len(sizes) == 2 else 1
-    # the rank of a line is its place in its file plus the lines of the files before it
-    counts = {r["file_name"]: r["n"] for r in lines.groupBy("file_name").agg(F.count(F.lit(1)).alias("n")).collect()}
-    before, starts = 0, {}
-    for name in sorted(counts):
-        starts[name] = before
-        before += counts[name]
-    from pyspark.sql.window import Window
-
-    rank = F.row_number().over(Window.partitionBy("file_name").orderBy("at"))
-    start = F.create_map(*[x for n, k in starts.items() for x in (F.lit(n), F.lit(k))])
-    rows = lines.select("value", (rank + start[F.col("file_name")] - 2).cast("long").alias("i")).where("i >= 0")
+    # a line's rank is its place in its split, plus the lines of the splits before it: one row for each split
+    split = ["file_name", "file_block_start"]
+    lines = text.select("value", *(f"_metadata.{c}" for c in split), F.monotonically_increasing_id().alias("at"))
+    counts = lines.groupBy(*split).agg(F.min("at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy(*split).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select(*(F.col(c).alias(f"_{c}") for c in split), (before - F.col("_first")).alias("_start"))
+    same = [F.col(c) == F.col(f"_{c}") for c in split]
+    ranked = lines.join(starts, same[0] & same[1])
+    rows = ranked.select("value", (F.col("at") + F.col("_start") - 1).alias("i")).where("i >= 0")
     values = F.split(F.trim("value"), r"\s+")
     checked = F.when(F.size(values) == width, values).otherwise(F.raise_error(F.lit("a row's length differs from the head's")))
     return rows.select("i", F.posexplode(checked).alias("j", "v")).select("i", "j", F.col("v").cast("double").alias("value"))
