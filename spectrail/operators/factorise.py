@@ -25,6 +25,7 @@ from ..config import Algorithm, Fit, Init
 from ..functions import vectors as V
 from ..sources.shared import delete, discard, shared_dir, written
 from . import kernels as K
+from .filters import above_floor
 from .measures import normalisation_factor
 from .reshape import dense_sum
 
@@ -112,7 +113,8 @@ def start(pixels: DataFrame, g: np.ndarray, fit: Fit, w: np.ndarray | None, h: D
     starts is theirs. Random values are of the seed and the pixel, however pixels are dealt out."""
     init = Init(fit.init)
     if h is not None:
-        h = h.select(F.col("pixel_id").cast("long").alias("pixel_id"), V.clip_below(F.col("h"), fit.floor).alias("h"))
+        given = F.transform("h", lambda v: above_floor(v, fit.floor)) if fit.safe else F.col("h")
+        h = h.select(F.col("pixel_id").cast("long").alias("pixel_id"), V.clip_below(given, fit.floor).alias("h"))
         if w is None:
             both = pixels.join(h, "pixel_id").select(x, "h")
 

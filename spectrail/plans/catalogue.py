@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..config import BlockFit, Fit, FreePath, MeanType
+from ..config import Algorithm, BlockFit, Fit, FreePath, MeanType
 from ..functions import physics as P
 from ..functions import text as X
 from ..functions import vectors as V
@@ -684,12 +684,13 @@ def _step(spark: SparkSession, sf_dir: str, fit: Fit, kind: str = "update", digi
     import pyarrow as pa
 
     pixels, d = factors(spark, sf_dir)[0], T.factor_matrix()
+    top = factorise._tops(pixels) if fit.ridge else None
 
     def run(batches):
         for b in batches:
             if b.num_rows:
                 x, h = factorise._matrix(b.column(1)), factorise._matrix(b.column(2))
-                new = K.update_h(x, d, h, fit) if kind == "update" else K.grad_h(x, d, h, fit)
+                new = K.update_h(x, d, h, fit, top=top) if kind == "update" else K.grad_h(x, d, h, fit)
                 if kind == "step":
                     new = K.step_h(h, new, 1e3, fit)
                 yield pa.RecordBatch.from_arrays([b.column(0), factorise._lists(new)], ["pixel_id", "v"])
@@ -712,6 +713,27 @@ def l2_update_h_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _step(spark, sf_dir, FREE.change(l2=True))
 
 
+@query(f"WITH {H_SQL} SELECT pixel_id, comp, round(greatest(v * num / (den + 3e-1 / (v + 1)), 1e-14), 6) AS value FROM r JOIN h USING (pixel_id, comp)")
+def kl_update_h_logarithm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A step of H with the logarithmic penalty."""
+    return _step(spark, sf_dir, FREE.change(mu=0.3))
+
+
+@query(f"""WITH {H_SQL}, top AS (SELECT comp, max(v) AS top FROM h GROUP BY comp)
+SELECT pixel_id, comp, round(greatest(v * (num + 4 * top) / (den + 4 * top + 5e-1 * v), 1e-14), 6) AS value FROM r JOIN h USING (pixel_id, comp) JOIN top USING (comp)""")
+def kl_update_h_ridge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A step of H with the ridge, whose bound is of the largest values of all pixels."""
+    return _step(spark, sf_dir, FREE.change(ridge=0.5, sigma=8.0))
+
+
+@query(f"""WITH {H_SQL}, p AS (SELECT pixel_id, sum(x) AS s FROM xf GROUP BY pixel_id)
+SELECT pixel_id, comp, round(greatest(s / (den - num + s / v), 1e-14), 6) AS value FROM r JOIN h USING (pixel_id, comp) JOIN p USING (pixel_id) WHERE s > 0""")
+def bregman_update_h_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A step of H by mirror descent, of the pixels that have counts."""
+    rows = _step(spark, sf_dir, FREE.change(algorithm=Algorithm.BMD))
+    return rows.join(factors(spark, sf_dir)[0].where(V.total(F.col("spectrum")) > 0).select("pixel_id"), "pixel_id", "left_semi")
+
+
 @query(f"WITH {H_SQL} SELECT pixel_id, comp, round(den - num + 3e-1 / (v + 1) + 5e-1 * v, 6) AS value FROM r JOIN h USING (pixel_id, comp)")
 def grad_h(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _step(spark, sf_dir, FREE.change(mu=0.3, ridge=0.5), "grad")
@@ -740,7 +762,8 @@ def _w_step(spark: SparkSession, sf_dir: str, fit: Fit, kind: str = "update", ow
     g, w = T.small_dictionary() if own else (np.eye(T.CHANNELS), T.factor_matrix())
     sums = w_sums(factors(spark, sf_dir)[0], g @ w, fit)
     grad = K.grad_w(g, sums, g @ w, fit)
-    value = {"update": lambda: K.update_w(w, g, sums, fit), "grad": lambda: grad, "step": lambda: K.step_w(w, grad, 1e6, fit)}[kind]()
+    whole = factors(spark, sf_dir)[0].agg(F.sum(V.total(F.col("spectrum")))).first()[0] if fit.algorithm == Algorithm.BMD else None
+    value = {"update": lambda: K.update_w(w, g, sums, fit, total=whole), "grad": lambda: grad, "step": lambda: K.step_w(w, grad, 1e6, fit)}[kind]()
     rows = [(i + (not own), k, float(v)) for i, row in enumerate(value) for k, v in enumerate(row)]
     return spark.createDataFrame(rows, f"{'row' if own else 'channel'} int, comp int, value double").withColumn("value", r6("value"))
 
@@ -750,6 +773,12 @@ def kl_update_w_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _w_step(spark, sf_dir, FREE)
 
 
+@query(f"WITH {WS_SQL}, t AS (SELECT sum(x) AS total FROM xf) SELECT channel, comp, round(greatest(total / (second - first + total / w), 1e-14), 6) AS value FROM s JOIN d USING (channel, comp) CROSS JOIN t")
+def bregman_update_w_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A step of W by mirror descent."""
+    return _w_step(spark, sf_dir, FREE.change(algorithm=Algorithm.BMD))
+
+
 @query(f"WITH {WS_SQL} SELECT channel, comp, round(w * xh / fh, 6) AS value FROM s JOIN d USING (channel, comp)")
 def l2_update_w_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _w_step(spark, sf_dir, FREE.change(l2=True))
@@ -1254,3 +1283,71 @@ def distributed_nmf_spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = _given_start(spark, sf_dir)[0]
     rows = spark.createDataFrame([(c + 1, k, float(v)) for c, row in enumerate(w) for k, v in enumerate(row)], "channel int, comp int, w double")
     return rows.withColumn("w", r6("w", 4))
+
+
+# -- the whole-image fit: its stop, and projected gradients ------------------------------------------------------------
+
+
+def _stop_sql(rounds: int, tol: str) -> str:
+    """Rounds from the given start, the loss after each with both changes, and the first round that a stop rule names."""
+    loss = lambda k: f"l{k} AS (SELECT avg(w1 * h1 + w2 * h2 - greatest(value, 1e-14) * ln(w1 * h1 + w2 * h2) + greatest(value, 1e-14) * ln(greatest(value, 1e-14)) - greatest(value, 1e-14)) AS l FROM cells JOIN dw{k} USING (channel) JOIN a{k} USING (pixel_id))"
+    change = lambda name, t, key, k: f"""{name}{k} AS (SELECT max(d / (n + {tol} * m)) AS c FROM (SELECT d, n, avg(d) OVER () AS m FROM (
+      SELECT unnest([abs(b.{t}1 - a.{t}1), abs(b.{t}2 - a.{t}2)]) AS d, unnest([b.{t}1, b.{t}2]) AS n FROM {"dw" if t == "w" else "a"}{k} b JOIN {"dw" if t == "w" else "a"}{k - 1} a USING ({key}))))"""
+    parts = [_nmf_sql(rounds), loss(0)]
+    for k in range(1, rounds + 1):
+        parts += [loss(k), change("cw", "w", "channel", k), change("ch", "h", "pixel_id", k)]
+    rows = " UNION ALL ".join(f"SELECT {k} AS k, l{k}.l AS l, cw{k}.c AS cw, ch{k}.c AS ch FROM l{k} CROSS JOIN cw{k} CROSS JOIN ch{k}" for k in range(1, rounds + 1))
+    parts.append(f"trace AS ({rows}), seen AS (SELECT *, lag(l) OVER (ORDER BY k) AS before, (SELECT l FROM l0) AS first FROM trace)")
+    parts.append(f"ruled AS (SELECT k, l, CASE WHEN greatest(cw, ch) < {tol} THEN 'factors settled' WHEN abs((before - l) / first) < {tol} THEN 'loss settled' WHEN l > before THEN 'loss rose' WHEN k = {rounds} THEN 'max_iter' END AS why FROM seen)")
+    return ", ".join(parts) + " SELECT CAST(k AS INTEGER) AS rounds, why, round(l, 6) AS loss FROM ruled WHERE why IS NOT NULL ORDER BY k LIMIT 1"
+
+
+def _stopped_fit(spark: SparkSession, sf_dir: str, tol: float) -> DataFrame:
+    fit = Fit(components=2, simplex_w=False, max_iter=6, tol=tol)
+    report = factorise.fit_pixels(T.cube(spark, sf_dir), np.eye(T.CHANNELS), fit, T.factor_matrix())[2]
+    return spark.createDataFrame([(report["iterations"], report["stopped"], round(report["loss"], 6))], "rounds int, why string, loss double")
+
+
+@query(_stop_sql(6, "5e-3"))
+def distributed_stop_by_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where and why the whole-image fit ends, and the loss of what it returns."""
+    return _stopped_fit(spark, sf_dir, 5e-3)
+
+
+@query(_stop_sql(6, "9e-1"))
+def distributed_stop_by_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with a tolerance that both factors' changes meet first."""
+    return _stopped_fit(spark, sf_dir, 0.9)
+
+
+GRADIENT_SQL = f"""{SOLVE_SQL}, dw AS (SELECT channel, sum(CASE comp WHEN 0 THEN greatest(w, 1e-1) END) AS w1, sum(CASE comp WHEN 1 THEN greatest(w, 1e-1) END) AS w2 FROM d GROUP BY channel),
+a0 AS (SELECT pixel_id, greatest(h1, 1e-1) AS h1, greatest(h2, 1e-1) AS h2 FROM s),
+bound AS (SELECT (SELECT max(t) FROM (SELECT sum(value) AS t FROM cells GROUP BY pixel_id)) * 50 AS gh, (SELECT max(t) FROM (SELECT sum(value) AS t FROM cells GROUP BY channel)) * 50 AS gw),
+a1 AS (SELECT pixel_id, greatest(h1 - sum(w1 - w1 * value / greatest(w1 * h1 + w2 * h2, 1e-1)) / gh, 1e-1) AS h1, greatest(h2 - sum(w2 - w2 * value / greatest(w1 * h1 + w2 * h2, 1e-1)) / gh, 1e-1) AS h2 FROM cells JOIN dw USING (channel) JOIN a0 USING (pixel_id) CROSS JOIN bound GROUP BY pixel_id, h1, h2, gh),
+dw1 AS (SELECT channel, greatest(w1 - sum(h1 - h1 * value / greatest(w1 * h1 + w2 * h2, 1e-1)) / gw, 1e-1) AS w1, greatest(w2 - sum(h2 - h2 * value / greatest(w1 * h1 + w2 * h2, 1e-1)) / gw, 1e-1) AS w2 FROM cells JOIN dw USING (channel) JOIN a1 USING (pixel_id) CROSS JOIN bound GROUP BY channel, w1, w2, gw)"""
+
+
+@query(f"{GRADIENT_SQL} SELECT round(avg(greatest(w1 * h1 + w2 * h2, 1e-1) - greatest(value, 1e-1) * ln(greatest(w1 * h1 + w2 * h2, 1e-1)) + greatest(value, 1e-1) * ln(greatest(value, 1e-1)) - greatest(value, 1e-1)), 6) AS loss FROM cells JOIN dw1 USING (channel) JOIN a1 USING (pixel_id)")
+def distributed_gradient_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One round of the whole-image fit by projected gradients, with steps by the bounds of all pixels: the loss after it."""
+    fit = Fit(components=2, simplex_w=False, max_iter=1, no_stop=True, algorithm=Algorithm.PROJECTED_GRADIENT, floor=0.1)
+    report = factorise.fit_pixels(T.cube(spark, sf_dir), np.eye(T.CHANNELS), fit, T.factor_matrix())[2]
+    return spark.createDataFrame([(round(report["trace"][0], 6),)], "loss double")
+
+
+@query(f"""WITH {GRID_SQL}, p AS (SELECT pixel_id, sum(value) AS r FROM grid GROUP BY pixel_id), c AS (SELECT block_id, channel, sum(value) AS c FROM grid GROUP BY ALL)
+SELECT grid.pixel_id, channel, round(CASE WHEN r * c > 0 THEN value / sqrt(r) / sqrt(c) ELSE 0 END, 6) AS value FROM grid JOIN p USING (pixel_id) JOIN c USING (block_id, channel)""")
+def poisson_normalise_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = measures.poisson_normalised(T.grid(spark, sf_dir), by="block_id")
+    return reshape.to_cells(rows, "spectrum", 1).withColumn("value", r6("value"))
+
+
+@query(f"""WITH {SPEC_SQL}, e AS (SELECT i, max(CASE label WHEN 0 THEN c END) AS a, max(CASE label WHEN 1 THEN c END) AS b FROM centre GROUP BY i), g AS (SELECT sum(a * a) AS aa, sum(a * b) AS ab, sum(b * b) AS bb FROM e),
+p AS (SELECT vec_id, sum(a * v) AS av, sum(b * v) AS bv FROM spec JOIN e USING (i) GROUP BY vec_id), u AS (SELECT vec_id, av, bv, aa, bb, (bb * av - ab * bv) / (aa * bb - ab * ab) AS x, (aa * bv - ab * av) / (aa * bb - ab * ab) AS y FROM p CROSS JOIN g),
+s AS (SELECT vec_id, CASE WHEN x >= 0 AND y >= 0 THEN x WHEN y < 0 THEN greatest(av / aa, 0) ELSE 0 END AS x, CASE WHEN x >= 0 AND y >= 0 THEN y WHEN y < 0 THEN 0 ELSE greatest(bv / bb, 0) END AS y FROM u)
+SELECT vec_id, CAST(unnest([0, 1]) AS INTEGER) AS endmember, round(greatest(unnest([x, y]), 1e-10), 6) AS share FROM s""")
+def abundance_nnls_two(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Non-negative shares of two endmembers, for which a closed form exists."""
+    ends = np.array([r["features"] for r in centres(spark, sf_dir).where("label < 2").orderBy("label").collect()]).T
+    found = clustering.abundances_nnls(spec(spark, sf_dir).select("vec_id", F.col("spectrum").alias("features")), ends)
+    return found.select("vec_id", F.posexplode("a").alias("endmember", "share")).withColumn("share", r6("share"))

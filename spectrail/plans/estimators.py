@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..config import BlockFit, Classifier, Fit, Fusion
 from ..operators import absorption, clustering, composition, factorise, filters, fusion, measures, thickness
 from ..operators.dictionary import Dictionary
+from ..sources import blocks
 from ..sources.blocks import corrected
 from ..sources.results import read_results, write_results
 from ..sources.shared import written
@@ -149,6 +150,18 @@ class BlockWiseUnmixing(_Maps):
         self.points: DataFrame | None = None
         self.clusters: DataFrame | None = None
 
+    def prepare(self, pixels: DataFrame, image: tuple[int, int], block: tuple[int, int], path: str | None = None, factors: DataFrame | None = None) -> DataFrame:
+        """pixels(pixel_id, spectrum) of a whole image (height, width), each place once, dealt into blocks (height, width), divided
+        by absorption factors and normalised as settings say; written to path by blocks if given, and read from there."""
+        rows = blocks.with_blocks(blocks.checked(pixels, *image), *block, image[1])
+        rows = filters.non_negative(rows if factors is None else corrected(rows, factors))
+        if self.settings.poisson:
+            rows = measures.poisson_normalised(rows, by="block_id")
+        if path is None:
+            return rows
+        blocks.write_blocks(rows, path)
+        return blocks.read_blocks(rows.sparkSession, path, "spectrum")
+
     def pool(self, pixels: DataFrame) -> DataFrame:
         """(point_id, block_id, comp, features, background, w): the components of all blocks, post-processed."""
         s, own, n = self.settings, self.g.shape[1] - self.background_rows, self.g.shape[1]
@@ -179,11 +192,12 @@ class BlockWiseUnmixing(_Maps):
         has = clustering.presences(self.points, self.clusters).groupBy("block_id").agg(F.array_sort(F.collect_list("cluster")).alias("present")).collect()
         return np.maximum(np.array([r["w"] for r in means]).T, floor), {r["block_id"]: [order[c] for c in r["present"]] for r in has}
 
-    def fit_transform(self, pixels: DataFrame, factors: DataFrame | None = None, pooled: DataFrame | None = None) -> DataFrame:
-        """(pixel_id, h) of pixels(block_id, pixel_id, spectrum). pooled: components of an earlier run, as of pool()."""
+    def fit_transform(self, pixels: DataFrame, factors: DataFrame | None = None, pooled: DataFrame | None = None, prepared: bool = False) -> DataFrame:
+        """(pixel_id, h) of pixels(block_id, pixel_id, spectrum). pooled: components of an earlier run, as of pool(). prepared:
+        pixels are of prepare(), which has corrected and normalised them."""
         data = filters.non_negative(pixels if factors is None else corrected(pixels, factors))
         s = self.settings
-        if s.poisson:
+        if s.poisson and not prepared:
             data = measures.poisson_normalised(data, by="block_id")
         self.points = pooled if pooled is not None else self.pool(data)
         self.w, present = self.classify()

@@ -111,3 +111,40 @@ def test_numbers_of_ids():
     n = K.normal_by_id(np.arange(20_000), 2, 5)
     assert abs(n.mean()) < 0.02 and abs(n.std() - 1) < 0.02 and np.array_equal(n[7:9], K.normal_by_id(np.array([7, 8]), 2, 5))
     assert not np.allclose(n, K.normal_by_id(np.arange(20_000), 2, 6)) and K.uniform_by_id(np.array([-3, 2**62]), 2, 0).shape == (2, 2)
+
+
+def test_an_estimator_deals_checks_and_writes_blocks(spark, tmp_path):
+    from spectrail.config import BlockFit
+    from spectrail.plans.estimators import BlockWiseUnmixing
+
+    rng = np.random.default_rng(2)
+    x = rng.gamma(0.8, 1.0, (7, 48)) + 0.01
+    pixels = spark.createDataFrame([(i, x[:, i].tolist()) for i in range(48)], "pixel_id long, spectrum array<double>")
+    settings = BlockFit(fit=Fit(components=2, max_iter=5), clusters=2, classifier="refined_vca", poisson=True)
+    est = BlockWiseUnmixing(np.eye(7), settings, background_rows=0)
+    path = str(tmp_path / "blocks")
+    rows = est.prepare(pixels, (6, 8), (3, 4), path)
+    got = {(r.block_id, r.pixel_id): r.spectrum for r in rows.collect()}
+    assert {b for b, _ in got} == {0, 1, 2, 3} and len(got) == 48
+    mine = [i for b, i in got if b == 3]
+    assert np.allclose(got[3, mine[0]], x[:, mine[0]] / np.sqrt(x[:, mine[0]].sum()) / np.sqrt(x[:, mine].sum(axis=1)))
+    h = est.fit_transform(rows, prepared=True).collect()
+    assert len(h) == 48 and est.w.shape == (7, 2)
+    again = BlockWiseUnmixing(np.eye(7), settings, background_rows=0)
+    again.fit_transform(est.prepare(pixels, (6, 8), (3, 4)).select("block_id", "pixel_id", "spectrum"), prepared=True)
+    assert np.allclose(again.w, est.w)
+    with pytest.raises(ValueError, match="places"):
+        est.prepare(pixels.where("pixel_id <> 5"), (6, 8), (3, 4))
+
+
+def test_a_start_below_the_floor_is_refused_in_safe_fits(spark):
+    x = np.random.default_rng(0).random((4, 5)) + 0.1
+    pixels = spark.createDataFrame([(i, x[:, i].tolist()) for i in range(5)], "pixel_id long, spectrum array<double>")
+    h = spark.createDataFrame([(i, [1.0, -0.5]) for i in range(5)], "pixel_id long, h array<double>")
+    for safe in (True, False):
+        fit = Fit(components=2, simplex_w=False, max_iter=1, safe=safe)
+        if safe:
+            with pytest.raises(Exception, match="below the floor"):
+                factorise.fit_pixels(pixels, np.eye(4), fit, h=h)
+        else:
+            assert factorise.fit_pixels(pixels, np.eye(4), fit, h=h)[1].count() == 5
