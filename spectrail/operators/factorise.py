@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import time
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -272,10 +272,11 @@ def penalties(h: DataFrame, fit: Fit) -> float:
     return float(h.agg(F.coalesce(F.sum(each), F.lit(0.0))).first()[0]) if fit.mu or fit.ridge else 0.0
 
 
-def fit_pixels(pixels: DataFrame, g: np.ndarray, fit: Fit, w: np.ndarray | None = None, fixed_w: np.ndarray | None = None, update_w: bool = True, cut_every: int = 10, x: str = "spectrum", h: DataFrame | None = None, fixed_h: DataFrame | None = None) -> tuple[np.ndarray, DataFrame, dict]:
+def fit_pixels(pixels: DataFrame, g: np.ndarray, fit: Fit, w: np.ndarray | None = None, fixed_w: np.ndarray | None = None, update_w: bool = True, cut_every: int = 10, x: str = "spectrum", h: DataFrame | None = None, fixed_h: DataFrame | None = None, refresh: Callable[[np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, DataFrame, dict]:
     """W, (pixel_id, h) and a report of a fit over all pixels. With update_w=False only H moves.
 
     h: a start (pixel_id, h) for all pixels. fixed_h: (pixel_id, h), where null and NaN are free, as are missing pixels.
+    refresh: what G becomes after each step of W; the last one is in the report.
 
     The loss after both steps of a round is known when the next round reads the spectra, so a round that proves to be one too
     many is left away, and the rounds, the reason for the stop and the loss are those of kernels.factorise().
@@ -346,8 +347,12 @@ def fit_pixels(pixels: DataFrame, g: np.ndarray, fit: Fit, w: np.ndarray | None
                     w = K.step_w(w, grad, steps[1], fit, fixed_w)
                     gap = w - old_w
                     bound = value_h + (gap * grad).sum() + steps[1] * (gap * gap).sum() if fit.line_search else None
+                    if bound is not None and refresh:  # the next round's loss is of another G
+                        steps[1] *= 1 / 1.05 if bound - _added(_pass(spectra, h, g @ w, None, fit, move=False))[0] > 0 else 1.5
+                        bound = None
                 else:
                     w = K.update_w(w, g, sums, fit, fixed_w, total)
+                g = refresh(w) if refresh else g
             change_w = K.relative_change(w, old_w, fit.tol) if update_w else 0.0
             # H's change is of use only where W's doesn't rule out that both have settled
             change_h = change_of_h(h, moved / (size / g.shape[0] * w.shape[1]), fit.tol) if change_w < fit.tol and not fit.no_stop else np.inf
@@ -365,7 +370,7 @@ def fit_pixels(pixels: DataFrame, g: np.ndarray, fit: Fit, w: np.ndarray | None
     seconds = time.perf_counter() - began
     if fit.verbose:
         print(f"{len(trace)} rounds in {seconds:.1f} s: {why}")
-    return w / factor, result, {"iterations": len(trace), "loss": float(loss), "trace": trace, "stopped": why, "seconds": seconds}
+    return w / factor, result, {"iterations": len(trace), "loss": float(loss), "trace": trace, "stopped": why, "seconds": seconds, "g": g}
 
 
 # -- block by block --------------------------------------------------------------------------------------------------

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 
@@ -311,8 +313,8 @@ def surrogate_gap(old: np.ndarray, new: np.ndarray, sigma: float, weight: float)
     return float(weight / 2 * (value - (new * new).sum()))
 
 
-def factorise(x: np.ndarray, g: np.ndarray, fit: Fit, w: np.ndarray | None = None, h: np.ndarray | None = None, fixed_w: np.ndarray | None = None, fixed_h: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, dict]:
-    """W, H and a report of a fit that fits in memory, as a block's."""
+def factorise(x: np.ndarray, g: np.ndarray, fit: Fit, w: np.ndarray | None = None, h: np.ndarray | None = None, fixed_w: np.ndarray | None = None, fixed_h: np.ndarray | None = None, refresh: Callable[[np.ndarray], np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, dict]:
+    """W, H and a report of a fit that fits in memory, as a block's. refresh: what G becomes after each step of W."""
     if (x < 0).any():
         raise ValueError("negative values")
     x = np.asarray(x, float)
@@ -348,6 +350,7 @@ def factorise(x: np.ndarray, g: np.ndarray, fit: Fit, w: np.ndarray | None = Non
             if fit.line_search and fit.ridge:
                 steps[0] *= 1 / 1.05 if surrogate_gap(old_h, h, steps[0], fit.ridge) > 0 else 1.5
             w = update_w(w, g, w_sums(x, d, h, fit), fit, fixed_w, x.sum())
+        g = refresh(w) if refresh else g
         now = loss(x, g @ w, h, fit) / size
         trace.append(now)
         if not fit.no_stop and (why := stopped(relative_change(w, old_w, fit.tol), relative_change(h, old_h, fit.tol), before, now, first, fit.tol)):

@@ -121,23 +121,31 @@ class Unmixing(_Maps):
         own.dictionary = dictionary
         return own
 
-    def fit_transform(self, pixels: DataFrame, factors: DataFrame | None = None, w: np.ndarray | None = None, fixed_w: np.ndarray | None = None, h: DataFrame | None = None, fixed_h: DataFrame | None = None, refresh: int = 0) -> DataFrame:
+    def fit_transform(self, pixels: DataFrame, factors: DataFrame | None = None, w: np.ndarray | None = None, fixed_w: np.ndarray | None = None, h: DataFrame | None = None, fixed_h: DataFrame | None = None, refresh: int = 0, refresh_each_round: bool = False) -> DataFrame:
         """(pixel_id, h) of pixels(pixel_id, spectrum), which are divided by absorption factors (pixel_id, a) if given.
 
         h, fixed_h: (pixel_id, h) of a start, and of values that stay, where null and NaN are free. refresh: how often the
         background is made anew from the fit's mean composition, and the fit taken up again from there; 0 leaves G alone.
+        refresh_each_round: it is also made anew after each step of W.
         """
         data = filters.non_negative(pixels if factors is None else corrected(pixels, factors))
         fit = self.fit
         if fit.simplex_w and fit.simplex_rows is None:
             fit = fit.change(simplex_rows=tuple(i for i, _ in self._rows(None)))
-        self.w, self.h, self.report_of_fit = factorise.fit_pixels(data, self.g, fit, w, fixed_w, h=h, fixed_h=fixed_h)
+        if (refresh or refresh_each_round) and (self.dictionary is None or self.dictionary.refreshed is None):
+            raise ValueError("only the background of a dictionary with internal absorption can be refreshed")
+
+        def anew(now: np.ndarray) -> np.ndarray:
+            self.dictionary = self.dictionary.refreshed(now)
+            self.g = self.dictionary.g
+            return self.g
+
+        each = anew if refresh_each_round else None
+        self.w, self.h, self.report_of_fit = factorise.fit_pixels(data, self.g, fit, w, fixed_w, h=h, fixed_h=fixed_h, refresh=each)
         for _ in range(refresh):
-            if self.dictionary is None or self.dictionary.refreshed is None:
-                raise ValueError("only the background of a dictionary with internal absorption can be refreshed")
             self.dictionary = self.dictionary.refreshed(self.w)
             self.g = self.dictionary.g
-            self.w, self.h, self.report_of_fit = factorise.fit_pixels(data, self.g, fit, self.w, fixed_w, h=self.h, fixed_h=fixed_h)
+            self.w, self.h, self.report_of_fit = factorise.fit_pixels(data, self.g, fit, self.w, fixed_w, h=self.h, fixed_h=fixed_h, refresh=each)
         return self.h
 
 

@@ -128,3 +128,16 @@ def test_buckets_follow_bytes():
     assert [factorise.bucket_count(size, 8) for size in (0, 100, 3 * mb, 800 * mb, 2048 * mb, 100_000 * 128 * mb)] == [1, 1, 3, 8, 16, 100_000]
     for size in (mb, 7 * mb, 900 * mb, 10**13):
         assert size / factorise.bucket_count(size, 200) <= 128 * mb
+
+
+@pytest.mark.parametrize("change", [{}, {"algorithm": Algorithm.PROJECTED_GRADIENT, "line_search": True, "floor": 1e-2}])
+def test_a_dictionary_that_follows_w(spark, change):
+    """G made anew after each step of W, in memory and over all pixels."""
+    x, w, h = case(seed=8, pixels=30)
+    first = np.random.default_rng(0).random((12, 12)) * 0.1 + np.eye(12)
+    anew = lambda now: np.hstack([first[:, :-1], first[:, -1:] * (1 + now[0].mean())])
+    fit = Fit(components=2, **{"simplex_w": False, "max_iter": 5, "tol": 1e-3} | change)
+    lw, lh, one = K.factorise(x, first, fit, w=w, h=h, refresh=anew)
+    fw, far, two = factorise.fit_pixels(table_of(spark, x), first, fit, w=w, h=table_of(spark, h, "h"), refresh=anew)
+    assert (one["iterations"], one["stopped"]) == (two["iterations"], two["stopped"]) and np.allclose(one["trace"], two["trace"], rtol=1e-9)
+    assert np.allclose(lw, fw, rtol=1e-6) and np.allclose(lh, collected(far), rtol=1e-6) and not np.allclose(two["g"], first)
