@@ -1351,3 +1351,41 @@ def abundance_nnls_two(spark: SparkSession, sf_dir: str) -> DataFrame:
     ends = np.array([r["features"] for r in centres(spark, sf_dir).where("label < 2").orderBy("label").collect()]).T
     found = clustering.abundances_nnls(spec(spark, sf_dir).select("vec_id", F.col("spectrum").alias("features")), ends)
     return found.select("vec_id", F.posexplode("a").alias("endmember", "share")).withColumn("share", r6("share"))
+
+
+# -- refinement of a whole image ---------------------------------------------------------------------------------------
+
+
+def _fusion_sql(rounds: int) -> str:
+    """Rounds of two steps of denoising each, over the image's whole rectangle: places without a pixel are 0 in each round."""
+    parts = [
+        f"""WITH {MODEL_SQL}, e AS (SELECT element, number / z AS z FROM elements CROSS JOIN zm), given AS (SELECT q.pixel_id, q.element, coalesce(pct, 0) / 100 AS v, image / 1e6 AS image FROM q JOIN image USING (pixel_id)),
+ends AS (SELECT element, min(v) AS low, CASE WHEN max(v) > min(v) THEN max(v) - min(v) ELSE 1e0 END AS span FROM given GROUP BY element),
+side AS (SELECT min(image) AS low, CASE WHEN max(image) > min(image) THEN max(image) - min(image) ELSE 1e0 END AS span FROM given),
+own AS (SELECT pixel_id, pixel_id // {T.WIDTH} AS y, pixel_id % {T.WIDTH} AS x, element, (v - ends.low) / ends.span AS start, (image - side.low) / side.span AS target FROM given JOIN ends USING (element) CROSS JOIN side),
+box AS (SELECT min(y) AS y0, max(y) AS y1, min(x) AS x0, max(x) AS x1 FROM own),
+places AS (SELECT y, x, element FROM (SELECT unnest(generate_series(y0, y1)) AS y FROM box) CROSS JOIN (SELECT unnest(generate_series(x0, x1)) AS x FROM box) CROSS JOIN (SELECT element FROM elements)),
+n0 AS (SELECT pixel_id, y, x, element, start, target, start AS now FROM own)"""
+    ]
+    over = "WINDOW wy AS (PARTITION BY element, x ORDER BY y), wx AS (PARTITION BY element, y ORDER BY x)"
+    for k in range(rounds):
+        parts += [
+            f"m{k} AS (SELECT pixel_id, sum(z * pow(now, 16e-1)) AS modelled FROM n{k} JOIN e USING (element) GROUP BY pixel_id)",
+            f"s{k} AS (SELECT pixel_id, y, x, element, start, target, greatest(now - (16e-1 * pow(now, 6e-1) * z * (modelled - target) / 25 + 8e-2 * (1 - start / (now + 24e-2))), 0) AS now FROM n{k} JOIN m{k} USING (pixel_id) JOIN e USING (element))",
+            f"d{k} AS (SELECT y, x, element, coalesce(now, 0e0) AS v FROM places LEFT JOIN s{k} USING (y, x, element))",
+            f"f{k} AS (SELECT *, coalesce(v - lead(v) OVER wy, 0) / (8 * 15e-2) AS fx, coalesce(v - lead(v) OVER wx, 0) / (8 * 15e-2) AS fy FROM d{k} {over})",
+            f"p{k} AS (SELECT y, x, element, v, fx / greatest(1, sqrt(fx * fx + fy * fy)) AS px, fy / greatest(1, sqrt(fx * fx + fy * fy)) AS py FROM f{k})",
+            f"t{k} AS (SELECT y, x, element, greatest(v - 15e-2 * (px + py - lag(px, 1, 0e0) OVER wy - lag(py, 1, 0e0) OVER wx), 0) AS v FROM p{k} {over})",
+            f"n{k + 1} AS (SELECT pixel_id, y, x, element, start, target, v AS now FROM s{k} JOIN t{k} USING (y, x, element))",
+        ]
+    parts.append(f"whole AS (SELECT pixel_id, element, now * span + low AS v FROM n{rounds} JOIN ends USING (element))")
+    return ", ".join(parts) + " SELECT pixel_id, element, round(CASE WHEN sum(v) OVER w <> 0 THEN 100e0 * v / sum(v) OVER w ELSE 0 END, 4) AS at_percent FROM whole WINDOW w AS (PARTITION BY pixel_id)"
+
+
+@query(_fusion_sql(2))
+def haadf_fusion_image(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two rounds on the whole image, in tiles."""
+    rows, numbers = fused(spark, sf_dir)
+    placed = T.grid(spark, sf_dir).select("pixel_id", "y", "x").join(rows, "pixel_id")
+    q, _ = fusion.refine_image(placed, numbers, fusion.Refinement(rounds=2, tv_rounds=2), tile=8)
+    return by_element(q, "q", T.element_names(spark, sf_dir), "at_percent", 4)
