@@ -189,8 +189,11 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """A row for each page, from the last chunk of its record; fails where a response differs from its stated digest."""
-    ends = read_chunks(spark, path).where("last")
-    whole = (F.col("record_type") == "revisit") | ((F.col("running_sha256") == F.col("stated_digest")) & (F.col("running_bytes") == F.col("full_bytes")))
-    digest = F.when(whole, F.col("stated_digest")).otherwise(F.raise_error(F.concat(F.lit("payload differs from its digest: "), F.col("record_id"))))
-    return ends.select("page_id", F.col("full_bytes").alias("payload_bytes"), digest.alias("payload_digest"), "record_type", "refers_to")
+    """A row for each page, from the last chunk of its record; fails where a response differs from its stated digest or length.
+    What a record doesn't state, as of ordinary archives, is what was read; a revisit's own payload isn't there to be read."""
+    ends = read_chunks(spark, path).where("last").withColumn("_again", F.col("record_type") == "revisit")
+    same = lambda stated, read: F.col(stated).isNull() | (F.col(stated) == F.col(read))
+    whole = F.col("_again") | (same("stated_digest", "running_sha256") & same("full_bytes", "running_bytes"))
+    of = lambda stated, read: F.when(F.col("_again"), F.col(stated)).otherwise(F.coalesce(stated, read))
+    digest = F.when(whole, of("stated_digest", "running_sha256")).otherwise(F.raise_error(F.concat(F.lit("payload differs from its digest: "), F.col("record_id"))))
+    return ends.select("page_id", of("full_bytes", "running_bytes").alias("payload_bytes"), digest.alias("payload_digest"), "record_type", "refers_to")

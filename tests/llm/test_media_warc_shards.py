@@ -181,3 +181,12 @@ def test_op5_contract(spark):
     df = queries.op5_jump_shards(spark, DIR)
     assert df.columns == ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"]
     assert df.where((F.col("shard") != F.col("grown_shard")) & (F.col("grown_shard") != 24)).count() == 0
+
+
+def test_pages_of_ordinary_archives(spark, tmp_path):
+    """Without our length header and with digests of other kinds, what was read counts."""
+    records = [(b"<urn:uuid:1>", b"response", b"http://a/", b"x" * 300, b"sha1:ABC"), (b"<urn:uuid:2>", b"revisit", b"http://a/", b"", b"sha1:ABC")]
+    data = b"".join(b"WARC/1.0\r\nWARC-Type: %s\r\nWARC-Record-ID: %s\r\nWARC-Target-URI: %s\r\nWARC-Payload-Digest: %s\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (kind, name, uri, digest, len(block), block) for name, kind, uri, block, digest in records)
+    (tmp_path / "b.warc.gz").write_bytes(gzip.compress(data))
+    got = sorted(tuple(r) for r in warc.read_pages(spark, f"{tmp_path}/b.warc.gz").select("record_type", "payload_bytes", "payload_digest").collect())
+    assert got == [("response", 300, hashlib.sha256(b"x" * 300).hexdigest()), ("revisit", None, None)]
