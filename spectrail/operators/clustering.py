@@ -11,28 +11,27 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import vectors as V
+from ..sources.shared import written
 from .factorise import gram
-from .graph import Graph, eigenvectors
+from .graph import BLOCK, Graph, dealt, eigenvectors, similar_blocks
 from .kernels import matrix, nnls
-from .lookups import pairs
 from .reshape import dense_sum
 
 
-def affinity(distance: Column, sigma: float) -> Column:
-    return F.exp(-(distance * distance) / (2 * sigma * sigma))
-
-
-def similarity_graph(points: DataFrame, metric: str, sigma: float, p: int = 3) -> DataFrame:
-    """(i, j, s) of all ordered pairs of points, and s = 1 of each with itself."""
-    two = pairs(points, "point_id")
-    half = two.select(F.col("a.point_id").alias("i"), F.col("b.point_id").alias("j"), affinity(V.distance(metric, F.col("a.features"), F.col("b.features"), p), sigma).alias("s"))
-    own = points.select(F.col("point_id").alias("i"), F.col("point_id").alias("j"), F.lit(1.0).alias("s"))
-    return half.union(half.select("j", "i", "s")).union(own)
+def similarity_graph(points: DataFrame, metric: str, sigma: float, p: int = 3, least: float = 0.0, block: int = BLOCK) -> DataFrame:
+    """(i, j, s) of the ordered pairs of points whose similarity is at least `least`, and s = 1 of each with itself. Points are
+    compared in blocks of bounded size (graph.py), and blocks that are too far apart for `least` aren't."""
+    radius = sigma * np.sqrt(-2 * np.log(least)) if least > 0 else np.inf
+    blocks = written(dealt(points, metric, float(radius), block), "blocks")
+    found = similar_blocks(blocks, metric, sigma, p, least)
+    ids = lambda side: blocks.select(F.col("block").alias(side), F.col("ids").alias(f"_{side}"))
+    pairs = found.join(ids("a"), "a").join(ids("b"), "b").select("_a", "_b", F.explode(F.arrays_zip("i", "j", "s")).alias("e"))
+    return pairs.select(F.get("_a", F.col("e.i")).alias("i"), F.get("_b", F.col("e.j")).alias("j"), F.col("e.s").alias("s"))
 
 
 def normalised_laplacian(graph: DataFrame) -> DataFrame:

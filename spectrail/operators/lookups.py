@@ -96,14 +96,6 @@ def matrix_product(a: DataFrame, b: DataFrame, inner: str, left: str, right: str
     return joined.groupBy(left, right).agg(F.sum(F.col("_a") * F.col("_b")).alias("value"))
 
 
-def pairs(points: DataFrame, key: str) -> DataFrame:
-    """(a, b): structs of all pairs of a small set of points, ordered by key. Refuses sets that aren't small."""
-    if points.count() > LOOKUP_ROWS // 10:
-        raise ValueError("all pairs are made of small sets only")
-    a, b = points.select(F.struct("*").alias("a")), points.select(F.struct("*").alias("b"))
-    return a.join(F.broadcast(b), F.col(f"a.{key}") < F.col(f"b.{key}"))
-
-
 def renamed_lines(lines: DataFrame, names: DataFrame, elements: DataFrame) -> DataFrame:
     """Lines keyed by atomic number and a line's name, as (element, line, energy, cs): names that stand for one line only
     are replaced, others stay."""

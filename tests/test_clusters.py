@@ -117,3 +117,14 @@ def test_blocks_are_of_bounded_size(spark):
     x = np.random.default_rng(0).random((400, 2))
     sizes = [r[0] for r in graph.dealt(table(spark, x), "euclidean", 5.0, 32).selectExpr("size(ids)").collect()]
     assert sum(sizes) == 400 and max(sizes) < 3 * 32
+
+
+@pytest.mark.parametrize(("least", "metric"), [(0.0, "manhattan"), (1e-3, "euclidean"), (0.2, "cosine")])
+def test_similarities_of_all_pairs(spark, least, metric):
+    x = np.random.default_rng(3).random((70, 3)) * 2 + 0.05
+    s = np.exp(-(distances(metric, x, x) ** 2) / (2 * 0.3 * 0.3))
+    np.fill_diagonal(s, 1.0)
+    rows = clustering.similarity_graph(table(spark, x), metric, 0.3, least=least, block=16).collect()
+    got = {(r.i, r.j): r.s for r in rows}
+    want = {(i, j): s[i, j] for i in range(70) for j in range(70) if s[i, j] >= least}
+    assert len(rows) == len(got) and got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-12) for k in want)
