@@ -1389,3 +1389,60 @@ def haadf_fusion_image(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = T.grid(spark, sf_dir).select("pixel_id", "y", "x").join(rows, "pixel_id")
     q, _ = fusion.refine_image(placed, numbers, fusion.Refinement(rounds=2, tv_rounds=2), tile=8)
     return by_element(q, "q", T.element_names(spark, sf_dir), "at_percent", 4)
+
+
+# -- the facade's maps -------------------------------------------------------------------------------------------------
+
+FACADE_SQL = f"""{DH_SQL}, {ELEMENTS_SQL}, q AS (SELECT pixel_id, element, number, atomic_mass, density, 100e0 * fit / sum(fit) OVER (PARTITION BY pixel_id) AS pct FROM dh JOIN elements ON channel = number),
+w_ AS (SELECT *, 100e0 * pct * atomic_mass / sum(pct * atomic_mass) OVER (PARTITION BY pixel_id) AS weight FROM q),
+maps AS (SELECT pixel_id, sum(weight) / sum(weight / density) AS rho, sum(pct * number) / 100 AS z FROM w_ GROUP BY pixel_id)"""
+
+
+def _facade(spark: SparkSession, sf_dir: str):
+    """An estimator with a fixed W and H; the last half of its rows counts as background."""
+    from .estimators import BlockWiseUnmixing
+
+    names = T.element_names(spark, sf_dir)
+    est = BlockWiseUnmixing(np.eye(T.CHANNELS), names=[*names, *(f"hidden{i}" for i in range(T.CHANNELS - len(names)))], table=T.elements(spark, sf_dir), background_rows=T.CHANNELS - len(names))
+    est.w = T.factor_matrix()
+    est.h = T.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("pixel_id"), T.factor_h("s_suppkey").alias("h"))
+    return est, names
+
+
+@query(f"WITH {FACADE_SQL} SELECT pixel_id, round(rho, 6) AS density, round(z, 6) AS mean_z FROM maps")
+def facade_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Density and mean atomic number of an estimator's compositions."""
+    est, _ = _facade(spark, sf_dir)
+    return est.maps().select("pixel_id", r6("density").alias("density"), r6("mean_z").alias("mean_z"))
+
+
+@query(f"""WITH {FACADE_SQL}, {ZERO_SQL}, dd AS (SELECT i.*, rho, z, {PHYSICS_SQL} AS f FROM i JOIN maps USING (pixel_id)), a AS (SELECT *, 55e-1 * pow(rho, 3e-1) / (f * 200) AS te, 76e-1 * pow(z, 36e-2) AS em FROM dd),
+b AS (SELECT *, ln(400e0 / (te * te)) AS lr, ln((100e0 + 225 + 125 + 2 * te * te) * 400 / (100e0 + 225 + 125 + 800) / (te * te)) AS lc FROM a)
+SELECT pixel_id, round(CASE WHEN whole > 0 AND zero > 0 THEN ln(whole / zero) * (lr / lc) / (11e0 * pow(rho, 3e-1) / (200 * f * 200) * lr) END, 6) AS by_density,
+  round(CASE WHEN whole > 0 AND zero > 0 THEN ln(whole / zero) * 106 * f * 200 / (em * ln(2 * 15e0 * 200 / em)) END, 6) AS by_number FROM b""")
+def facade_thickness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Thickness by either map of an estimator."""
+    est, _ = _facade(spark, sf_dir)
+    low, maps = T.lowloss(spark, sf_dir), est.maps()
+    by = [est.thickness(low, maps, 6.0, 1.0, 0.0, BEAM, BETA, ALPHA, by=name).select("pixel_id", r6("thickness").alias(out)) for name, out in (("density", "by_density"), ("mean_z", "by_number"))]
+    return by[0].join(by[1], "pixel_id")
+
+
+@query(f"""WITH {FACADE_SQL}, {MACS_SQL}, near AS (SELECT element, arg_min(mac, (abs(energy - 32e-1), energy)) AS mac FROM macs GROUP BY element),
+mixed AS (SELECT pixel_id, sum(weight * mac) / sum(weight) AS mu FROM w_ JOIN near USING (element) GROUP BY pixel_id),
+chi AS (SELECT pixel_id, mu * rho * 50e0 * 1e-7 / sin(radians(22e0)) AS c, mu * rho * (50e0 + pixel_id % 7 * 1e1) * 1e-7 / sin(radians(22e0)) AS m FROM mixed JOIN maps USING (pixel_id))
+SELECT pixel_id, round((1 - exp(-c)) / c, 9) AS constant, round((1 - exp(-m)) / m, 9) AS mapped FROM chi""")
+def facade_absorption(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Absorption factors from an estimator's compositions, with one thickness and with a map of it."""
+    est, names = _facade(spark, sf_dir)
+    at = est.h.select("pixel_id", ((F.col("pixel_id") % 7) * 10.0 + 50.0).alias("thickness"))
+    each = [est.absorption(T.macs(spark, sf_dir), [ENERGY], names, 22.0, **given).select("pixel_id", r6(F.get("a", 0), 9).alias(out)) for given, out in (({"thickness_nm": 50.0}, "constant"), ({"thickness_map": at}, "mapped"))]
+    return each[0].join(each[1], "pixel_id")
+
+
+@query(f"""WITH {DH_SQL}, {ELEMENTS_SQL}, sums AS (SELECT comp, sum(v) AS s FROM h GROUP BY comp)
+SELECT element, CAST(comp AS INTEGER) AS comp, round(100e0 * w / sum(w) OVER (PARTITION BY comp), 6) AS at_percent, round(100e0 / sqrt(w * s), 6) AS std_percent FROM d JOIN elements ON channel = number JOIN sums USING (comp)""")
+def facade_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares of each component and their errors, as an estimator reports them."""
+    est, _ = _facade(spark, sf_dir)
+    return est.report().select("element", "comp", r6("at_percent").alias("at_percent"), r6("std_percent").alias("std_percent"))
