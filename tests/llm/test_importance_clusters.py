@@ -4,16 +4,13 @@ import re
 import zlib
 from collections import Counter
 
-import duckdb
 import numpy as np
 import pytest
 
-from spectrail.llm import centroids, importance, oracles, queries
+from spectrail.llm import centroids, importance
 
 from .conftest import AWKWARD
 
-DIR = "/root/testdata/sf0.001"
-
 
 def plain_grams(text, n):
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
@@ -58,17 +55,6 @@ def test_resampling_of_empty_tables(spark, docs_of):
     assert Counter(map(tuple, got)) == brute_resample(rows, [], 1, 10_000, 1, 100)
 
 
-def test_resampling_equals_sql(spark):
-    con = duckdb.connect()
-    for t in ("documents", "benchmark", "embeddings"):
-        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DIR}/{t}.parquet'")
-    for name in ("op12_importance_resampling", "op13_annulus_clusters"):
-        df = queries.queries()[name](spark, DIR)
-        found = con.execute(oracles.ORACLES[name])
-        at = [[x[0] for x in found.description].index(c) for c in df.columns]
-        assert Counter(map(tuple, df.collect())) == Counter(tuple(r[i] for i in at) for r in found.fetchall())
-
-
 def test_ranks_come_from_ranges(spark):
     rows = spark.range(1000).selectExpr("id % 7 as a", "id as b")
     got = sorted((r.place, r.a, r.b) for r in importance.ranked(rows, [rows["a"].desc(), rows["b"]]).collect())

@@ -199,8 +199,8 @@ def test_percents_that_the_search_would_miss_are_refused(docs_of):
 
 def test_query_equals_its_sql(spark):
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{DIR}/documents.parquet'")
-    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{DIR}/pages.parquet'")
+    for table in ("documents", "pages", "benchmark", "embeddings"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{DIR}/{table}.parquet'")
     for name, sql in oracles.ORACLES.items():
         df = queries.queries()[name](spark, DIR)
         result = con.execute(sql)
