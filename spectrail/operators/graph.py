@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import delete, discard, shared_dir, written
+from .factorise import bucket_count
 from .kernels import matrix, uniform_by_id
 from .reshape import dense_sum
 
@@ -106,6 +107,14 @@ def similar_blocks(blocks: DataFrame, metric: str, sigma: float, p: int, least:
     return two.mapInArrow(compare, "a long, b long, n long, i array<int>, j array<int>, s array<double>")
 
 
+def most_bytes(blocks: DataFrame) -> int:
+    """How many bytes the similarities of all neighbouring blocks can take, from the blocks' sizes."""
+    sizes = blocks.groupBy("c0", "c1").agg(F.sum(F.size("ids").cast("double")).alias("n"))
+    beside = F.array(*(F.struct((F.col("c0") + d).alias("c0"), (F.col("c1") + e).alias("c1")) for d in (-1, 0, 1) for e in (-1, 0, 1)))
+    near = sizes.select(F.col("n").alias("m"), F.explode(beside).alias("_c")).select("m", F.col("_c.c0").alias("c0"), F.col("_c.c1").alias("c1"))
+    return int(16 * (near.join(sizes, ["c0", "c1"]).agg(F.sum(F.col("m") * F.col("n"))).first()[0] or 0))
+
+
 class Graph:
     """A graph in blocks in the shared folder, in buckets by the block that a product reads. Deleted by close()."""
 
@@ -114,7 +123,9 @@ class Graph:
         self.blocks = written(dealt(points, metric, sigma * np.sqrt(-2 * np.log(least)), block), "blocks")
         self.name = f"graph_{uuid.uuid4().hex}"
         self.path = f"{shared_dir(self.spark)}/{self.name}"
-        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        n = bucket_count(most_bytes(self.blocks), int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        if n > int(self.spark.conf.get("spark.sql.sources.bucketing.maxBuckets")):
+            self.spark.conf.set("spark.sql.sources.bucketing.maxBuckets", str(n))
         found = similar_blocks(self.blocks, metric, sigma, p, least)
         found.repartition(n, "b").write.bucketBy(n, "b").format("parquet").option("path", self.path).saveAsTable(self.name)
 

@@ -128,3 +128,10 @@ def test_similarities_of_all_pairs(spark, least, metric):
     got = {(r.i, r.j): r.s for r in rows}
     want = {(i, j): s[i, j] for i in range(70) for j in range(70) if s[i, j] >= least}
     assert len(rows) == len(got) and got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-12) for k in want)
+
+
+def test_buckets_of_a_graph_follow_its_pairs(spark):
+    x = np.array([[0.0], [0.1], [50.0], [50.1], [50.2]])
+    blocks = graph.dealt(table(spark, x), "euclidean", 1.0, 2).cache()
+    assert graph.most_bytes(blocks) == 16 * (2 * 2 + 3 * 3)
+    assert graph.most_bytes(blocks.limit(0)) == 0
