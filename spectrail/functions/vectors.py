@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +15,12 @@ def literal(values) -> Column:
     return F.array(*(literal(v) if hasattr(v, "__len__") else F.lit(float(v)) for v in values))
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is found once for a row. A column that a lambda merely names is put into it whole, with all that it is
+    made of, and found anew for each element."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def total(a: Column) -> Column:
     return F.aggregate(a, F.lit(ZERO), lambda acc, x: acc + x)
 
@@ -31,18 +39,18 @@ def norm(a: Column) -> Column:
 
 def matvec(matrix: Column, v: Column) -> Column:
     """Product of a matrix, an array of rows, and a vector."""
-    return F.transform(matrix, lambda row: dot(row, v))
+    return once(v, lambda own: F.transform(matrix, lambda row: dot(row, own)))
 
 
 def scale(a: Column, by: Column | float) -> Column:
-    by = by if isinstance(by, Column) else F.lit(float(by))
-    return F.transform(a, lambda x: x * by)
+    if not isinstance(by, Column):
+        return F.transform(a, lambda x: x * F.lit(float(by)))
+    return once(by, lambda own: F.transform(a, lambda x: x * own))
 
 
 def share(a: Column, whole: float = 100.0) -> Column:
     """Values as parts of their sum; nulls where the sum is 0."""
-    s = total(a)
-    return F.transform(a, lambda x: F.try_divide(x * F.lit(whole), s))
+    return once(a, lambda own: once(total(own), lambda s: F.transform(own, lambda x: F.try_divide(x * F.lit(whole), s))))
 
 
 def quotient(a: Column, b: Column) -> Column:
@@ -74,7 +82,7 @@ def argmin(a: Column) -> Column:
 
 def nearest(keys: Column, value: Column) -> Column:
     """Index from 0 of the key closest to value, the first of equals."""
-    return argmin(F.transform(keys, lambda k: F.abs(k - value)))
+    return argmin(once(value, lambda own: F.transform(keys, lambda k: F.abs(k - own))))
 
 
 def below(keys: Column, value: Column) -> Column:

@@ -23,9 +23,9 @@ def element_values(table: DataFrame, elements: Sequence[str]) -> dict[str, list[
 
 def weight_percent(atomic: Column, masses: Sequence[float]) -> Column:
     """Weight percent; all 0 where the sum is 0."""
-    w = F.zip_with(atomic, V.literal(masses), lambda a, m: a * m)
-    s = V.total(w)
-    return F.transform(w, lambda x: F.when(s == 0, F.lit(0.0)).otherwise(F.try_divide(x * 100.0, s)))
+    weighed = F.zip_with(atomic, V.literal(masses), lambda a, m: a * m)
+    parts = lambda w, s: F.transform(w, lambda x: F.when(s == 0, F.lit(0.0)).otherwise(F.try_divide(x * 100.0, s)))
+    return V.once(weighed, lambda w: V.once(V.total(w), lambda s: parts(w, s)))
 
 
 def mixture_density(weight: Column, densities: Sequence[float], mean: MeanType = MeanType.HARMONIC) -> Column:

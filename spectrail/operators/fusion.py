@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import vectors as V
 from ..sources.shared import discard, written
 from .kernels import matrix
 from .stencils import denoise_image, image_cost, weights
@@ -210,6 +211,6 @@ def refine_image(pixels: DataFrame, numbers: Sequence[float], r: Refinement = Re
             costs[first : first + rounds, 2] += [edge[k] + empty for k in range(first, first + rounds)]
     full = F.transform(F.arrays_zip(F.col("now").alias("v"), F.lit(low.tolist()).alias("l"), F.lit(span.tolist()).alias("s")), lambda c: c["v"] * c["s"] + c["l"])
     whole = F.aggregate("_full", F.lit(0.0), lambda s, v: s + v)
-    shares = F.transform("_full", lambda v: F.when(whole != 0, 100 * v / whole).otherwise(F.lit(0.0)))
+    shares = V.once(whole, lambda s: F.transform("_full", lambda v: F.when(s != 0, 100 * v / s).otherwise(F.lit(0.0))))
     refined = state.select("pixel_id", full.alias("_full"), (F.col("modelled") * image_span + image_low).alias("image")).select("pixel_id", shares.alias("q"), "image")
     return refined, spark.createDataFrame([(k, *map(float, c)) for k, c in enumerate(costs)], costs_schema)

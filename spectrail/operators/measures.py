@@ -68,8 +68,8 @@ def poisson_normalised(pixels: DataFrame, x: str = "spectrum", by: str | None =
     from .reshape import dense_sum
 
     sums = dense_sum(pixels, x, *([by] if by else [])).withColumnRenamed("total", "_c")
-    row = V.total(F.col(x))
-    scaled = F.zip_with(x, F.col("_c"), lambda v, c: F.coalesce(F.try_divide(v, F.sqrt(row) * F.sqrt(c)), F.lit(0.0)))
+    scale = lambda row: F.zip_with(x, F.col("_c"), lambda v, c: F.coalesce(F.try_divide(v, row * F.sqrt(c)), F.lit(0.0)))
+    scaled = V.once(F.sqrt(V.total(F.col(x))), scale)
     joined = pixels.join(small(sums), by) if by else pixels.join(F.broadcast(sums))
     return joined.withColumn(x, scaled).select(*pixels.columns)
 

@@ -29,7 +29,7 @@ def dark_field(q: Column, numbers: Sequence[float], gamma: float) -> Column:
 
 def residual_gradient(residual: Column, numbers: Sequence[float]) -> Column:
     """What each element gets of a pixel's residual."""
-    return F.transform(V.literal(weights(numbers)), lambda z: z * residual)
+    return V.once(residual, lambda r: F.transform(V.literal(weights(numbers)), lambda z: z * r))
 
 
 def dark_field_cost(pixels: DataFrame, q: str, image: str, numbers: Sequence[float], gamma: float) -> DataFrame:

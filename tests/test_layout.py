@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from spectrail.config import Fit
 from spectrail.functions import vectors as V
-from spectrail.operators import factorise, lookups, measures, reshape
+from spectrail.operators import composition, factorise, lookups, measures, reshape, stencils
 from spectrail.operators import kernels as K
+from spectrail.plans import catalogue
 from spectrail.sources import text_matrix
 
 
@@ -148,3 +149,30 @@ def test_a_start_below_the_floor_is_refused_in_safe_fits(spark):
                 factorise.fit_pixels(pixels, np.eye(4), fit, h=h)
         else:
             assert factorise.fit_pixels(pixels, np.eye(4), fit, h=h)[1].count() == 5
+
+
+def test_values_of_a_row_are_found_once_and_not_for_each_element(spark):
+    """Spark refuses a Python function in a lambda, which runs for each element, and takes it in what a lambda is given."""
+    rows = spark.createDataFrame([(1, [1.0, 3.0]), (2, [0.0, 0.0]), (3, None)], "i int, a array<double>")
+    same = F.udf(lambda a: a, "array<double>")("a")
+    first = F.udf(lambda a: a[0] if a else None, "double")("a")
+    found = {
+        "share": V.share(same),
+        "weight": composition.weight_percent(same, [2.0, 6.0]),
+        "scale": V.scale(F.col("a"), first),
+        "matvec": V.matvec(V.literal([[1.0, 2.0], [3.0, 4.0]]), same),
+        "nearest": V.nearest(V.literal([0.0, 0.9, 5.0]), first),
+        "residual": stencils.residual_gradient(first, [1.0, 3.0]),
+    }
+    got = [r.asDict() for r in rows.select("i", *(c.alias(n) for n, c in found.items())).orderBy("i").drop("i").collect()]
+    assert got[0] == {"share": [25.0, 75.0], "weight": [10.0, 90.0], "scale": [1.0, 3.0], "matvec": [7.0, 15.0], "nearest": 1, "residual": [0.5, 1.5]}
+    assert got[1] == {"share": [None, None], "weight": [0.0, 0.0], "scale": [0.0, 0.0], "matvec": [0.0, 0.0], "nearest": 0, "residual": [0.0, 0.0]}
+    assert got[2] == {"share": None, "weight": None, "scale": None, "matvec": [None, None], "nearest": None, "residual": [None, None]}
+
+
+@pytest.mark.parametrize("name", ["atomic_to_weight", "quantification_share", "quantification_selected"])
+def test_rows_by_element_take_each_spectrum_once_in_a_step(spark, name):
+    """Spark repeats an exploded array's expression in the conditions of a filter before it, once in each."""
+    plan = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    steps = [line for line in plan.splitlines() if "_m#" in line and "transform(" in line]
+    assert steps and all(line.count("coalesce(_m#") == max(1, line.count("size(") + line.count("isnotnull(")) for line in steps)
